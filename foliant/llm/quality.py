@@ -114,10 +114,10 @@ def order_rules(documents: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROW
     """Rule names by rejection per cost, measured on ``sample_rows`` rows at most; unordered on none.
 
     The bounded sample decides on the order alone, never on a verdict."""
-    rows = documents.select("text").limit(sample_rows).toArrow()
-    if not rows.num_rows:
+    rows = [r.text for r in documents.select("text").head(sample_rows)]
+    if not rows:
         return list(rules)
-    texts = [part.column(0) for part in tb.slices(rows.to_batches())]
+    texts = [part.column(0) for part in tb.slices(pa.table({"text": pa.array(rows, pa.string())}).to_batches())]
     gain = {}
     for name, rule in rules.items():
         spent, hits, n = 1e-9, 0, 0
