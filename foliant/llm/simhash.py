@@ -22,6 +22,8 @@ component unless no other id is there.  Other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -34,10 +36,11 @@ from .shared import written
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
-PART = (2_000, 100_000)
+PART = (2_000, 500_000)
+#: Up to how many distinct fingerprints the shards are cut by the halves of the bits; by the quarters beyond.
+BY_HALVES = 20_000_000
 LEAF_PAIRS = 1 << 20
 SAMPLE = 1024
-_HALVES = (0x00000000FFFFFFFF, 0xFFFFFFFF00000000)
 _CHUNK = 1 << 16
 
 
@@ -144,30 +147,39 @@ def search(home: np.ndarray, query: np.ndarray, own: np.ndarray, vantage: int, r
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b): edges whose components are those of all pairs of fingerprints within the radius.
 
-    The driver sees a sample of ``SAMPLE`` fingerprints and a count for each of 33 x 33 shards."""
-    n = distinct.count()
+    The driver sees a sample of ``SAMPLE`` fingerprints and a count for each shard: 33^2 shards, or 17^4 for many fingerprints."""
+    spark, n = distinct.sparkSession, distinct.count()
     sample = np.array([r.fp for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
     vantage = _vantage(sample)
+    blocks = 2 if n <= BY_HALVES else 4
+    width = 64 // blocks
+    rings = width + 1
     signed = lambda x: F.lit(x - (1 << 64) if x >> 63 else x).cast("long")
-    d = [F.bit_count(F.col("fp").bitwiseXOR(signed(vantage)).bitwiseAND(signed(m))).cast("int") for m in _HALVES]
-    placed = distinct.select("fp", d[0].alias("x"), d[1].alias("y"))
-    count = np.zeros((33, 33), np.int64)
-    for r in placed.groupBy("x", "y").count().collect():
-        count[r.x, r.y] = r["count"]
-    overlap = [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if abs(i) + abs(j) <= radius and (i, j) >= (0, 0)]
+    d = [F.bit_count(F.col("fp").bitwiseXOR(signed(vantage)).bitwiseAND(signed(((1 << width) - 1) << (width * k)))).cast("int").alias(f"d{k}") for k in range(blocks)]
+    placed = distinct.select("fp", *d)
+    ds = [f"d{k}" for k in range(blocks)]
+    count = np.zeros([rings] * blocks, np.int64)
+    for r in placed.groupBy(*ds).count().collect():
+        count[tuple(r[:blocks])] = r["count"]
+    zero = (0,) * blocks
+    overlap = [to for to in itertools.product(range(-radius, radius + 1), repeat=blocks) if sum(map(abs, to)) <= radius and to >= zero]
     asked = np.zeros_like(count)
-    for i, j in overlap:
-        x, y = np.nonzero(count)
-        ok = (x + i < 33) & (y + j >= 0) & (y + j < 33)
-        np.add.at(asked, (x[ok] + i, y[ok] + j), count[x[ok], y[ok]])
-    part = int(min(PART[1], max(PART[0], n // 200)))
-    n_home = np.where(count > 0, -(-count // part), 0)
-    n_query = np.where(count > 0, np.maximum(1, -(-asked // (2 * part))), 0)
-    of = lambda table, cell: F.element_at(F.array(*map(F.lit, table.ravel().tolist())), cell + 1)
-    rows = placed.withColumn("to", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in overlap])))
-    x, y = F.col("x") + F.col("to.i"), F.col("y") + F.col("to.j")
-    rows = rows.filter((x < 33) & (y >= 0) & (y < 33)).select("fp", (x * 33 + y).cast("int").alias("cell"), ((F.col("to.i") == 0) & (F.col("to.j") == 0)).alias("own"))
-    rows = rows.withColumns({"homes": of(n_home, F.col("cell")), "queries": of(n_query, F.col("cell"))}).filter("homes > 0")
+    full = np.stack(np.nonzero(count))
+    for to in overlap:
+        at = full + np.array(to)[:, None]
+        ok = ((at >= 0) & (at < rings)).all(axis=0)
+        np.add.at(asked, tuple(at[:, ok]), count[tuple(full[:, ok])])
+    # the parts grow with the input, so that rows are repeated for no more parts than on a small one
+    part = int(min(PART[1], max(PART[0], n // 20)))
+    cell = np.flatnonzero(count)
+    parts = spark.createDataFrame([(int(c), int(-(-count.flat[c] // part)), int(max(1, -(-asked.flat[c] // (2 * part))))) for c in cell], "cell int, homes int, queries int")
+    rows = placed.withColumn("to", F.explode(F.array(*[F.array(*map(F.lit, to)) for to in overlap])))
+    at = [F.col(f"d{k}") + F.col("to")[k] for k in range(blocks)]
+    inside, number = F.lit(True), F.lit(0)
+    for x in at:
+        inside, number = inside & (x >= 0) & (x < rings), number * rings + x
+    rows = rows.filter(inside).select("fp", number.cast("int").alias("cell"), (F.col("to") == F.array(*map(F.lit, zero))).alias("own"))
+    rows = rows.join(F.broadcast(parts), "cell")
     salt = F.xxhash64("fp", F.lit(1))
     asks = rows.select("fp", "cell", "own", F.explode(F.sequence(F.lit(0), F.col("homes") - 1)).alias("hs"), F.pmod(salt, F.col("queries")).cast("int").alias("qs"), F.lit(False).alias("home"))
     lives = rows.filter("own").select("fp", "cell", "own", F.pmod(salt, F.col("homes")).cast("int").alias("hs"), F.explode(F.sequence(F.lit(0), F.col("queries") - 1)).alias("qs"), F.lit(True).alias("home"))
