@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
 from . import textbatch as tb
 
-MOST_CHUNKS = 600_000
+MOST_CHUNKS = 900_000
 
 
 def cut(data: np.ndarray, off: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -25,10 +26,16 @@ def distinct(data: np.ndarray, chunk_off: np.ndarray):
     return d.dictionary, d.indices.to_numpy()
 
 
+def joined(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The lists' ids in a row, and the lists' sizes."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum())), sizes
+
+
 class Memory:
-    """Ids of chunks met before.  When it is full it starts anew; that changes the cost alone."""
+    """Ids of chunks met before; ``encode`` gives the ids of new ones in a row, and how many each has.  When it is full it starts anew; that changes the cost alone."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int = MOST_CHUNKS):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = MOST_CHUNKS):
         self.encode, self.most = encode, most
         self.clear()
 
@@ -43,10 +50,8 @@ class Memory:
         number, n = self.number, len(self.number)
         new = [c for c in chunks if c not in number]
         if new:
-            lists = self.encode(new)
+            flat, sizes = self.encode(new)
             number.update(zip(new, range(n, n + len(new))))
-            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-            flat = np.fromiter((i for x in lists for i in x), np.int32, int(sizes.sum()))
             base = self.off[n]
             if len(self.off) <= n + len(new):
                 self.off = np.concatenate([self.off, np.zeros(max(len(self.off), len(new) + 1), np.int64)])

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import textbatch as tb
-from .chunks import Memory, encoded
+from .chunks import Memory, encoded, joined
 
 MARK = "▁"
 _MARK = MARK.encode()
@@ -281,7 +281,8 @@ def encode(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the texts, joined, and their offsets."""
     if model.name not in _walks:
         _walks.clear()
-        _walks[model.name] = Memory(Walk(model))
+        walk = Walk(model)
+        _walks[model.name] = Memory(lambda chunks: joined(walk(chunks)))
     data, off = _prefixed(*tb.raw(column))
     if not len(data):
         return np.zeros(0, np.int32), np.zeros(len(off), np.int64)

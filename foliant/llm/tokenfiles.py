@@ -12,6 +12,7 @@ ordered by text.  Other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from functools import lru_cache
 
@@ -29,19 +30,36 @@ END_ID = 2
 SHARD_TOKENS = 4 << 20
 NULL_ID = -(1 << 63)
 _SPACE = tb.table(b" \n\r\t")
+_ALNUM = tb.table(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+_MARKS = tb.table(bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum()))
+#: Second bytes of the letters U+00C0 to U+00FF (all but the two signs among them).
+_LATIN = tb.table(bytes(c for c in range(0x80, 0xC0) if c not in (0x97, 0xB7)))
 
 
 def breaks(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Places before white space that follows something else: no pre-token of a byte-level BPE reaches over them.
+    """Places that no pre-token of a byte-level BPE reaches over: before white space that follows something else,
+    after a line end or tab between two others, and between a letter or digit and an ASCII mark.
 
-    Beyond ASCII, only places after a two-byte letter are taken (lead byte C3 to DF: no white space there); any subset is right."""
+    Beyond ASCII, only two-byte letters are taken for something else (lead byte C3 to DF: no white space there); any subset is right."""
     if len(data) < 3:
         return np.zeros(0, np.int64)
     space = _SPACE[data]
-    plain = (data > 0x20) & (data < 0x7F)
-    letter = np.zeros(len(data), bool)
-    letter[1:] = (data[1:] >= 0x80) & (data[:-1] >= 0xC3) & (data[:-1] < 0xE0)
-    return np.flatnonzero((plain | letter)[:-1] & space[1:]) + 1
+    solid = (data > 0x20) & (data < 0x7F)
+    wide = (data >= 0xC3) & (data < 0xE0)
+    ends = solid.copy()
+    ends[1:] |= wide[:-1] & (data[1:] >= 0x80)
+    before = np.flatnonzero(ends[:-1] & space[1:]) + 1
+    single = before[(data[before] != 0x20) & (before + 1 < len(data))]
+    alnum = _ALNUM[data]
+    alnum[1:] |= (data[:-1] == 0xC3) & _LATIN[data[1:]]
+    marks = np.flatnonzero(alnum[:-1] & _MARKS[data[1:]]) + 1
+    return np.concatenate([before, single[(solid | wide)[single + 1]] + 1, marks])
+
+
+#: Ends a chunk among others in one call: a pre-token of its own between what ends and starts as ``_joinable`` says.
+_MARKER = " \x00"
+_JOINABLE = re.compile(rb"[ \n\r\tA-Za-z0-9](?:[^\x00]*(?:[\x21-\x7E]|[\xC3-\xDF][\x80-\xBF]))?", re.S)
+_TOGETHER = 4000
 
 
 @lru_cache(2)
@@ -51,9 +69,39 @@ def _memory(path: str) -> Memory:
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-
-    def encode(chunks: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)]
+    marker = tokenizer.encode(_MARKER, add_special_tokens=False).ids
+
+    def encode(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Most chunks go to the library many at a time: it takes longer to begin a text than to encode a word."""
+        fit = [_JOINABLE.fullmatch(c) is not None and not c.isspace() for c in chunks]
+        joined = [c for c, f in zip(chunks, fit) if f]
+        alone = [c.decode("utf-8", "replace") for c, f in zip(chunks, fit) if not f]
+        values, sizes = [], np.zeros(len(chunks), np.int64)
+        fit = np.array(fit, bool)
+        got = []
+        for at in range(0, len(joined), _TOGETHER):
+            text = b" \x00".join([*joined[at : at + _TOGETHER], b""]).decode("utf-8", "replace")
+            ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+            hit = ids == marker[-1]
+            if len(marker) == 2:
+                hit[1:] &= ids[:-1] == marker[0]
+            end = np.flatnonzero(hit)
+            inner = np.ones(len(ids), bool)
+            for k in range(len(marker)):
+                inner[end - k] = False
+            values.append(ids[inner])
+            got.append(np.diff(np.concatenate([[-1], end])) - len(marker))
+        if joined:
+            sizes[fit] = np.concatenate(got)
+        lists = [e.ids for e in tokenizer.encode_batch_fast(alone, add_special_tokens=False)]
+        sizes[~fit] = [len(x) for x in lists]
+        off = np.concatenate([[0], np.cumsum(sizes)])
+        out = np.empty(off[-1], np.int32)
+        whose = np.repeat(fit, sizes)
+        if joined:
+            out[whose] = np.concatenate(values)
+        out[~whose] = [i for x in lists for i in x]
+        return out, sizes
 
     return Memory(encode)
 
@@ -62,10 +110,7 @@ def token_ids(column: pa.Array, tokenizer: str, end_id: int = END_ID) -> tuple[n
     """Ids of the texts, each with the end id, and their offsets."""
     data, off = tb.raw(column)
     ids, at = encoded(data, off, breaks(data, off), _memory(tokenizer))
-    n = len(off) - 1
-    out = np.full(len(ids) + n, end_id, np.int32)
-    out[np.arange(len(ids)) + tb.rows_of(at)] = ids
-    return out, at + np.arange(n + 1)
+    return np.insert(ids, at[1:], end_id), at + np.arange(len(at))
 
 
 def write_tokens(documents: DataFrame, tokenizer: str, folder: str | None = None, shard_tokens: int = SHARD_TOKENS, bits: int = 16) -> DataFrame:
@@ -85,7 +130,7 @@ def write_tokens(documents: DataFrame, tokenizer: str, folder: str | None = None
             ids, docs, sizes, held, seq = [], [], [], 0, seq + 1
             return row
 
-        for piece in tb.slices(batches):
+        for piece in tb.slices(batches, most=4 * tb.SLICE_BYTES):
             got, at = token_ids(piece.column(1), tokenizer)
             ids.append(got.astype(np.uint16 if bits <= 16 else np.uint32))
             docs.append(piece.column(0).to_numpy())
