@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, sentencepiece, simhash, tokenfiles, warc
+from . import decontaminate, pii, sentencepiece, simhash, tokenfiles, warc
 from .quality import quality
 
 
@@ -38,6 +38,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(warc.read_archives(warc.write(_read(spark, sf_dir, "pages"))))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(_read(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_read(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_tokenfiles": op4_tokenfiles,
     "op8_warc": op8_warc,
+    "op9_pii": op9_pii,
     "op10_quality": op10_quality,
 }
 
