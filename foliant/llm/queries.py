@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, pii, sentencepiece, simhash, tokenfiles, toxicity, warc
+from . import decontaminate, pii, repeats, sentencepiece, simhash, tokenfiles, toxicity, warc
 from .quality import quality
 
 
@@ -34,6 +34,10 @@ def op4_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read_tokens(tokenfiles.write_tokens(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json"))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_read(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_simhash": op3_simhash,
     "op4_tokenfiles": op4_tokenfiles,
+    "op6_repeats": op6_repeats,
     "op7_toxicity": op7_toxicity,
     "op8_warc": op8_warc,
     "op9_pii": op9_pii,
