@@ -130,7 +130,7 @@ def write_tokens(documents: DataFrame, tokenizer: str, folder: str | None = None
             ids, docs, sizes, held, seq = [], [], [], 0, seq + 1
             return row
 
-        for piece in tb.slices(batches, most=4 * tb.SLICE_BYTES):
+        for piece in tb.slices(batches, most=2 * tb.SLICE_BYTES):
             got, at = token_ids(piece.column(1), tokenizer)
             ids.append(got.astype(np.uint16 if bits <= 16 else np.uint32))
             docs.append(piece.column(0).to_numpy())

@@ -24,11 +24,11 @@ def planes(ids: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[int]]:
     row = ids.astype(np.uint16 if bits <= 16 else np.uint32)
     out, zeros = [], []
     for b in range(bits - 1, -1, -1):
-        ones = (row >> b & 1).view(np.uint8 if row.dtype == np.uint8 else row.dtype).astype(bool)
+        ones = (row & row.dtype.type(1 << b)) != 0
         out.append(np.packbits(ones, bitorder="little"))
-        low = row[~ones]
+        low = np.compress(~ones, row)
         zeros.append(len(low))
-        row = np.concatenate([low, row[ones]])
+        row = np.concatenate([low, np.compress(ones, row)])
     return out, zeros
 
 
@@ -170,7 +170,7 @@ class Wavelet:
             words = np.concatenate([self._part(k) for k in range(first, first + self.per_plane - 1)]) if self.n else np.zeros(0, np.uint64)
             ones = np.unpackbits(words.view(np.uint8), count=self.n, bitorder="little").astype(bool)
             back = np.empty_like(out)
-            back[~ones] = out[: self.zeros[p]]
-            back[ones] = out[self.zeros[p] :] | np.array(1 << (self.bits - 1 - p), out.dtype)
+            back[np.flatnonzero(~ones)] = out[: self.zeros[p]]
+            back[np.flatnonzero(ones)] = out[self.zeros[p] :] | out.dtype.type(1 << (self.bits - 1 - p))
             out = back
         return out.astype(np.uint32)
