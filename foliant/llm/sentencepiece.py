@@ -277,6 +277,21 @@ def _prefixed(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.insert(data, off[:-1][full], 0x20), off + np.concatenate([[0], np.cumsum(full)])
 
 
+def _apart(data: np.ndarray, model: Model) -> np.ndarray:
+    """Between which neighbouring bytes no piece reaches, so that a text can be cut there: their two characters stand
+    side by side in no piece.  ASCII is told apart by character, all beyond it is one class."""
+    if not hasattr(model, "_met"):
+        met = np.zeros((129, 129), bool)
+        for p in model.every:
+            codes = [min(128, ord(c)) for c in p.replace(MARK, " ")]
+            met[codes[:-1], codes[1:]] = True
+        met[128, 128] = True
+        met[0x20, 0x20] = True
+        model._met = ~met.ravel()
+    code = np.minimum(data, 128).astype(np.int16)
+    return model._met[code[:-1] * np.int16(129) + code[1:]]
+
+
 def encode(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the texts, joined, and their offsets."""
     if model.name not in _walks:
@@ -286,11 +301,7 @@ def encode(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
     data, off = _prefixed(*tb.raw(column))
     if not len(data):
         return np.zeros(0, np.int32), np.zeros(len(off), np.int64)
-    used = {c for p in model.every for c in p} if not hasattr(model, "_barrier") else None
-    if used is not None:
-        model._barrier = tb.table(bytes(c for c in range(128) if chr(c) not in used and c != 0x20))
-    barrier, space = model._barrier[data], data == 0x20
-    at = np.flatnonzero((~space[:-1] & space[1:]) | barrier[:-1] | barrier[1:]) + 1
+    at = np.flatnonzero(_apart(data, model)) + 1
     return encoded(data, off, at, _walks[model.name])
 
 
@@ -304,7 +315,7 @@ def decode(ids: np.ndarray, off: np.ndarray, model: Model) -> tuple[np.ndarray,
     first = rows[:-1][full][data[rows[:-1][full]] == 0x20]
     keep = np.ones(len(data), bool)
     keep[first] = False
-    return data[keep], np.concatenate([[0], np.cumsum(keep)])[rows]
+    return np.compress(keep, data), np.concatenate([[0], np.cumsum(keep)])[rows]
 
 
 def encode_documents(documents: DataFrame, model_path: str, kind: str = "bpe") -> DataFrame:

@@ -62,7 +62,7 @@ def fingerprints(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     keep[gap] = True
     data[gap] = 0x20
     place = np.cumsum(keep) - 1
-    text = data[keep].tobytes()
+    text = np.compress(keep, data).tobytes()
     starts, ends = place[starts], place[ends - 1] + 1
     digest, weights = xxhash.xxh64_intdigest, np.uint64(1) << np.arange(64, dtype=np.uint64)
     for row in np.flatnonzero(np.diff(woff)):

@@ -91,7 +91,7 @@ def _texts(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         return pa.array([], pa.large_binary()), np.zeros(0, np.int64), woff
     kept = tb.WORDISH[data]
     at = np.concatenate([[0], np.cumsum(ends - starts)])
-    words, codes = distinct(data[kept], at)
+    words, codes = distinct(np.compress(kept, data), at)
     return words, codes, woff
 
 
