@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, pii, repeats, sentencepiece, simhash, tokenfiles, toxicity, warc
+from . import decontaminate, licenses, pii, repeats, sentencepiece, simhash, tokenfiles, toxicity, warc
 from .quality import quality
 
 
@@ -34,6 +34,10 @@ def op4_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read_tokens(tokenfiles.write_tokens(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents"))
+
+
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_read(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_simhash": op3_simhash,
     "op4_tokenfiles": op4_tokenfiles,
+    "op5_licenses": op5_licenses,
     "op6_repeats": op6_repeats,
     "op7_toxicity": op7_toxicity,
     "op8_warc": op8_warc,
@@ -83,4 +88,5 @@ n AS (SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(range(i, i + l
 t AS (SELECT k, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT k, item FROM hit) GROUP BY k)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n USING (k) LEFT JOIN t USING (k)""",
+    "op5_licenses": licenses.oracle_sql(),
 }
