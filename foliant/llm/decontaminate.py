@@ -171,20 +171,53 @@ def hits(words: Words, windows: Windows, keyed: dict[int, tuple]) -> tuple[np.nd
     return np.concatenate(found_at), np.concatenate(found)
 
 
+def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
+    """The benchmark's rows in blocks of about ``block_bytes`` of text, after a look at its size."""
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-int(total) // block_bytes))
+    return [rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b) for b in range(n)]
+
+
+def _rows(block: DataFrame) -> list[tuple[str | None, str | None]]:
+    return [(r.item_id, r.text) for r in block.collect()]
+
+
+def keep_clean(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents in which no window of the benchmark occurs, with all their columns."""
+    blocks = _blocks(benchmark, block_bytes)
+    for b, block in enumerate(blocks):
+        windows = Windows(_rows(block), width)
+        documents = _without(documents, windows, windows.keyed(rarity(documents, windows)))
+        if b < len(blocks) - 1:
+            documents = written(documents, "decontaminate")
+    return documents
+
+
+def _without(documents: DataFrame, windows: Windows, keyed: dict[int, tuple]) -> DataFrame:
+    shared = documents.sparkSession.sparkContext.broadcast((windows, keyed))
+
+    def run(part):
+        words = Words(tb.text_of(part))
+        first, _ = hits(words, *shared.value)
+        clean = np.ones(part.num_rows, bool)
+        clean[np.searchsorted(words.woff, first, "right") - 1] = False
+        return part.filter(pa.array(clean))
+
+    return tb.rewritten(documents, run)
+
+
 def decontaminate(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES, keep_text: bool = False) -> DataFrame:
     """A row per document: n_words, n_hit, the places of its hit words (from, to, from, ...), the ids of the items with occurring windows.
 
     ``keep_text``: the text goes along.  The benchmark's own size is looked at first; the number of blocks follows from it."""
-    bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-int(total) // block_bytes))
+    blocks = _blocks(benchmark, block_bytes)
     frame = documents.select("doc_id", "text", F.lit(None).cast("array<long>").alias("ranges"), F.lit(None).cast("array<string>").alias("items"))
-    for b in range(blocks):
-        rows = bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        windows = Windows([(r.item_id, r.text) for r in rows], width)
+    for b, block in enumerate(blocks):
+        windows = Windows(_rows(block), width)
         keyed = windows.keyed(rarity(documents, windows))
-        frame = _joined(frame, windows, keyed, keep_text or b < blocks - 1)
-        if b < blocks - 1:
+        frame = _joined(frame, windows, keyed, keep_text or b < len(blocks) - 1)
+        if b < len(blocks) - 1:
             frame = written(frame.select("doc_id", "text", "ranges", "items"), "decontaminate")
     return frame
 

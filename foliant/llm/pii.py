@@ -376,3 +376,18 @@ def redacted(text: str, spans) -> str:
             out += [text[at:a], f"[{KINDS[k].upper()}]"]
         at = max(at, b)
     return "".join([*out, text[at:]])
+
+
+def redact(documents: DataFrame, field: Field | None = None) -> DataFrame:
+    """The documents with personal data replaced in ``text``; ``n_chars``, where it is there, follows.  Null texts stay null."""
+    shared = documents.sparkSession.sparkContext.broadcast(field or train())
+
+    def run(part):
+        texts = [t if t is None else redacted(t, find(t, shared.value)[1]) for t in tb.text_of(part).to_pylist()]
+        columns = dict(zip(part.schema.names, part.columns))
+        columns["text"] = pa.array(texts, part.schema.field("text").type)
+        if "n_chars" in columns:
+            columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], part.schema.field("n_chars").type)
+        return pa.record_batch(list(columns.values()), schema=part.schema)
+
+    return tb.rewritten(documents, run)

@@ -82,6 +82,12 @@ def sign(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return tb.mapped(documents, lambda part: pa.record_batch([part.column(0), pa.array(fingerprints(part.column(1), shingle).view(np.int64))], names=["doc_id", "fp"]), "doc_id long, fp long")
 
 
+def sign_keyed(documents: DataFrame, key, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, h, fp): as sign(), with a hash of the text."""
+    rows = documents.select("doc_id", key.alias("h"), "text")
+    return tb.mapped(rows, lambda part: pa.record_batch([part.column(0), part.column(1), pa.array(fingerprints(part.column(2), shingle).view(np.int64))], names=["doc_id", "h", "fp"]), "doc_id long, h long, fp long", ("doc_id", "h", "text"))
+
+
 def _vantage(sample: np.ndarray) -> int:
     """Of a few sampled fingerprints, that from which the sample's distances over the bytes spread most."""
     if not len(sample):
@@ -193,16 +199,35 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return lives.unionByName(asks).groupBy("cell", "hs", "qs").applyInArrow(run, "a long, b long")
 
 
+def _roots(signed: DataFrame, radius: int) -> DataFrame:
+    """(fp, least, root) of the distinct fingerprints: the least id that has it, and the fingerprint that names its group."""
+    distinct = written(signed.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
+    joined = components(links(distinct, radius))
+    return distinct.join(joined, distinct.fp == joined.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id): the least doc_id that can be reached from the document over linked fingerprints."""
     signed = written(sign(documents, shingle), "simhash")
-    distinct = written(signed.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
-    joined = components(links(distinct, radius))
-    root = distinct.join(joined, distinct.fp == joined.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    root = _roots(signed, radius)
     name = root.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = written(root.join(name, "root").select("fp", "component_id"), "components")
     return signed.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """One document of each group, that of the least id (null ids last, then by text), with all its columns.
+
+    Texts are known by a hash here, and whole rows that are equal in id and text are one document."""
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    signed = written(sign_keyed(documents, key, shingle), "simhash")
+    groups = signed.join(written(_roots(signed, radius).select("fp", "root"), "roots"), "fp")
+    stay = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("x")).select(F.col("x.doc_id").alias("stay_id"), F.col("x.h").alias("stay_h"))
+    stay = written(stay, "representatives")
+    names = documents.columns
+    met = documents.join(stay.hint("shuffle_hash"), [F.col("doc_id").cast("long").eqNullSafe(F.col("stay_id")), key == F.col("stay_h")]).select(*[documents[c] for c in names], "stay_id", "stay_h")
+    return met.dropDuplicates(["stay_id", "stay_h"]).select(*names)
+
+
 def report(grouped: DataFrame) -> DataFrame:
     return grouped.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -77,6 +77,20 @@ def mapped(frame, fn: Callable, schema: str, columns: tuple[str, ...] = ("doc_id
     return frame.select(*(frame[c].cast("long") if c.endswith("_id") else frame[c] for c in columns)).mapInArrow(run, schema)
 
 
+def rewritten(frame, fn: Callable, text: str = "text"):
+    """The frame with ``fn(record batch) -> record batch`` of its own schema over bounded slices; all columns go along."""
+
+    def run(batches):
+        for part in slices(batches, text):
+            yield fn(part)
+
+    return frame.mapInArrow(run, frame.schema)
+
+
+def text_of(part: pa.RecordBatch, text: str = "text") -> pa.Array:
+    return part.column(part.schema.get_field_index(text))
+
+
 def spans(data: np.ndarray, off: np.ndarray, lut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of a byte class, which never cross rows, and the n + 1 run offsets by row."""
     m = lut[data]

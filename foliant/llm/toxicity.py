@@ -187,3 +187,9 @@ def toxicity(documents: DataFrame, labels: DataFrame | None = None, scorer: Scor
 
     scored = tb.mapped(documents, run, "doc_id long, score double, predicted int")
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def keep_clean(documents: DataFrame, labels: DataFrame | None = None, scorer: Scorer | None = None, threshold: float = 0.5) -> DataFrame:
+    """The documents that score below the threshold, with all their columns."""
+    shared = documents.sparkSession.sparkContext.broadcast(scorer or fit(documents, labels))
+    return tb.rewritten(documents, lambda part: part.filter(pa.array(scores(tb.text_of(part), shared.value) < threshold)))
