@@ -36,7 +36,8 @@ from .shared import written
 
 LENGTH = 200
 GRAM = 24
-CROWD = 2000
+CROWD = 200
+BLOCK = 16
 _ROW = ["doc_id", "h"]
 
 
@@ -132,6 +133,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
     """(doc_id, h, lo, hi): stretches of starts of repeated windows.  ``rows`` has doc_id, h, text."""
     every = written(find_runs(rows, length), "runs")
     keys = every.groupBy("key").agg(F.count("*").alias("n"), (F.min("whole") != F.max("whole")).alias("mixed")).filter("n > 1").select("key", "mixed")
+    keys = written(keys, "repeated-grams")  # so that the join's sides are both dealt anew and a hot gram can be split
     again = written(every.join(keys, "key"), "repeated-runs")
     same = again.filter("NOT mixed").select(*_ROW, "lo", "hi")
     mixed = again.filter("mixed").drop("mixed")
@@ -157,16 +159,46 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
     few = contexts.filter("NOT crowded")
     detail = few.groupBy("key").applyInArrow(lambda t: pa.Table.from_batches(list(_compared(t, length)), _SPAN), "doc_id long, h long, lo int, hi int")
 
-    def explode(part):
-        a, lo = part.column(3).to_numpy(), part.column(4).to_numpy()
-        which, offset, hashes = _windows(part.column(6).to_pylist(), a - lo, length)
-        take = pa.array(which)
-        return pa.record_batch([part.column(0).take(take), pa.array(offset.astype(np.int32)), _signed(hashes), part.column(1).take(take), part.column(2).take(take), pa.array((lo[which] + (a - lo)[which] - offset).astype(np.int32)), part.column(5).take(take)], names=["key", "offset", "w", "doc_id", "h", "lo", "alone"])
-
-    single = tb.mapped(contexts.filter("crowded"), explode, "key long, offset int, w long, doc_id long, h long, lo int, alone boolean", ("key", "doc_id", "h", "a", "lo", "alone", "bytes"), "bytes")
-    hit = single.groupBy("key", "offset", "w").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    spread = single.filter("alone").join(hit, ["key", "offset", "w"]).select(*_ROW, "lo", F.col("lo").alias("hi"))
-    return same.unionByName(detail).unionByName(spread)
+    return same.unionByName(detail).unionByName(_crowded(contexts.filter("crowded"), length))
+
+
+def _blocks(t: pa.RecordBatch, length: int) -> pa.RecordBatch:
+    """Runs cut into blocks of ``BLOCK`` windows, aligned by their offset to the anchor.
+
+    All windows of a block hold its core; a window is the core with ``BLOCK`` - 1 bytes in a row of the block's edges, those before and after the core."""
+    a, lo = t.column(3).to_numpy().astype(np.int64), t.column(4).to_numpy().astype(np.int64)
+    data, off = tb.raw(t.column(6))
+    hi = lo + np.diff(off) - length
+    first, last = (a - hi) // BLOCK, (a - lo) // BLOCK
+    many = last - first + 1
+    run = np.repeat(np.arange(len(a)), many)
+    b = first[run] + np.arange(len(run)) - np.repeat(np.cumsum(many) - many, many)
+    start = a[run] - (BLOCK * b + BLOCK - 1)
+    at = off[run] - lo[run]
+    edge = BLOCK - 1
+    core = Prefix(data)(start + edge + at, start + length + at)
+    place = np.concatenate([np.arange(edge), length + np.arange(edge)])[None, :] + start[:, None]
+    inside = (place >= lo[run][:, None]) & (place < (hi[run] + length)[:, None])
+    edges = np.where(inside, data[np.clip(place + at[:, None], 0, len(data) - 1)], 0).astype(np.uint8)
+    packed = pa.Array.from_buffers(pa.binary(), len(run), [None, pa.py_buffer((np.arange(len(run) + 1) * 2 * edge).astype(np.int32)), pa.py_buffer(edges)])
+    take = pa.array(run)
+    low, high = np.maximum(0, lo[run] - start), np.minimum(edge, hi[run] - start)
+    numbers = [pa.array(x.astype(np.int32)) for x in (b, start, low, high)]
+    return pa.record_batch([t.column(0).take(take), _signed(core), packed, *numbers, *(t.column(k).take(take) for k in (1, 2, 5))], names=["key", "core", "edges", "b", "start", "low", "high", "doc_id", "h", "alone"])
+
+
+def _crowded(contexts: DataFrame, length: int) -> DataFrame:
+    """Spans in the lonely runs of crowded grams, by aggregations over blocks of windows and, where those differ, single windows."""
+    place = ["key", "b", "core"]
+    blocks = tb.mapped(contexts, lambda t: _blocks(t, length), "key long, core long, edges binary, b int, start int, low int, high int, doc_id long, h long, alone boolean", ("key", "doc_id", "h", "a", "lo", "alone", "bytes"), "bytes")
+    blocks = written(blocks, "blocks")
+    whole = F.xxhash64("edges", "low", "high")
+    met = written(blocks.groupBy(*place).agg(F.count("*").alias("n"), (F.min(whole) != F.max(whole)).alias("mixed")).filter("n > 1").drop("n"), "block-counts")
+    again = written(blocks.join(met, place), "repeated-blocks")
+    same = again.filter("alone AND NOT mixed").select(*_ROW, (F.col("start") + F.col("low")).alias("lo"), (F.col("start") + F.col("high")).alias("hi"))
+    single = again.filter("mixed").withColumn("t", F.explode(F.sequence("low", "high"))).select(F.xxhash64(*place, "t", F.substring("edges", F.col("t") + 1, F.lit(BLOCK - 1))).alias("w"), "core", *_ROW, (F.col("start") + F.col("t")).alias("lo"), "alone")
+    hit = written(single.groupBy("core", "w").agg(F.count("*").alias("n")).filter("n > 1").select("core", "w"), "windows")
+    return same.unionByName(single.filter("alone").join(hit, ["core", "w"]).select(*_ROW, "lo", F.col("lo").alias("hi")))
 
 
 _SPAN = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
