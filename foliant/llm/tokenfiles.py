@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import textbatch as tb
-from .chunks import Memory, encoded
+from .chunks import Memory, encoded, joined
 from .shared import filesystem, fresh, put, written
 from .wavelet import Wavelet, dump
 
@@ -56,10 +56,17 @@ def breaks(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.concatenate([before, single[(solid | wide)[single + 1]] + 1, marks])
 
 
-#: Ends a chunk among others in one call: a pre-token of its own between what ends and starts as ``_joinable`` says.
-_MARKER = " \x00"
-_JOINABLE = re.compile(rb"[ \n\r\tA-Za-z0-9](?:[^\x00]*(?:[\x21-\x7E]|[\xC3-\xDF][\x80-\xBF]))?", re.S)
-_TOGETHER = 4000
+#: A chunk that is one pre-token whatever stands beside it: letters, with one space in front or none.
+_WORD = re.compile(rb" ?(?:[A-Za-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])+")
+
+
+def _byte_letters() -> np.ndarray:
+    """The letters that a byte-level vocabulary writes bytes as: printable Latin-1 as it is, the rest from U+0100 on.  Line ends stay."""
+    rest = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF)]
+    out = np.arange(256, dtype=np.uint16)
+    out[rest] = 256 + np.arange(len(rest))
+    out[10] = 10
+    return out
 
 
 @lru_cache(2)
@@ -69,39 +76,19 @@ def _memory(path: str) -> Memory:
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    marker = tokenizer.encode(_MARKER, add_special_tokens=False).ids
+    model, letters = tokenizer.model, _byte_letters()
 
     def encode(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Most chunks go to the library many at a time: it takes longer to begin a text than to encode a word."""
-        fit = [_JOINABLE.fullmatch(c) is not None and not c.isspace() for c in chunks]
-        joined = [c for c, f in zip(chunks, fit) if f]
-        alone = [c.decode("utf-8", "replace") for c, f in zip(chunks, fit) if not f]
-        values, sizes = [], np.zeros(len(chunks), np.int64)
-        fit = np.array(fit, bool)
-        got = []
-        for at in range(0, len(joined), _TOGETHER):
-            text = b" \x00".join([*joined[at : at + _TOGETHER], b""]).decode("utf-8", "replace")
-            ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
-            hit = ids == marker[-1]
-            if len(marker) == 2:
-                hit[1:] &= ids[:-1] == marker[0]
-            end = np.flatnonzero(hit)
-            inner = np.ones(len(ids), bool)
-            for k in range(len(marker)):
-                inner[end - k] = False
-            values.append(ids[inner])
-            got.append(np.diff(np.concatenate([[-1], end])) - len(marker))
-        if joined:
-            sizes[fit] = np.concatenate(got)
-        lists = [e.ids for e in tokenizer.encode_batch_fast(alone, add_special_tokens=False)]
-        sizes[~fit] = [len(x) for x in lists]
-        off = np.concatenate([[0], np.cumsum(sizes)])
-        out = np.empty(off[-1], np.int32)
-        whose = np.repeat(fit, sizes)
-        if joined:
-            out[whose] = np.concatenate(values)
-        out[~whose] = [i for x in lists for i in x]
-        return out, sizes
+        """Single pre-tokens go to the library's BPE model at once, all other chunks through its whole encoder."""
+        tokenize = model.tokenize
+        single = list(map(_WORD.fullmatch, chunks))
+        words = letters[np.frombuffer(b"\n".join([c for c, m in zip(chunks, single) if m]), np.uint8)].tobytes().decode("utf-16-le").split("\n")
+        word = iter(words)
+        lists = [[t.id for t in tokenize(next(word))] if m else None for m in single]
+        rest = [k for k, m in enumerate(single) if not m]
+        for k, e in zip(rest, tokenizer.encode_batch_fast([chunks[k].decode("utf-8", "replace") for k in rest], add_special_tokens=False)):
+            lists[k] = e.ids
+        return joined(lists)
 
     return Memory(encode)
 
