@@ -188,17 +188,40 @@ def _blocks(t: pa.RecordBatch, length: int) -> pa.RecordBatch:
 
 
 def _crowded(contexts: DataFrame, length: int) -> DataFrame:
-    """Spans in the lonely runs of crowded grams, by aggregations over blocks of windows and, where those differ, single windows."""
-    place = ["key", "b", "core"]
+    """Spans in the lonely runs of crowded grams, by aggregations over blocks of windows that get smaller where they differ.
+
+    Blocks with one core are the same throughout, or differ in their edges; the latter are cut into blocks of a quarter of the windows, whose cores take in the bytes that their windows share."""
+    keep = ["start", "low", "high", *_ROW, "alone"]
     blocks = tb.mapped(contexts, lambda t: _blocks(t, length), "key long, core long, edges binary, b int, start int, low int, high int, doc_id long, h long, alone boolean", ("key", "doc_id", "h", "a", "lo", "alone", "bytes"), "bytes")
-    blocks = written(blocks, "blocks")
-    whole = F.xxhash64("edges", "low", "high")
-    met = written(blocks.groupBy(*place).agg(F.count("*").alias("n"), (F.min(whole) != F.max(whole)).alias("mixed")).filter("n > 1").drop("n"), "block-counts")
-    again = written(blocks.join(met, place), "repeated-blocks")
-    same = again.filter("alone AND NOT mixed").select(*_ROW, (F.col("start") + F.col("low")).alias("lo"), (F.col("start") + F.col("high")).alias("hi"))
-    single = again.filter("mixed").withColumn("t", F.explode(F.sequence("low", "high"))).select(F.xxhash64(*place, "t", F.substring("edges", F.col("t") + 1, F.lit(BLOCK - 1))).alias("w"), "core", *_ROW, (F.col("start") + F.col("t")).alias("lo"), "alone")
-    hit = written(single.groupBy("core", "w").agg(F.count("*").alias("n")).filter("n > 1").select("core", "w"), "windows")
-    return same.unionByName(single.filter("alone").join(hit, ["core", "w"]).select(*_ROW, "lo", F.col("lo").alias("hi")))
+    rows = blocks.select(F.xxhash64("key", "b").alias("place"), "core", "edges", *keep)
+    spans, size = [], BLOCK
+    while True:
+        rows = written(rows, f"blocks-{size}")
+        shape = F.xxhash64("edges", "low", "high")
+        met = written(rows.groupBy("place", "core").agg(F.count("*").alias("n"), (F.min(shape) != F.max(shape)).alias("mixed")).filter("n > 1").drop("n"), "block-counts")
+        again = rows.join(met, ["place", "core"])
+        spans.append(again.filter("alone AND NOT mixed").select(*_ROW, (F.col("start") + F.col("low")).alias("lo"), (F.col("start") + F.col("high")).alias("hi")))
+        if size == 1:
+            break
+        small = size // 4
+        edge = F.lit(size - 1)
+        first = F.col("j") * small
+        last = first + (small - 1)
+        part = again.filter("mixed").withColumn("j", F.explode(F.sequence(F.floor(F.col("low") / small), F.floor(F.col("high") / small))))
+        rows = part.select(
+            F.xxhash64("place", "j").alias("place"),
+            F.xxhash64("core", F.substring("edges", (last + 1).cast("int"), (edge + first - last).cast("int"))).alias("core"),
+            F.concat(F.substring("edges", (first + 1).cast("int"), F.lit(small - 1)), F.substring("edges", (edge + first + 1).cast("int"), F.lit(small - 1))).alias("edges"),
+            (F.col("start") + first).cast("int").alias("start"),
+            F.greatest(F.lit(0), F.col("low") - first).cast("int").alias("low"),
+            F.least(F.lit(small - 1), F.col("high") - first).cast("int").alias("high"),
+            *_ROW, "alone",
+        )
+        size = small
+    out = spans[0]
+    for x in spans[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 _SPAN = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
