@@ -1,4 +1,421 @@
-"""Queries over the driver's tables, with their SQL."""
+"""The engine's operators over the driver's tables, each query with the SQL that gives the same rows."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import redact, text as T
+from ..operators import asof, evaluate, keys, rank, register
+
+#: Hints of a corpus knowledge base: type, phrase, weight.
+HINTS = [
+    ("licensed", "licensed under", 6.0), ("licensed", "released under", 6.0), ("licensed", "license", 2.0),
+    ("contact", "@", 4.0), ("contact", "+1 (", 4.0), ("contact", ".example.", 1.0),
+    ("secret", "password=", 6.0), ("secret", "token =", 6.0), ("secret", "akia", 4.0),
+    ("english", " the ", 2.0), ("english", " and ", 2.0), ("english", " of ", 1.0), ("english", " und ", -3.0), ("english", " les ", -3.0), ("english", " los ", -3.0),
+    ("german", " und ", 2.0), ("german", " der ", 2.0), ("german", " das ", 1.0), ("german", " the ", -3.0),
+    ("french", " les ", 2.0), ("french", " des ", 2.0), ("french", " une ", 1.0), ("french", " the ", -3.0),
+    ("spanish", " los ", 2.0), ("spanish", " las ", 2.0), ("spanish", " por ", 1.0), ("spanish", " the ", -3.0),
+]
+FLOOR = 4.0
+TYPES = list(dict.fromkeys(t for t, _, _ in HINTS))
+URGENT = "1-URGENT"
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLE_SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _classified(docs: DataFrame) -> DataFrame:
+    scores = rank.hint_scores(F.coalesce("text", F.lit("")), HINTS)
+    return docs.withColumn("scores", scores).withColumn("c", rank.argmax(F.col("scores"), FLOOR))
+
+
+_ONE = " + ".join
+_SCORE = {t: "greatest(0.0::DOUBLE, " + _ONE(f"CASE WHEN contains(lower(coalesce(text, '')), '{p}') THEN {w}::DOUBLE ELSE 0.0::DOUBLE END" for n, p, w in HINTS if n == t) + ")" for t in TYPES}
+_SCORES = "s AS (" + " UNION ALL ".join(f"SELECT doc_id, {k} AS ord, '{t}' AS type, {_SCORE[t]} AS score FROM documents" for k, t in enumerate(TYPES)) + ")"
+_RANKED = f"""{_SCORES},
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ord) AS n FROM s),
+c AS (SELECT a.doc_id, CASE WHEN a.score > 0 AND a.score >= {FLOOR * 0.25} THEN a.type END AS doc_type, a.score AS top,
+  CASE WHEN a.score > 0 THEN b.type END AS runner_up, CASE WHEN a.score > 0 THEN (a.score - b.score) / a.score ELSE 0.0 END AS margin,
+  CASE WHEN a.score < {FLOOR * 0.25} THEN 0.0::DOUBLE ELSE (CASE WHEN a.score > 0 THEN (a.score - b.score) / a.score ELSE 0.0 END) * least(1.0::DOUBLE, a.score / {FLOOR}::DOUBLE) END AS confidence
+  FROM r a JOIN r b ON a.doc_id = b.doc_id AND a.n = 1 AND b.n = 2)"""
+
+_WORDS = ", ".join(f"'{w}'" for w in T.COMMON_WORDS)
+_QUALITY = f"""q AS (SELECT doc_id, lang, t, length(t)::DOUBLE AS total, length(regexp_replace(t, '[^\\p{{L}}]', '', 'g'))::DOUBLE AS letters, regexp_extract_all(lower(t), '[A-Za-z'']+') AS w
+  FROM (SELECT doc_id, lang, regexp_replace(regexp_replace(coalesce(text, ''), '^\\s+', ''), '\\s+$', '') AS t FROM documents)),
+q2 AS (SELECT *, len(w)::DOUBLE AS n, len(list_filter(w, lambda x: length(x) = 1))::DOUBLE AS ones, len(list_filter(w, lambda x: x IN ({_WORDS})))::DOUBLE AS hits FROM q),
+q3 AS (SELECT *, CASE WHEN n > 0 THEN ones / n ELSE 1.0 END AS single, least(1.0, hits / greatest(1.0, n * 0.04::DOUBLE)) AS dict FROM q2),
+q4 AS (SELECT doc_id, lang, CASE WHEN total > 0 THEN
+  CASE WHEN total < 120 THEN greatest(0.05::DOUBLE, total / 120.0::DOUBLE) ELSE 1.0 END
+  * CASE WHEN total < 80 THEN greatest(0.05::DOUBLE, total / 80.0::DOUBLE) ELSE 1.0 END
+  * CASE WHEN letters / total < 0.55 THEN greatest(0.05::DOUBLE, letters / total / 0.55::DOUBLE) ELSE 1.0 END
+  * CASE WHEN single > 0.35 THEN greatest(0.05::DOUBLE, 0.35::DOUBLE / greatest(single, 0.01::DOUBLE)) ELSE 1.0 END
+  * CASE WHEN dict < 0.35 THEN greatest(0.05::DOUBLE, dict / 0.35::DOUBLE) ELSE 1.0 END ELSE 0.0 END AS score FROM q3)"""
+
+
+@query(f"WITH {_QUALITY} SELECT lang, count(*)::BIGINT AS n, count(*) FILTER (score >= 0.5)::BIGINT AS n_readable, round(avg(score), 6) AS avg_score FROM q4 GROUP BY lang")
+def q01_quality_by_lang(spark, sf):
+    docs = table(spark, sf, "documents").select("lang", T.quality(F.coalesce("text", F.lit(""))).alias("q"))
+    return docs.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.col("q.readable").cast("long")).alias("n_readable"), F.round(F.avg("q.score"), 6).alias("avg_score"))
+
+
+@query("WITH d AS (SELECT doc_id, substr(sha256(text), 1, 16) AS content_id FROM documents) SELECT doc_id, content_id, count(*) OVER (PARTITION BY content_id)::BIGINT AS copies FROM d")
+def q02_content_id(spark, sf):
+    return rank.copies(table(spark, sf, "documents").select("doc_id", T.content_id(F.col("text")).alias("content_id")), ["content_id"])
+
+
+@query(f"WITH {_SCORES} SELECT doc_id, type, score FROM s")
+def q03_classify_scores(spark, sf):
+    return _classified(table(spark, sf, "documents")).select("doc_id", F.explode("scores").alias("s")).select("doc_id", "s.type", "s.score")
+
+
+@query(f"WITH {_RANKED} SELECT doc_id, doc_type, top, runner_up, margin, confidence FROM c")
+def q04_classify_argmax(spark, sf):
+    return _classified(table(spark, sf, "documents")).select("doc_id", F.col("c.type").alias("doc_type"), "c.top", "c.runner_up", "c.margin", "c.confidence")
+
+
+@query("SELECT doc_id, CASE WHEN p = 0 THEN 'absent' WHEN p <= 300 THEN 'title' ELSE 'mention' END AS place FROM (SELECT doc_id, strpos(lower(text), 'licensed under') AS p FROM documents)")
+def q05_title_vs_mention(spark, sf):
+    p = F.instr(F.lower("text"), "licensed under")
+    return table(spark, sf, "documents").select("doc_id", F.when(p == 0, "absent").when(p <= 300, "title").otherwise("mention").alias("place"))
+
+
+@query(f"WITH {_SCORES} SELECT doc_id, count(*)::BIGINT AS n_types FROM s WHERE score >= {FLOOR} GROUP BY doc_id HAVING count(*) >= 2")
+def q06_multi_title(spark, sf):
+    n = F.size(F.filter("scores", lambda s: s.score >= FLOOR)).cast("long")
+    return _classified(table(spark, sf, "documents")).select("doc_id", n.alias("n_types")).filter("n_types >= 2")
+
+
+LABELLED = (("licensed", "[Ll]icensed under ([A-Za-z0-9. -]+)"), ("released", "[Rr]eleased under ([A-Za-z0-9. -]+)"), ("password", "password=([0-9a-f]+)"))
+
+
+@query("SELECT doc_id, CASE " + " ".join(f"WHEN regexp_extract(text, '{p}', 1) <> '' THEN '{n}'" for n, p in LABELLED) + " END AS label, CASE " + " ".join(f"WHEN regexp_extract(text, '{p}', 1) <> '' THEN regexp_extract(text, '{p}', 1)" for n, p in LABELLED) + " END AS value FROM documents")
+def q07_first_label_wins(spark, sf):
+    hits = [F.when(F.regexp_extract("text", p, 1) != "", F.struct(F.lit(n).alias("label"), F.regexp_extract("text", p, 1).alias("value"))) for n, p in LABELLED]
+    return table(spark, sf, "documents").select("doc_id", F.coalesce(*hits).alias("x")).select("doc_id", "x.label", "x.value")
+
+
+@query("SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Z]{2}[0-9A-Z]{6,}'))) AS token FROM documents")
+def q08_tokens_dedup(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z]{2}[0-9A-Z]{6,}"), F.lit(0)))).alias("token"))
+
+
+_PATH = "regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]*', '')"
+
+
+def _path():
+    return F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "^[a-z]+://[^/]*", "")
+
+
+@query(f"SELECT regexp_extract({_PATH}, '[^./](\\.[^./]*)$', 1) AS ext, count(*)::BIGINT AS n FROM pages GROUP BY 1")
+def q09_scan_ext(spark, sf):
+    return table(spark, sf, "pages").groupBy(T.suffix(_path()).alias("ext")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH k AS (SELECT DISTINCT list_sort(list(DISTINCT o_orderpriority)) AS p FROM orders GROUP BY o_custkey),
+h AS (SELECT array_to_string(a.p, '|') AS narrow, array_to_string(b.p, '|') AS wide FROM k a, k b WHERE len(b.p) > len(a.p) AND list_has_all(b.p, a.p))
+SELECT narrow, max(wide) AS wide FROM h GROUP BY narrow HAVING count(*) = 1""")
+def q10_merge_keys(spark, sf):
+    sets = table(spark, sf, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("p")).select(F.array_join("p", "|").alias("k"), "p")
+    return keys.merge(sets, "k", "p")
+
+
+@query("SELECT o_custkey, CASE WHEN count(DISTINCT o_orderstatus) = 1 THEN max(o_orderstatus) END AS status FROM orders GROUP BY o_custkey")
+def q11_batch_client(spark, sf):
+    x = F.min("o_orderstatus")
+    return table(spark, sf, "orders").groupBy("o_custkey").agg(F.when(x == F.max("o_orderstatus"), x).alias("status"))
+
+
+def _asof_sql(direction: str) -> str:
+    wrong = "e.d < l.d" if direction == "forward" else "e.d > l.d"
+    return f"""WITH l AS (SELECT o_orderkey, o_custkey, o_orderdate::DATE AS d FROM orders WHERE o_orderpriority <> '{URGENT}'),
+e AS (SELECT o_orderkey AS k, o_custkey, o_orderdate::DATE AS d FROM orders WHERE o_orderpriority = '{URGENT}'),
+j AS (SELECT l.o_orderkey, l.o_custkey, e.k, e.d, CASE WHEN {wrong} THEN 1 ELSE 0 END AS wrong, abs(date_diff('day', l.d, e.d)) AS gap FROM l LEFT JOIN e USING (o_custkey)),
+p AS (SELECT *, row_number() OVER w AS n, lead(wrong) OVER w AS wrong2, lead(d) OVER w AS d2 FROM j WINDOW w AS (PARTITION BY o_orderkey ORDER BY wrong, gap, k)),
+s AS (SELECT *, CASE WHEN k IS NULL THEN 'none' WHEN wrong2 = wrong AND d2 = d THEN 'tie' WHEN gap > 730 THEN 'far' ELSE 'ok' END AS status FROM p WHERE n = 1)
+SELECT o_orderkey, status, CASE WHEN status = 'ok' THEN k END AS event_key, gap::INTEGER AS gap_days, CASE WHEN k IS NOT NULL THEN wrong = 1 END AS reversed,
+  CASE WHEN status = 'ok' THEN greatest(0.35::DOUBLE, 1.0::DOUBLE - gap / 730.0::DOUBLE) * CASE WHEN wrong = 1 THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END END AS confidence FROM s"""
+
+
+def _asof(spark, sf, direction):
+    orders = table(spark, sf, "orders")
+    left = orders.filter(F.col("o_orderpriority") != URGENT).select("o_orderkey", "o_custkey", "o_orderdate")
+    events = orders.filter(F.col("o_orderpriority") == URGENT).select(F.col("o_orderkey").alias("k"), "o_custkey", F.col("o_orderdate").alias("d"))
+    return asof.attach(left, events, ["o_custkey"], "o_orderdate", "d", "k", direction).select("o_orderkey", "status", "event_key", "gap_days", "reversed", "confidence")
+
+
+@query(_asof_sql("forward"))
+def q12_asof_forward(spark, sf):
+    return _asof(spark, sf, "forward")
+
+
+@query(_asof_sql("backward"))
+def q13_asof_backward(spark, sf):
+    return _asof(spark, sf, "backward")
+
+
+@query("""WITH e AS (SELECT o_custkey, o_orderdate::DATE AS d, min(o_orderkey) AS k FROM orders GROUP BY ALL)
+SELECT l_orderkey, l_linenumber, l_partkey, e.k AS cited FROM lineitem l JOIN orders o ON l_orderkey = o_orderkey LEFT JOIN e ON e.o_custkey = o.o_custkey AND e.d = l_shipdate::DATE""")
+def q14_citation_join(spark, sf):
+    orders = table(spark, sf, "orders")
+    events = orders.groupBy("o_custkey", F.to_date("o_orderdate").alias("d")).agg(F.min("o_orderkey").alias("cited"))
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.to_date("l_shipdate").alias("d"))
+    return lines.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").join(events, ["o_custkey", "d"], "left").select("l_orderkey", "l_linenumber", "l_partkey", "cited")
+
+
+@query("""WITH p AS (SELECT DISTINCT p_name, unnest(list_distinct(string_split(p_name, ' '))) AS t FROM part),
+j AS (SELECT a.p_name, b.p_name AS best, count(*) AS shared FROM p a JOIN p b ON a.t = b.t AND a.p_name <> b.p_name GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY shared DESC, best) AS n, max(shared) OVER (PARTITION BY p_name) AS top FROM j)
+SELECT p_name, max(best) FILTER (n = 1) AS best, max(top)::BIGINT AS shared, (count(*) FILTER (shared = top))::INTEGER AS tied FROM r GROUP BY p_name""")
+def q15_token_overlap(spark, sf):
+    names = table(spark, sf, "part").select("p_name", F.split("p_name", " ").alias("t")).distinct()
+    return keys.best_overlap(names, names.withColumnRenamed("p_name", "best"), "p_name", "best", "t", distinct_keys=True)
+
+
+@query("""WITH d AS (SELECT DISTINCT p_name, list_sort(list_distinct(string_split(p_name, ' '))) AS s FROM part),
+r AS (SELECT DISTINCT f, list_sort(list_distinct(string_split(f, ' '))) AS s FROM (SELECT p_name AS f FROM d WHERE length(p_name) % 2 = 0 UNION SELECT split_part(p_name, ' ', 2) FROM d)),
+j AS (SELECT d.p_name, r.f, CASE WHEN d.s = r.s THEN 0.85::DOUBLE WHEN list_has_all(d.s, r.s) OR list_has_all(r.s, d.s) THEN 0.62::DOUBLE ELSE 0.0::DOUBLE END AS score FROM d, r),
+n AS (SELECT *, row_number() OVER w AS n, lead(score) OVER w AS second FROM j WINDOW w AS (PARTITION BY p_name ORDER BY score DESC, f)),
+v AS (SELECT *, CASE WHEN score < 0.55 THEN 'new' WHEN score - coalesce(second, 0) < 0.12 AND coalesce(second, 0) > 0 THEN 'ambiguous' WHEN score >= 0.8 THEN 'matched' ELSE 'uncertain' END AS verdict FROM n WHERE n = 1)
+SELECT p_name, verdict, CASE WHEN verdict IN ('matched', 'uncertain') THEN f END AS folder_name, score FROM v""")
+def q16_register_match(spark, sf):
+    names = table(spark, sf, "part").select("p_name").distinct()
+    tokens = lambda c: F.array_sort(F.array_distinct(F.split(c, " ")))
+    none = F.array().cast("array<string>")
+    folders = names.filter(F.length("p_name") % 2 == 0).select(F.col("p_name").alias("folder_name")).union(names.select(F.split_part("p_name", F.lit(" "), F.lit(2)))).distinct()
+    people = names.select("p_name", tokens("p_name").alias("surnames"), none.alias("given"))
+    return register.match(people, folders.select("folder_name", tokens("folder_name").alias("surnames"), none.alias("given")), "p_name", fuzzy=False).select("p_name", "verdict", "folder_name", "score")
+
+
+@query()
+def q17_register_fuzzy(spark, sf):
+    """Names against a register of the same names with a letter lost: near matches, by difflib's ratio."""
+    names = table(spark, sf, "part").select("p_name").distinct()
+    none = F.array().cast("array<string>")
+    people = names.select("p_name", F.array(F.replace("p_name", F.lit(" "), F.lit(""))).alias("surnames"), none.alias("given"))
+    folders = names.select(F.col("p_name").alias("folder_name"), F.array(F.concat(F.substring(F.replace("p_name", F.lit(" "), F.lit("")), 1, 4), F.expr("substring(replace(p_name, ' ', ''), 6)"))).alias("surnames"), none.alias("given"))
+    return register.match(people, folders, "p_name")
+
+
+@query(f"SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '{URGENT}')")
+def q18_anti_event(spark, sf):
+    urgent = table(spark, sf, "orders").filter(F.col("o_orderpriority") == URGENT).select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf, "customer").select("c_custkey").join(urgent, "c_custkey", "left_anti")
+
+
+@query(f"SELECT o_orderkey FROM orders o WHERE o_orderpriority <> '{URGENT}' AND NOT EXISTS (SELECT 1 FROM orders e WHERE e.o_custkey = o.o_custkey AND e.o_orderpriority = '{URGENT}' AND e.o_orderdate <= o.o_orderdate)")
+def q19_prior_record(spark, sf):
+    """That some earlier record exists is that the earliest is not later: one row a customer instead of a range join."""
+    orders = table(spark, sf, "orders")
+    first = orders.filter(F.col("o_orderpriority") == URGENT).groupBy("o_custkey").agg(F.min("o_orderdate").alias("first"))
+    return orders.filter(F.col("o_orderpriority") != URGENT).join(first, "o_custkey", "left").filter("first IS NULL OR first > o_orderdate").select("o_orderkey")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, date_diff('day', o_orderdate::DATE, l_shipdate::DATE)::INTEGER AS gap_days FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate::DATE > o_orderdate::DATE")
+def q20_after_anchor(spark, sf):
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.to_date("o_orderdate").alias("o"))
+    gap = F.datediff(F.to_date("l_shipdate"), "o")
+    return table(spark, sf, "lineitem").join(orders, "l_orderkey").select("l_orderkey", "l_linenumber", "l_partkey", gap.alias("gap_days")).filter("gap_days > 0")
+
+
+@query("SELECT a.conv_id, a.turn FROM conversations a JOIN conversations u ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' AND u.role = 'user' WHERE NOT contains(lower(a.text), lower(split_part(u.text, ' ', 1)))")
+def q21_text_contains_parent(spark, sf):
+    c = table(spark, sf, "conversations")
+    users = c.filter("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.lower(F.split_part("text", F.lit(" "), F.lit(1))).alias("cue"))
+    return c.filter("role = 'assistant'").join(users, ["conv_id", "turn"]).filter(~F.contains(F.lower("text"), F.col("cue"))).select("conv_id", "turn")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderdate::DATE >= DATE '1998-01-01' THEN 'old wording' ELSE 'new wording' END AS finding FROM orders WHERE (o_orderdate::DATE >= DATE '1998-01-01' AND o_orderpriority = '1-URGENT') OR (o_orderdate::DATE < DATE '1998-01-01' AND o_orderpriority = '5-LOW')")
+def q22_era_mismatch(spark, sf):
+    late = F.to_date("o_orderdate") >= F.lit("1998-01-01").cast("date")
+    return table(spark, sf, "orders").filter((late & (F.col("o_orderpriority") == "1-URGENT")) | (~late & (F.col("o_orderpriority") == "5-LOW"))).select("o_orderkey", F.when(late, "old wording").otherwise("new wording").alias("finding"))
+
+
+@query("SELECT doc_id, copies FROM (SELECT doc_id, count(*) OVER (PARTITION BY sha256(text), lang)::BIGINT AS copies FROM documents) WHERE copies >= 2")
+def q23_superseding(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("h"))
+    return rank.copies(docs, ["h", "lang"]).filter("copies >= 2").select("doc_id", "copies")
+
+
+_FLAGS = f"""{_RANKED},
+m AS (SELECT doc_id, count(*) FILTER (score >= {FLOOR}) AS n_types FROM s GROUP BY doc_id),
+f AS (SELECT doc_id, 'unknown_type' AS rule_id FROM c WHERE doc_type IS NULL
+UNION ALL SELECT doc_id, 'low_confidence' FROM c WHERE doc_type IS NOT NULL AND confidence < 0.6
+UNION ALL SELECT doc_id, 'multi_doc_bundle' FROM m WHERE n_types >= 2
+UNION ALL SELECT doc_id, 'no_date' FROM documents WHERE NOT regexp_matches(text, '[0-9]{{2,}}')
+UNION ALL SELECT doc_id, 'unlabelled' FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)),
+g AS (SELECT * FROM f UNION ALL SELECT d.doc_id, 'event_ambiguous' FROM documents d JOIN labels l USING (doc_id) WHERE quality = 0 AND d.doc_id NOT IN (SELECT doc_id FROM f WHERE rule_id = 'no_date'))"""
+
+
+def _flags(spark, sf):
+    """Independent rules in one pass over the documents; the rule that depends on others by an anti-join."""
+    docs = _classified(table(spark, sf, "documents"))
+    labels = table(spark, sf, "labels").select("doc_id", "quality")
+    rules = F.array(
+        F.when(F.col("c.type").isNull(), F.lit("unknown_type")),
+        F.when(F.col("c.type").isNotNull() & (F.col("c.confidence") < 0.6), F.lit("low_confidence")),
+        F.when(F.size(F.filter("scores", lambda s: s.score >= FLOOR)) >= 2, F.lit("multi_doc_bundle")),
+        F.when(~F.col("text").rlike("[0-9]{2,}"), F.lit("no_date")),
+    )
+    own = docs.select("doc_id", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("rule_id"))
+    missing = docs.select("doc_id").join(labels, "doc_id", "left_anti").withColumn("rule_id", F.lit("unlabelled"))
+    undated = docs.filter(~F.col("text").rlike("[0-9]{2,}")).select("doc_id")
+    unplaced = docs.select("doc_id").join(labels.filter("quality = 0"), "doc_id").join(undated, "doc_id", "left_anti").select("doc_id", F.lit("event_ambiguous").alias("rule_id"))
+    return own.unionByName(missing).unionByName(unplaced)
+
+
+@query(f"WITH {_FLAGS} SELECT doc_id, rule_id FROM g")
+def q24_flags_union(spark, sf):
+    return _flags(spark, sf)
+
+
+@query("SELECT doc_id, CASE WHEN n > 1 THEN name || ' (' || n || ')' ELSE name END || '.txt' AS file_name FROM (SELECT doc_id, lang || '-' || source AS name, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS n FROM documents)")
+def q25_plan_dedup(spark, sf):
+    docs = rank.numbered(table(spark, sf, "documents").select("doc_id", F.concat_ws("-", "lang", "source").alias("name")), ["name"], "doc_id")
+    return docs.select("doc_id", F.concat("name", F.when(F.col("n") > 1, F.concat(F.lit(" ("), F.col("n").cast("string"), F.lit(")"))).otherwise(""), F.lit(".txt")).alias("file_name"))
+
+
+_KINDS = f"""{_FLAGS},
+k AS (SELECT d.doc_id, CASE WHEN count(*) FILTER (rule_id IN ('unknown_type', 'low_confidence', 'event_ambiguous')) > 0 THEN 'review' WHEN count(*) FILTER (rule_id = 'unlabelled') > 0 THEN 'client_level' WHEN count(*) FILTER (rule_id = 'no_date') > 0 THEN 'licensee' ELSE 'event' END AS kind FROM documents d LEFT JOIN g USING (doc_id) GROUP BY d.doc_id)"""
+
+
+def _kinds(spark, sf):
+    raised = _flags(spark, sf).groupBy("doc_id").agg(F.collect_set("rule_id").alias("r"))
+    r = F.coalesce("r", F.array().cast("array<string>"))
+    has = lambda *names: F.arrays_overlap(r, F.array(*map(F.lit, names)))
+    kind = F.when(has("unknown_type", "low_confidence", "event_ambiguous"), "review").when(has("unlabelled"), "client_level").when(has("no_date"), "licensee").otherwise("event")
+    return table(spark, sf, "documents").select("doc_id").join(raised, "doc_id", "left").select("doc_id", kind.alias("kind"))
+
+
+@query(f"WITH {_KINDS} SELECT doc_id, kind FROM k")
+def q26_placement_ladder(spark, sf):
+    return _kinds(spark, sf)
+
+
+@query("""SELECT page_id, 'too long' AS issue FROM pages WHERE length(url) > 45 UNION ALL SELECT page_id, 'illegal character' FROM pages WHERE regexp_matches(url, '[?#&%]')
+UNION ALL SELECT page_id, 'collision' FROM pages WHERE lower(url) IN (SELECT lower(url) FROM pages GROUP BY 1 HAVING count(*) > 1)""")
+def q27_preflight(spark, sf):
+    pages = rank.copies(table(spark, sf, "pages").select("page_id", "url", F.lower("url").alias("k")), ["k"])
+    issues = F.array(F.when(F.length("url") > 45, F.lit("too long")), F.when(F.col("url").rlike("[?#&%]"), F.lit("illegal character")), F.when(F.col("k").isNotNull() & (F.col("copies") > 1), F.lit("collision")))
+    return pages.select("page_id", F.explode(F.filter(issues, lambda x: x.isNotNull())).alias("issue"))
+
+
+@query(f"""WITH p AS (SELECT page_id, {_PATH} AS path FROM pages), q AS (SELECT *, split_part(path, '/', 2) AS seg FROM p), r AS (SELECT *, CASE WHEN seg = 'en' THEN '/en/' || page_id ELSE '/other/' || seg || '/' || page_id END AS target FROM q)
+SELECT page_id, CASE WHEN seg = '' THEN 'leave' WHEN target = path THEN 'keep' ELSE 'move' END AS action, seg <> '' AND split_part(target, '/', 2) <> seg AS crosses FROM r""")
+def q28_reorganise(spark, sf):
+    seg = lambda c: F.split_part(c, F.lit("/"), F.lit(2))
+    x = table(spark, sf, "pages").select("page_id", _path().alias("path")).withColumn("seg", seg(F.col("path")))
+    x = x.withColumn("target", F.when(F.col("seg") == "en", F.concat(F.lit("/en/"), F.col("page_id").cast("string"))).otherwise(F.concat_ws("/", F.lit("/other"), "seg", F.col("page_id").cast("string"))))
+    return x.select("page_id", F.when(F.col("seg") == "", "leave").when(F.col("target") == F.col("path"), "keep").otherwise("move").alias("action"), ((F.col("seg") != "") & (seg(F.col("target")) != F.col("seg"))).alias("crosses"))
+
+
+@query("""WITH d AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS first FROM documents)
+SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'skipped' WHEN toxic = 1 THEN 'rejected' WHEN quality = 0 THEN 'failed' WHEN first < d.doc_id THEN 'already-filed' ELSE 'filed' END AS action FROM d LEFT JOIN labels l USING (doc_id)""")
+def q29_approvals_apply(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    first = docs.groupBy("h").agg(F.min("doc_id").alias("first"))
+    labels = table(spark, sf, "labels").withColumn("known", F.lit(True))
+    action = F.when(F.col("known").isNull(), "skipped").when(F.col("toxic") == 1, "rejected").when(F.col("quality") == 0, "failed").when(F.col("first") < F.col("doc_id"), "already-filed").otherwise("filed")
+    return docs.join(first, "h").join(labels, "doc_id", "left").select("doc_id", action.alias("action"))
+
+
+def _labelled(spark, sf):
+    return _classified(table(spark, sf, "documents")).join(table(spark, sf, "labels"), "doc_id").select("doc_id", "n_chars", "c", "quality", "toxic")
+
+
+@query("""WITH x AS (SELECT n_chars >= 300 AS f, quality = 1 AS c FROM documents JOIN labels USING (doc_id)),
+a AS (SELECT count(*)::BIGINT AS n, count(*) FILTER (f)::BIGINT AS n_filed, count(*) FILTER (f AND c)::BIGINT AS n_correct, count(*) FILTER (f AND NOT c)::BIGINT AS n_wrong FROM x)
+SELECT *, CASE WHEN n_filed > 0 THEN n_correct::DOUBLE / n_filed::DOUBLE END AS "precision", CASE WHEN n > 0 THEN n_filed::DOUBLE / n::DOUBLE END AS coverage FROM a""")
+def q30_scorecard(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", "n_chars").join(table(spark, sf, "labels"), "doc_id")
+    return evaluate.scorecard(rows, F.col("n_chars") >= 300, F.col("quality") == 1)
+
+
+_SWEEP = f"""{_RANKED}, x AS (SELECT confidence, quality = 1 AS ok FROM c JOIN labels USING (doc_id)), t AS (SELECT unnest(range(0, 20))::INTEGER AS step),
+w AS (SELECT step, count(*) FILTER (confidence >= step::DOUBLE / 20.0::DOUBLE)::BIGINT AS n_filed, count(*) FILTER (confidence >= step::DOUBLE / 20.0::DOUBLE AND NOT ok)::BIGINT AS n_wrong FROM t, x GROUP BY step)"""
+
+
+@query(f"WITH {_SWEEP} SELECT step, n_filed, n_wrong FROM w")
+def q31_sweep(spark, sf):
+    return evaluate.sweep(_labelled(spark, sf), F.col("c.confidence"), F.col("quality") == 1)
+
+
+@query(f"""WITH {_SWEEP}, z AS (SELECT *, max(n_wrong) OVER (ORDER BY step ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS worst FROM w),
+y AS (SELECT max(n_wrong) AS any_wrong, min(step) FILTER (worst = 0 AND n_filed > 0) AS step FROM z)
+SELECT CASE WHEN any_wrong = 0 THEN 'nothing was wrong at any threshold' WHEN step IS NULL THEN 'something is wrong at every threshold' ELSE 'ok' END AS reason, CASE WHEN any_wrong > 0 THEN step END AS step FROM y""")
+def q32_recommend(spark, sf):
+    return evaluate.recommend(evaluate.sweep(_labelled(spark, sf), F.col("c.confidence"), F.col("quality") == 1))
+
+
+@query(f"""WITH {_FLAGS}, h AS (SELECT doc_id, list(rule_id) AS r FROM g GROUP BY doc_id),
+e AS (SELECT doc_id, list_filter([CASE WHEN toxic = 1 THEN 'low_confidence' END, CASE WHEN quality = 0 THEN 'event_ambiguous' END, CASE WHEN quality = 0 THEN 'unknown_type' END], lambda x: x IS NOT NULL) AS want FROM labels)
+SELECT d.doc_id, array_to_string(list_sort(list_filter(want, lambda x: NOT list_contains(coalesce(r, []), x))), ',') AS missed FROM documents d JOIN e USING (doc_id) LEFT JOIN h USING (doc_id) WHERE len(list_filter(want, lambda x: NOT list_contains(coalesce(r, []), x))) > 0""")
+def q33_failure_rows(spark, sf):
+    raised = _flags(spark, sf).groupBy("doc_id").agg(F.collect_set("rule_id").alias("r"))
+    want = F.filter(F.array(F.when(F.col("toxic") == 1, F.lit("low_confidence")), F.when(F.col("quality") == 0, F.lit("event_ambiguous")), F.when(F.col("quality") == 0, F.lit("unknown_type"))), lambda x: x.isNotNull())
+    rows = table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels"), "doc_id").join(raised, "doc_id", "left")
+    missed = F.array_except(want, F.coalesce("r", F.array().cast("array<string>")))
+    return rows.select("doc_id", F.array_join(F.array_sort(missed), ",").alias("missed")).filter("missed <> ''")
+
+
+@query("SELECT c_custkey, 'client-' || substr(sha256('salt|' || c_name), 1, 10) AS pseudonym FROM customer")
+def q34_pseudonym(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", redact.pseudonym(F.col("c_name"), "salt").alias("pseudonym"))
+
+
+@query()
+def q35_redact_text(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", redact.prose(F.col("text"), ["the", "der", "die", "das", "le", "la", "los"]).alias("text"))
+
+
+KNOWN_RULES = ("unknown_type", "low_confidence", "multi_doc_bundle", "no_date", "event_ambiguous", "risk_mismatch")
+
+
+@query(f"WITH {_FLAGS}, k AS (SELECT unnest([" + ", ".join(f"'{r}'" for r in KNOWN_RULES) + "]) AS rule_id), i AS (SELECT DISTINCT rule_id FROM g) SELECT coalesce(k.rule_id, i.rule_id) AS rule_id, CASE WHEN i.rule_id IS NULL THEN 'missing' WHEN k.rule_id IS NULL THEN 'orphaned' ELSE 'implemented' END AS state FROM k FULL JOIN i ON k.rule_id = i.rule_id")
+def q36_coverage(spark, sf):
+    known = spark.createDataFrame([(r,) for r in KNOWN_RULES], "known string")
+    raised = _flags(spark, sf).select("rule_id").distinct()
+    both = known.join(raised, F.col("known") == F.col("rule_id"), "full")
+    return both.select(F.coalesce("known", "rule_id").alias("rule_id"), F.when(F.col("rule_id").isNull(), "missing").when(F.col("known").isNull(), "orphaned").otherwise("implemented").alias("state"))
+
+
+def _events(spark, sf):
+    """Urgent orders as events with the other orders that attach to them."""
+    orders = table(spark, sf, "orders")
+    attached = _asof(spark, sf, "backward").filter("status = 'ok'").select("o_orderkey", "event_key")
+    anchors = orders.filter(F.col("o_orderpriority") == URGENT).select(F.col("o_orderkey").alias("event_key"), "o_custkey", F.to_date("o_orderdate").alias("date"))
+    members = attached.groupBy("event_key").agg(F.array_sort(F.collect_list("o_orderkey")).alias("members"))
+    return anchors.join(members, "event_key", "left")
+
+
+@query()
+def q37_manifest(spark, sf):
+    e = _events(spark, sf)
+    return e.select(F.concat(F.lit("evt-"), F.substring(F.sha1(F.concat_ws("|", "o_custkey", "date", "event_key").cast("binary")), 1, 10)).alias("event_id"), F.to_json(F.struct("o_custkey", F.col("date").cast("string").alias("date"), "members")).alias("event"))
+
+
+@query("SELECT e.o_orderkey AS event_key, count(a.event_key)::BIGINT AS n_members FROM (SELECT o_orderkey FROM orders WHERE o_orderpriority = '" + URGENT + "') e LEFT JOIN (" + _asof_sql("backward") + ") a ON a.event_key = e.o_orderkey AND a.status = 'ok' GROUP BY 1")
+def q37_manifest_members(spark, sf):
+    return _events(spark, sf).select("event_key", F.coalesce(F.size("members"), F.lit(0)).cast("long").alias("n_members")).withColumn("n_members", F.greatest("n_members", F.lit(0).cast("long")))
+
+
+@query(f"WITH {_KINDS} SELECT count(*)::BIGINT AS n_documents, count(*) FILTER (kind = 'event')::BIGINT AS n_filed, count(*) FILTER (kind = 'review')::BIGINT AS n_review, count(DISTINCT kind)::BIGINT AS n_kinds FROM k")
+def q38_summary(spark, sf):
+    is_ = lambda k: F.sum((F.col("kind") == k).cast("long"))
+    return _kinds(spark, sf).agg(F.count("*").alias("n_documents"), F.coalesce(is_("event"), F.lit(0)).alias("n_filed"), F.coalesce(is_("review"), F.lit(0)).alias("n_review"), F.countDistinct("kind").alias("n_kinds"))
