@@ -38,6 +38,8 @@ LENGTH = 200
 GRAM = 24
 CROWD = 200
 BLOCK = 16
+#: Bytes of text looked at together; the temporaries take about a hundred times as much.
+SLICE = 1 << 19
 _ROW = ["doc_id", "h"]
 
 
@@ -105,7 +107,7 @@ def find_runs(rows: DataFrame, length: int = LENGTH) -> DataFrame:
         take = pa.array(row)
         return pa.record_batch([part.column(0).take(take), part.column(1).take(take), *(pa.array(x.astype(np.int32)) for x in (a, lo, hi)), _signed(key), _signed(whole)], names=["doc_id", "h", "a", "lo", "hi", "key", "whole"])
 
-    return tb.mapped(rows, run, "doc_id long, h long, a int, lo int, hi int, key long, whole long", ("doc_id", "h", "text"))
+    return tb.mapped(rows, run, "doc_id long, h long, a int, lo int, hi int, key long, whole long", ("doc_id", "h", "text"), most=SLICE)
 
 
 def _windows(context: list[bytes], first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -192,7 +194,7 @@ def _crowded(contexts: DataFrame, length: int) -> DataFrame:
 
     Blocks with one core are the same throughout, or differ in their edges; the latter are cut into blocks of a quarter of the windows, whose cores take in the bytes that their windows share."""
     keep = ["start", "low", "high", *_ROW, "alone"]
-    blocks = tb.mapped(contexts, lambda t: _blocks(t, length), "key long, core long, edges binary, b int, start int, low int, high int, doc_id long, h long, alone boolean", ("key", "doc_id", "h", "a", "lo", "alone", "bytes"), "bytes")
+    blocks = tb.mapped(contexts, lambda t: _blocks(t, length), "key long, core long, edges binary, b int, start int, low int, high int, doc_id long, h long, alone boolean", ("key", "doc_id", "h", "a", "lo", "alone", "bytes"), "bytes", SLICE)
     rows = blocks.select(F.xxhash64("key", "b").alias("place"), "core", "edges", *keep)
     spans, size = [], BLOCK
     while True:

@@ -65,11 +65,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             at = to
 
 
-def mapped(frame, fn: Callable, schema: str, columns: tuple[str, ...] = ("doc_id", "text"), text: str = "text"):
-    """``fn(record batch) -> record batch or None`` over bounded slices of some columns of a DataFrame."""
+def mapped(frame, fn: Callable, schema: str, columns: tuple[str, ...] = ("doc_id", "text"), text: str = "text", most: int = SLICE_BYTES):
+    """``fn(record batch) -> record batch or None`` over slices of ``most`` bytes of some columns of a DataFrame."""
 
     def run(batches):
-        for part in slices(batches, text):
+        for part in slices(batches, text, most):
             out = fn(part)
             if out is not None:
                 yield out
