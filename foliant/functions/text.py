@@ -6,6 +6,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 #: Thresholds and words of the readability score.
 MIN_CHARS = 120
@@ -16,7 +17,7 @@ MAX_SINGLE = 0.35
 COMMON_WORDS = "the of and to in for a is are be on with this that you your we our it as at by or not from will may any has have been which if all can other more please client".split()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None else unicodedata.normalize("NFKC", x))
 

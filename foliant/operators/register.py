@@ -6,6 +6,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType
 
 #: Scores by kind of surname match and given-name evidence (agree, unknown, conflict).
 EXACT = (0.98, 0.85, 0.55)
@@ -14,7 +15,7 @@ NEAR = (0.10, 0.0, -0.25)
 NEAR_RATIO = 0.85
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
 

@@ -51,12 +51,10 @@ def batch_client(records: DataFrame, kb: KnowledgeBase) -> DataFrame:
 def run(documents: DataFrame, kb: KnowledgeBase | None = None, profile: Profile | None = None, entries: DataFrame | None = None, materialise=written) -> Result:
     """``documents``: batch_id, doc_ord, name, text, page_count.  ``materialise`` (frame, name) cuts the lineage of what later steps read again: a written table, which also keeps their plans small."""
     kb, profile = kb or KnowledgeBase.load(), profile or Profile.load()
-    records = resolve(classify.enrich(documents, kb))
+    records = materialise(resolve(classify.enrich(documents, kb)), "records")
     new = None
     if entries is not None:
-        records = match_register(records, entries, kb)
-    records = materialise(records, "records")
-    if entries is not None:
+        records = materialise(match_register(records, entries, kb), "matched-records")
         new = records.filter("match_verdict IN ('new', 'uncertain')").groupBy("batch_id", "family_key").agg(F.min(F.struct("doc_ord", "surnames", "given")).alias("x")).select("batch_id", "family_key", "x.surnames", "x.given")
     clients = batch_client(records, kb)
     found, attached = events.group(records, kb)
