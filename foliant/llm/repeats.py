@@ -195,13 +195,14 @@ def _crowded(contexts: DataFrame, length: int) -> DataFrame:
     Blocks with one core are the same throughout, or differ in their edges; the latter are cut into blocks of a quarter of the windows, whose cores take in the bytes that their windows share."""
     keep = ["start", "low", "high", *_ROW, "alone"]
     blocks = tb.mapped(contexts, lambda t: _blocks(t, length), "key long, core long, edges binary, b int, start int, low int, high int, doc_id long, h long, alone boolean", ("key", "doc_id", "h", "a", "lo", "alone", "bytes"), "bytes", SLICE)
-    rows = blocks.select(F.xxhash64("key", "b").alias("place"), "core", "edges", *keep)
+    rows = blocks.select(F.xxhash64("key", "b").alias(f"place{BLOCK}"), F.col("core").alias(f"core{BLOCK}"), "edges", *keep)
     spans, size = [], BLOCK
     while True:
+        at, core = f"place{size}", f"core{size}"
         rows = written(rows, f"blocks-{size}")
         shape = F.xxhash64("edges", "low", "high")
-        met = written(rows.groupBy("place", "core").agg(F.count("*").alias("n"), (F.min(shape) != F.max(shape)).alias("mixed")).filter("n > 1").drop("n"), "block-counts")
-        again = rows.join(met, ["place", "core"])
+        met = written(rows.groupBy(at, core).agg(F.count("*").alias("n"), (F.min(shape) != F.max(shape)).alias("mixed")).filter("n > 1").drop("n"), "block-counts")
+        again = rows.join(met, [at, core])
         spans.append(again.filter("alone AND NOT mixed").select(*_ROW, (F.col("start") + F.col("low")).alias("lo"), (F.col("start") + F.col("high")).alias("hi")))
         if size == 1:
             break
@@ -211,8 +212,8 @@ def _crowded(contexts: DataFrame, length: int) -> DataFrame:
         last = first + (small - 1)
         part = again.filter("mixed").withColumn("j", F.explode(F.sequence(F.floor(F.col("low") / small), F.floor(F.col("high") / small))))
         rows = part.select(
-            F.xxhash64("place", "j").alias("place"),
-            F.xxhash64("core", F.substring("edges", (last + 1).cast("int"), (edge + first - last).cast("int"))).alias("core"),
+            F.xxhash64(at, "j").alias(f"place{small}"),
+            F.xxhash64(core, F.substring("edges", (last + 1).cast("int"), (edge + first - last).cast("int"))).alias(f"core{small}"),
             F.concat(F.substring("edges", (first + 1).cast("int"), F.lit(small - 1)), F.substring("edges", (edge + first + 1).cast("int"), F.lit(small - 1))).alias("edges"),
             (F.col("start") + first).cast("int").alias("start"),
             F.greatest(F.lit(0), F.col("low") - first).cast("int").alias("low"),

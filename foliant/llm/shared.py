@@ -2,36 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from ..shared import fresh, shared_dir, written
 
-_own: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """URI of ``spark.checkpoint.dir``; where it is unset (tests on one machine), a folder of our own."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        if not _own:
-            _own.append("file://" + tempfile.mkdtemp(prefix="foliant-"))
-        at = _own[0]
-    return at.rstrip("/")
-
-
-def fresh(spark: SparkSession, what: str) -> str:
-    """URI of a new folder below the shared one."""
-    return f"{shared_dir(spark)}/foliant/{what}-{uuid.uuid4().hex}"
-
-
-def written(frame: DataFrame, what: str) -> DataFrame:
-    """The frame as a Parquet table in the shared folder: cuts the lineage and outlives executors."""
-    path = fresh(frame.sparkSession, what)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+__all__ = ["filesystem", "fresh", "put", "shared_dir", "written"]
 
 
 def filesystem(uri: str):
