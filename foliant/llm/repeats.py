@@ -189,20 +189,70 @@ def _blocks(t: pa.RecordBatch, length: int) -> pa.RecordBatch:
     return pa.record_batch([t.column(0).take(take), _signed(core), packed, *numbers, *(t.column(k).take(take) for k in (1, 2, 5))], names=["key", "core", "edges", "b", "start", "low", "high", "doc_id", "h", "alone"])
 
 
+_SPLIT = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("a", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("alone", pa.bool_()), ("bytes", pa.binary())])
+
+
+def _against_representatives(contexts: DataFrame, length: int) -> DataFrame:
+    """Each gram has one or two representatives, the runs whose bytes after or before the anchor are the most frequent.
+
+    kind 0: windows of a run that a representative has too, and those of the representative; kind 1: the rest of a run, as a context of its own."""
+    me = F.struct(*_ROW, "a", "lo", "alone", "bytes")
+    at = F.col("a") - F.col("lo")
+    half = length // 2
+    sides = F.array(F.struct(F.lit("after").alias("side"), F.xxhash64(F.substring("bytes", at + 1, F.lit(half))).alias("x")), F.struct(F.lit("before").alias("side"), F.when(at >= half, F.xxhash64(F.substring("bytes", at - half + 1, F.lit(half)))).otherwise(F.lit(0)).alias("x")))
+    often = contexts.select("key", me.alias("me"), F.explode(sides).alias("s")).groupBy("key", "s.side", "s.x").agg(F.count("*").alias("n"), F.min("me").alias("me"))
+    reps = written(often.groupBy("key", "side").agg(F.max_by("me", "n").alias("me")).groupBy("key").agg(F.collect_set("me").alias("reps")), "representatives")
+    met = contexts.join(reps, "key")
+
+    def run(batches):
+        for part in tb.slices(batches, "bytes", SLICE):
+            out, shown = [], set()
+            for key, doc, h, a, lo, alone, mine, reps in zip(*(c.to_pylist() for c in part.columns)):
+                others = [r for r in reps if (r["doc_id"], r["h"], r["a"]) != (doc, h, a)]
+                at, hi = a - lo, lo + len(mine) - length
+                data, cover = np.frombuffer(mine, np.uint8), []
+                for r in others:
+                    there, rat = np.frombuffer(r["bytes"], np.uint8), r["a"] - r["lo"]
+                    n, m = min(at, rat), min(len(data) - at, len(there) - rat)
+                    left, right = np.flatnonzero(data[at - n : at][::-1] != there[rat - n : rat][::-1]), np.flatnonzero(data[at : at + m] != there[rat : rat + m])
+                    left, right = (int(x[0]) if len(x) else k for x, k in ((left, n), (right, m)))
+                    first, last = max(lo, a - left), min(hi, a + right - length)
+                    if first <= last:
+                        cover.append((first, last))
+                        shown.add((key, r["doc_id"], r["h"], r["a"], r["a"] - (a - first), r["a"] - (a - last), r["alone"]))
+                at = lo
+                for first, last in sorted(cover):
+                    out.append((0, key, doc, h, a, first, last, alone, None))
+                    if at < first and len(others) == len(reps):
+                        out.append((1, key, doc, h, a, at, first - 1, alone, mine[at - lo : first - 1 + length - lo]))
+                    at = max(at, last + 1)
+                # what a representative has left is nowhere else: the others are compared with it
+                if at <= hi and len(others) == len(reps):
+                    out.append((1, key, doc, h, a, at, hi, alone, mine[at - lo :]))
+            out += [(0, key, doc, h, a, first, last, alone, None) for key, doc, h, a, first, last, alone in shown]
+            if out:
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out), _SPLIT)], schema=_SPLIT)
+
+    rows = met.select("key", *_ROW, "a", "lo", "alone", "bytes", "reps").mapInArrow(run, "kind int, key long, doc_id long, h long, a int, lo int, hi int, alone boolean, bytes binary")
+    return written(rows, "crowds")
+
+
 def _crowded(contexts: DataFrame, length: int) -> DataFrame:
-    """Spans in the lonely runs of crowded grams, by aggregations over blocks of windows that get smaller where they differ.
+    """Spans in the lonely runs of crowded grams: what agrees with a representative, then the rest among itself.
 
-    Blocks with one core are the same throughout, or differ in their edges; the latter are cut into blocks of a quarter of the windows, whose cores take in the bytes that their windows share."""
+    A window that differs from the representative's can only equal windows that differ from it too.  The rest is compared
+    by aggregations over blocks of windows that get smaller where they differ.  Blocks with one core are the same throughout, or differ in their edges; the latter are cut into blocks of a quarter of the windows, whose cores take in the bytes that their windows share."""
     keep = ["start", "low", "high", *_ROW, "alone"]
+    split = _against_representatives(contexts, length)
+    known, contexts = split.filter("kind = 0 AND alone").select(*_ROW, "lo", "hi"), split.filter("kind = 1")
     blocks = tb.mapped(contexts, lambda t: _blocks(t, length), "key long, core long, edges binary, b int, start int, low int, high int, doc_id long, h long, alone boolean", ("key", "doc_id", "h", "a", "lo", "alone", "bytes"), "bytes", SLICE)
-    rows = blocks.select(F.xxhash64("key", "b").alias(f"place{BLOCK}"), F.col("core").alias(f"core{BLOCK}"), "edges", *keep)
-    spans, size = [], BLOCK
+    rows = blocks.select(F.xxhash64("key", "b").alias("place"), "core", "edges", *keep)
+    spans, size = [known], BLOCK
     while True:
-        at, core = f"place{size}", f"core{size}"
         rows = written(rows, f"blocks-{size}")
         shape = F.xxhash64("edges", "low", "high")
-        met = written(rows.groupBy(at, core).agg(F.count("*").alias("n"), (F.min(shape) != F.max(shape)).alias("mixed")).filter("n > 1").drop("n"), "block-counts")
-        again = rows.join(met, [at, core])
+        met = written(rows.groupBy("place", "core").agg(F.count("*").alias("n"), (F.min(shape) != F.max(shape)).alias("mixed")).filter("n > 1").drop("n"), "block-counts")
+        again = rows.join(met, ["place", "core"])
         spans.append(again.filter("alone AND NOT mixed").select(*_ROW, (F.col("start") + F.col("low")).alias("lo"), (F.col("start") + F.col("high")).alias("hi")))
         if size == 1:
             break
@@ -212,8 +262,8 @@ def _crowded(contexts: DataFrame, length: int) -> DataFrame:
         last = first + (small - 1)
         part = again.filter("mixed").withColumn("j", F.explode(F.sequence(F.floor(F.col("low") / small), F.floor(F.col("high") / small))))
         rows = part.select(
-            F.xxhash64(at, "j").alias(f"place{small}"),
-            F.xxhash64(core, F.substring("edges", (last + 1).cast("int"), (edge + first - last).cast("int"))).alias(f"core{small}"),
+            F.xxhash64("place", "j").alias("place"),
+            F.xxhash64("core", F.substring("edges", (last + 1).cast("int"), (edge + first - last).cast("int"))).alias("core"),
             F.concat(F.substring("edges", (first + 1).cast("int"), F.lit(small - 1)), F.substring("edges", (edge + first + 1).cast("int"), F.lit(small - 1))).alias("edges"),
             (F.col("start") + first).cast("int").alias("start"),
             F.greatest(F.lit(0), F.col("low") - first).cast("int").alias("low"),
