@@ -27,10 +27,24 @@ def fresh(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/foliant/{what}-{uuid.uuid4().hex}"
 
 
-def written(frame: DataFrame, what: str) -> DataFrame:
-    """The frame as a Parquet table in the shared folder: cuts the lineage and outlives executors."""
-    path = fresh(frame.sparkSession, what)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+#: Rows of an Arrow batch at most while a temporary table is written: what the JVM and a Python worker hold of it at once.
+ARROW_ROWS = 1000
+_ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+def written(frame: DataFrame, what: str) -> DataFrame:
+    """The frame as a Parquet table in the shared folder: cuts the lineage and outlives executors."""
+    spark, path = frame.sparkSession, fresh(frame.sparkSession, what)
+    rows = spark.conf.get(_ARROW)
+    spark.conf.set(_ARROW, str(min(ARROW_ROWS, int(rows)) if int(rows) > 0 else ARROW_ROWS))
+    try:
+        frame.write.parquet(path)
+    finally:
+        spark.conf.set(_ARROW, rows)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all temporary tables and files below the shared folder; for when no frame is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/foliant")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -176,3 +176,10 @@ class LocalFolder:
             shutil.move(there, back)
             out.append({**m, "action": "undone"})
         return out
+
+
+def grow(register: DataFrame, new_clients: DataFrame) -> DataFrame:
+    """A register with confirmed new clients (``confirm`` counts as true where it is missing); folders it has already stay as they are."""
+    ok = new_clients.filter(F.coalesce("confirm", F.lit(True))) if "confirm" in new_clients.columns else new_clients
+    add = ok.select(F.col("family_key").alias("folder_name"), "surnames", "given").dropDuplicates(["folder_name"])
+    return register.unionByName(add.join(register.select("folder_name"), "folder_name", "left_anti"))

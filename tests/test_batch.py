@@ -164,3 +164,24 @@ def test_no_network_in_the_engine():
     root = pathlib.Path(__file__).parent.parent / "foliant"
     bad = re.compile(r"^\s*(?:import|from)\s+(?:socket|urllib|http|requests|ftplib|smtplib)\b", re.M)
     assert [p for p in root.rglob("*.py") if bad.search(p.read_text())] == []
+
+
+def test_reports(spark, result):
+    from foliant import report
+
+    assert [r.rule_id for r in report.findings(result).collect()] == ["atp_without_advice_record", "unknown_type", "risk_mismatch"]
+    assert {tuple(r.missing) for r in report.completeness(result).collect()} == {(), ("soa", "fact_find")}
+    assert report.tree(result).collect()[-1].folder.startswith("_")
+    assert "Super" in report.vocabulary(KnowledgeBase.load())
+
+
+def test_reorganise(spark, result):
+    current = result.plan.select("batch_id", "doc_ord", F.when(F.col("name") == "a04.pdf", F.concat_ws("/", F.concat_ws("/", "folder"), "filename")).when(F.col("name") == "a02.pdf", F.lit("Patel/x.pdf")).otherwise(F.concat(F.lit("Nguyen/"), F.col("name"))).alias("path"))
+    got = {r.doc_ord: (r.action, r.crosses_client) for r in plan.reorganise(result.plan, current).collect()}
+    assert got[4] == ("keep", False) and got[2] == ("move", True) and got[3] == ("move", False) and got[9][0] == "leave"
+
+
+def test_register_grows(spark):
+    reg = S.register_from_names(spark.createDataFrame([("Mei Tran",)], "folder_name string"))
+    new = spark.createDataFrame([("Mei Tran", ["Tran"], ["Mei"], True), ("Patel", ["Patel"], ["Anish"], None), ("Wu", ["Wu"], [], False)], "family_key string, surnames array<string>, given array<string>, confirm boolean")
+    assert sorted(r.folder_name for r in sinks.grow(reg, new).collect()) == ["Mei Tran", "Patel"]
