@@ -55,7 +55,8 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(_read(spark, sf_dir, "documents"))
+    # which rule rejects first depends on measured times, the verdict does not
+    return quality(_read(spark, sf_dir, "documents")).drop("rejected_by")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -89,4 +90,23 @@ t AS (SELECT k, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS item
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n USING (k) LEFT JOIN t USING (k)""",
     "op5_licenses": licenses.oracle_sql(),
+    "op8_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+f AS (SELECT *, sha1(html) AS x, max(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(x, (1 + 5 * (i // 4))::BIGINT, 5))::INTEGER >> (15 - 5 * (i % 4))::INTEGER) & 31))::BIGINT, 1)), '') AS payload_digest,
+  CASE WHEN first > page_id OR page_id IS NULL AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first > page_id OR page_id IS NULL THEN first END AS refers_to FROM f""",
+    "op10_quality": r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT k, line, row_number() OVER (PARTITION BY k, line ORDER BY i) AS nth FROM (SELECT k, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+lines AS (SELECT k, count(*) AS n_lines, count(*) FILTER (nth > 1) AS dup FROM l GROUP BY k),
+g AS (SELECT k, i, count(*) OVER (PARTITION BY k, w[i], w[i + 1], w[i + 2]) AS n FROM (SELECT k, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
+again AS (SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest([i, i + 1, i + 2]) AS p FROM g WHERE n > 1) GROUP BY k),
+top AS (SELECT k, max(n) AS n, max(strlen(x)) AS longest FROM (SELECT k, x, count(*) AS n FROM (SELECT k, unnest(w) AS x FROM d) GROUP BY k, x) GROUP BY k),
+c AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, coalesce(dup, 0) AS dup, coalesce(n_lines, 0) AS n_lines, coalesce(again.n, 0) AS rep, coalesce(top.n, 0) AS top, coalesce(longest, 0) AS longest
+  FROM d LEFT JOIN lines USING (k) LEFT JOIN again USING (k) LEFT JOIN top USING (k)),
+b AS (SELECT *, n_words < 50 OR 100 * rep > 50 * n_words AS base_failed FROM c)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, dup::BIGINT AS n_dup_lines, rep::BIGINT AS n_repeat_words, base_failed,
+  NOT (base_failed OR n_symbols * 10 > word_chars * 3 OR dup * 2 > n_lines OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR longest > 1000 OR top * 2 > n_words) AS kept FROM b""",
 }
