@@ -18,7 +18,7 @@ def anchors(records: DataFrame, kb: KnowledgeBase) -> DataFrame:
 def group(records: DataFrame, kb: KnowledgeBase) -> tuple[DataFrame, DataFrame]:
     """(events, attachments): attachments has a row for each document that is in an event or was refused one.
 
-    attachments: batch_id, doc_ord, event (null if refused), reason, attach_confidence, missing_reference."""
+    attachments: batch_id, doc_ord, event (null if refused), reason, attach_confidence."""
     events = anchors(records, kb)
     own = events.select("batch_id", F.col("event").alias("doc_ord"), "event", F.lit("anchors this event").alias("reason"), F.col("confidence").alias("attach_confidence"))
     rest = records.filter(F.col("doc_type").isNotNull() & (F.col("confidence") >= kb.threshold) & ~F.col("advice_record"))
