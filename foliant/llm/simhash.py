@@ -222,11 +222,11 @@ def keep_one(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE)
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     signed = written(sign_keyed(documents, key, shingle), "simhash")
     groups = signed.join(written(_roots(signed, radius).select("fp", "root"), "roots"), "fp")
-    stay = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("x")).select(F.col("x.doc_id").alias("stay_id"), F.col("x.h").alias("stay_h"))
+    stay = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("x")).select(F.col("x.doc_id").alias("__stay_id"), F.col("x.h").alias("__stay_h"))
     stay = written(stay, "representatives")
     names = documents.columns
-    met = documents.join(stay.hint("shuffle_hash"), [F.col("doc_id").cast("long").eqNullSafe(F.col("stay_id")), key == F.col("stay_h")]).select(*[documents[c] for c in names], "stay_id", "stay_h")
-    return met.dropDuplicates(["stay_id", "stay_h"]).select(*names)
+    met = documents.join(stay.hint("shuffle_hash"), [F.col("doc_id").cast("long").eqNullSafe(F.col("__stay_id")), key == F.col("__stay_h")]).select(*[documents[c] for c in names], "__stay_id", "__stay_h")
+    return met.dropDuplicates(["__stay_id", "__stay_h"]).select(*names)
 
 
 def report(grouped: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ def rows():
 
 
 #: Columns that operators use inside, or return.
-EXTRA = "fp component_id h key whole ids score n_words n_hit items ranges spans cell hs qs own home root node a b least kept start lo hi core edges place16 canonical_sha256 license notices page_id"
+EXTRA = "stay_id stay_h fp component_id h key whole ids score n_words n_hit items ranges spans cell hs qs own home root node a b least kept start lo hi core edges place16 canonical_sha256 license notices page_id"
 
 
 @pytest.fixture(scope="session")
