@@ -9,7 +9,7 @@ import numpy as np
 
 from . import textbatch as tb
 
-MOST_CHUNKS = 600_000
+MOST_CHUNKS = 850_000
 
 
 def cut(data: np.ndarray, off: np.ndarray, at: np.ndarray) -> np.ndarray:
