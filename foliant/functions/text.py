@@ -48,15 +48,21 @@ def pages(text: Column) -> Column:
 
 def quality(text: Column, page_count: Column | int = 1) -> Column:
     """Struct of readable, score (unrounded), chars, tokens, common word hits and reasons: a product of penalties."""
-    s = F.regexp_replace(text, r"^\s+|\s+$", "")
-    total = F.length(s)
     n_pages = F.greatest(F.lit(1), page_count if isinstance(page_count, Column) else F.lit(page_count))
+    # every count is worked out once, however often the score names it
+    counted = _let(F.regexp_replace(text, r"^\s+|\s+$", ""), lambda s: _let(F.regexp_extract_all(F.lower(s), F.lit("[A-Za-z']+"), F.lit(0)), lambda tokens: F.struct(
+        F.length(s).alias("total"), F.length(F.regexp_replace(s, r"[^\p{L}]", "")).alias("letters"), F.size(tokens).alias("n"),
+        F.size(F.filter(tokens, lambda t: F.length(t) == 1)).alias("single"), F.size(F.filter(tokens, lambda t: t.isin(COMMON_WORDS))).alias("hits"))))
+    return _let(counted, lambda c: _scored(c, n_pages))
+
+
+def _let(value: Column, body) -> Column:
+    return F.transform(F.array(value), body)[0]
+
+
+def _scored(c: Column, n_pages: Column) -> Column:
+    total, letters, n, single, hits = (c[k] for k in ("total", "letters", "n", "single", "hits"))
     per_page = total / n_pages
-    letters = F.length(F.regexp_replace(s, r"[^\p{L}]", ""))
-    tokens = F.regexp_extract_all(F.lower(s), F.lit("[A-Za-z']+"), F.lit(0))
-    n = F.size(tokens)
-    single = F.size(F.filter(tokens, lambda t: F.length(t) == 1))
-    hits = F.size(F.filter(tokens, lambda t: t.isin(COMMON_WORDS)))
     alpha = letters / total
     single_ratio = F.when(n > 0, single / n).otherwise(1.0)
     dictionary = F.least(F.lit(1.0), hits / F.greatest(F.lit(1.0), n * F.lit(0.04)))
