@@ -215,6 +215,15 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS, shingle: int = S
     return signed.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def representatives(documents: DataFrame, groups: DataFrame, key) -> DataFrame:
+    """Of ``groups`` (doc_id, h, root), h being ``key`` of the text: the document of the least id of each root (null ids last, then by text), with all its columns."""
+    stay = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("x")).select(F.col("x.doc_id").alias("__stay_id"), F.col("x.h").alias("__stay_h"))
+    stay = written(stay, "representatives")
+    names = documents.columns
+    met = documents.join(stay.hint("shuffle_hash"), [F.col("doc_id").cast("long").eqNullSafe(F.col("__stay_id")), key == F.col("__stay_h")]).select(*[documents[c] for c in names], "__stay_id", "__stay_h")
+    return met.dropDuplicates(["__stay_id", "__stay_h"]).select(*names)
+
+
 def keep_one(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """One document of each group, that of the least id (null ids last, then by text), with all its columns.
 
@@ -222,11 +231,7 @@ def keep_one(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE)
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     signed = written(sign_keyed(documents, key, shingle), "simhash")
     groups = signed.join(written(_roots(signed, radius).select("fp", "root"), "roots"), "fp")
-    stay = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("x")).select(F.col("x.doc_id").alias("__stay_id"), F.col("x.h").alias("__stay_h"))
-    stay = written(stay, "representatives")
-    names = documents.columns
-    met = documents.join(stay.hint("shuffle_hash"), [F.col("doc_id").cast("long").eqNullSafe(F.col("__stay_id")), key == F.col("__stay_h")]).select(*[documents[c] for c in names], "__stay_id", "__stay_h")
-    return met.dropDuplicates(["__stay_id", "__stay_h"]).select(*names)
+    return representatives(documents, groups, key)
 
 
 def report(grouped: DataFrame) -> DataFrame:
