@@ -60,6 +60,30 @@ def breaks(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 _WORD = re.compile(rb" ?(?:[A-Za-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])+")
 
 
+def added_breaks(data: np.ndarray, off: np.ndarray, at: np.ndarray, added: re.Pattern | None) -> np.ndarray:
+    """The places ``at`` with the edges of the strings of added tokens in the rows, and without the places inside such strings."""
+    blob = data.tobytes() if added else b""
+    if not added or not added.search(blob):
+        return at
+    found = [(a + m.start(), a + m.end()) for a, b in zip(off[:-1].tolist(), off[1:].tolist()) for m in added.finditer(blob[a:b])]
+    inside = np.zeros(len(data) + 1, bool)
+    for a, b in found:
+        inside[a + 1 : b] = True
+    return np.concatenate([at[~inside[at]], np.array(found, np.int64).ravel()])
+
+
+@lru_cache(2)
+def _added(path: str) -> re.Pattern | None:
+    """The strings that the library takes as one id each wherever they stand: leftmost, then longest."""
+    from tokenizers import Tokenizer
+
+    tokens = list(Tokenizer.from_file(path).get_added_tokens_decoder().values())
+    if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in tokens):
+        raise ValueError("added tokens that look at what stands beside them are not supported")
+    names = sorted((t.content.encode() for t in tokens if t.content), key=len, reverse=True)
+    return re.compile(b"|".join(map(re.escape, names))) if names else None
+
+
 def _byte_letters() -> np.ndarray:
     """The letters that a byte-level vocabulary writes bytes as: printable Latin-1 as it is, the rest from U+0100 on.  Line ends stay."""
     rest = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF)]
@@ -75,7 +99,6 @@ def _memory(path: str) -> Memory:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     model, letters = tokenizer.model, _byte_letters()
 
     def encode(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +119,7 @@ def _memory(path: str) -> Memory:
 def token_ids(column: pa.Array, tokenizer: str, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the texts, each with the end id, and their offsets."""
     data, off = tb.raw(column)
-    ids, at = encoded(data, off, breaks(data, off), _memory(tokenizer))
+    ids, at = encoded(data, off, added_breaks(data, off, breaks(data, off), _added(tokenizer)), _memory(tokenizer))
     return np.insert(ids, at[1:], end_id), at + np.arange(len(at))
 
 
