@@ -3,8 +3,8 @@
 The base patterns find what is written by the book, in time linear in the text.  The
 random field reads the regions around what remains: it scores whole candidate segments
 (their digit groups, check sums, frame and context) against every type at once, and
-dynamic programming over segments of at most ``MOST_TOKENS`` tokens chooses boundaries
-and types together.  Base spans stay; segments that touch none of them are added.
+dynamic programming over segments of at most ``MOST_CHARS`` characters chooses boundaries
+and types together, over a region of any length.  Base spans stay; segments that touch none of them are added.
 
 The field is trained here by stochastic gradient on its own log-likelihood, over
 sentences generated with their spans (``examples``); no row of the input is used.
@@ -16,6 +16,7 @@ rows are answered row by row.  Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 from bisect import bisect_left
@@ -29,8 +30,11 @@ from . import textbatch as tb
 
 KINDS = ("email", "ip", "card", "phone", "ssn", "iban")
 BASE = KINDS[:4]
-MOST_TOKENS = 15
 MOST_CHARS = 48
+#: Tokens that a segment may have: as many as its characters allow.
+MOST_TOKENS = MOST_CHARS
+#: Tokens at which the segments that are scored together begin.
+BLOCK = 512
 AROUND = 6
 EXAMPLES = 900
 EPOCHS = 6
@@ -122,14 +126,39 @@ class Region:
     def __init__(self, text: str, lo: int, hi: int, number=None):
         self.tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text, lo, hi)]
         self.text = text
-        n = len(self.tokens)
+        self.segments, self.features = [], []
+        for segments, features in self.blocks(number, max(1, len(self.tokens))):
+            self.segments += segments
+            self.features += features
+
+    @classmethod
+    def bare(cls, text: str, lo: int, hi: int) -> Region:
+        """The tokens alone; blocks() makes the segments."""
+        out = cls(text, lo, lo)
+        out.tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text, lo, hi)]
+        return out
+
+    def blocks(self, number=None, size: int = BLOCK):
+        """Segments and their features, those of ``size`` first tokens at a time."""
+        text, n = self.text, len(self.tokens)
+        if not n:
+            return
+        lo, hi = self.tokens[0][0], self.tokens[-1][1]
         words = [text[a:b] for a, b in self.tokens]
         opens = [w[0].isalnum() or w in "+([" for w in words]
         closes = [w[0].isalnum() or w in ")]" for w in words]
         hot = [m.start() for m in _TRIGGER.finditer(text, lo, hi)]
         triggers = [bisect_left(hot, a) < bisect_left(hot, b) for a, b in self.tokens]
-        self.segments, self.features = [], []
+        segments, features = [], []
+        cue_at, last = [], -1
+        for i, w in enumerate(words):
+            cue_at.append(last)
+            if w[0].isalpha():
+                last = i
         for i in range(n):
+            if i and not i % size:
+                yield segments, features
+                segments, features = [], []
             if not opens[i]:
                 continue
             seen = False
@@ -144,13 +173,11 @@ class Region:
                 feats = [*_form(text[a:b]), f"before {_class(before)}", f"after {_class(after)}" + (" digit" if after in (".", "-", ",") and text[b + 1 : b + 2].isdigit() else "")]
                 if before in (".", "-", ",", "/", ":") and text[a - 2 : a - 1].isdigit():
                     feats.append("before digit")
-                k, cue = i - 1, ""
-                while k >= 0 and not words[k][0].isalpha():
-                    k -= 1
-                if k >= 0 and (cue := words[k].lower()) in _CUES:
+                if cue_at[i] >= 0 and (cue := words[cue_at[i]].lower()) in _CUES:
                     feats.append(f"cue {cue}")
-                self.segments.append((i, j + 1))
-                self.features.append(feats if number is None else [number[f] for f in feats if f in number])
+                segments.append((i, j + 1))
+                features.append(feats if number is None else [number[f] for f in feats if f in number])
+        yield segments, features
 
 
 class Field:
@@ -158,33 +185,44 @@ class Field:
         self.number, self.weights = number, weights
 
     def scores(self, region: Region) -> np.ndarray:
-        return np.array([self.weights[f].sum(axis=0) if f else np.full(len(KINDS), -9.0) for f in region.features]).reshape(-1, len(KINDS))
+        return self._scores(region.features)
+
+    def _scores(self, features) -> np.ndarray:
+        return np.array([self.weights[f].sum(axis=0) if f else np.full(len(KINDS), -9.0) for f in features]).reshape(-1, len(KINDS))
 
     def best(self, region: Region) -> list[tuple[int, int, int]]:
         """The best segmentation's entities: (kind, start, end)."""
-        if not region.segments:
-            return []
-        score = self.scores(region)
-        kind, top = score.argmax(axis=1), score.max(axis=1)
-        ends: dict[int, list[int]] = {}
-        for k, (_, j) in enumerate(region.segments):
-            ends.setdefault(j, []).append(k)
+        return self._path(region.tokens, [(region.segments, self.scores(region))])
+
+    def best_in(self, text: str, lo: int, hi: int) -> list[tuple[int, int, int]]:
+        """The same for a piece of text of any length; the features of a block of it are held at a time."""
+        region = Region.bare(text, lo, hi)
+        return self._path(region.tokens, ((s, self._scores(f)) for s, f in region.blocks(self.number)))
+
+    @staticmethod
+    def _path(tokens, scored) -> list[tuple[int, int, int]]:
+        """Segments that score nothing are on no best path and are not kept."""
+        ends: dict[int, list[tuple[int, float, int]]] = {}
+        for segments, score in scored:
+            if segments:
+                kind, top = score.argmax(axis=1), score.max(axis=1)
+                for k in np.flatnonzero(top > 0).tolist():
+                    ends.setdefault(segments[k][1], []).append((segments[k][0], float(top[k]), int(kind[k])))
         value, back = [0.0], [None]
-        for j in range(1, len(region.tokens) + 1):
+        for j in range(1, len(tokens) + 1):
             v, b = value[j - 1], None
-            for k in ends.get(j, ()):
-                if (s := value[region.segments[k][0]] + top[k]) > v:
-                    v, b = s, k
+            for i, top, kind in ends.get(j, ()):
+                if (s := value[i] + top) > v:
+                    v, b = s, (i, kind)
             value.append(v)
             back.append(b)
-        out, j = [], len(region.tokens)
+        out, j = [], len(tokens)
         while j:
-            k = back[j]
-            if k is None:
+            if back[j] is None:
                 j -= 1
             else:
-                i, e = region.segments[k]
-                out.append((int(kind[k]), region.tokens[i][0], region.tokens[e - 1][1]))
+                i, kind = back[j]
+                out.append((kind, tokens[i][0], tokens[j - 1][1]))
                 j = i
         return out[::-1]
 
@@ -202,7 +240,7 @@ def _entity(r: random.Random, kind: str) -> str:
     name, host, top = ("".join(r.choice("abcdefghijklmnoprstu") for _ in range(r.randint(3, 8))) for _ in range(3))
     if kind == "email":
         a, d = r.choice(((" at ", " dot "), (" [at] ", " [dot] "), ("[at]", "."), (" (at) ", " (dot) "), ("(at)", "(dot)"), ("@", ".")))
-        return f"{name}{r.choice(('', '.' + host, _digits(r, 2)))}{a}{host}{d}{r.choice(('com', 'org', 'net', top[:3]))}"
+        return f"{name}{r.choice(('', '.' + host, _digits(r, 2)))}{a}{host}{d}{r.choice(('com', 'org', 'net', top[:3]))}{r.choice(('', '', '', d + top[:2]))}"
     if kind == "ip":
         if r.random() < 0.5:
             return ":".join(f"{r.randrange(1 << 16):x}" for _ in range(8))
@@ -318,6 +356,8 @@ def _marginals(region: Region, score: np.ndarray) -> np.ndarray:
 def added_spans(text: str, base: list[tuple[int, int, int]], field: Field) -> list[tuple[int, int, int]]:
     """What the field finds around triggers outside the base spans, touching none of them."""
     taken = sorted((a, b) for _, a, b in base)
+    begin, reach = [a for a, _ in taken], list(itertools.accumulate((b for _, b in taken), max))
+    touched = lambda a, b: (k := bisect_left(begin, b)) > 0 and reach[k - 1] > a
     regions: list[list[int]] = []
     k = 0
     for m in _TRIGGER.finditer(text):
@@ -326,17 +366,19 @@ def added_spans(text: str, base: list[tuple[int, int, int]], field: Field) -> li
         if k < len(taken) and taken[k][0] < m.end():
             continue
         a, b = max(0, m.start() - MOST_CHARS), min(len(text), m.end() + MOST_CHARS)
-        if regions and a <= regions[-1][1] and regions[-1][1] - regions[-1][0] < 2000:
+        if regions and a <= regions[-1][1]:
             regions[-1][1] = b
         else:
-            regions.append([max(a, regions[-1][1]) if regions else a, b])
+            regions.append([a, b])
     out = []
     for a, b in regions:
-        while 0 < a and text[a - 1].isalnum() and text[a : a + 1].isalnum() and b - a < 4000:
+        # a word at the edge is taken whole, or so far that it is too long for a segment
+        low, high = a - MOST_CHARS - 1, b + MOST_CHARS + 1
+        while max(0, low) < a and text[a - 1].isalnum() and text[a : a + 1].isalnum():
             a -= 1
-        while b < len(text) and text[b].isalnum() and text[b - 1].isalnum() and b - a < 4000:
+        while b < min(len(text), high) and text[b].isalnum() and text[b - 1].isalnum():
             b += 1
-        out += [x for x in field.best(Region(text, a, b, field.number)) if not any(s < x[2] and x[1] < e for s, e in taken)]
+        out += [x for x in field.best_in(text, a, b) if not touched(x[1], x[2])]
     return sorted(set(out))
 
 
