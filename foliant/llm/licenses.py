@@ -1,6 +1,6 @@
 """License scans by canonical digest, in DataFrame functions alone.
 
-A text is brought to a canonical form: lower case (A-Z), copyright lines dropped,
+A text is brought to a canonical form: lower case (A-Z), copyright notices dropped,
 spellings made equal, everything but letters and digits a single space.  The SHA-256 of
 the form is hash-joined to the digests of known licences.  Two things are looked up:
 whole documents, against licence texts; and each line, whole, against licence notices.
@@ -18,7 +18,15 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-COPYRIGHT = r"(?m)^[ \t#*/;-]*(copyright|\(c\)|©)[^\n]*$"
+#: The SQL's rule for copyright lines: any line that begins so.  It also takes lines of a wrapped licence's own body.
+COPYRIGHT_SQL = r"(?m)^[ \t#*/;-]*(copyright|\(c\)|©)[^\n]*$"
+#: Words that go on in a licence's own sentence after "copyright" at the start of a line.
+BODY = "notices?|holders?|owners?|licen[cs]es?|laws?|statements?|statutes?|treat(?:y|ies)|protection|interests?|rights?|disclaimers?|permissions?|and|or|in|of|to|for|on|under|is|are|as|at|with|from|that|which|this|if|may|shall|will|must|can|not|does|do|applies|apply|has|have|permits?|messages?|information|status|infringement|works?|material"
+#: A copyright notice: the word with a sign, a year or a holder, the sign, or "(c)" with the word or a year.
+COPYRIGHT = (
+    r"(?m)^[ \t#*/;-]*(?:©|\(c\)[ \t]*(?:copyright\b|[^\n]*\b(?:19|20)[0-9]{2}\b|[^\n]*all rights reserved)"
+    r"|copyright[ \t:]*(?:\(c\)|©|[0-9]{4})|copyright(?::[ \t]*|[ \t]+)(?!(?:" + BODY + r")(?![^\s.,;:)]))[^\s.,;:)\"'(])[^\n]*$"
+)
 OTHER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Spellings that count as equal.
 SPELLINGS = (("licence", "license"), ("sub license", "sublicense"), ("organisation", "organization"), ("authoris", "authoriz"), ("favour", "favor"), ("merchantibility", "merchantability"), ("non commercial", "noncommercial"), ("http www", "https www"), ("per cent", "percent"), ("whilst", "while"))
@@ -117,7 +125,7 @@ def scan(documents: DataFrame, table: DataFrame | None = None) -> DataFrame:
 
 
 def oracle_sql() -> str:
-    form = lambda c: f"trim(regexp_replace(regexp_replace(translate(coalesce({c}, ''), '{UPPER}', '{LOWER}'), '{COPYRIGHT}', '', 'g'), '{OTHER}', ' ', 'g'), ' ')"
+    form = lambda c: f"trim(regexp_replace(regexp_replace(translate(coalesce({c}, ''), '{UPPER}', '{LOWER}'), '{COPYRIGHT_SQL}', '', 'g'), '{OTHER}', ' ', 'g'), ' ')"
 
     def spelled(c: str) -> str:
         x = form(c)
