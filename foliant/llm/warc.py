@@ -78,19 +78,21 @@ def _members(stream) -> Iterator[Iterator[bytes]]:
 class _Block:
     """Reads headers and exact lengths from an iterator of pieces."""
 
-    def __init__(self, pieces: Iterator[bytes]):
-        self.pieces, self.held = pieces, b""
+    def __init__(self, pieces: Iterator[bytes], most_header: int | None = MOST_HEADER):
+        self.pieces, self.held, self.most = pieces, b"", most_header
 
     def line(self) -> bytes:
-        while b"\r\n" not in self.held:
-            if len(self.held) > MOST_HEADER:
+        held, at = bytearray(self.held), 0
+        while (end := held.find(b"\r\n", at)) < 0:
+            if self.most is not None and len(held) > self.most:
                 raise WarcError("a header line is too long")
             piece = next(self.pieces, None)
             if piece is None:
                 raise WarcError("a record ends inside its header")
-            self.held += piece
-        out, self.held = self.held.split(b"\r\n", 1)
-        return out
+            at = max(0, len(held) - 1)
+            held += piece
+        self.held = bytes(held[end + 2 :])
+        return bytes(held[:end])
 
     def take(self, n: int) -> Iterator[bytes]:
         while n:
@@ -110,12 +112,13 @@ class _Block:
         return out
 
 
-def read(stream) -> Iterator[tuple[dict[str, str], int | None, str | None]]:
+def read(stream, most_header: int | None = MOST_HEADER) -> Iterator[tuple[dict[str, str], int | None, str | None]]:
     """Of each record: its header, and its payload's length and digest (None for a revisit).
 
-    Raises WarcError where framing, block digest or payload digest do not hold.  Holds one piece of a record at a time."""
+    Raises WarcError where framing, block digest or payload digest do not hold, or a header line is longer than
+    ``most_header`` (None: no limit, for archives written here).  Holds one piece of a record, or a header line, at a time."""
     for pieces in _members(stream):
-        block = _Block(pieces)
+        block = _Block(pieces, most_header)
         if block.line() not in (b"WARC/1.0", b"WARC/1.1"):
             raise WarcError("no WARC version line")
         head = block.header()
@@ -211,7 +214,7 @@ def read_archives(files: DataFrame) -> DataFrame:
                 store, name = filesystem(path)
                 rows = []
                 with store.open_input_stream(name, compression=None) as f:
-                    for head, n, sha in read(f):
+                    for head, n, sha in read(f, None):
                         kind = head["warc-type"]
                         to = _page(head["warc-refers-to"]) if kind == "revisit" else None
                         if kind == "revisit":
