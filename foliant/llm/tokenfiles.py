@@ -142,6 +142,8 @@ def write_tokens(documents: DataFrame, tokenizer: str, folder: str | None = None
 
         for piece in tb.slices(batches, most=2 * tb.SLICE_BYTES):
             got, at = token_ids(piece.column(1), tokenizer)
+            if len(got) and int(got.max()) >> bits:
+                raise ValueError(f"token id {int(got.max())} does not fit {bits} bits")
             ids.append(got.astype(np.uint16 if bits <= 16 else np.uint32))
             docs.append(piece.column(0).to_numpy())
             sizes.append(np.diff(at))
