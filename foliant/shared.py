@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+#: Paths of the temporary tables made here and not removed yet.
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -17,14 +21,17 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _own:
-            _own.append("file://" + tempfile.mkdtemp(prefix="foliant-"))
+            folder = tempfile.mkdtemp(prefix="foliant-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            _own.append("file://" + folder)
         at = _own[0]
     return at.rstrip("/")
 
 
 def fresh(spark: SparkSession, what: str) -> str:
     """URI of a new folder below the shared one."""
-    return f"{shared_dir(spark)}/foliant/{what}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/foliant/{what}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 #: Rows of an Arrow batch at most while a temporary table is written: what the JVM and a Python worker hold of it at once.
@@ -41,10 +48,44 @@ def written(frame: DataFrame, what: str) -> DataFrame:
         frame.write.parquet(path)
     finally:
         spark.conf.set(_ARROW, rows)
-    return spark.read.schema(frame.schema).parquet(path)
+    table = spark.read.schema(frame.schema).parquet(path)
+    table._foliant_path = path
+    return table
+
+
+def _delete(spark: SparkSession, uri: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def remove(*tables: DataFrame) -> None:
+    """Removes temporary tables that written() returned and nothing reads any more."""
+    for table in tables:
+        _delete(table.sparkSession, table._foliant_path)
+        _made.remove(table._foliant_path)
+
+
+class Scratch:
+    """``with Scratch(spark) as scratch``: the temporary tables and files made inside are removed at the end, but for scratch.keep(table)."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.kept = spark, set()
+
+    def __enter__(self) -> "Scratch":
+        self.before = set(_made)
+        return self
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        self.kept.add(table._foliant_path)
+        return table
+
+    def __exit__(self, *failed) -> None:
+        for path in [p for p in _made if p not in self.before and p not in self.kept]:
+            _delete(self.spark, path)
+            _made.remove(path)
 
 
 def clear(spark: SparkSession) -> None:
     """Removes all temporary tables and files below the shared folder; for when no frame is needed any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/foliant")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/foliant")
+    _made.clear()
