@@ -43,18 +43,36 @@ SLICE = 1 << 19
 _ROW = ["doc_id", "h"]
 
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_powers = np.ones(1, np.uint64)
+_inverse = np.ones(1, np.uint64)
+
+
+def _tables(n: int) -> None:
+    global _powers, _inverse
+    if len(_powers) < n:
+        size = max(n, SLICE + 1)
+        with np.errstate(over="ignore"):
+            inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
+            _powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, _BASE)]), dtype=np.uint64)
+            _inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, inverse)]), dtype=np.uint64)
+
+
 class Prefix:
-    """Prefix sums over a slice's bytes, from which the hash of any byte range follows."""
+    """Prefix sums over a slice's bytes, from which the hash of any byte range follows.
+
+    A polynomial modulo 2^64 over the bytes: ranges of about a thousand bytes can be made to collide whatever its base, but
+    none here is longer than two windows."""
 
     def __init__(self, data: np.ndarray):
-        tb._tables(len(data) + 1)
+        _tables(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         with np.errstate(over="ignore"):
-            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * tb._powers[: len(data)], out=self.sums[1:])
+            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers[: len(data)], out=self.sums[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return tb.mix((self.sums[end] - self.sums[start]) * tb._inverse[start])
+            return tb.mix((self.sums[end] - self.sums[start]) * _inverse[start])
 
 
 def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
@@ -93,7 +111,7 @@ def runs(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GR
     row, a, lo, hi = row[first], anchor[first], start[first], start[last]
     with np.errstate(over="ignore"):
         shape = (a - lo).astype(np.uint64) * np.uint64(1009) + (hi - lo).astype(np.uint64)
-        whole = tb.mix(prefix(lo, hi + length) + shape * tb._BASE)
+        whole = tb.mix(prefix(lo, hi + length) + shape * _BASE)
     return row, a - off[row], lo - off[row], hi - off[row], prefix(a, a + gram), whole
 
 
@@ -284,7 +302,7 @@ def _compared(t: pa.Table, length: int):
     a, lo, alone = (t.column(c).to_numpy() for c in ("a", "lo", "alone"))
     which, offset, hashes = _windows(t.column("bytes").to_pylist(), a - lo, length)
     with np.errstate(over="ignore"):
-        hit = tb.repeated(hashes + offset.astype(np.uint64) * tb._BASE) & alone.astype(bool)[which]
+        hit = tb.repeated(hashes + offset.astype(np.uint64) * _BASE) & alone.astype(bool)[which]
     run, first, last = _stretches(which[hit], offset[hit], a - lo, lo)
     take = pa.array(run)
     yield pa.record_batch([t.column("doc_id").combine_chunks().take(take), t.column("h").combine_chunks().take(take), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], schema=_SPAN)

@@ -7,19 +7,20 @@ as a slice.  Null texts count as empty.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SLICE_BYTES = 2 << 20
-BLOCK_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _S32 = np.uint64(32)
-_powers = np.ones(1, np.uint64)
-_inverse = np.ones(1, np.uint64)
+#: Bits that keys of several numbers are packed into at most; beyond, they are numbered pair by pair.
+KEY_BITS = 63
 
 
 def table(inside: str | bytes | None = None, outside: bytes | None = None) -> np.ndarray:
@@ -73,6 +74,7 @@ def mapped(frame, fn: Callable, schema: str, columns: tuple[str, ...] = ("doc_id
             out = fn(part)
             if out is not None:
                 yield out
+        release()
 
     return frame.select(*(frame[c].cast("long") if c.endswith("_id") else frame[c] for c in columns)).mapInArrow(run, schema)
 
@@ -83,10 +85,18 @@ def rewritten(frame, fn: Callable, text: str = "text"):
     def run(batches):
         for part in slices(batches, text):
             yield fn(part)
+        release()
 
     return frame.mapInArrow(run, frame.schema)
 
 
+def release() -> None:
+    """Hands freed memory back to the system: Spark keeps a Python worker for the stages that follow, and with it what it holds."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def text_of(part: pa.RecordBatch, text: str = "text") -> pa.Array:
     return part.column(part.schema.get_field_index(text))
 
@@ -108,16 +118,6 @@ def spans(data: np.ndarray, off: np.ndarray, lut: np.ndarray) -> tuple[np.ndarra
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, off)
 
 
-def _tables(n: int) -> None:
-    global _powers, _inverse
-    if len(_powers) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        with np.errstate(over="ignore"):
-            inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-            _powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, _BASE)]), dtype=np.uint64)
-            _inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, inverse)]), dtype=np.uint64)
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         h = (h ^ (h >> _S32)) * _MIX
@@ -125,21 +125,53 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> _S32)
 
 
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The distinct ones of some byte spans (ascending, none in another), and the number of each span among them: equal numbers are equal bytes."""
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[starts] = 1
+    edge[ends] -= 1
+    at = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=at[1:])
+    coded = as_strings(np.compress(np.cumsum(edge[:-1], dtype=np.int8).view(bool), data), at, binary=True).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+
+
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans (ascending starts), with temporaries of one block or the longest span."""
-    out = np.empty(len(starts), np.uint64)
-    at = 0
-    with np.errstate(over="ignore"):
-        while at < len(starts):
-            to = max(at + 1, int(np.searchsorted(ends, starts[at] + BLOCK_BYTES, "right")))
-            lo, hi = int(starts[at]), int(ends[at:to].max())
-            _tables(hi - lo + 1)
-            sums = np.zeros(hi - lo + 1, np.uint64)
-            np.cumsum((data[lo:hi].astype(np.uint64) + np.uint64(1)) * _powers[: hi - lo], out=sums[1:])
-            s, e = starts[at:to] - lo, ends[at:to] - lo
-            out[at:to] = (sums[e] - sums[s]) * _inverse[s]
-            at = to
-    return mix(out)
+    """64-bit XXH3 hashes of such spans; each distinct one is hashed once."""
+    words, codes = distinct(data, starts, ends)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), np.uint64, len(words))[codes]
+
+
+def gram_codes(codes: np.ndarray, k: int) -> np.ndarray:
+    """Equal numbers for equal runs of k numbers (0 or more) and for those alone; shorter input gives none.
+
+    Runs are packed into one whole number where they fit it, and else numbered by doubling their length."""
+    codes = codes.astype(np.int64, copy=False)
+    if len(codes) < k:
+        return codes[:0]
+    bits = max(1, int(codes.max()).bit_length())
+    if bits * k <= KEY_BITS:
+        out = codes[: len(codes) - k + 1].copy()
+        for j in range(1, k):
+            out = out << bits | codes[j : len(codes) - k + 1 + j]
+        return out
+    out, size = codes, 1
+    while size < k:
+        step = min(size, k - size)
+        out = np.unique(out[:-step] * (int(out.max()) + 1) + out[step:], return_inverse=True)[1]
+        size += step
+    return out
+
+
+def keyed(rows: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Equal numbers for equal pairs of a row and a code, and for those alone."""
+    if not len(codes):
+        return codes.astype(np.int64)
+    bits = max(1, int(codes.max()).bit_length())
+    if bits + max(1, int(rows.max()).bit_length()) > KEY_BITS:
+        codes = np.unique(codes, return_inverse=True)[1]
+        return rows.astype(np.int64) * (int(codes.max()) + 1) + codes
+    return rows.astype(np.int64) << bits | codes
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
