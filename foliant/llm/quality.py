@@ -1,9 +1,15 @@
 """Quality rules as a short-circuit cascade.
 
-``features`` counts, ``RULES`` reject, ``order_rules`` measures each rule's cost and
-its rejection rate on a bounded sample and orders the rules by rejection per cost,
-and ``cascade`` evaluates them in that order, each on what all before it kept.  The
-order changes the cost alone: the verdict is the conjunction of all rules.
+``Texts`` counts, once, what rules ask for; ``RULES`` reject; ``order_rules`` measures on
+a sample each rule's cost and what it rejects of the texts that the rules before it
+left, and puts the rule with the most rejections for its cost next; ``cascade`` then
+asks each rule about what is left only.  Each task takes its sample from its own first
+rows, so nothing is read twice and nothing travels.  The order changes the cost alone:
+the verdict is the conjunction of all rules.
+
+The rules are the usual published ones (length of words, symbols, copied lines, words
+without letters, stop words, capitals, bullets, ellipses, long words, one word over and
+over); the contract's base rule comes before them.
 
 Null and empty texts have no words; zero counts; they fail the base rule.  Repeated
 rows are scored row by row.  Other columns are ignored.
@@ -20,77 +26,111 @@ from pyspark.sql import DataFrame
 
 from . import textbatch as tb
 
-SAMPLE_ROWS = 2000
+#: What a task looks at to order the rules: its first texts, up to so many bytes of them (one text at least).
+SAMPLE_BYTES = 1 << 18
 MIN_WORDS = 50
+#: The rows that are left are cut out of a slice when they are fewer than this share of it.
+WORTH = 0.8
 SYMBOLS = tb.table(b"#*$%&|<>")
 NEWLINE = tb.table(outside=b"\n")
+UPPER = tb.table(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+ALPHA = tb.table(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+#: ASCII letters, and all beyond ASCII.
+LETTER = tb.table(bytes([*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]))
+BULLETS = ("-", "*", "•")
+ELLIPSES = ("...", "…")
+#: Frequent words of English, German, French and Spanish.
+STOP_WORDS = "the be to of and that have with in is it for on der die das und ist von mit den zu nicht le la les et de des une est que pour el los las y en por con del un se".split()
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, rejected_by string"
 
 
+def _once(count: Callable[["Texts"], np.ndarray]) -> Callable[["Texts"], np.ndarray]:
+    """A count that is made when first asked for, and kept."""
+    name = count.__name__
+
+    def get(self: "Texts") -> np.ndarray:
+        if name not in self.known:
+            self.known[name] = count(self)
+        return self.known[name]
+
+    return get
+
+
 class Texts:
-    """Counts of a slice of texts, each made when a rule first asks for it, for the rows it asks about."""
+    """Counts of a slice of texts."""
 
     def __init__(self, column: pa.Array):
-        self.data, self.off = tb.raw(column)
-        self.rows = len(self.off) - 1
-        self.starts, self.ends, self.woff = tb.spans(self.data, self.off, tb.NON_SPACE)
-        self.n_words = np.diff(self.woff)
-        self._h: np.ndarray | None = None
+        data, off = tb.raw(column)
+        self._hold(data, off, *tb.spans(data, off, tb.NON_SPACE))
+        self.known: dict[str, np.ndarray] = {}
 
-    @property
-    def words(self) -> np.ndarray:
-        if self._h is None:
-            self._h = tb.hashes(self.data, self.starts, self.ends)
-        return self._h
+    def _hold(self, data, off, starts, ends, woff) -> None:
+        self.data, self.off, self.starts, self.ends, self.woff = data, off, starts, ends, woff
+        self.rows, self.n_words = len(off) - 1, np.diff(woff)
 
-    def of(self, rows: np.ndarray, column: pa.Array) -> "Texts":
-        return Texts(column.take(pa.array(rows)))
+    def of(self, rows: np.ndarray) -> "Texts":
+        """The same of some rows, in their order: cut out of what is there, counts included."""
+        new = object.__new__(Texts)
+        data, off = tb.ragged(self.data, self.off, rows)
+        starts, woff = tb.ragged(self.starts, self.woff, rows)
+        shift = np.repeat(off[:-1] - self.off[rows], np.diff(woff))
+        new._hold(data, off, starts + shift, tb.ragged(self.ends, self.woff, rows)[0] + shift, woff)
+        new.known = {k: v[rows] for k, v in self.known.items() if len(v) == self.rows and k != "words"}
+        if "words" in self.known:
+            new.known["words"] = tb.ragged(self.known["words"], self.woff, rows)[0]
+        return new
 
+    @_once
+    def words(self) -> np.ndarray:
+        """The number of each word among the distinct ones."""
+        return tb.distinct(self.data, self.starts, self.ends)[1]
+
+    @_once
     def word_chars(self) -> np.ndarray:
         return tb.sums(tb.NON_SPACE[self.data] & ((self.data & 0xC0) != 0x80), self.off)
 
+    @_once
     def n_symbols(self) -> np.ndarray:
         return tb.sums(SYMBOLS[self.data], self.off)
 
-    def lines(self) -> tuple[np.ndarray, np.ndarray]:
-        """Of lines with a word: hashes, also of their row, and the offsets by row."""
+    def _lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of the lines with a word, and their offsets by row."""
         s, e, off = tb.spans(self.data, self.off, NEWLINE)
-        if not len(s):
-            return np.zeros(0, np.uint64), off
         has = np.searchsorted(self.starts, e) > np.searchsorted(self.starts, s)
-        with np.errstate(over="ignore"):
-            h = tb.mix(tb.hashes(self.data, s, e) + (tb.rows_of(off).astype(np.uint64) << np.uint64(40)))
         kept = np.zeros(len(s) + 1, np.int64)
         np.cumsum(has, out=kept[1:])
-        return h[has], kept[off]
-
-    def n_dup_lines(self) -> np.ndarray:
-        h, off = self.lines()
-        return tb.sums(tb.later(h), off)
+        return s[has], e[has], kept[off]
 
+    @_once
     def n_lines(self) -> np.ndarray:
-        return np.diff(self.lines()[1])
+        return np.diff(self._lines()[2])
 
-    def n_repeat_words(self, k: int = 3) -> np.ndarray:
-        h = tb.grams(self.words, k)
-        at = np.flatnonzero(tb.within(self.woff, k))
-        with np.errstate(over="ignore"):
-            row = tb.rows_of(self.woff)[at].astype(np.uint64)
-            again = at[tb.repeated(tb.mix(h[at] + (row << np.uint64(40))))]
-        return tb.sums(tb.covered(again, k, len(self.words)), self.woff)
+    @_once
+    def n_dup_lines(self) -> np.ndarray:
+        s, e, off = self._lines()
+        return tb.sums(tb.later(tb.keyed(tb.rows_of(off), tb.distinct(self.data, s, e)[1])), off)
+
+    @_once
+    def n_repeat_words(self) -> np.ndarray:
+        grams = tb.gram_codes(self.words(), 3)
+        at = np.flatnonzero(tb.within(self.woff, 3))
+        again = at[tb.repeated(tb.keyed(tb.rows_of(self.woff)[at], grams[at]))]
+        return tb.sums(tb.covered(again, 3, len(self.starts)), self.woff)
 
+    @_once
     def longest_word(self) -> np.ndarray:
+        """In bytes."""
         out = np.zeros(self.rows, np.int64)
         full = np.flatnonzero(self.n_words)
         if len(full):
             out[full] = np.maximum.reduceat(self.ends - self.starts, self.woff[full])
         return out
 
+    @_once
     def top_word(self) -> np.ndarray:
         """Occurrences of the commonest word."""
         row = tb.rows_of(self.woff)
-        with np.errstate(over="ignore"):
-            keys = tb.mix(self.words + (row.astype(np.uint64) << np.uint64(40)))
+        keys = tb.keyed(row, self.words())
         order = np.argsort(keys)
         out = np.zeros(self.rows, np.int64)
         if len(keys):
@@ -98,63 +138,124 @@ class Texts:
             np.maximum.at(out, row[order[edge]], np.diff(np.append(edge, len(keys))))
         return out
 
+    @_once
+    def n_lettered(self) -> np.ndarray:
+        """Words with a letter."""
+        total = np.zeros(len(self.data) + 1, np.int64)
+        np.cumsum(LETTER[self.data], out=total[1:])
+        return tb.sums(total[self.ends] > total[self.starts], self.woff)
+
+    @_once
+    def n_alpha(self) -> np.ndarray:
+        return tb.sums(ALPHA[self.data], self.off)
 
-#: Reject where true.  Of prose they let pass: at least half of a text's characters
-#: would have to be symbols, lines copied, or one word.
+    @_once
+    def n_capitals(self) -> np.ndarray:
+        return tb.sums(UPPER[self.data], self.off)
+
+    @_once
+    def n_stop_words(self) -> np.ndarray:
+        """Words that are a stop word in ASCII lower case, with nothing beside it."""
+        size, out = self.ends - self.starts, np.zeros(len(self.starts), bool)
+        low = tb.LOWER[self.data]
+        for n in {len(w) for w in STOP_WORDS}:
+            at = np.flatnonzero(size == n)
+            if len(at):
+                key = np.zeros(len(at), np.int64)
+                for j in range(n):
+                    key = key << 8 | low[self.starts[at] + j]
+                out[at] = np.isin(key, [int.from_bytes(w.encode()) for w in STOP_WORDS if len(w) == n])
+        return tb.sums(out, self.woff)
+
+    def _edge(self, marks: tuple[str, ...], last: bool) -> np.ndarray:
+        """Lines with a word that begin, or end, with one of some strings (after or before white space)."""
+        s, e, off = self._lines()
+        first = np.searchsorted(self.starts, s)
+        a, b = self.starts[first], self.ends[np.searchsorted(self.starts, e) - 1]
+        out = np.zeros(len(s), bool)
+        for mark in marks:
+            x = mark.encode()
+            hit = b - a >= len(x)
+            at = (b - len(x) if last else a)[hit]
+            same = np.ones(len(at), bool)
+            for j, c in enumerate(x):
+                same &= self.data[at + j] == c
+            out[np.flatnonzero(hit)[same]] = True
+        return tb.sums(out, off)
+
+    @_once
+    def n_bullets(self) -> np.ndarray:
+        return self._edge(BULLETS, False)
+
+    @_once
+    def n_ellipses(self) -> np.ndarray:
+        return self._edge(ELLIPSES, True)
+
+
+#: Reject where true.
 RULES: dict[str, Callable[[Texts], np.ndarray]] = {
-    "symbols": lambda t: t.n_symbols() * 10 > t.word_chars() * 3,
-    "copied_lines": lambda t: t.n_dup_lines() * 2 > t.n_lines(),
-    "word_length": lambda t: (t.word_chars() < 2 * t.n_words) | (t.word_chars() > 20 * t.n_words),
+    "symbols": lambda t: t.n_symbols() * 10 > t.n_words,
+    "copied_lines": lambda t: t.n_dup_lines() * 10 > t.n_lines() * 3,
+    "word_length": lambda t: (t.word_chars() < 3 * t.n_words) | (t.word_chars() > 10 * t.n_words),
+    "letters": lambda t: t.n_lettered() * 10 < t.n_words * 8,
+    "stop_words": lambda t: t.n_stop_words() < 2,
+    "capitals": lambda t: t.n_capitals() * 2 > t.n_alpha(),
+    "bullets": lambda t: t.n_bullets() * 10 > t.n_lines() * 9,
+    "ellipses": lambda t: t.n_ellipses() * 10 > t.n_lines() * 3,
     "long_word": lambda t: t.longest_word() > 1000,
-    "one_word": lambda t: t.top_word() * 2 > t.n_words,
+    "one_word": lambda t: t.top_word() * 4 > t.n_words,
 }
 
 
-def order_rules(documents: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """Rule names by rejection per cost, measured on ``sample_rows`` rows at most; unordered on none.
+def order_rules(column: pa.Array, rules=RULES, sample_bytes: int = SAMPLE_BYTES) -> list[str]:
+    """Rule names, by rejections for their cost among what the rules before them leave of the column's first ``sample_bytes`` bytes.
 
-    The bounded sample decides on the order alone, never on a verdict."""
-    rows = [r.text for r in documents.select("text").head(sample_rows)]
-    if not rows:
-        return list(rules)
-    texts = [part.column(0) for part in tb.slices(pa.table({"text": pa.array(rows, pa.string())}).to_batches())]
-    gain = {}
+    What an earlier rule has counted costs a later one nothing, as in the cascade itself."""
+    off = tb.raw(column)[1]
+    texts = Texts(column.slice(0, max(1, int(np.searchsorted(off, off[0] + sample_bytes, "right")) - 1)))
+    bad, cost = {}, {}
     for name, rule in rules.items():
-        spent, hits, n = 1e-9, 0, 0
-        for column in texts:
-            t = Texts(column)
-            began = time.perf_counter()
-            hits += int(rule(t).sum())
-            spent += time.perf_counter() - began
-            n += t.rows
-        gain[name] = (hits / n) / spent, -spent
-    return sorted(rules, key=lambda name: gain[name], reverse=True)
-
-
-def cascade(column: pa.Array, alive: np.ndarray, order: list[str], rules=RULES) -> np.ndarray:
-    """The name of the first rule in ``order`` that rejects each row, '' for the others; rows not ``alive`` are not looked at."""
-    out = np.full(len(column), "", object)
-    rows = np.flatnonzero(alive)
+        began = time.perf_counter()
+        bad[name] = rule(texts)
+        cost[name] = time.perf_counter() - began + 1e-9
+    out, left = [], np.ones(texts.rows, bool)
+    while len(out) < len(rules):
+        best = max((n for n in rules if n not in out), key=lambda n: (int((bad[n] & left).sum()) / cost[n], -cost[n]))
+        out.append(best)
+        left &= ~bad[best]
+    return out
+
+
+def cascade(texts: Texts, alive: np.ndarray, order: list[str], rules=RULES) -> np.ndarray:
+    """The name of the first rule in ``order`` that rejects each row, '' for the others; rows not ``alive`` are not asked about."""
+    out = np.full(texts.rows, "", object)
+    rows = np.flatnonzero(alive)  # of all texts
+    here = rows  # the same rows, of the texts that are left
     for name in order:
         if not len(rows):
             break
-        bad = rules[name](Texts(column.take(pa.array(rows))))
+        if len(rows) < WORTH * texts.rows:
+            texts, here = texts.of(here), np.arange(len(rows))
+        bad = rules[name](texts)[here]
         out[rows[bad]] = name
-        rows = rows[~bad]
+        rows, here = rows[~bad], here[~bad]
     return out
 
 
 def quality(documents: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """A row per document: the counts, the base rule and the cascade's verdict."""
-    order = order_rules(documents) if order is None else order
-
-    def run(part):
-        column = part.column(1)
-        t = Texts(column)
-        repeat = t.n_repeat_words()
-        failed = (t.n_words < MIN_WORDS) | (100 * repeat > 50 * t.n_words)
-        by = cascade(column, ~failed, order)
-        kept = ~failed & (by == "")
-        return pa.record_batch([part.column(0), *map(pa.array, (t.n_words, t.word_chars(), t.n_symbols(), t.n_dup_lines(), repeat, failed, kept)), pa.array(by.tolist(), pa.string())], names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by"])
-
-    return tb.mapped(documents, run, SCHEMA)
+    """A row per document: the counts, the base rule and the cascade's verdict.  ``order``: of the rules; measured where it is None."""
+
+    def run(batches):
+        ranked = order
+        for part in tb.slices(batches):
+            column = part.column(1)
+            ranked = ranked or order_rules(column)
+            t = Texts(column)
+            repeat = t.n_repeat_words()
+            failed = (t.n_words < MIN_WORDS) | (100 * repeat > 50 * t.n_words)
+            counts = t.n_words, t.word_chars(), t.n_symbols(), t.n_dup_lines(), repeat, failed
+            by = cascade(t, ~failed, ranked)
+            yield pa.record_batch([part.column(0), *map(pa.array, (*counts, ~failed & (by == ""))), pa.array(by.tolist(), pa.string())], names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by"])
+        tb.release()
+
+    return documents.select(documents["doc_id"].cast("long"), documents["text"]).mapInArrow(run, SCHEMA)

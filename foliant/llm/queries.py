@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, licenses, pii, repeats, sentencepiece, simhash, tokenfiles, toxicity, warc
-from .quality import quality
+from .quality import STOP_WORDS, quality
 
-
-#: Folder of the public tokenizers' files; never part of the repository.
-TOKENIZERS = "/opt/tokenizers"
+#: The public tokenizers' files, which are never part of the repository: a SentencePiece model and a byte-level BPE vocabulary.
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+BYTES = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +20,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece.encode_documents(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return sentencepiece.encode_documents(_read(spark, sf_dir, "documents"), PIECES)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +32,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenfiles.read_tokens(tokenfiles.write_tokens(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json"))
+    return tokenfiles.read_tokens(tokenfiles.write_tokens(_read(spark, sf_dir, "documents"), BYTES))
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,13 +101,16 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
     "op10_quality": r"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 l AS (SELECT k, line, row_number() OVER (PARTITION BY k, line ORDER BY i) AS nth FROM (SELECT k, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-lines AS (SELECT k, count(*) AS n_lines, count(*) FILTER (nth > 1) AS dup FROM l GROUP BY k),
+lines AS (SELECT k, count(*) AS n_lines, count(*) FILTER (nth > 1) AS dup, count(*) FILTER (regexp_matches(line, '^[\x20\x09-\x0D]*(?:-|\*|•)')) AS bullets, count(*) FILTER (regexp_matches(line, '(?:\.\.\.|…)[\x20\x09-\x0D]*$')) AS ellipses FROM l GROUP BY k),
 g AS (SELECT k, i, count(*) OVER (PARTITION BY k, w[i], w[i + 1], w[i + 2]) AS n FROM (SELECT k, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
 again AS (SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest([i, i + 1, i + 2]) AS p FROM g WHERE n > 1) GROUP BY k),
 top AS (SELECT k, max(n) AS n, max(strlen(x)) AS longest FROM (SELECT k, x, count(*) AS n FROM (SELECT k, unnest(w) AS x FROM d) GROUP BY k, x) GROUP BY k),
-c AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, coalesce(dup, 0) AS dup, coalesce(n_lines, 0) AS n_lines, coalesce(again.n, 0) AS rep, coalesce(top.n, 0) AS top, coalesce(longest, 0) AS longest
+c AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, coalesce(dup, 0) AS dup, coalesce(n_lines, 0) AS n_lines, coalesce(bullets, 0) AS bullets, coalesce(ellipses, 0) AS ellipses, coalesce(again.n, 0) AS rep, coalesce(top.n, 0) AS top, coalesce(longest, 0) AS longest,
+    len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS lettered, len(list_filter(w, lambda x: list_contains([STOPS], translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')))) AS stops,
+    len(regexp_extract_all(t, '[A-Z]')) AS capitals, len(regexp_extract_all(t, '[A-Za-z]')) AS alpha
   FROM d LEFT JOIN lines USING (k) LEFT JOIN again USING (k) LEFT JOIN top USING (k)),
 b AS (SELECT *, n_words < 50 OR 100 * rep > 50 * n_words AS base_failed FROM c)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, dup::BIGINT AS n_dup_lines, rep::BIGINT AS n_repeat_words, base_failed,
-  NOT (base_failed OR n_symbols * 10 > word_chars * 3 OR dup * 2 > n_lines OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR longest > 1000 OR top * 2 > n_words) AS kept FROM b""",
+  NOT (base_failed OR n_symbols * 10 > n_words OR dup * 10 > n_lines * 3 OR word_chars < 3 * n_words OR word_chars > 10 * n_words OR lettered * 10 < n_words * 8 OR stops < 2 OR capitals * 2 > alpha
+    OR bullets * 10 > n_lines * 9 OR ellipses * 10 > n_lines * 3 OR longest > 1000 OR top * 4 > n_words) AS kept FROM b""".replace("STOPS", ", ".join(f"'{w}'" for w in STOP_WORDS)),
 }
