@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import uuid
 
-from ..shared import fresh, shared_dir, written
+from ..shared import fresh, remove, shared_dir, written
 
-__all__ = ["filesystem", "fresh", "put", "shared_dir", "written"]
+__all__ = ["filesystem", "fresh", "put", "remove", "shared_dir", "written"]
 
 
 def filesystem(uri: str):

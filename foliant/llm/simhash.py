@@ -1,15 +1,18 @@
 """SimHash near-duplicates through vantage-point trees.
 
 A fingerprint is folded from the XXH64 values of a text's word shingles.  Distinct
-fingerprints are placed in a vantage-point tree over Hamming distance.  The vantage
-distance at one level of the tree is taken over one block of bits, and blocks of
-different levels do not overlap; so the triangle bounds |d(x, v) - d(y, v)| <= d(x, y)
-of the levels on a path add up, and a branch is left out as soon as their sum exceeds
-the radius.  The upper levels (the two halves of the bits) cut the fingerprints into
-shards; a fingerprint lives in one shard and is a query in every shard that its radius
-overlaps (one of the two directions, so a pair meets once).  The lower levels (the
-eight bytes) are searched within a shard, and small leaves are compared outright, so
-the pairs are exact.
+fingerprints are placed in a vantage-point tree over Hamming distance.  A node has a
+vantage point, and its children are told apart by their distances from it over disjoint
+blocks of bits; so the triangle bounds |d(x, v) - d(y, v)| <= d(x, y) of the blocks add
+up, and a child is left out as soon as their sum exceeds the radius.
+
+The upper levels cut the fingerprints into shards.  The root's children are rings over
+the two halves of the bits; a child of more than ``NODE`` fingerprints is cut again, by
+a vantage point of its own and over the four quarters.  A fingerprint lives in one shard
+and is a query in every shard that its radius overlaps (within a node in one of the two
+directions, so a pair meets once).  The lower levels are searched within a shard, around
+a vantage point of the shard, byte by byte of the distance, and small leaves are compared
+outright, so the pairs are exact.
 
 Equal fingerprints are one node, so groups of exact copies cost nothing.  Groups of
 near copies do not become lists of pairs: a shard passes on a star per component of
@@ -36,9 +39,11 @@ from .shared import written
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
-PART = (2_000, 500_000)
-#: Up to how many distinct fingerprints the shards are cut by the halves of the bits; by the quarters beyond.
-BY_HALVES = 20_000_000
+#: Fingerprints of a part of a shard: a fiftieth of them all, within these bounds.
+PART = (1_000, 500_000)
+#: Blocks of bits of the levels that cut shards, and the fingerprints beyond which a shard of the level before is cut again.
+BLOCKS = (2, 4)
+NODE = 100_000
 LEAF_PAIRS = 1 << 20
 SAMPLE = 1024
 _CHUNK = 1 << 16
@@ -115,13 +120,13 @@ class Forest:
                 self.root = up
 
 
-def search(home: np.ndarray, query: np.ndarray, own: np.ndarray, vantage: int, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+def search(home: np.ndarray, query: np.ndarray, own: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Links a star each: members and centres of the components that pairs within the radius make.
 
     Pairs are of a query and a home fingerprint; where the query is of the same shard (``own``), the lesser is the query."""
     nodes, where = np.unique(np.concatenate([home, query]), return_inverse=True)
     node_h, node_q = where[: len(home)], where[len(home) :]
-    forest = Forest(len(nodes))
+    forest, vantage = Forest(len(nodes)), _vantage(home[:SAMPLE])
     d_h, d_q = (np.bitwise_count((x ^ np.uint64(vantage)).view(np.uint8).reshape(-1, 8)).astype(np.int8) for x in (home, query))
 
     def leaf(q: np.ndarray, h: np.ndarray) -> None:
@@ -150,53 +155,87 @@ def search(home: np.ndarray, query: np.ndarray, own: np.ndarray, vantage: int, r
     return nodes[member], nodes[forest.root[member]]
 
 
-def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b): edges whose components are those of all pairs of fingerprints within the radius.
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
-    The driver sees a sample of ``SAMPLE`` fingerprints and a count for each shard: 33^2 shards, or 17^4 for many fingerprints."""
-    spark, n = distinct.sparkSession, distinct.count()
-    sample = np.array([r.fp for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
-    vantage = _vantage(sample)
-    blocks = 2 if n <= BY_HALVES else 4
+
+def _rings(vantage, blocks: int) -> F.Column:
+    """The distances of ``fp`` from a vantage point over blocks of bits, as an array."""
     width = 64 // blocks
-    rings = width + 1
-    signed = lambda x: F.lit(x - (1 << 64) if x >> 63 else x).cast("long")
-    d = [F.bit_count(F.col("fp").bitwiseXOR(signed(vantage)).bitwiseAND(signed(((1 << width) - 1) << (width * k)))).cast("int").alias(f"d{k}") for k in range(blocks)]
-    placed = distinct.select("fp", *d)
-    ds = [f"d{k}" for k in range(blocks)]
-    count = np.zeros([rings] * blocks, np.int64)
-    for r in placed.groupBy(*ds).count().collect():
-        count[tuple(r[:blocks])] = r["count"]
+    apart = F.col("fp").bitwiseXOR(vantage)
+    return F.array(*[F.bit_count(apart.bitwiseAND(F.lit(_signed(((1 << width) - 1) << (width * k))).cast("long"))).cast("int") for k in range(blocks)])
+
+
+def _child(rings: F.Column, blocks: int) -> F.Column:
+    """The number of a child, unique among the children of all nodes of its level."""
+    number = F.col("node")
+    for k in range(blocks):
+        number = number * (64 // blocks + 1) + rings[k]
+    return number
+
+
+def _cut(visits: DataFrame, nodes: DataFrame, blocks: int, radius: int) -> DataFrame:
+    """Visits (fp, node, own) to the children of ``nodes`` (node, vantage) that the radius overlaps.
+
+    own: the fingerprint lives there.  Of two children of one node that see each other's fingerprints, only the one that is
+    lesser asks; what comes from outside the node asks all that it overlaps."""
     zero = (0,) * blocks
-    overlap = [to for to in itertools.product(range(-radius, radius + 1), repeat=blocks) if sum(map(abs, to)) <= radius and to >= zero]
-    asked = np.zeros_like(count)
-    full = np.stack(np.nonzero(count))
-    for to in overlap:
-        at = full + np.array(to)[:, None]
-        ok = ((at >= 0) & (at < rings)).all(axis=0)
-        np.add.at(asked, tuple(at[:, ok]), count[tuple(full[:, ok])])
+    steps = [to for to in itertools.product(range(-radius, radius + 1), repeat=blocks) if sum(map(abs, to)) <= radius]
+    some = lambda chosen: F.array(*[F.array(*map(F.lit, to)) for to in chosen])
+    at = visits.join(nodes, "node").select("fp", "node", "own", _rings(F.col("vantage"), blocks).alias("rings"))
+    at = at.withColumn("to", F.explode(F.when(F.col("own"), some([to for to in steps if to >= zero])).otherwise(some(steps))))
+    there = F.zip_with("rings", "to", lambda a, b: a + b)
+    at = at.select("fp", "node", (F.col("own") & (F.col("to") == F.array(*map(F.lit, zero)))).alias("own"), there.alias("rings"))
+    return at.filter(F.forall("rings", lambda r: (r >= 0) & (r <= 64 // blocks))).select("fp", _child(F.col("rings"), blocks).alias("node"), "own")
+
+
+def shards(distinct: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
+    """(visits, sizes): fp, node, own; and of each shard with fingerprints of its own their number and that of its visits."""
+    spark = distinct.sparkSession
+    sample = np.array([r.fp for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
+    nodes = spark.createDataFrame([(0, _signed(_vantage(sample)))], "node long, vantage long")
+    crowded, done = distinct.select("fp", F.lit(0).cast("long").alias("node"), F.lit(True).alias("own")), []
+    for level, blocks in enumerate(BLOCKS):
+        visits = _cut(crowded, F.broadcast(nodes) if not level else nodes, blocks, radius)
+        if level:
+            visits = visits.withColumn("node", -F.col("node") - 1)  # apart from the numbers of the level before
+        sizes = written(visits.groupBy("node").agg(F.sum(F.col("own").cast("long")).alias("homes"), F.count("*").alias("asked")).filter("homes > 0"), "shards")
+        big = sizes.filter(F.col("homes") > NODE).select("node")
+        if level == len(BLOCKS) - 1 or not big.limit(1).count():
+            done.append((visits, sizes))
+            break
+        done.append((visits.join(big, "node", "left_anti"), sizes.filter(F.col("homes") <= NODE)))
+        crowded = written(visits.join(big, "node", "left_semi"), "crowded-shards")
+        # a node's vantage point is the one of its own fingerprints whose hash is least
+        nodes = written(crowded.filter("own").groupBy("node").agg(F.min_by("fp", F.xxhash64("fp")).alias("vantage")), "vantage-points")
+    visits, sizes = done[0]
+    for more, rest in done[1:]:
+        visits, sizes = visits.unionByName(more), sizes.unionByName(rest)
+    return visits, sizes
+
+
+def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b): edges whose components are those of all pairs of fingerprints within the radius.
+
+    The driver sees a sample of ``SAMPLE`` fingerprints, which chooses the root's vantage point, and the number of them all."""
+    visits, sizes = shards(distinct, radius)
     # the parts grow with the input, so that rows are repeated for no more parts than on a small one
-    part = int(min(PART[1], max(PART[0], n // 20)))
-    cell = np.flatnonzero(count)
-    parts = spark.createDataFrame([(int(c), int(-(-count.flat[c] // part)), int(max(1, -(-asked.flat[c] // (2 * part))))) for c in cell], "cell int, homes int, queries int")
-    rows = placed.withColumn("to", F.explode(F.array(*[F.array(*map(F.lit, to)) for to in overlap])))
-    at = [F.col(f"d{k}") + F.col("to")[k] for k in range(blocks)]
-    inside, number = F.lit(True), F.lit(0)
-    for x in at:
-        inside, number = inside & (x >= 0) & (x < rings), number * rings + x
-    rows = rows.filter(inside).select("fp", number.cast("int").alias("cell"), (F.col("to") == F.array(*map(F.lit, zero))).alias("own"))
-    rows = rows.join(F.broadcast(parts), "cell")
+    part = int(min(PART[1], max(PART[0], distinct.count() // 50)))
+    parts = sizes.select("node", F.ceil(F.col("homes") / part).cast("int").alias("homes"), F.greatest(F.lit(1), F.ceil(F.col("asked") / (2 * part))).cast("int").alias("queries"))
+    rows = visits.join(parts, "node")
     salt = F.xxhash64("fp", F.lit(1))
-    asks = rows.select("fp", "cell", "own", F.explode(F.sequence(F.lit(0), F.col("homes") - 1)).alias("hs"), F.pmod(salt, F.col("queries")).cast("int").alias("qs"), F.lit(False).alias("home"))
-    lives = rows.filter("own").select("fp", "cell", "own", F.pmod(salt, F.col("homes")).cast("int").alias("hs"), F.explode(F.sequence(F.lit(0), F.col("queries") - 1)).alias("qs"), F.lit(True).alias("home"))
+    asks = rows.select("fp", "node", "own", F.explode(F.sequence(F.lit(0), F.col("homes") - 1)).alias("hs"), F.pmod(salt, F.col("queries")).cast("int").alias("qs"), F.lit(False).alias("home"))
+    lives = rows.filter("own").select("fp", "node", "own", F.pmod(salt, F.col("homes")).cast("int").alias("hs"), F.explode(F.sequence(F.lit(0), F.col("queries") - 1)).alias("qs"), F.lit(True).alias("home"))
 
     def run(t: pa.Table) -> pa.Table:
         fp, home, own = (t.column(c).to_numpy() for c in ("fp", "home", "own"))
         fp = fp.astype(np.int64).view(np.uint64)
-        a, b = search(fp[home], fp[~home], own[~home].astype(bool), vantage, radius)
+        a, b = search(fp[home], fp[~home], own[~home].astype(bool), radius)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return lives.unionByName(asks).groupBy("cell", "hs", "qs").applyInArrow(run, "a long, b long")
+    # dealt by range, so that a task has its share of the rows and not of the shards
+    dealt = lives.unionByName(asks).repartitionByRange("node", "hs", "qs")
+    return dealt.groupBy("node", "hs", "qs").applyInArrow(run, "a long, b long")
 
 
 def _roots(signed: DataFrame, radius: int) -> DataFrame:
