@@ -1,4 +1,7 @@
-"""Texts as codes into their distinct chunks, and a bounded memory of what chunks encode to."""
+"""Texts as codes into their distinct chunks, and a bounded memory of what chunks encode to.
+
+Empty rows have no chunks and no ids; nulls are empty.  Equal chunks of a call are encoded once.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +12,9 @@ import numpy as np
 
 from . import textbatch as tb
 
-MOST_CHUNKS = 850_000
+#: Remembered chunks, and their bytes, at most.
+MOST_CHUNKS = 400_000
+MOST_BYTES = 32 << 20
 
 
 def cut(data: np.ndarray, off: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -35,23 +40,25 @@ def joined(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 class Memory:
     """Ids of chunks met before; ``encode`` gives the ids of new ones in a row, and how many each has.  When it is full it starts anew; that changes the cost alone."""
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = MOST_CHUNKS):
-        self.encode, self.most = encode, most
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = MOST_CHUNKS, most_bytes: int = MOST_BYTES):
+        self.encode, self.most, self.most_bytes = encode, most, most_bytes
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[bytes, int] = {}
+        self.bytes = 0
         self.values = np.zeros(1 << 16, np.int32)
         self.off = np.zeros(1 << 14, np.int64)
 
     def numbers(self, chunks: list[bytes]) -> np.ndarray:
-        if len(self.number) + len(chunks) > self.most:
+        if len(self.number) + len(chunks) > self.most or self.bytes > self.most_bytes:
             self.clear()
         number, n = self.number, len(self.number)
         new = [c for c in chunks if c not in number]
         if new:
             flat, sizes = self.encode(new)
             number.update(zip(new, range(n, n + len(new))))
+            self.bytes += sum(map(len, new))
             base = self.off[n]
             if len(self.off) <= n + len(new):
                 self.off = np.concatenate([self.off, np.zeros(max(len(self.off), len(new) + 1), np.int64)])

@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -57,19 +58,30 @@ class Model:
 
 
 def merge(word: str, pieces: dict[str, int], scores: dict[int, float]) -> list[str]:
-    """BPE outright: the best-scored adjacent pair, the leftmost of equals, until none is a piece."""
-    parts = list(word)
-    while len(parts) > 1:
-        best = None
-        for i in range(len(parts) - 1):
-            p = pieces.get(parts[i] + parts[i + 1])
-            if p is not None and (best is None or scores[p] > best[0]):
-                best = scores[p], i
-        if best is None:
-            break
-        i = best[1]
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-    return parts
+    """BPE outright: the best-scored adjacent pair, the leftmost of equals, until none is a piece.
+
+    Pairs wait in a heap over a linked list of parts; an entry whose parts have changed since is passed over."""
+    parts, n = list(word), len(word)
+    after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+    waiting = []
+
+    def offer(i: int, j: int) -> None:
+        if i >= 0 and j < n and (p := pieces.get(parts[i] + parts[j])) is not None:
+            heappush(waiting, (-scores[p], i, j, len(parts[i]) + len(parts[j])))
+
+    for i in range(n - 1):
+        offer(i, i + 1)
+    while waiting:
+        _, i, j, size = heappop(waiting)
+        if not parts[i] or not parts[j] or after[i] != j or len(parts[i]) + len(parts[j]) != size:
+            continue
+        parts[i], parts[j] = parts[i] + parts[j], ""
+        after[i] = after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        offer(before[i], i)
+        offer(i, after[i])
+    return [p for p in parts if p]
 
 
 @lru_cache(2)
