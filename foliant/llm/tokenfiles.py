@@ -1,12 +1,13 @@
 """Token ids as wavelet-matrix files in ascending document order.
 
-Documents are dealt by range of id, and a task writes its documents in order, a file
-for each ``SHARD_TOKENS`` tokens (a longer document has a file of its own).  Files are
-written under another name and moved, so a repeated task replaces a file by an equal
-one.  The driver learns one number for each partition.
+Documents are dealt by range of id and of the text's beginning, so that an id that many
+rows have is no single task, and a task writes its documents in order, a file for each
+``SHARD_TOKENS`` tokens (a longer document has a file of its own).  Files are written
+under another name and moved, so a repeated task replaces a file by an equal one.  The
+driver learns one number for each partition.
 
 Null and empty texts have the end id alone.  Null ids come first.  Repeated ids are
-ordered by text.  Other columns are ignored.
+ordered by text, a null text first.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ from .wavelet import Wavelet, dump
 
 END_ID = 2
 SHARD_TOKENS = 4 << 20
-NULL_ID = -(1 << 63)
+#: Characters of a text by which rows of one id are dealt.
+HEAD_CHARS = 64
 _SPACE = tb.table(b" \n\r\t")
 _ALNUM = tb.table(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 _MARKS = tb.table(bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum()))
@@ -126,18 +128,18 @@ def token_ids(column: pa.Array, tokenizer: str, end_id: int = END_ID) -> tuple[n
 def write_tokens(documents: DataFrame, tokenizer: str, folder: str | None = None, shard_tokens: int = SHARD_TOKENS, bits: int = 16) -> DataFrame:
     """Writes the files and returns (part, seq, path, n_tokens, n_docs, start), start being the number of ids in all files before."""
     folder = folder or fresh(documents.sparkSession, "tokens")
-    ordered = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id", F.substring("text", 1, HEAD_CHARS)).sortWithinPartitions("doc_id", "text")
 
     def run(batches):
         part, seq = TaskContext.get().partitionId(), 0
-        ids, docs, sizes, held = [], [], [], 0
+        ids, docs, sizes, held, nameless = [], [], [], 0, 0
 
         def close():
-            nonlocal ids, docs, sizes, held, seq
+            nonlocal ids, docs, sizes, held, nameless, seq
             path = f"{folder}/{part:08d}-{seq:06d}.wm"
-            put(path, [dump(np.concatenate(ids), np.concatenate(docs), np.concatenate(sizes), bits)])
+            put(path, [dump(np.concatenate(ids), np.concatenate(docs), np.concatenate(sizes), bits, nameless)])
             row = pa.record_batch([pa.array([part]), pa.array([seq]), pa.array([path]), pa.array([held]), pa.array([sum(map(len, docs))])], names=["part", "seq", "path", "n_tokens", "n_docs"])
-            ids, docs, sizes, held, seq = [], [], [], 0, seq + 1
+            ids, docs, sizes, held, nameless, seq = [], [], [], 0, 0, seq + 1
             return row
 
         for piece in tb.slices(batches, most=2 * tb.SLICE_BYTES):
@@ -145,13 +147,15 @@ def write_tokens(documents: DataFrame, tokenizer: str, folder: str | None = None
             if len(got) and int(got.max()) >> bits:
                 raise ValueError(f"token id {int(got.max())} does not fit {bits} bits")
             ids.append(got.astype(np.uint16 if bits <= 16 else np.uint32))
-            docs.append(piece.column(0).to_numpy())
+            docs.append(piece.column(0).fill_null(0).to_numpy())
+            nameless += piece.column(0).null_count
             sizes.append(np.diff(at))
             held += len(got)
             if held >= shard_tokens:
                 yield close()
         if docs:
             yield close()
+        tb.release()
 
     files = written(ordered.mapInArrow(run, "part long, seq long, path string, n_tokens long, n_docs long"), "token-files")
     before, base = 0, []
@@ -179,6 +183,6 @@ def read_tokens(files: DataFrame) -> DataFrame:
                 edge = np.concatenate([[0], np.cumsum(sizes)])
                 view = memoryview(ids).cast("B")
                 crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
-                yield pa.record_batch([pa.array(docs, mask=docs == NULL_ID), pa.array(start + edge[:-1]), pa.array(sizes), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.record_batch([pa.array(docs, mask=np.arange(len(docs)) < shard.nameless), pa.array(start + edge[:-1]), pa.array(sizes), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return files.select("path", "start").repartition(tasks, "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

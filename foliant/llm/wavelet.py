@@ -1,9 +1,12 @@
 """A wavelet matrix over token ids: one bit plane per id bit, with rank and select.
 
-The file: a fixed head, the documents' ids and token counts, and each plane with its
-rank directory, cut into blocks that are compressed one by one, so a lookup opens
-only the blocks it touches.  All of access, rank, select, count and locate take and
-give arrays.
+The file: a fixed head, the documents' ids (those without one come first, and are
+counted) and token counts, and each plane with its rank directory, cut into blocks that
+are compressed one by one, so a lookup opens only the blocks it touches.  All of access,
+rank, select, count and locate take and give arrays.
+
+No ids and no documents make a file too.  A file that is cut short, or not one of these,
+is refused with a ValueError, as are ids that need more bits than the file's.
 """
 
 from __future__ import annotations
@@ -13,8 +16,8 @@ import struct
 import numpy as np
 import zstandard
 
-MAGIC = b"FOLIWM01"
-HEAD = struct.Struct("<8sQQII")
+MAGIC = b"FOLIWM02"
+HEAD = struct.Struct("<8sQQQII")
 BLOCK_WORDS = 8192
 SUPER = 512
 
@@ -32,8 +35,8 @@ def planes(ids: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[int]]:
     return out, zeros
 
 
-def dump(ids: np.ndarray, doc_ids: np.ndarray, sizes: np.ndarray, bits: int = 16) -> bytes:
-    """One shard's file: its ids, and by document the id and the number of tokens."""
+def dump(ids: np.ndarray, doc_ids: np.ndarray, sizes: np.ndarray, bits: int = 16, nameless: int = 0) -> bytes:
+    """One shard's file: its ids, and by document the id and the number of tokens; the first ``nameless`` documents have no id."""
     if len(ids) and int(ids.max()) >> bits:
         raise ValueError(f"an id needs more than {bits} bits")
     pack = zstandard.ZstdCompressor(level=1).compress
@@ -49,9 +52,9 @@ def dump(ids: np.ndarray, doc_ids: np.ndarray, sizes: np.ndarray, bits: int = 16
         rank = np.concatenate([[0], np.cumsum(pad.reshape(-1, 8).sum(axis=1))])
         blocks.append(pack(rank.astype("<u8").tobytes()))
         blocks += [pack(words[at : at + BLOCK_WORDS].astype("<u8").tobytes()) for at in range(0, n_words, BLOCK_WORDS)]
-    docs = pack(np.asarray(doc_ids, "<i8").tobytes()) , pack(np.asarray(sizes, "<i8").tobytes())
+    docs = pack(np.asarray(doc_ids, "<i8").tobytes()), pack(np.asarray(sizes, "<i8").tobytes())
     table = np.array([len(docs[0]), len(docs[1]), *map(len, blocks)], "<u4").tobytes()
-    return b"".join([HEAD.pack(MAGIC, len(ids), len(doc_ids), bits, len(blocks) + 2), np.array(zeros, "<u8").tobytes(), table, *docs, *blocks])
+    return b"".join([HEAD.pack(MAGIC, len(ids), len(doc_ids), nameless, bits, len(blocks) + 2), np.array(zeros, "<u8").tobytes(), table, *docs, *blocks])
 
 
 class Wavelet:
@@ -59,7 +62,7 @@ class Wavelet:
 
     def __init__(self, file: bytes):
         self.file = memoryview(file)
-        magic, self.n, self.n_docs, self.bits, n_parts = HEAD.unpack_from(file)
+        magic, self.n, self.n_docs, self.nameless, self.bits, n_parts = HEAD.unpack_from(file)
         if magic != MAGIC:
             raise ValueError("not a wavelet matrix file")
         at = HEAD.size
