@@ -2,23 +2,26 @@
 
 A word is its character n-grams (with its edges) and itself, hashed into rows of an
 embedding table; a text is the average of the rows of all its distinct words' n-grams
-(a word said often counts once); two logits follow from it.  Table and softmax are trained jointly, in numpy, on a bounded
-sample of labelled rows.  Misspellings that were never seen share n-grams with words
-that were.
+(a word said often counts once); two logits follow from it.  Table and softmax are
+trained jointly, in numpy, on a bounded sample of labelled rows.  Misspellings that were
+never seen share n-grams with words that were.
 
 Being linear after the average, the model scores a text by one number a word, made
 once for each distinct word of a batch.
 
 Labels are learnt from rows whose crc32 of the id's decimal text is no multiple of
-``FOLDS``; the rest is held out.  Null labels teach nothing; of several labels of an
-id the largest counts; null ids are not learnt from and held out is false for them.
-Null and empty texts get the score of the prior.  Without labels of both kinds every
-text gets the share of the positive ones, or 0.  Repeated rows are scored row by row.
-Other columns are ignored.
+``FOLDS``; the rest is held out.  Of the rows learnt from, one in ``FOLDS`` by another hash
+of the id is an inner fold: it says after which pass training stops, and the settings
+below were chosen on it.  Null labels teach nothing; of several labels of an id the
+largest counts, and of several texts of an id the least; null ids are not learnt from and
+held out is false for them.  Null and empty texts get the score of the prior.  Without
+labels of both kinds every text gets the share of the positive ones, or 0.  Repeated rows
+are scored row by row.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,21 +32,26 @@ from . import textbatch as tb
 from .chunks import distinct
 
 FOLDS = 5
-#: Labelled rows learnt from at most, of either label, chosen by a hash of the id; longer texts are left out of the sample.
+#: Labelled rows learnt from at most, of either label, chosen by a hash of the id.
 SAMPLE_ROWS = 2000
-SAMPLE_CHARS = 200_000
 NGRAMS = (3, 4, 5)
 BUCKETS = 1 << 17
-WIDTH = 8
-SCALE = 32.0
+WIDTH = 4
+SCALE = 300.0
 #: Empty rows that every average also holds, so that few words alone decide little.
-PADDING = 300
+PADDING = 3000
+#: Sampled texts that an n-gram must be in to be learnt.
+LEAST_TEXTS = 2
 #: Share of a text's n-grams that a training step sees: what one alone would say is learnt by its neighbours too.
 KEEP = 0.5
-EPOCHS = 18
+EPOCHS = 24
+#: Passes without a better inner fold after which training stops.
+PATIENCE = 6
 BATCH = 100
-RATE = 0.3
+RATE = 0.5
 DECAY = 3e-4
+#: How far the sample's own share of label 1 is undone in the loss: to the power of this.
+PRIOR = 0.25
 
 
 @dataclass
@@ -95,55 +103,98 @@ def _texts(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return words, codes, woff
 
 
+def bags(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text, the buckets of its distinct words' n-grams and how often each is met, joined, and the texts' offsets in them."""
+    buckets, counts, sizes = [], [], []
+    for part in tb.slices(iter([pa.record_batch([column], names=["text"])])):
+        words, codes, woff = _texts(part.column(0))
+        bucket, boff = subwords(words)
+        for r in range(len(woff) - 1):
+            total = np.bincount(tb.ragged(bucket, boff, np.unique(codes[woff[r] : woff[r + 1]]))[0], minlength=BUCKETS)
+            buckets.append(np.flatnonzero(total).astype(np.int32))
+            counts.append(total[buckets[-1]].astype(np.float32))
+            sizes.append(len(buckets[-1]))
+    return np.concatenate([np.zeros(0, np.int32), *buckets]), np.concatenate([np.zeros(0, np.float32), *counts]), np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))])
+
+
+class _Net:
+    """Table, softmax and their sums of squared gradients (AdaGrad).  Rows start at zero, so an n-gram that was never learnt from says nothing."""
+
+    def __init__(self, n: int, rng: np.random.Generator):
+        self.parts = [np.zeros((n, WIDTH), np.float32), rng.normal(0, 0.3, (WIDTH, 2)).astype(np.float32), np.zeros(2, np.float32)]
+        self.squares = [np.full(x.shape, 1e-4, np.float32) for x in self.parts]
+
+    def step(self, ids: np.ndarray, weight: np.ndarray, row: np.ndarray, labels: np.ndarray, rate: np.ndarray) -> None:
+        table, soft, bias = self.parts
+        x = table[ids] * weight[:, None]
+        mean = np.stack([np.bincount(row, x[:, d], len(labels)) for d in range(WIDTH)], 1).astype(np.float32)
+        logit = mean @ soft + bias
+        p = np.exp(logit - logit.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        p[np.arange(len(labels)), labels] -= 1
+        p *= (rate / len(labels))[:, None]
+        g = (p @ soft.T)[row] * weight[:, None]
+        table *= np.float32(1 - DECAY)
+        grads = np.stack([np.bincount(ids, g[:, d], len(table)) for d in range(WIDTH)], 1).astype(np.float32), mean.T @ p, p.sum(axis=0)
+        for part, square, grad in zip(self.parts, self.squares, grads):
+            square += grad * grad
+            part -= np.float32(RATE) * grad / np.sqrt(square)
+
+    def margins(self) -> tuple[np.ndarray, float]:
+        """What each row adds to the difference of the logits, and the difference of the biases."""
+        table, soft, bias = self.parts
+        return table.astype(np.float64) @ (soft[:, 1] - soft[:, 0]).astype(np.float64), float(bias[1] - bias[0])
+
+
 def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 1) -> Scorer:
-    """Joint stochastic gradient (AdaGrad) on the cross-entropy; ``prior`` is the share of label 1 outside the sample."""
+    """A scorer from texts and their labels, without an inner fold."""
+    return learn(*bags(pa.array(texts, pa.large_string())), labels, prior, seed=seed)
+
+
+def learn(ids: np.ndarray, counts: np.ndarray, off: np.ndarray, labels: np.ndarray, prior: float, inner: np.ndarray | None = None, seed: int = 1) -> Scorer:
+    """Joint stochastic gradient (AdaGrad) on the cross-entropy; ``prior`` is the share of label 1 outside the sample.
+
+    ``inner``: rows that are not learnt from; the pass that scores them best is the one kept."""
     labels = np.asarray(labels, np.int64)
-    if not len(texts) or labels.min() == labels.max():
+    inner = np.zeros(len(labels), bool) if inner is None or not inner.any() or inner.all() else inner
+    own = np.flatnonzero(~inner)
+    if not len(own) or labels[own].min() == labels[own].max():
         share = min(max(prior, 1e-6), 1 - 1e-6)
         return Scorer(np.zeros(BUCKETS, np.float64), float(np.log(share / (1 - share))))
-    index, weight = [], []
-    for at in range(0, len(texts), 50):
-        words, codes, woff = _texts(pa.array(texts[at : at + 50], pa.large_string()))
-        bucket, boff = subwords(words)
-        for r in range(len(woff) - 1):
-            ids = tb.ragged(bucket, boff, np.unique(codes[woff[r] : woff[r + 1]]))[0]
-            total = np.bincount(ids, minlength=BUCKETS)
-            ids = np.flatnonzero(total)
-            index.append(ids)
-            weight.append((SCALE * total[ids] / (PADDING + total.sum())).astype(np.float32))
-    rng = np.random.default_rng(seed)
-    # rows start at zero, so an n-gram that was never learnt from says nothing
-    table = np.zeros((BUCKETS, WIDTH), np.float32)
-    soft = rng.normal(0, 0.3, (WIDTH, 2)).astype(np.float32)
-    bias = np.zeros(2, np.float32)
-    g_table, g_soft, g_bias = np.full(table.shape, 1e-4, np.float32), np.full(soft.shape, 1e-4, np.float32), np.full(2, 1e-4, np.float32)
-    # the sample's own share of label 1 is undone in the loss, by row weights
+    row = tb.rows_of(off)
+    weight = SCALE * counts / (PADDING + np.bincount(row, counts, len(labels)))[row].astype(np.float32)
+    # n-grams of few sampled texts say nothing about others
+    known = np.flatnonzero(np.bincount(ids[~inner[row]], minlength=BUCKETS) >= LEAST_TEXTS)
+    number = np.full(BUCKETS, -1, np.int64)
+    number[known] = np.arange(len(known))
+    ids = number[ids]
+    ids, weight, row = ids[ids >= 0], weight[ids >= 0], row[ids >= 0]
+    off = np.searchsorted(row, np.arange(len(labels) + 1))
     rate = np.where(labels == 1, prior / labels.mean(), (1 - prior) / (1 - labels.mean()))
-    rate = np.sqrt(rate / rate.mean())
+    rate = (rate / rate.mean()) ** PRIOR
+    rng = np.random.default_rng(seed)
+    net, best, since, least = _Net(len(known), rng), None, 0, np.inf
     for _ in range(EPOCHS):
-        order = rng.permutation(len(texts))
+        order = rng.permutation(own)
         for at in range(0, len(order), BATCH):
             batch = order[at : at + BATCH]
-            size = np.array([len(index[r]) for r in batch])
-            ids, w = np.concatenate([index[r] for r in batch]), np.concatenate([weight[r] for r in batch])
-            row = np.repeat(np.arange(len(batch)), size)
-            w = w * (rng.random(len(w)) < KEEP) / KEEP
-            used, back = np.unique(ids, return_inverse=True)
-            rows = table[used]
-            mean = np.stack([np.bincount(row, w * rows[back, d], len(batch)) for d in range(WIDTH)], 1).astype(np.float32)
-            logit = mean @ soft + bias
-            p = np.exp(logit - logit.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(batch)), labels[batch]] -= 1
-            p *= (rate[batch] / len(batch))[:, None]
-            g = (p @ soft.T)[row] * w[:, None]
-            up = np.stack([np.bincount(back, g[:, d], len(used)) for d in range(WIDTH)], 1).astype(np.float32)
-            g_table[used] += up * up
-            table[used] = (1 - DECAY) * table[used] - RATE * up / np.sqrt(g_table[used])
-            for x, g2, d in ((soft, g_soft, mean.T @ p), (bias, g_bias, p.sum(axis=0))):
-                g2 += d * d
-                x -= RATE * d / np.sqrt(g2)
-    return Scorer((SCALE * table.astype(np.float64) @ (soft[:, 1] - soft[:, 0]).astype(np.float64)), float(bias[1] - bias[0]))
+            place, edge = tb.ragged(np.arange(len(ids)), off, batch)
+            seen = weight[place] * (rng.random(len(place), dtype=np.float32) < KEEP) / np.float32(KEEP)
+            net.step(ids[place], seen, tb.rows_of(edge), labels[batch], rate[batch])
+        value, bias = net.margins()
+        if inner.any():
+            margin = np.bincount(row, weight * value[ids], len(labels))[inner] + bias
+            loss = float((rate[inner] * np.logaddexp(0, np.where(labels[inner] == 1, -margin, margin))).sum())
+            since += 1
+            if loss < least:
+                best, since, least = (value, bias), 0, loss
+            if since >= PATIENCE:
+                break
+        else:
+            best = value, bias
+    rows = np.zeros(BUCKETS, np.float64)
+    rows[known] = SCALE * best[0]
+    return Scorer(rows, best[1])
 
 
 def scores(column: pa.Array, scorer: Scorer) -> np.ndarray:
@@ -163,17 +214,29 @@ def fold(doc_id) -> F.Column:
 
 
 def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Scorer:
-    """Learns from ``sample_rows`` rows of either label at most; ids are chosen first, so that only their texts travel."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(fold(F.col("doc_id")) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    """Learns from ``sample_rows`` rows of either label at most.
+
+    The ids are chosen first; what comes to the driver then is not the texts but their bags, made where the texts are:
+    ``BUCKETS`` pairs of numbers a text at most, however long it is."""
+    doc_id = F.col("doc_id").cast("long").alias("doc_id")
+    known = labels.select(doc_id, F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(fold(F.col("doc_id")) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = known.agg(F.avg("toxic")).first()[0]
     if share is None:
         return train([], np.zeros(0), 0.0)
     chosen = [r for label in (1, 0) for r in known.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).collect()]
     label = {r.doc_id: r.toxic for r in chosen}
-    ids = documents.sparkSession.createDataFrame([(k,) for k in label], "doc_id long")
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).collect()
-    rows.sort(key=lambda r: r.doc_id)
-    return train([r.text for r in rows], np.array([label[r.doc_id] for r in rows]), share)
+    ids = documents.sparkSession.createDataFrame([(k,) for k in label], "id long")
+    own = documents.select(doc_id, "text").filter("text IS NOT NULL").join(F.broadcast(ids), F.col("doc_id") == F.col("id")).groupBy("doc_id").agg(F.min("text").alias("text"))
+
+    def bagged(part):
+        ids, counts, off = bags(part.column(1))
+        return pa.record_batch([part.column(0), tb.as_strings(ids.view(np.uint8), 4 * off, binary=True).cast(pa.binary()), tb.as_strings(counts.view(np.uint8), 4 * off, binary=True).cast(pa.binary())], names=["doc_id", "ids", "counts"])
+
+    rows = sorted(tb.mapped(own, bagged, "doc_id long, ids binary, counts binary").collect(), key=lambda r: r.doc_id)
+    off = np.concatenate([[0], np.cumsum([len(r.ids) // 4 for r in rows], dtype=np.int64)])
+    inner = np.array([zlib.crc32(f"inner {r.doc_id}".encode()) % FOLDS == 0 for r in rows], bool)
+    ids, counts = np.frombuffer(b"".join(r.ids for r in rows), np.int32), np.frombuffer(b"".join(r.counts for r in rows), np.float32)
+    return learn(ids, counts, off, np.array([label[r.doc_id] for r in rows], np.int64), share, inner)
 
 
 def toxicity(documents: DataFrame, labels: DataFrame | None = None, scorer: Scorer | None = None) -> DataFrame:
