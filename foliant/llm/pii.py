@@ -4,7 +4,8 @@ The base patterns find what is written by the book, in time linear in the text.
 random field reads the regions around what remains: it scores whole candidate segments
 (their digit groups, check sums, frame and context) against every type at once, and
 dynamic programming over segments of at most ``MOST_CHARS`` characters chooses boundaries
-and types together, over a region of any length.  Base spans stay; segments that touch none of them are added.
+and types together, over a region of any length.  Base spans stay: segments that touch one are no candidates, so that
+none of them stands in the way of another.  Beside personal data the field marks secrets (keys, tokens, passwords).
 
 The field is trained here by stochastic gradient on its own log-likelihood, over
 sentences generated with their spans (``examples``); no row of the input is used.
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 
 from . import textbatch as tb
 
-KINDS = ("email", "ip", "card", "phone", "ssn", "iban")
+KINDS = ("email", "ip", "card", "phone", "ssn", "iban", "secret")
 BASE = KINDS[:4]
 MOST_CHARS = 48
 #: Tokens that a segment may have: as many as its characters allow.
@@ -36,7 +37,7 @@ MOST_TOKENS = MOST_CHARS
 #: Tokens at which the segments that are scored together begin.
 BLOCK = 512
 AROUND = 6
-EXAMPLES = 900
+EXAMPLES = 1100
 EPOCHS = 6
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -85,8 +86,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 # --- the field ---------------------------------------------------------------------
 
-_CUES = {"phone", "tel", "telephone", "call", "fax", "mobile", "card", "visa", "ssn", "iban", "ip", "host", "email", "mail", "contact", "account"}
+_CUES = {"phone", "tel", "telephone", "call", "fax", "mobile", "card", "visa", "ssn", "iban", "ip", "host", "email", "mail", "contact", "account", "token", "password", "secret", "key"}
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+(?:@|\s*[\[({]\s*at\s*[\])}]\s*|\s+at\s+)[A-Za-z0-9-]+(?:(?:\.|\s*[\[({]\s*dot\s*[\])}]\s*|\s+dot\s+)[A-Za-z0-9-]+)+", re.I)
+_HEX = re.compile("[0-9a-f]{24,}|[0-9A-F]{24,}")
 _SIX = re.compile(r"[0-9A-Fa-f]{1,4}(?::{1,2}[0-9A-Fa-f]{1,4}){3,7}")
 
 
@@ -111,6 +113,10 @@ def _form(s: str) -> tuple[str, ...]:
         out.append("dotted" if all(len(p) <= 3 and int(p) <= 255 for p in parts) else "dotted, too large")
     if _SIX.fullmatch(s):
         out.append("hex groups")
+    if _HEX.fullmatch(s):
+        out.append("long hex")
+    if len(plain) == len(s) and 8 <= len(s) and 2 <= len(digits) < len(s):
+        out.append(f"mixed {min(4, len(s) // 8)} {len(re.findall('[0-9]+', s)) > 2}")
     if _EMAIL.fullmatch(s):
         out.append("address")
     if re.search("[A-Za-z]", s):
@@ -194,19 +200,23 @@ class Field:
         """The best segmentation's entities: (kind, start, end)."""
         return self._path(region.tokens, [(region.segments, self.scores(region))])
 
-    def best_in(self, text: str, lo: int, hi: int) -> list[tuple[int, int, int]]:
-        """The same for a piece of text of any length; the features of a block of it are held at a time."""
+    def best_in(self, text: str, lo: int, hi: int, barred=None) -> list[tuple[int, int, int]]:
+        """The same for a piece of text of any length; the features of a block of it are held at a time.
+
+        Segments that ``barred`` (start, end) holds for are no candidates."""
         region = Region.bare(text, lo, hi)
-        return self._path(region.tokens, ((s, self._scores(f)) for s, f in region.blocks(self.number)))
+        return self._path(region.tokens, ((s, self._scores(f)) for s, f in region.blocks(self.number)), barred)
 
     @staticmethod
-    def _path(tokens, scored) -> list[tuple[int, int, int]]:
+    def _path(tokens, scored, barred=None) -> list[tuple[int, int, int]]:
         """Segments that score nothing are on no best path and are not kept."""
         ends: dict[int, list[tuple[int, float, int]]] = {}
         for segments, score in scored:
             if segments:
                 kind, top = score.argmax(axis=1), score.max(axis=1)
                 for k in np.flatnonzero(top > 0).tolist():
+                    if barred and barred(tokens[segments[k][0]][0], tokens[segments[k][1] - 1][1]):
+                        continue
                     ends.setdefault(segments[k][1], []).append((segments[k][0], float(top[k]), int(kind[k])))
         value, back = [0.0], [None]
         for j in range(1, len(tokens) + 1):
@@ -255,6 +265,10 @@ def _entity(r: random.Random, kind: str) -> str:
         return r.choice((f"({a}) {b}-{c}", f"({a}){b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+1 ({a}) {b}-{c}", f"+{_digits(r, 2)} {_digits(r, 2)} {c} {c}", f"1-{a}-{b}-{c}", f"00{_digits(r, 2)} {_digits(r, 2)} {c} {c}"))
     if kind == "ssn":
         return f"{_digits(r, 3)}-{_digits(r, 2)}-{_digits(r, 4)}"
+    if kind == "secret":
+        hexed = "".join(r.choice("0123456789abcdef") for _ in range(r.choice((24, 32, 40, 40, 64)))) + "7"
+        word = "".join(r.choice("abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(r.randint(12, 30)))
+        return r.choice((hexed[:40], hexed[:32], hexed[:40].upper(), f"AKIA{_digits(r, 3)}QX{_digits(r, 2)}Z{_digits(r, 2)}JK{_digits(r, 2)}", word[:6] + _digits(r, 2) + word[6:] + _digits(r, 1)))[:MOST_CHARS]
     body = _digits(r, r.choice((14, 16, 18)))
     land = r.choice(("DE", "FR", "ES", "GB", "NL"))
     number = land + f"{98 - int(''.join(str(int(c, 36)) for c in body + land + '00')) % 97:02d}" + body
@@ -264,7 +278,7 @@ def _entity(r: random.Random, kind: str) -> str:
 def _distractor(r: random.Random) -> str:
     a, y = _digits(r, r.randint(1, 8)), str(r.randint(1950, 2030))
     not_card = next(x for x in iter(lambda: _digits(r, 16), None) if not luhn(x))
-    return r.choice((a, y, f"{a[:2]}.{a[-1]}", f"version {a[0]}.", f"{y}-{r.randint(10, 12)}-{r.randint(10, 28)}", f"{r.randint(1, 28)}.{r.randint(1, 12)}.{y}", f"{r.randint(1, 12)}/{r.randint(1, 28)}/{y}", f"{r.randint(10, 23)}:{_digits(r, 2)}", f"${a}.{_digits(r, 2)}", f"{a},{_digits(r, 3)},{_digits(r, 3)}", f"{y} {y}", f"{a[:3]} {a[-3:]}", f"{a}-{a}", f"v{a[0]}.{a[-1]}.{_digits(r, 2)}", f"3.{_digits(r, 12)}", not_card, f"AKIA{_digits(r, 3)}QX{_digits(r, 2)}Z{_digits(r, 2)}", f"token{_digits(r, 3)}a{_digits(r, 4)}e{_digits(r, 6)}", f"password={_digits(r, 2)}b{_digits(r, 5)}c7", f"300.{_digits(r, 3)}.400.{_digits(r, 3)}", f"{_words(r, 1)} dot {_words(r, 1)}", f"the dot on {_words(r, 1)}"))
+    return r.choice((a, y, f"{a[:2]}.{a[-1]}", f"version {a[0]}.", f"{y}-{r.randint(10, 12)}-{r.randint(10, 28)}", f"{r.randint(1, 28)}.{r.randint(1, 12)}.{y}", f"{r.randint(1, 12)}/{r.randint(1, 28)}/{y}", f"{r.randint(10, 23)}:{_digits(r, 2)}", f"${a}.{_digits(r, 2)}", f"{a},{_digits(r, 3)},{_digits(r, 3)}", f"{y} {y}", f"{a[:3]} {a[-3:]}", f"{a}-{a}", f"v{a[0]}.{a[-1]}.{_digits(r, 2)}", f"3.{_digits(r, 12)}", not_card, f"{_words(r, 1)}{a[:2]}", f"mp{a[:1]}", f"h{a[:1]}o", f"covid{a[:2]}", f"room {a[:2]}b", f"300.{_digits(r, 3)}.400.{_digits(r, 3)}", f"{_words(r, 1)} dot {_words(r, 1)}", f"the dot on {_words(r, 1)}"))
 
 
 def examples(n: int = EXAMPLES, seed: int = 7) -> list[tuple[str, list[tuple[int, int, int]]]]:
@@ -277,11 +291,15 @@ def examples(n: int = EXAMPLES, seed: int = 7) -> list[tuple[str, list[tuple[int
             text += " " if text else ""
             if r.random() < 0.6:
                 k = r.randrange(len(KINDS))
-                if r.random() < 0.3:
+                quote = ""
+                if KINDS[k] == "secret" and r.random() < 0.7:
+                    quote = r.choice(('"', '"', "'", ""))
+                    text += r.choice(("token", "password", "secret", "key", "TOKEN")) + r.choice((" = ", "=", ": ", " ")) + quote
+                elif r.random() < 0.3:
                     text += r.choice(cues) + r.choice((" ", ": "))
                 e = _entity(r, KINDS[k])
                 spans.append((k, len(text), len(text) + len(e)))
-                text += e
+                text += e + quote
             else:
                 text += _distractor(r)
             text += r.choice((" ", ". ", ", ")) + _words(r, r.randint(1, 3))
@@ -378,7 +396,7 @@ def added_spans(text: str, base: list[tuple[int, int, int]], field: Field) -> li
             a -= 1
         while b < min(len(text), high) and text[b].isalnum() and text[b - 1].isalnum():
             b += 1
-        out += [x for x in field.best_in(text, a, b) if not touched(x[1], x[2])]
+        out += field.best_in(text, a, b, touched if taken else None)
     return sorted(set(out))
 
 
@@ -392,11 +410,11 @@ def _joined(spans) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
 
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
 
 
 def detect(documents: DataFrame, field: Field | None = None) -> DataFrame:
-    """A row per document: base counts and digest, and all spans."""
+    """A row per document: base counts and digest, all spans, and their number."""
     shared = documents.sparkSession.sparkContext.broadcast(field or train())
 
     def run(part):
@@ -404,8 +422,8 @@ def detect(documents: DataFrame, field: Field | None = None) -> DataFrame:
         for text in part.column(1).to_pylist():
             base, spans = find(text or "", field)
             count = [sum(k == kind for k, _, _ in base) for kind in range(4)]
-            rows.append((*count, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans)))
-        return pa.record_batch([part.column(0), *map(pa.array, zip(*rows))], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+            rows.append((*count, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans), len(spans)))
+        return pa.record_batch([part.column(0), *map(pa.array, zip(*rows))], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"])
 
     return tb.mapped(documents, run, SCHEMA)
 
