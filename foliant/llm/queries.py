@@ -106,7 +106,7 @@ g AS (SELECT k, i, count(*) OVER (PARTITION BY k, w[i], w[i + 1], w[i + 2]) AS n
 again AS (SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest([i, i + 1, i + 2]) AS p FROM g WHERE n > 1) GROUP BY k),
 top AS (SELECT k, max(n) AS n, max(strlen(x)) AS longest FROM (SELECT k, x, count(*) AS n FROM (SELECT k, unnest(w) AS x FROM d) GROUP BY k, x) GROUP BY k),
 c AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, coalesce(dup, 0) AS dup, coalesce(n_lines, 0) AS n_lines, coalesce(bullets, 0) AS bullets, coalesce(ellipses, 0) AS ellipses, coalesce(again.n, 0) AS rep, coalesce(top.n, 0) AS top, coalesce(longest, 0) AS longest,
-    len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS lettered, len(list_filter(w, lambda x: list_contains([STOPS], translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')))) AS stops,
+    len(regexp_extract_all(t, '[^\x20\x09-\x0D]*(?:[A-Za-z]|[^\x00-\x7F])[^\x20\x09-\x0D]*')) AS lettered, len(list_filter(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), lambda x: x IN (STOPS))) AS stops,
     len(regexp_extract_all(t, '[A-Z]')) AS capitals, len(regexp_extract_all(t, '[A-Za-z]')) AS alpha
   FROM d LEFT JOIN lines USING (k) LEFT JOIN again USING (k) LEFT JOIN top USING (k)),
 b AS (SELECT *, n_words < 50 OR 100 * rep > 50 * n_words AS base_failed FROM c)

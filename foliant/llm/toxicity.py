@@ -161,14 +161,15 @@ def learn(ids: np.ndarray, counts: np.ndarray, off: np.ndarray, labels: np.ndarr
     if not len(own) or labels[own].min() == labels[own].max():
         share = min(max(prior, 1e-6), 1 - 1e-6)
         return Scorer(np.zeros(BUCKETS, np.float64), float(np.log(share / (1 - share))))
-    row = tb.rows_of(off)
-    weight = SCALE * counts / (PADDING + np.bincount(row, counts, len(labels)))[row].astype(np.float32)
+    row = np.repeat(np.arange(len(labels), dtype=np.int32), np.diff(off))
+    weight = counts * (SCALE / (PADDING + np.bincount(row, counts, len(labels)))).astype(np.float32)[row]
     # n-grams of few sampled texts say nothing about others
     known = np.flatnonzero(np.bincount(ids[~inner[row]], minlength=BUCKETS) >= LEAST_TEXTS)
-    number = np.full(BUCKETS, -1, np.int64)
+    number = np.full(BUCKETS, -1, np.int32)
     number[known] = np.arange(len(known))
     ids = number[ids]
-    ids, weight, row = ids[ids >= 0], weight[ids >= 0], row[ids >= 0]
+    held = ids >= 0
+    ids, weight, row = ids[held], weight[held], row[held]
     off = np.searchsorted(row, np.arange(len(labels) + 1))
     rate = np.where(labels == 1, prior / labels.mean(), (1 - prior) / (1 - labels.mean()))
     rate = (rate / rate.mean()) ** PRIOR
@@ -230,13 +231,27 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
 
     def bagged(part):
         ids, counts, off = bags(part.column(1))
-        return pa.record_batch([part.column(0), tb.as_strings(ids.view(np.uint8), 4 * off, binary=True).cast(pa.binary()), tb.as_strings(counts.view(np.uint8), 4 * off, binary=True).cast(pa.binary())], names=["doc_id", "ids", "counts"])
+        packed = [_pack(ids[i:j], counts[i:j]) for i, j in zip(off[:-1].tolist(), off[1:].tolist())]
+        return pa.record_batch([part.column(0), pa.array(packed, pa.binary())], names=["doc_id", "bag"])
 
-    rows = sorted(tb.mapped(own, bagged, "doc_id long, ids binary, counts binary").collect(), key=lambda r: r.doc_id)
-    off = np.concatenate([[0], np.cumsum([len(r.ids) // 4 for r in rows], dtype=np.int64)])
+    rows = sorted(tb.mapped(own, bagged, "doc_id long, bag binary").collect(), key=lambda r: r.doc_id)
+    pairs = [_unpack(r.bag) for r in rows]
+    ids, counts = (np.concatenate([np.zeros(0, kind), *(p[k] for p in pairs)]) for k, kind in ((0, np.int32), (1, np.float32)))
+    off = np.concatenate([[0], np.cumsum([len(p[0]) for p in pairs], dtype=np.int64)])
     inner = np.array([zlib.crc32(f"inner {r.doc_id}".encode()) % FOLDS == 0 for r in rows], bool)
-    ids, counts = np.frombuffer(b"".join(r.ids for r in rows), np.int32), np.frombuffer(b"".join(r.counts for r in rows), np.float32)
-    return learn(ids, counts, off, np.array([label[r.doc_id] for r in rows], np.int64), share, inner)
+    given = np.array([label[r.doc_id] for r in rows], np.int64)
+    del rows, pairs
+    return learn(ids, counts, off, given, share, inner)
+
+
+def _pack(ids: np.ndarray, counts: np.ndarray) -> bytes:
+    """A bag in few bytes: the gaps between its ascending buckets, and the counts."""
+    return zlib.compress(np.diff(ids, prepend=np.int32(0)).astype("<u4").tobytes() + counts.astype("<u4").tobytes(), 1)
+
+
+def _unpack(bag: bytes) -> tuple[np.ndarray, np.ndarray]:
+    gaps, counts = np.frombuffer(zlib.decompress(bag), "<u4").reshape(2, -1)
+    return np.cumsum(gaps, dtype=np.int32), counts.astype(np.float32)
 
 
 def toxicity(documents: DataFrame, labels: DataFrame | None = None, scorer: Scorer | None = None) -> DataFrame:
