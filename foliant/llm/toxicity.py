@@ -50,6 +50,8 @@ PATIENCE = 6
 BATCH = 100
 RATE = 0.5
 DECAY = 3e-4
+#: Entries of bags looked at together.
+_PIECE = 1 << 19
 #: How far the sample's own share of label 1 is undone in the loss: to the power of this.
 PRIOR = 0.25
 
@@ -162,15 +164,27 @@ def learn(ids: np.ndarray, counts: np.ndarray, off: np.ndarray, labels: np.ndarr
         share = min(max(prior, 1e-6), 1 - 1e-6)
         return Scorer(np.zeros(BUCKETS, np.float64), float(np.log(share / (1 - share))))
     row = np.repeat(np.arange(len(labels), dtype=np.int32), np.diff(off))
-    weight = counts * (SCALE / (PADDING + np.bincount(row, counts, len(labels)))).astype(np.float32)[row]
+    # in pieces, and the weights in place of the counts: the driver holds the sample's bags about twice
+    pieces = [slice(at, at + _PIECE) for at in range(0, len(ids), _PIECE)]
+    size, texts = np.zeros(len(labels)), np.zeros(BUCKETS, np.int64)
+    for x in pieces:
+        size += np.bincount(row[x], counts[x], len(labels))
+        texts += np.bincount(ids[x][~inner[row[x]]], minlength=BUCKETS)
+    scale, weight = (SCALE / (PADDING + size)).astype(np.float32), counts
+    for x in pieces:
+        weight[x] *= scale[row[x]]
     # n-grams of few sampled texts say nothing about others
-    known = np.flatnonzero(np.bincount(ids[~inner[row]], minlength=BUCKETS) >= LEAST_TEXTS)
+    known = np.flatnonzero(texts >= LEAST_TEXTS)
     number = np.full(BUCKETS, -1, np.int32)
     number[known] = np.arange(len(known))
     ids = number[ids]
     held = ids >= 0
     ids, weight, row = ids[held], weight[held], row[held]
-    off = np.searchsorted(row, np.arange(len(labels) + 1))
+    off = np.searchsorted(row, np.arange(len(labels) + 1, dtype=np.int32))
+    asked = np.flatnonzero(inner)
+    in_ids, in_off = tb.ragged(ids, off, asked)
+    in_weight, in_row = tb.ragged(weight, off, asked)[0], tb.rows_of(in_off)
+    del row, held, counts
     rate = np.where(labels == 1, prior / labels.mean(), (1 - prior) / (1 - labels.mean()))
     rate = (rate / rate.mean()) ** PRIOR
     rng = np.random.default_rng(seed)
@@ -179,12 +193,12 @@ def learn(ids: np.ndarray, counts: np.ndarray, off: np.ndarray, labels: np.ndarr
         order = rng.permutation(own)
         for at in range(0, len(order), BATCH):
             batch = order[at : at + BATCH]
-            place, edge = tb.ragged(np.arange(len(ids)), off, batch)
-            seen = weight[place] * (rng.random(len(place), dtype=np.float32) < KEEP) / np.float32(KEEP)
-            net.step(ids[place], seen, tb.rows_of(edge), labels[batch], rate[batch])
+            mine, edge = tb.ragged(ids, off, batch)
+            seen = tb.ragged(weight, off, batch)[0] * (rng.random(len(mine), dtype=np.float32) < KEEP) / np.float32(KEEP)
+            net.step(mine, seen, tb.rows_of(edge), labels[batch], rate[batch])
         value, bias = net.margins()
         if inner.any():
-            margin = np.bincount(row, weight * value[ids], len(labels))[inner] + bias
+            margin = np.bincount(in_row, in_weight * value[in_ids], len(asked)) + bias
             loss = float((rate[inner] * np.logaddexp(0, np.where(labels[inner] == 1, -margin, margin))).sum())
             since += 1
             if loss < least:
@@ -232,16 +246,16 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     def bagged(part):
         ids, counts, off = bags(part.column(1))
         packed = [_pack(ids[i:j], counts[i:j]) for i, j in zip(off[:-1].tolist(), off[1:].tolist())]
-        return pa.record_batch([part.column(0), pa.array(packed, pa.binary())], names=["doc_id", "bag"])
-
-    rows = sorted(tb.mapped(own, bagged, "doc_id long, bag binary").collect(), key=lambda r: r.doc_id)
-    pairs = [_unpack(r.bag) for r in rows]
-    ids, counts = (np.concatenate([np.zeros(0, kind), *(p[k] for p in pairs)]) for k, kind in ((0, np.int32), (1, np.float32)))
-    off = np.concatenate([[0], np.cumsum([len(p[0]) for p in pairs], dtype=np.int64)])
-    inner = np.array([zlib.crc32(f"inner {r.doc_id}".encode()) % FOLDS == 0 for r in rows], bool)
-    given = np.array([label[r.doc_id] for r in rows], np.int64)
-    del rows, pairs
-    return learn(ids, counts, off, given, share, inner)
+        return pa.record_batch([part.column(0), pa.array(packed, pa.binary()), pa.array(np.diff(off))], names=["doc_id", "bag", "n"])
+
+    rows = tb.mapped(own, bagged, "doc_id long, bag binary, n long").toArrow().sort_by("doc_id")
+    named, off = rows.column("doc_id").to_pylist(), np.concatenate([[0], np.cumsum(rows.column("n").to_numpy())]).astype(np.int64)
+    ids, counts = np.empty(off[-1], np.int32), np.empty(off[-1], np.float32)
+    for r, bag in enumerate(rows.column("bag")):
+        ids[off[r] : off[r + 1]], counts[off[r] : off[r + 1]] = _unpack(bag.as_py())
+    del rows
+    inner = np.array([zlib.crc32(f"inner {k}".encode()) % FOLDS == 0 for k in named], bool)
+    return learn(ids, counts, off, np.array([label[k] for k in named], np.int64), share, inner)
 
 
 def _pack(ids: np.ndarray, counts: np.ndarray) -> bytes:
