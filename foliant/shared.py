@@ -34,20 +34,23 @@ def fresh(spark: SparkSession, what: str) -> str:
     return _made[-1]
 
 
-#: Rows of an Arrow batch at most while a temporary table is written: what the JVM and a Python worker hold of it at once.
+#: Rows and bytes of an Arrow batch at most while a temporary table is written: what the JVM and a Python worker hold of it at once.
 ARROW_ROWS = 1000
-_ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ARROW_BYTES = 8 << 20
+_ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def written(frame: DataFrame, what: str) -> DataFrame:
     """The frame as a Parquet table in the shared folder: cuts the lineage and outlives executors."""
     spark, path = frame.sparkSession, fresh(frame.sparkSession, what)
-    rows = spark.conf.get(_ARROW)
-    spark.conf.set(_ARROW, str(min(ARROW_ROWS, int(rows)) if int(rows) > 0 else ARROW_ROWS))
+    rows, size = spark.conf.get(_ROWS), spark.conf.get(_BYTES, None)
+    spark.conf.set(_ROWS, str(min(ARROW_ROWS, int(rows)) if int(rows) > 0 else ARROW_ROWS))
+    spark.conf.set(_BYTES, str(ARROW_BYTES))
     try:
         frame.write.parquet(path)
     finally:
-        spark.conf.set(_ARROW, rows)
+        spark.conf.set(_ROWS, rows)
+        spark.conf.unset(_BYTES) if size is None else spark.conf.set(_BYTES, size)
     table = spark.read.schema(frame.schema).parquet(path)
     table._foliant_path = path
     return table
