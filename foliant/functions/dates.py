@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, functions as F
 
+from .spans import escaped, first_of
+
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 _NAMES = sorted({*MONTHS, *(m[:3] for m in MONTHS), "sept"}, key=len, reverse=True)
 _ALT = "|".join(_NAMES)
-DMY = rf"([0-9]{{1,2}})(?:st|nd|rd|th)?\s+({_ALT})\.?,?\s+([0-9]{{4}})"
-MDY = rf"({_ALT})\.?\s+([0-9]{{1,2}})(?:st|nd|rd|th)?,?\s+([0-9]{{4}})"
-ISO = r"([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})"
-NUMERIC = r"([0-9]{1,2})[/.-]([0-9]{1,2})[/.-]([0-9]{2,4})"
-ANY = "(?:" + "|".join(p.replace("([", "(?:[").replace(f"({_ALT})", f"(?:{_ALT})") for p in (DMY, MDY, ISO, NUMERIC)) + ")"
+_DAY, _MONTH, _YEAR, _END = "([0-9]{1,2})", f"({_ALT})", "([0-9]{4})", "(?:st|nd|rd|th)?"
+#: The forms: 14 March 2024 and 14th March, 2024; March 14, 2024; 2024-03-14; 14/3/24, 14.3.2024 and 14-03-2024.
+DMY = _DAY + _END + r"\s+" + _MONTH + r"\.?,?\s+" + _YEAR
+MDY = _MONTH + r"\.?\s+" + _DAY + _END + r",?\s+" + _YEAR
+ISO = "-".join((_YEAR, _DAY, _DAY))
+NUMERIC = "[/.-]".join((_DAY, _DAY, "([0-9]{2,4})"))
+ANY = "(?:" + "|".join(p.replace("(", "(?:").replace("(?:?:", "(?:") for p in (DMY, MDY, ISO, NUMERIC)) + ")"
 #: Labels tried after a type's own.
 LABELS = ("date of advice", "date signed", "date completed", "date of this advice", "effective date", "date issued", "date prepared", "completed on", "completed", "dated", "date")
 
@@ -51,10 +53,15 @@ def parse(raw: Column) -> Column:
     return out
 
 
-def after_label(text: Column, label: str) -> Column:
-    """The date that stands right after the label's first such occurrence."""
-    plain = re.sub(r"([^\w\s])", r"\\\1", label)
-    return parse(F.regexp_extract(text, rf"(?iu){plain}\s*[:-]?\s*({ANY})", 1))
+def labelled(text: Column, labels: list[tuple[str, str]]) -> Column:
+    """array<struct<label, raw>>: for each (name, label) what stands as a date right after the label's first occurrence that has one, in the labels' order; only those."""
+    rows = [F.struct(F.lit(name).alias("label"), F.regexp_extract(text, rf"(?iu){escaped(label)}\s*[:-]?\s*({ANY})", 1).alias("raw")) for name, label in labels]
+    return first_of(rows)
+
+
+def dated(raws: Column) -> Column:
+    """array<struct<label, value>>: the raws that are dates."""
+    return F.filter(F.transform(raws, lambda x: F.struct(x.label.alias("label"), parse(x.raw).value.alias("value"))), lambda x: x.value.isNotNull())
 
 
 def all_dates(text: Column) -> Column:
@@ -63,15 +70,16 @@ def all_dates(text: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(raw, lambda r: parse(r).value), lambda d: d.isNotNull()))
 
 
+def own(labelled_dates: Column, loose: Column) -> tuple[Column, Column]:
+    """(value, provenance) of a document's own date: the first labelled one, or the only one there is."""
+    first, n = F.get(labelled_dates, F.lit(0)), F.size(loose)
+    value = F.coalesce(first.value, F.when(n == 1, F.get(loose, F.lit(0))))
+    why = F.coalesce(F.concat(F.lit("labelled '"), first.label, F.lit("'")), F.when(n == 1, F.lit("only date in document (unlabelled)")).when(n > 1, F.concat(n.cast("string"), F.lit(" unlabelled dates, none identifiable as the document's own"))).otherwise(F.lit("no date found")))
+    return value, why
+
+
 def own_date(text: Column, labels: list[str]) -> Column:
-    """Struct of value and provenance: the first labelled date, or the only one there is."""
-    tried, labelled = [], []
-    for label in [*labels, *LABELS]:
-        if label not in tried:
-            tried.append(label)
-            d = after_label(text, label)
-            labelled.append(F.when(d.isNotNull(), F.struct(d.value.alias("value"), F.lit(f"labelled '{label}'").alias("provenance"))))
-    loose = all_dates(text)
-    n = F.size(loose)
-    rest = F.struct(F.when(n == 1, loose[0]).alias("value"), F.when(n == 1, F.lit("only date in document (unlabelled)")).when(n > 1, F.concat(n.cast("string"), F.lit(" unlabelled dates"))).otherwise(F.lit("no date found")).alias("provenance"))
-    return F.coalesce(*labelled, rest)
+    """Struct of value and provenance; the type's own labels are tried before the general ones."""
+    tried = list(dict.fromkeys([*labels, *LABELS]))
+    value, why = own(dated(labelled(text, [(n, n) for n in tried])), all_dates(text))
+    return F.struct(value.alias("value"), why.alias("provenance"))

@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+_WORD = r"\p{L}[\p{L}\p{M}\p{N}_'-]*"
+
+
 def pseudonym(value: Column, salt: str) -> Column:
     return F.when(value.isNotNull(), F.concat(F.lit("client-"), F.substring(F.sha2(F.concat(F.lit(salt + "|"), value), 256), 1, 10)))
 
 
 def prose(text: Column, vocabulary: list[str], mark: str = "[name]") -> Column:
-    """Capitalised words outside a closed vocabulary, of any length, replaced by a mark."""
+    """Capitalised words outside a closed vocabulary replaced by a mark; of any length, for there are names of two letters."""
     known = sorted({w.lower() for w in vocabulary})
-    words = F.regexp_extract_all(text, F.lit(r"(?U)([\p{L}][\w'-]*)"), F.lit(1))
-    gaps = F.split(text, r"(?U)[\p{L}][\w'-]*", -1)
+    words = F.regexp_extract_all(text, F.lit(f"({_WORD})"), F.lit(1))
+    gaps = F.split(text, _WORD, -1)
     hidden = F.transform(words, lambda w: F.when((F.substring(w, 1, 1) == F.upper(F.substring(w, 1, 1))) & (F.substring(w, 1, 1) != F.lower(F.substring(w, 1, 1))) & ~F.lower(w).isin(known or [""]), F.lit(mark)).otherwise(w))
     return F.array_join(F.zip_with(gaps, hidden, lambda g, w: F.concat(g, F.coalesce(w, F.lit("")))), "")
 

@@ -2,28 +2,73 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, functions as F
 
 
+def escaped(phrase: str) -> str:
+    return "".join("\\" + c if re.match(r"[^\w\s]", c) else c for c in phrase)
+
+
+def head(field: str) -> str:
+    """A key field's name without its alternatives and remarks."""
+    return field.lower().split(" / ")[0].split(" (")[0].strip()
+
+
 def phrase_regex(phrase: str, short_max: int = 4) -> str:
     """Short alphabetic phrases are whole words in upper case; others are found anywhere, whatever their case."""
     if len(phrase) <= short_max and phrase.isalpha():
         return rf"\b{phrase.upper()}\b"
-    return "(?iu)" + "".join("\\" + c if re.match(r"[^\w\s]", c) else c for c in phrase)
+    return "(?iu)" + escaped(phrase)
 
 
-def found(text: Column, phrase: str, short_max: int = 4) -> Column:
+def found(text: Column, phrase: str, short_max: int = 4, low: Column | None = None) -> Column:
+    """Whether the phrase occurs; ``low``: the text in lower case, if it is at hand: long phrases need no regular expression then."""
+    if low is not None and not (len(phrase) <= short_max and phrase.isalpha()):
+        return F.contains(low, F.lit(phrase.lower()))
     return text.rlike(phrase_regex(phrase, short_max))
 
 
-def matches(text: Column, regex: str) -> Column:
+def first_of(rows: list[Column]) -> Column:
+    """The rows (structs of label and raw) whose raw is not empty, in their order."""
+    if not rows:
+        return F.array().cast("array<struct<label:string,raw:string>>")
+    return F.filter(F.array(*rows), lambda x: x.raw != "")
+
+
+def extracted(text: Column, patterns: list[tuple[str, str]]) -> Column:
+    """array<struct<label, raw>>: for each (name, regular expression) its first group's first match, in their order; only those that match."""
+    return first_of([F.struct(F.lit(name).alias("label"), F.regexp_extract(text, p, 1).alias("raw")) for name, p in patterns])
+
+
+def tokens(text: Column, pattern: str) -> Column:
+    """Distinct matches of a regular expression."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+
+
+#: A phrase: itself, in lower case, as a regular expression, and whether only that finds it.
+PHRASES = "array<struct<p:string,low:string,re:string,whole:boolean>>"
+
+
+def rows(phrases: list[str], short_max: int = 4) -> list[dict]:
+    """Phrases as values of PHRASES, for a constant table."""
+    return [{"p": p, "low": p.lower(), "re": phrase_regex(p, short_max), "whole": len(p) <= short_max and p.isalpha()} for p in phrases]
+
+
+def hits(text: Column, low: Column, phrases: Column) -> Column:
+    """Those of PHRASES that occur, in their order.  ``low``: the text in lower case."""
+    return F.filter(phrases, lambda x: F.when(x.whole, F.rlike(text, x.re)).otherwise(F.contains(low, x.low)))
+
+
+def matches(text: Column, regex: str | Column) -> Column:
     """All matches as array<struct<s, e>>: code point offsets from the lengths of matches and of what lies between."""
-    hits = F.regexp_extract_all(text, F.lit(f"({regex})"), F.lit(1))
+    regex = F.lit(regex) if isinstance(regex, str) else regex
+    found = F.regexp_extract_all(text, F.concat(F.lit("("), regex, F.lit(")")), F.lit(1))
     between = F.split(text, regex, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
-    pairs = F.zip_with(F.transform(hits, lambda h: F.length(h)), F.transform(between, lambda b: F.length(b)), lambda h, b: F.struct(h.alias("h"), b.alias("b")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))  # titles are few: the copies of out stay small
+    pairs = F.zip_with(F.transform(found, lambda h: F.length(h)), F.transform(between, lambda b: F.length(b)), lambda h, b: F.struct(h.alias("h"), b.alias("b")))
 
     def step(acc, p):
         s = acc.at + p.b

@@ -8,6 +8,7 @@ from functools import cached_property
 from pathlib import Path
 
 DATA = Path(__file__).parent / "data"
+ILLEGAL = '<>:"/\\|?*'
 
 
 @dataclass(frozen=True)
@@ -111,8 +112,13 @@ class Profile:
             raise ValueError(f"no profile {name!r}; available: {', '.join(Profile.available())}")
         return Profile(json.loads(path.read_text()))
 
+    @property
+    def illegal(self) -> str:
+        """Characters that no folder's or file's name may have."""
+        return self.illegal_chars + self.extra_illegal_chars
+
     def __getattr__(self, key: str):
-        defaults = {"charset": "unicode", "max_path_chars": 260, "max_name_chars": 120, "extra_illegal_chars": "", "keep_original": False, "type_labels": {}, "categories": {}}
+        defaults = {"charset": "unicode", "max_path_chars": 260, "max_name_chars": 120, "illegal_chars": ILLEGAL, "extra_illegal_chars": "", "type_labels": {}, "categories": {}, "description": ""}
         data = object.__getattribute__(self, "data")
         if key in data:
             return data[key]

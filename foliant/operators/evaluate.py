@@ -1,4 +1,4 @@
-"""Accuracy against known answers: scorecard, threshold sweep in one job, recommendation."""
+"""Accuracy against known answers: scorecard, sweep of a fixed verdict over thresholds, recommendation."""
 
 from __future__ import annotations
 
@@ -9,11 +9,16 @@ from .rank import let
 STEPS = 20
 
 
-def scorecard(rows: DataFrame, filed: Column, correct: Column) -> DataFrame:
-    """One row: n, n_filed, n_correct, n_wrong (filed and not correct), precision (null if nothing is filed), coverage."""
+def scorecard(rows: DataFrame, filed: Column, correct: Column, *more: Column) -> DataFrame:
+    """One row: n, n_filed, n_correct, n_wrong (filed and not correct), precision (null if nothing is filed), coverage; and ``more`` aggregates."""
     f, c = filed.cast("boolean"), F.coalesce(correct.cast("boolean"), F.lit(False))
     count = lambda x: F.coalesce(F.sum(x.cast("long")), F.lit(0))
-    return rows.agg(F.count("*").alias("n"), count(f).alias("n_filed"), count(f & c).alias("n_correct"), count(f & ~c).alias("n_wrong")).withColumns({"precision": F.try_divide(F.col("n_correct").cast("double"), F.col("n_filed").cast("double")), "coverage": F.try_divide(F.col("n_filed").cast("double"), F.col("n").cast("double"))})
+    return rows.agg(F.count("*").alias("n"), count(f).alias("n_filed"), count(f & c).alias("n_correct"), count(f & ~c).alias("n_wrong"), *more).withColumns({"precision": F.try_divide(F.col("n_correct").cast("double"), F.col("n_filed").cast("double")), "coverage": F.try_divide(F.col("n_filed").cast("double"), F.col("n").cast("double"))})
+
+
+def differences(expected: Column, found: Column) -> tuple[Column, Column]:
+    """What of one set of names is not in the other, sorted: missed and unexpected."""
+    return F.array_sort(F.array_except(expected, found)), F.array_sort(F.array_except(found, expected))
 
 
 def sweep(rows: DataFrame, confidence: Column, correct: Column, steps: int = STEPS) -> DataFrame:

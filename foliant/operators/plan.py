@@ -11,19 +11,22 @@ from ..kb import KnowledgeBase, Profile
 from .events import ROW
 from .rank import copies, numbered
 
-ILLEGAL = '<>:"/\\|?*'
 _FORMATS = {"%Y": "yyyy", "%m": "MM", "%d": "dd"}
 #: What stands in for a missing token.
 MISSING = {"client": "Unknown client", "date": "undated", "event_date": "undated", "type_label": "Document", "type_id": "document", "category": "other", "original": "document", "subject": "Advice", "record_label": "ADVICE"}
 
 
+def _class(chars: str) -> str:
+    """The characters as the inside of a regular expression's class."""
+    return "".join("\\" + c for c in chars)
+
+
 def clean(value: Column, profile: Profile, limit: int | None = None) -> Column:
     """A safe path fragment."""
     x = value
     if profile.charset == "ascii":
         x = F.regexp_replace(F.translate(x, "—–·’áàâäãåéèêëíìîïóòôöõøúùûüñçÁÀÂÄÉÈÊËÍÓÖØÚÜÑÇ", "--.'aaaaaaeeeeiiiioooooouuuuncAAAAEEEEIOOOUUNC"), r"[^\x20-\x7E]", "")
-    bad = "".join("\\" + c for c in ILLEGAL + profile.extra_illegal_chars)
-    x = F.regexp_replace(x, rf"[{bad}\x00-\x1F]", " ")
+    x = F.regexp_replace(x, rf"[{_class(profile.illegal)}\x00-\x1F]", " ")
     x = F.regexp_replace(F.regexp_replace(x, r"\s+", " "), r"^[ .]+|[ .]+$", "")
     x = F.regexp_replace(F.substring(x, 1, limit or profile.max_name_chars), r"[ .]+$", "")
     return F.coalesce(F.nullif(x, F.lit("")), F.lit("unnamed"))
@@ -43,18 +46,23 @@ def render(template: str, profile: Profile) -> Column:
     return clean(F.concat(*parts), profile)
 
 
+def placement_kind(held: Column, event: Column, client_specific: Column, batch_client: Column, family_key: Column) -> Column:
+    """Where a document belongs: review if a placement rule holds it back, its event, its client, or the licensee."""
+    return (
+        F.when(held.isNotNull(), F.when(family_key.isNotNull(), "review_with_client").otherwise("review_without_client"))
+        .when(event.isNotNull(), "event_document")
+        .when(~client_specific, F.when(batch_client.isNotNull(), "client_level_document").otherwise("licensee_document"))
+        .when(family_key.isNotNull(), "client_level_document").otherwise("review_without_client")
+    )
+
+
 def placements(records: DataFrame, events: DataFrame, attached: DataFrame, flags: DataFrame, batch_clients: DataFrame, kb: KnowledgeBase, profile: Profile) -> DataFrame:
     """A row per document: kind, folder (array), filename, rationale, plan_confidence, family_key as filed."""
     held = flags.filter("class = 'placement'").groupBy(*ROW).agg(F.array_join(F.array_sort(F.collect_list("message")), "; ").alias("held"))
     where = attached.filter("event IS NOT NULL").select(*ROW, "event", F.col("reason"), "attach_confidence")
     ev = events.select("batch_id", "event", "event_date", F.col("subject.label").alias("subject_label"), "sub_kind_label", "record_label", F.col("family_key").alias("event_family"))
     x = records.join(held, ROW, "left").join(where, ROW, "left").join(ev, ["batch_id", "event"], "left").join(batch_clients, "batch_id", "left")
-    kind = (
-        F.when(F.col("held").isNotNull(), F.when(F.col("family_key").isNotNull(), "review_with_client").otherwise("review_without_client"))
-        .when(F.col("event").isNotNull(), "event_document")
-        .when(~F.col("client_specific"), F.when(F.col("batch_client").isNotNull(), "client_level_document").otherwise("licensee_document"))
-        .when(F.col("family_key").isNotNull(), "client_level_document").otherwise("review_without_client")
-    )
+    kind = placement_kind(F.col("held"), F.col("event"), F.col("client_specific"), F.col("batch_client"), F.col("family_key"))
     x = x.withColumn("kind", kind).withColumn("inherited", (F.col("kind") == "client_level_document") & ~F.col("client_specific"))
     x = x.withColumn("family_key", F.when(F.col("inherited"), F.coalesce("family_key", "batch_client")).when(F.col("kind") == "event_document", F.coalesce("family_key", "event_family")).otherwise(F.col("family_key")))
     labels = F.create_map(*[F.lit(y) for t in kb.types for y in (t["id"], profile.type_labels.get(t["id"], t["name"]))])
@@ -68,45 +76,103 @@ def placements(records: DataFrame, events: DataFrame, attached: DataFrame, flags
     for k, parts in profile.layout.items():
         folder = F.when(F.col("kind") == k, F.array(*[render(profile.folders[p], profile) for p in parts])).otherwise(folder)
     named = F.when(F.col("client_specific") & F.col("family_key").isNotNull(), render(profile.filename["client_document"], profile)).otherwise(render(profile.filename["licensee_document"], profile))
+    if profile.filename.get("keep_original"):
+        named = clean(F.concat(named, F.lit(" - "), F.col("_t_original")), profile)
     ext = F.lower(T.suffix(F.col("name")))
     y = y.withColumn("folder", folder).withColumn("filename", F.concat(named, ext))
     why = F.when(F.col("held").isNotNull(), F.col("held")).when(F.col("kind") == "event_document", F.col("reason")).when(F.col("inherited"), "not client-specific; assigned to the only client in this intake batch").when(F.col("kind") == "licensee_document", "licensee-wide document").when(F.col("kind") == "client_level_document", "tied to the client but not to any single advice event").otherwise("no client and no advice event")
     conf = F.when(F.col("kind") == "event_document", F.coalesce("attach_confidence", "confidence")).when(F.col("inherited"), 0.5).otherwise(F.col("confidence"))
     y = y.select(*ROW, "doc_id", "name", "kind", "folder", "filename", why.alias("rationale"), conf.alias("plan_confidence"), F.col("held").isNotNull().alias("needs_review"), "family_key", "event", F.lower(F.concat_ws("/", F.col("folder"), F.col("filename"))).alias("_p"))
     z = numbered(y, ["batch_id", "_p"], "doc_ord", "_n").drop("_p")
-    stem, tail = F.regexp_replace("filename", r"(\.[^./]*)$", ""), T.suffix(F.col("filename"))
-    return z.withColumn("filename", F.when(F.col("_n") > 1, F.concat(stem, F.lit(" ("), F.col("_n").cast("string"), F.lit(")"), tail)).otherwise(F.col("filename"))).drop("_n")
+    return z.withColumn("filename", suffixed(F.col("filename"), F.col("_n"))).drop("_n")
+
+
+def suffixed(filename: Column, n: Column) -> Column:
+    """The n-th file of one name: "name (n).ext" from the second on."""
+    tail = T.suffix(filename)
+    stem = F.substring(filename, F.lit(1), F.length(filename) - F.length(tail))
+    return F.when(n > 1, F.concat(stem, F.lit(" ("), n.cast("string"), F.lit(")"), tail)).otherwise(filename)
+
+
+def review(plan: DataFrame) -> DataFrame:
+    """The part of a plan that a person has to look at."""
+    return plan.filter("needs_review")
+
 
+def filed(plan: DataFrame) -> DataFrame:
+    return plan.filter("NOT needs_review")
 
-def preflight(plan: DataFrame, profile: Profile, existing: DataFrame | None = None) -> DataFrame:
-    """(batch_id, doc_ord, level, issue): path too long, illegal characters, collisions whatever the case, paths that exist."""
-    p = plan.select(*ROW, "folder", "filename", F.concat_ws("/", F.concat_ws("/", "folder"), "filename").alias("path")).withColumn("k", F.lower("path"))
+
+def preflight(plan: DataFrame, profile: Profile, existing: DataFrame | None = None, sources: DataFrame | None = None, root: str = "") -> DataFrame:
+    """(batch_id, doc_ord, level, issue, detail): paths too long, illegal characters (and which), collisions whatever the case, paths that leave the root or exist, documents without a source.
+
+    ``existing``: paths that are there; ``sources``: batch_id, doc_ord, source (null: none, as for samples)."""
+    p = plan.select(*ROW, "folder", "filename", F.array_join(F.concat(F.array(F.lit(root)) if root else F.array().cast("array<string>"), "folder", F.array("filename")), "/").alias("path")).withColumn("k", F.lower("path"))
     p = copies(p, ["batch_id", "k"])
-    bad = "".join("\\" + c for c in ILLEGAL.replace("/", "") + profile.extra_illegal_chars)
-    tests = [F.when(F.length("path") > profile.max_path_chars, F.lit("path too long")), F.when(F.col("path").rlike(f"[{bad}]"), F.lit("illegal character")), F.when(F.col("copies") > 1, F.lit("collision")), F.when(F.exists("folder", lambda f: f.isin("..", ".")), F.lit("escapes the root"))]
+    bad = F.array_sort(F.array_distinct(F.regexp_extract_all(F.array_join(F.concat("folder", F.array("filename")), ""), F.lit(f"([{_class(profile.illegal)}])"), F.lit(1))))
+    issue = lambda test, name, detail, level="error": F.when(test, F.struct(F.lit(level).alias("level"), F.lit(name).alias("issue"), detail.alias("detail")))
+    tests = [
+        issue(F.length("path") > profile.max_path_chars, "too long", F.concat(F.length("path").cast("string"), F.lit(f" characters, over the limit of {profile.max_path_chars}"))),
+        issue(F.size(bad) > 0, "illegal character", F.array_join(bad, " ")),
+        issue(F.col("k").isNotNull() & (F.col("copies") > 1), "collision", F.col("path")),
+        issue(F.exists("folder", lambda f: f.isin("..", ".")), "escapes the root", F.col("path")),
+    ]
+    if sources is not None:
+        p = p.join(sources.select(*ROW, "source"), ROW, "left")
+        tests.append(issue(F.col("source").isNull(), "no source", F.lit("it can be exported but not filed"), "warning"))
     if existing is not None:
         p = p.join(existing.select(F.lower("path").alias("k"), F.lit(True).alias("there")).distinct(), "k", "left")
-        tests.append(F.when(F.col("there"), F.lit("exists")))
-    return p.select(*ROW, F.explode(F.filter(F.array(*tests), lambda x: x.isNotNull())).alias("issue")).withColumn("level", F.when(F.col("issue") == "exists", "warning").otherwise("error"))
+        tests.append(issue(F.col("there"), "exists", F.col("path"), "warning"))
+    return p.select(*ROW, F.explode(F.filter(F.array(*tests), lambda x: x.isNotNull())).alias("x")).select(*ROW, "x.*")
+
+
+def decisions(plan: DataFrame, approvals: DataFrame, filed: DataFrame | None = None, sources: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
+    """What filing would do with each document, and why: filed, already-filed, rejected, skipped or failed.  Nothing is moved here.
+
+    ``approvals``: doc_id, decision, folder, filename and, of several for one id, ``ord``: the last counts.  ``filed``: ids
+    that are filed already; ``sources``: ids that have a source file; ``only``: ids that the operation is about."""
+    said = approvals.select("doc_id", F.struct(F.col("ord") if "ord" in approvals.columns else F.lit(0).alias("ord"), "decision", "folder", "filename").alias("a"))
+    x = plan.join(said.groupBy("doc_id").agg(F.max("a").alias("a")), "doc_id", "left")
 
+    def marked(x: DataFrame, ids: DataFrame | None, name: str, default: bool) -> DataFrame:
+        if ids is None:
+            return x.withColumn(name, F.lit(default))
+        return x.join(ids.select("doc_id", F.lit(True).alias(name)).distinct(), "doc_id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
-def decisions(plan: DataFrame, approvals: DataFrame, filed: DataFrame | None = None) -> DataFrame:
-    """What filing would do with each document: filed, already-filed, rejected, skipped or failed.  Nothing is moved here."""
-    x = plan.join(approvals.select("doc_id", "decision", F.col("folder").alias("a_folder"), F.col("filename").alias("a_name")).dropDuplicates(["doc_id"]), "doc_id", "left")
-    if filed is not None:
-        x = x.join(filed.select("doc_id", F.lit(True).alias("_done")).distinct(), "doc_id", "left")
-    else:
-        x = x.withColumn("_done", F.lit(None).cast("boolean"))
-    folder = F.coalesce(F.when(F.col("a_folder").isNotNull(), F.split("a_folder", "/")), F.col("folder"))
-    escapes = F.exists(folder, lambda f: f.isin("..", ".") | f.rlike(r"[\\\x00]")) | F.coalesce(F.col("a_name"), F.col("filename")).rlike(r"[/\\]")
-    action = F.when(F.col("decision").isNull() | (F.col("decision") == "pending"), "skipped").when(F.col("decision") != "approve", "rejected").when(F.col("_done"), "already-filed").when(escapes, "failed").otherwise("filed")
-    return x.select(*ROW, "doc_id", "name", F.concat_ws("/", folder, F.coalesce("a_name", "filename")).alias("destination"), action.alias("action"))
+    x = marked(marked(marked(x, filed, "_done", False), sources, "_source", True), only, "_asked", True)
+    decision = F.coalesce("a.decision", F.lit("pending"))
+    folder = F.coalesce(F.split(F.nullif("a.folder", F.lit("")), "/"), F.col("folder"))
+    name = F.coalesce(F.nullif("a.filename", F.lit("")), F.col("filename"))
+    escapes = F.exists(folder, lambda f: f.isin("..", ".") | f.rlike(r"[\\\x00]")) | name.rlike(r"[/\\]") | name.isin("..", ".")
+    ladder = [
+        (~F.col("_asked"), "skipped", F.lit("not in this operation's scope")), (decision == "reject", "rejected", F.lit("decision is reject")),
+        (decision != "approve", "skipped", F.concat(F.lit("decision is "), decision)), (~F.col("_source"), "failed", F.lit("no source file")),
+        (F.col("_done"), "already-filed", F.lit("")), (escapes, "failed", F.lit("leaves the root")),
+    ]
+    action, note = F.lit("filed"), F.lit("")
+    for test, what, why in reversed(ladder):
+        action, note = F.when(test, what).otherwise(action), F.when(test, why).otherwise(note)
+    return x.select(*ROW, "doc_id", "name", F.array_join(F.filter(F.concat(folder, F.array(name)), lambda f: f != ""), "/").alias("destination"), action.alias("action"), note.alias("note"))
+
+
+def counted(actions: DataFrame) -> DataFrame:
+    """(action, n): how often each action was, or would be, taken."""
+    return actions.groupBy("action").agg(F.count("*").alias("n"))
 
 
 def reorganise(plan: DataFrame, current: DataFrame) -> DataFrame:
-    """keep, move or leave for each document of a tree, and whether it would change client."""
-    target = F.concat_ws("/", F.concat_ws("/", "folder"), "filename")
-    x = plan.join(current.select(*ROW, "path"), ROW).withColumn("target", target)
-    action = F.when(F.col("needs_review"), "leave").when(F.col("path") == F.col("target"), "keep").otherwise("move")
+    """keep, move or leave for each document of a tree, whether it would change client, and why.
+
+    ``current``: batch_id, doc_ord and the path below the root.  What needs review is left where it is."""
+    x = plan.join(current.select(*ROW, "path"), ROW).withColumn("target", F.array_join(F.concat("folder", F.array("filename")), "/"))
+    here = F.regexp_replace(F.regexp_replace("path", "/{2,}", "/"), r"^(\./)+", "")
+    action = F.when(F.col("needs_review"), "leave").when(here == F.col("target"), "keep").otherwise("move")
     head = lambda c: F.split_part(c, F.lit("/"), F.lit(1))
-    return x.select(*ROW, "doc_id", "path", "target", action.alias("action"), ((action == "move") & (head(F.col("path")) != head(F.col("target")))).alias("crosses_client"))
+    note = F.when(action == "leave", F.concat(F.lit("not confidently placed, so not disturbed: "), F.coalesce("rationale", F.lit("")))).when(action == "move", F.col("rationale")).otherwise("") if "rationale" in plan.columns else F.lit("")
+    return x.select(*ROW, "doc_id", "path", "target", action.alias("action"), ((action == "move") & (head(here) != head(F.col("target")))).alias("crosses_client"), note.alias("note"))
+
+
+def approved_moves(moves: DataFrame, approvals: DataFrame) -> DataFrame:
+    """The moves of a reorganisation that a person approved, in order: also the entries of its rollback file."""
+    last = approvals.groupBy("doc_id").agg(F.max_by("decision", F.col("ord") if "ord" in approvals.columns else F.lit(0)).alias("decision")).filter("decision = 'approve'")
+    return moves.filter("action = 'move'").join(last.select("doc_id"), "doc_id", "left_semi").select(*ROW, "doc_id", F.col("path").alias("from"), F.col("target").alias("to"))

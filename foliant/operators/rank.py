@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..shared import written
+
 
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value worked out once, however often the body names it."""
@@ -12,16 +14,20 @@ def let(value: Column, body) -> Column:
 
 def hint_scores(text: Column, hints: list[tuple[str, str, float]]) -> Column:
     """array<struct<type, ord, score>>: a type's weights of the phrases that the lower-cased text contains.  One projection, no join."""
-    low = F.lower(text)
     types = list(dict.fromkeys(t for t, _, _ in hints))
-    out = []
-    for k, t in enumerate(types):
-        score = F.lit(0.0)
-        for name, phrase, weight in hints:
-            if name == t:
-                score = score + F.when(F.contains(low, F.lit(phrase)), F.lit(float(weight))).otherwise(F.lit(0.0))
-        out.append(F.struct(F.lit(t).alias("type"), F.lit(k).alias("ord"), F.greatest(F.lit(0.0), score).alias("score")))
-    return F.array(*out)
+
+    def scored(low: Column) -> Column:
+        out = []
+        for k, t in enumerate(types):
+            score = F.lit(0.0)
+            for name, phrase, weight in hints:
+                if name == t:
+                    score = score + F.when(F.contains(low, F.lit(phrase)), F.lit(float(weight))).otherwise(F.lit(0.0))
+            out.append(F.struct(F.lit(t).alias("type"), F.lit(k).alias("ord"), F.greatest(F.lit(0.0), score).alias("score")))
+        return F.array(*out)
+
+    # put into lower case once, however many phrases are looked for
+    return let(F.lower(text), scored)
 
 
 def argmax(scores: Column, floor: float) -> Column:
@@ -51,6 +57,19 @@ def numbered(frame: DataFrame, keys: list[str], order: str, name: str = "n", buc
     return inner.join(renamed, on).select(*[inner[c] for c in frame.columns], (F.col("_i") + F.col("_s")).cast("long").alias(name))
 
 
+def ranged(frame: DataFrame, keys: list[str], order: list[str], name: str = "n") -> DataFrame:
+    """row_number over ``keys`` by ``order``, of any types: the rows are dealt by range of both, numbered where they lie, and shifted by the counts of the ranges before.
+
+    No group is one task, however large.  Equal rows are numbered in no stated order."""
+    dealt = frame.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id())
+    inner = written(dealt.withColumn("_i", F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order))), "ranges")
+    held = inner.groupBy(*keys, "_part").agg(F.count("*").alias("_c"))
+    before = held.withColumn("_s", F.coalesce(F.sum("_c").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    renamed = before.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), "_s")
+    on = [inner[k].eqNullSafe(renamed[f"_k{i}"]) for i, k in enumerate(keys)] + [inner["_part"] == renamed["_p"]]
+    return inner.join(renamed, on).select(*[inner[c] for c in frame.columns], (F.col("_i") + F.col("_s")).cast("long").alias(name))
+
+
 def copies(frame: DataFrame, keys: list[str], name: str = "copies") -> DataFrame:
     """Each row with the size of its group (nulls are equal), by a partial aggregate and an equi-join rather than a window."""
     count = frame.groupBy(*keys).agg(F.count("*").alias(name))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType
 
 #: Scores by kind of surname match and given-name evidence (agree, unknown, conflict).
@@ -13,6 +13,7 @@ EXACT = (0.98, 0.85, 0.55)
 SUBSET = (0.88, 0.62, 0.45)
 NEAR = (0.10, 0.0, -0.25)
 NEAR_RATIO = 0.85
+RUNNERS = 3
 
 
 @F.pandas_udf(DoubleType())
@@ -26,7 +27,9 @@ def _evidence(ours: Column, theirs: Column, values: tuple[float, float, float])
 
 
 def _near(people: DataFrame, register: DataFrame) -> DataFrame:
-    """(p, c, ratio) of distinct surnames that share a pair of letters and are alike enough by length; a ratio of .85 needs both."""
+    """(p, c, ratio) of distinct surnames that share a pair of letters and are alike enough by length; a ratio of .85 needs both.
+
+    Only distinct surnames meet here, so a common one is one row on either side."""
     pairs = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 1)), lambda i: F.substring(c, i, F.lit(2)))
     mine = people.select(F.explode("surnames").alias("p")).distinct().select("p", F.explode(F.array_distinct(pairs(F.col("p")))).alias("g"))
     theirs = register.select(F.explode("surnames").alias("c")).distinct().select("c", F.explode(F.array_distinct(pairs(F.col("c")))).alias("g"))
@@ -34,11 +37,8 @@ def _near(people: DataFrame, register: DataFrame) -> DataFrame:
     return met.withColumn("ratio", _ratio("p", "c"))
 
 
-def match(people: DataFrame, register: DataFrame, key: str, match_at: float = 0.80, margin: float = 0.12, new_below: float = 0.55, fuzzy: bool = True) -> DataFrame:
-    """(key, verdict, folder_name, score, second): matched, ambiguous, uncertain or new.
-
-    ``people``: key, surnames, given; ``register``: folder_name, surnames, given; names normalised (functions.names.plain_all).
-    Pairs that share no surname and are not near score below any verdict's bound, so leaving them out changes no verdict."""
+def scored(people: DataFrame, register: DataFrame, key: str, fuzzy: bool = True) -> DataFrame:
+    """(k, folder_name, score) of the pairs that share a surname or have near ones; every other pair scores below any verdict's bound."""
     p = people.select(F.col(key).alias("k"), "surnames", F.coalesce("given", F.array().cast("array<string>")).alias("given"))
     r = register.select("folder_name", F.col("surnames").alias("rs"), F.coalesce("given", F.array().cast("array<string>")).alias("rg"))
     shared = p.select("k", F.explode("surnames").alias("s")).join(r.select("folder_name", F.explode("rs").alias("s")), "s").select("k", "folder_name", F.lit(1.0).alias("ratio"))
@@ -50,8 +50,29 @@ def match(people: DataFrame, register: DataFrame, key: str, match_at: float = 0.
     less, more = F.size(F.array_except(ours, theirs)) == 0, F.size(F.array_except(theirs, ours)) == 0
     near = F.greatest(F.lit(0.0), F.least(F.lit(0.95), F.col("ratio")) + _evidence(F.col("given"), F.col("rg"), NEAR))
     score = F.when(less & more, _evidence(F.col("given"), F.col("rg"), EXACT)).when(less | more, _evidence(F.col("given"), F.col("rg"), SUBSET)).when(F.lit(fuzzy), near).otherwise(0.0)
-    top = met.select("k", "folder_name", score.alias("score")).groupBy("k").agg(F.min(F.struct((-F.col("score")).alias("m"), "folder_name")).alias("x"), F.slice(F.sort_array(F.collect_list("score"), False), 1, 2).alias("two"))
-    out = p.select("k").join(top, "k", "left")
-    best, second = F.coalesce(-F.col("x.m"), F.lit(0.0)), F.coalesce(F.get("two", F.lit(1)), F.lit(0.0))
-    verdict = F.when(best < new_below, "new").when((best - second < margin) & (second > 0), "ambiguous").when(best >= match_at, "matched").otherwise("uncertain")
-    return out.select(F.col("k").alias(key), verdict.alias("verdict"), F.when(verdict.isin("matched", "uncertain"), F.col("x.folder_name")).alias("folder_name"), best.alias("score"), second.alias("second"))
+    return met.select("k", "folder_name", score.alias("score"))
+
+
+def match(people: DataFrame, register: DataFrame, key: str, match_at: float = 0.80, margin: float = 0.12, new_below: float = 0.55, fuzzy: bool = True) -> DataFrame:
+    """(key, verdict, folder_name, score, second, runners, reason): matched, ambiguous, uncertain or new.
+
+    ``people``: key, surnames, given; ``register``: folder_name, surnames, given; names normalised (functions.names.plain_all).
+    runners: the next three with a score, as structs of folder_name and score.  An empty register makes everybody new."""
+    pairs = scored(people, register, key, fuzzy)
+    # the best four of each person, cut per task before they meet: a group limit, not a list of all scores
+    best = Window.partitionBy("k").orderBy(F.desc("score"), "folder_name")
+    four = pairs.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= RUNNERS + 1).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("n", "folder_name", "score"))).alias("four"))
+    out = people.select(F.col(key).alias("k")).join(four, "k", "left")
+    first, after = F.get("four", F.lit(0)), F.get("four", F.lit(1))
+    top, second = F.coalesce(first.score, F.lit(0.0)), F.coalesce(after.score, F.lit(0.0))
+    verdict = F.when(top < new_below, "new").when((top - second < margin) & (second > 0), "ambiguous").when(top >= match_at, "matched").otherwise("uncertain")
+    two = lambda x: F.format_string("%.2f", x)
+    why = (
+        F.when(first.isNull(), "nobody in the register resembles them")
+        .when(verdict == "new", F.concat(F.lit("nobody in the register resembles them (closest was "), first.folder_name, F.lit(" at "), two(top), F.lit(")")))
+        .when(verdict == "ambiguous", F.concat(F.lit("fits both "), first.folder_name, F.lit(" ("), two(top), F.lit(") and "), after.folder_name, F.lit(" ("), two(second), F.lit(")")))
+        .when(verdict == "matched", F.concat(first.folder_name, F.lit(" at "), two(top)))
+        .otherwise(F.concat(F.lit("closest is "), first.folder_name, F.lit(" at "), two(top), F.lit(f", under the {match_at:.2f} needed to file on")))
+    )
+    rest = F.transform(F.filter(F.slice(F.coalesce("four", F.array().cast("array<struct<n:int,folder_name:string,score:double>>")), 2, RUNNERS), lambda x: x.score > 0), lambda x: F.struct(x.folder_name.alias("folder_name"), x.score.alias("score")))
+    return out.select(F.col("k").alias(key), verdict.alias("verdict"), F.when(verdict.isin("matched", "uncertain"), first.folder_name).alias("folder_name"), top.alias("score"), second.alias("second"), rest.alias("runners"), why.alias("reason"))

@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import redact, text as T
-from ..operators import asof, evaluate, keys, rank, register
+from .. import report, sinks
+from ..functions import dates, names, redact, spans, text as T
+from ..kb import KnowledgeBase, Profile
+from ..operators import asof, classify, evaluate, events, flags, keys, plan, rank, register
+from ..shared import written
+from . import batch, evaluation
 
 #: Hints of a corpus knowledge base: type, phrase, weight.
 HINTS = [
@@ -41,6 +45,31 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _kb(**changes) -> KnowledgeBase:
+    """The knowledge base with parts of it replaced."""
+    return KnowledgeBase({**KnowledgeBase.load().data, **changes})
+
+
+KB = _kb()
+#: No limit to how far from an event a document may lie.
+FAR = _kb(filing_model={"attachment_rules": {"by_category": {"input": {"direction": "forward"}, "implementation": {"direction": "backward"}}, "max_gap_days": 10**6}})
+
+
+def shaped(frame: DataFrame, **columns) -> DataFrame:
+    """A frame as the engine's records: the columns given, and what records have besides at its defaults."""
+    null = lambda kind: F.lit(None).cast(kind)
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    rest = {
+        "batch_id": F.lit("b"), "name": F.lit("x.txt"), "doc_id": F.lit("x"), "doc_type": null("string"), "confidence": F.lit(1.0), "runner_up": null("string"), "scores": none("struct<type:string,ord:int,score:double>"),
+        "title_types": none("string"), "capped": F.lit(False), "quality": F.struct(F.lit(1.0).alias("score"), none("string").alias("reasons")), "family_key": null("string"), "surnames": none("string"), "given": none("string"),
+        "own_date": null("date"), "date_provenance": F.lit(""), "cited": null("struct<label:string,value:date>"), "risk_category": null("string"), "risks_named": none("string"), "products": none("string"),
+        "sub_kind": null("struct<id:string,label:string,prior:boolean>"), "subject": F.struct(F.lit("general").alias("id"), F.lit("Advice").alias("label")), "era_pre": F.lit(False), "era_post": F.lit(False),
+        "advice_record": F.lit(False), "client_specific": F.lit(True), "requires_date": F.lit(False), "category": null("string"), "abbrev": null("string"), "client_raw": null("string"),
+    }
+    value = lambda v: F.col(v) if isinstance(v, str) else v
+    return frame.select(*[value(v).alias(k) for k, v in {**rest, **columns}.items()])
+
+
 def _classified(docs: DataFrame) -> DataFrame:
     scores = rank.hint_scores(F.coalesce("text", F.lit("")), HINTS)
     return docs.withColumn("scores", scores).withColumn("c", rank.argmax(F.col("scores"), FLOOR))
@@ -92,8 +121,8 @@ def q04_classify_argmax(spark, sf):
 
 @query("SELECT doc_id, CASE WHEN p = 0 THEN 'absent' WHEN p <= 300 THEN 'title' ELSE 'mention' END AS place FROM (SELECT doc_id, strpos(lower(text), 'licensed under') AS p FROM documents)")
 def q05_title_vs_mention(spark, sf):
-    p = F.instr(F.lower("text"), "licensed under")
-    return table(spark, sf, "documents").select("doc_id", F.when(p == 0, "absent").when(p <= 300, "title").otherwise("mention").alias("place"))
+    first = F.get(spans.matches(F.col("text"), spans.phrase_regex("licensed under")), F.lit(0))
+    return table(spark, sf, "documents").select("doc_id", F.when(first.isNull(), "absent").when(first.s < KB.head_chars, "title").otherwise("mention").alias("place"))
 
 
 @query(f"WITH {_SCORES} SELECT doc_id, count(*)::BIGINT AS n_types FROM s WHERE score >= {FLOOR} GROUP BY doc_id HAVING count(*) >= 2")
@@ -107,13 +136,12 @@ LABELLED = (("licensed", "[Ll]icensed under ([A-Za-z0-9. -]+)"), ("released", "[
 
 @query("SELECT doc_id, CASE " + " ".join(f"WHEN regexp_extract(text, '{p}', 1) <> '' THEN '{n}'" for n, p in LABELLED) + " END AS label, CASE " + " ".join(f"WHEN regexp_extract(text, '{p}', 1) <> '' THEN regexp_extract(text, '{p}', 1)" for n, p in LABELLED) + " END AS value FROM documents")
 def q07_first_label_wins(spark, sf):
-    hits = [F.when(F.regexp_extract("text", p, 1) != "", F.struct(F.lit(n).alias("label"), F.regexp_extract("text", p, 1).alias("value"))) for n, p in LABELLED]
-    return table(spark, sf, "documents").select("doc_id", F.coalesce(*hits).alias("x")).select("doc_id", "x.label", "x.value")
+    return table(spark, sf, "documents").select("doc_id", F.get(spans.extracted(F.col("text"), list(LABELLED)), F.lit(0)).alias("x")).select("doc_id", "x.label", F.col("x.raw").alias("value"))
 
 
 @query("SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Z]{2}[0-9A-Z]{6,}'))) AS token FROM documents")
 def q08_tokens_dedup(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z]{2}[0-9A-Z]{6,}"), F.lit(0)))).alias("token"))
+    return table(spark, sf, "documents").select("doc_id", F.explode(spans.tokens(F.col("text"), "[A-Z]{2}[0-9A-Z]{6,}")).alias("token"))
 
 
 _PATH = "regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]*', '')"
@@ -138,8 +166,8 @@ def q10_merge_keys(spark, sf):
 
 @query("SELECT o_custkey, CASE WHEN count(DISTINCT o_orderstatus) = 1 THEN max(o_orderstatus) END AS status FROM orders GROUP BY o_custkey")
 def q11_batch_client(spark, sf):
-    x = F.min("o_orderstatus")
-    return table(spark, sf, "orders").groupBy("o_custkey").agg(F.when(x == F.max("o_orderstatus"), x).alias("status"))
+    records = shaped(table(spark, sf, "orders"), batch_id="o_custkey", family_key="o_orderstatus")
+    return batch.batch_client(records, KB).select(F.col("batch_id").alias("o_custkey"), F.col("batch_client").alias("status"))
 
 
 def _asof_sql(direction: str) -> str:
@@ -174,9 +202,10 @@ def q13_asof_backward(spark, sf):
 SELECT l_orderkey, l_linenumber, l_partkey, e.k AS cited FROM lineitem l JOIN orders o ON l_orderkey = o_orderkey LEFT JOIN e ON e.o_custkey = o.o_custkey AND e.d = l_shipdate::DATE""")
 def q14_citation_join(spark, sf):
     orders = table(spark, sf, "orders")
-    events = orders.groupBy("o_custkey", F.to_date("o_orderdate").alias("d")).agg(F.min("o_orderkey").alias("cited"))
-    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.to_date("l_shipdate").alias("d"))
-    return lines.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").join(events, ["o_custkey", "d"], "left").select("l_orderkey", "l_linenumber", "l_partkey", "cited")
+    known = orders.select(F.lit("b").alias("batch_id"), F.col("o_custkey").alias("family_key"), F.to_date("o_orderdate").alias("event_date"), F.col("o_orderkey").alias("event"))
+    lines = table(spark, sf, "lineitem").join(orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("family_key")), "l_orderkey")
+    cited = events.cite(lines.select(F.lit("b").alias("batch_id"), "family_key", F.to_date("l_shipdate").alias("cited_date"), "l_orderkey", "l_linenumber", "l_partkey"), known)
+    return cited.select("l_orderkey", "l_linenumber", "l_partkey", F.col("event").alias("cited"))
 
 
 @query("""WITH p AS (SELECT DISTINCT p_name, unnest(list_distinct(string_split(p_name, ' '))) AS t FROM part),
@@ -184,67 +213,79 @@ j AS (SELECT a.p_name, b.p_name AS best, count(*) AS shared FROM p a JOIN p b ON
 r AS (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY shared DESC, best) AS n, max(shared) OVER (PARTITION BY p_name) AS top FROM j)
 SELECT p_name, max(best) FILTER (n = 1) AS best, max(top)::BIGINT AS shared, (count(*) FILTER (shared = top))::INTEGER AS tied FROM r GROUP BY p_name""")
 def q15_token_overlap(spark, sf):
-    names = table(spark, sf, "part").select("p_name", F.split("p_name", " ").alias("t")).distinct()
-    return keys.best_overlap(names, names.withColumnRenamed("p_name", "best"), "p_name", "best", "t", distinct_keys=True)
+    parts = table(spark, sf, "part").select("p_name", F.split("p_name", " ").alias("t")).distinct()
+    return keys.best_overlap(parts, parts.withColumnRenamed("p_name", "best"), "p_name", "best", "t", distinct_keys=True)
 
 
 @query("""WITH d AS (SELECT DISTINCT p_name, list_sort(list_distinct(string_split(p_name, ' '))) AS s FROM part),
-r AS (SELECT DISTINCT f, list_sort(list_distinct(string_split(f, ' '))) AS s FROM (SELECT p_name AS f FROM d WHERE length(p_name) % 2 = 0 UNION SELECT split_part(p_name, ' ', 2) FROM d)),
+r AS (SELECT DISTINCT f, list_sort(list_distinct(string_split(f, ' '))) AS s FROM (SELECT p_name AS f FROM part WHERE p_brand = 'Brand#2' UNION SELECT split_part(p_name, ' ', 2) FROM part WHERE p_brand = 'Brand#17')),
 j AS (SELECT d.p_name, r.f, CASE WHEN d.s = r.s THEN 0.85::DOUBLE WHEN list_has_all(d.s, r.s) OR list_has_all(r.s, d.s) THEN 0.62::DOUBLE ELSE 0.0::DOUBLE END AS score FROM d, r),
 n AS (SELECT *, row_number() OVER w AS n, lead(score) OVER w AS second FROM j WINDOW w AS (PARTITION BY p_name ORDER BY score DESC, f)),
 v AS (SELECT *, CASE WHEN score < 0.55 THEN 'new' WHEN score - coalesce(second, 0) < 0.12 AND coalesce(second, 0) > 0 THEN 'ambiguous' WHEN score >= 0.8 THEN 'matched' ELSE 'uncertain' END AS verdict FROM n WHERE n = 1)
 SELECT p_name, verdict, CASE WHEN verdict IN ('matched', 'uncertain') THEN f END AS folder_name, score FROM v""")
 def q16_register_match(spark, sf):
-    names = table(spark, sf, "part").select("p_name").distinct()
+    """Everybody against a register of the names of one brand, and of the last words of another's."""
+    part = table(spark, sf, "part")
     tokens = lambda c: F.array_sort(F.array_distinct(F.split(c, " ")))
     none = F.array().cast("array<string>")
-    folders = names.filter(F.length("p_name") % 2 == 0).select(F.col("p_name").alias("folder_name")).union(names.select(F.split_part("p_name", F.lit(" "), F.lit(2)))).distinct()
-    people = names.select("p_name", tokens("p_name").alias("surnames"), none.alias("given"))
+    folders = part.filter("p_brand = 'Brand#2'").select(F.col("p_name").alias("folder_name")).union(part.filter("p_brand = 'Brand#17'").select(F.split_part("p_name", F.lit(" "), F.lit(2)))).distinct()
+    people = part.select("p_name").distinct().select("p_name", tokens("p_name").alias("surnames"), none.alias("given"))
     return register.match(people, folders.select("folder_name", tokens("folder_name").alias("surnames"), none.alias("given")), "p_name", fuzzy=False).select("p_name", "verdict", "folder_name", "score")
 
 
 @query()
 def q17_register_fuzzy(spark, sf):
     """Names against a register of the same names with a letter lost: near matches, by difflib's ratio."""
-    names = table(spark, sf, "part").select("p_name").distinct()
+    part = table(spark, sf, "part").select("p_name").distinct()
     none = F.array().cast("array<string>")
-    people = names.select("p_name", F.array(F.replace("p_name", F.lit(" "), F.lit(""))).alias("surnames"), none.alias("given"))
-    folders = names.select(F.col("p_name").alias("folder_name"), F.array(F.concat(F.substring(F.replace("p_name", F.lit(" "), F.lit("")), 1, 4), F.expr("substring(replace(p_name, ' ', ''), 6)"))).alias("surnames"), none.alias("given"))
-    return register.match(people, folders, "p_name")
+    people = part.select("p_name", F.array(F.replace("p_name", F.lit(" "), F.lit(""))).alias("surnames"), none.alias("given"))
+    folders = part.select(F.col("p_name").alias("folder_name"), F.array(F.concat(F.substring(F.replace("p_name", F.lit(" "), F.lit("")), 1, 4), F.expr("substring(replace(p_name, ' ', ''), 6)"))).alias("surnames"), none.alias("given"))
+    return register.match(people, folders, "p_name").select("p_name", "verdict", "folder_name", "score", "second")
 
 
 @query(f"SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '{URGENT}')")
 def q18_anti_event(spark, sf):
-    urgent = table(spark, sf, "orders").filter(F.col("o_orderpriority") == URGENT).select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf, "customer").select("c_custkey").join(urgent, "c_custkey", "left_anti")
+    """Customers as authorities, and the first urgent order of each as the advice that they would go with."""
+    day = F.lit("2000-01-01").cast("date")
+    asked = shaped(table(spark, sf, "customer"), doc_ord="c_custkey", family_key=F.col("c_custkey").cast("string"), doc_type=F.lit("authority_to_proceed"), category=F.lit("implementation"), own_date=day)
+    urgent = table(spark, sf, "orders").filter(F.col("o_orderpriority") == URGENT).groupBy("o_custkey").agg(F.to_date(F.min("o_orderdate")).alias("d"))
+    records = asked.unionByName(shaped(urgent, doc_ord=-F.col("o_custkey") - 1, family_key=F.col("o_custkey").cast("string"), doc_type=F.lit("soa"), category=F.lit("advice"), advice_record=F.lit(True), own_date="d"))
+    found, attached = events.group(records, FAR)
+    return flags.event_rules(records, found, attached, FAR).filter("rule_id = 'atp_without_advice_record'").select(F.col("doc_ord").alias("c_custkey"))
 
 
 @query(f"SELECT o_orderkey FROM orders o WHERE o_orderpriority <> '{URGENT}' AND NOT EXISTS (SELECT 1 FROM orders e WHERE e.o_custkey = o.o_custkey AND e.o_orderpriority = '{URGENT}' AND e.o_orderdate <= o.o_orderdate)")
 def q19_prior_record(spark, sf):
-    """That some earlier record exists is that the earliest is not later: one row a customer instead of a range join."""
-    orders = table(spark, sf, "orders")
-    first = orders.filter(F.col("o_orderpriority") == URGENT).groupBy("o_custkey").agg(F.min("o_orderdate").alias("first"))
-    return orders.filter(F.col("o_orderpriority") != URGENT).join(first, "o_custkey", "left").filter("first IS NULL OR first > o_orderdate").select("o_orderkey")
+    orders = table(spark, sf, "orders").withColumns({"d": F.to_date("o_orderdate"), "c": F.col("o_custkey").cast("string")})
+    records = shaped(orders.filter(F.col("o_orderpriority") != URGENT), doc_ord="o_orderkey", family_key="c", doc_type=F.lit("roa"), own_date="d")
+    full = events.anchors(shaped(orders.filter(F.col("o_orderpriority") == URGENT), doc_ord="o_orderkey", family_key="c", doc_type=F.lit("soa"), advice_record=F.lit(True), own_date="d"), KB)
+    return flags.without_prior(records, full, KB).select(F.col("doc_ord").alias("o_orderkey"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, date_diff('day', o_orderdate::DATE, l_shipdate::DATE)::INTEGER AS gap_days FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate::DATE > o_orderdate::DATE")
 def q20_after_anchor(spark, sf):
-    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.to_date("o_orderdate").alias("o"))
-    gap = F.datediff(F.to_date("l_shipdate"), "o")
-    return table(spark, sf, "lineitem").join(orders, "l_orderkey").select("l_orderkey", "l_linenumber", "l_partkey", gap.alias("gap_days")).filter("gap_days > 0")
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.to_date("o_orderdate").alias("event_date"))
+    inside = table(spark, sf, "lineitem").join(orders, "l_orderkey").select("l_orderkey", "l_linenumber", "l_partkey", F.lit("input").alias("category"), F.to_date("l_shipdate").alias("own_date"), "event_date")
+    return flags.after_anchor(inside).select("l_orderkey", "l_linenumber", "l_partkey", "gap_days")
 
 
 @query("SELECT a.conv_id, a.turn FROM conversations a JOIN conversations u ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' AND u.role = 'user' WHERE NOT contains(lower(a.text), lower(split_part(u.text, ' ', 1)))")
 def q21_text_contains_parent(spark, sf):
+    """User turns as risk profiles whose category is their first word, the answers as the advice that should name it."""
     c = table(spark, sf, "conversations")
-    users = c.filter("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.lower(F.split_part("text", F.lit(" "), F.lit(1))).alias("cue"))
-    return c.filter("role = 'assistant'").join(users, ["conv_id", "turn"]).filter(~F.contains(F.lower("text"), F.col("cue"))).select("conv_id", "turn")
+    users = c.filter("role = 'user'")
+    asked = shaped(users, batch_id="conv_id", doc_ord="turn", doc_type=F.lit("risk_profile"), risk_category=F.lower(F.split_part("text", F.lit(" "), F.lit(1))))
+    attached = users.select(F.col("conv_id").alias("batch_id"), F.col("turn").alias("doc_ord"), (F.col("turn") + 1).alias("event"))
+    answers = c.filter("role = 'assistant'").select(F.col("conv_id").alias("batch_id"), F.col("turn").alias("event"), F.lit(None).cast("date").alias("event_date"), F.lit("soa").alias("anchor_type"), F.array(F.lower("text")).alias("anchor_risks"))
+    unnamed = flags.risk_unnamed(events.inside(asked, attached, answers), F.contains(F.col("anchor_risks")[0], F.col("risk_category")))
+    return unnamed.select(F.col("batch_id").alias("conv_id"), F.col("event").alias("turn"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderdate::DATE >= DATE '1998-01-01' THEN 'old wording' ELSE 'new wording' END AS finding FROM orders WHERE (o_orderdate::DATE >= DATE '1998-01-01' AND o_orderpriority = '1-URGENT') OR (o_orderdate::DATE < DATE '1998-01-01' AND o_orderpriority = '5-LOW')")
 def q22_era_mismatch(spark, sf):
-    late = F.to_date("o_orderdate") >= F.lit("1998-01-01").cast("date")
-    return table(spark, sf, "orders").filter((late & (F.col("o_orderpriority") == "1-URGENT")) | (~late & (F.col("o_orderpriority") == "5-LOW"))).select("o_orderkey", F.when(late, "old wording").otherwise("new wording").alias("finding"))
+    p = F.col("o_orderpriority")
+    records = shaped(table(spark, sf, "orders"), doc_ord="o_orderkey", category=F.lit("ongoing_service"), own_date=F.to_date("o_orderdate"), era_pre=p == "1-URGENT", era_post=p == "5-LOW")
+    return flags.era_mismatch(records, "1998-01-01").select(F.col("doc_ord").alias("o_orderkey"), "finding")
 
 
 @query("SELECT doc_id, copies FROM (SELECT doc_id, count(*) OVER (PARTITION BY sha256(text), lang)::BIGINT AS copies FROM documents) WHERE copies >= 2")
@@ -263,21 +304,24 @@ UNION ALL SELECT doc_id, 'unlabelled' FROM documents d WHERE NOT EXISTS (SELECT
 g AS (SELECT * FROM f UNION ALL SELECT d.doc_id, 'event_ambiguous' FROM documents d JOIN labels l USING (doc_id) WHERE quality = 0 AND d.doc_id NOT IN (SELECT doc_id FROM f WHERE rule_id = 'no_date'))"""
 
 
-def _flags(spark, sf):
-    """Independent rules in one pass over the documents; the rule that depends on others by an anti-join."""
-    docs = _classified(table(spark, sf, "documents"))
-    labels = table(spark, sf, "labels").select("doc_id", "quality")
-    rules = F.array(
-        F.when(F.col("c.type").isNull(), F.lit("unknown_type")),
-        F.when(F.col("c.type").isNotNull() & (F.col("c.confidence") < 0.6), F.lit("low_confidence")),
-        F.when(F.size(F.filter("scores", lambda s: s.score >= FLOOR)) >= 2, F.lit("multi_doc_bundle")),
-        F.when(~F.col("text").rlike("[0-9]{2,}"), F.lit("no_date")),
+def _flag_frame(spark, sf) -> DataFrame:
+    """(batch_id, doc_ord, rule_id): documents as records, their labels as what the register and the events say of them."""
+    labels = table(spark, sf, "labels").select("doc_id", "quality", F.lit(True).alias("labelled"))
+    docs = _classified(table(spark, sf, "documents")).join(labels, "doc_id", "left")
+    records = shaped(
+        docs, doc_ord="doc_id", family_key=F.lit("x"), doc_type="c.type", confidence="c.confidence", runner_up="c.runner_up", scores="scores", title_types=F.transform(F.filter("scores", lambda x: x.score >= FLOOR), lambda x: x.type),
+        own_date=F.when(F.col("text").rlike("[0-9]{2,}"), F.lit("2000-01-01").cast("date")), requires_date=F.lit(True), refused=F.col("quality") == 0,
+        match_verdict=F.when(F.col("labelled").isNull(), "new").otherwise("matched"), match_reason=F.lit("no label"),
     )
-    own = docs.select("doc_id", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("rule_id"))
-    missing = docs.select("doc_id").join(labels, "doc_id", "left_anti").withColumn("rule_id", F.lit("unlabelled"))
-    undated = docs.filter(~F.col("text").rlike("[0-9]{2,}")).select("doc_id")
-    unplaced = docs.select("doc_id").join(labels.filter("quality = 0"), "doc_id").join(undated, "doc_id", "left_anti").select("doc_id", F.lit("event_ambiguous").alias("rule_id"))
-    return own.unionByName(missing).unionByName(unplaced)
+    attached = records.filter("refused").select(*events.ROW, F.lit(None).cast("long").alias("event"), F.lit("marked as poor").alias("reason"))
+    alone = flags.row_rules(records, KB).select(*events.ROW, "rule_id")
+    unplaced = flags.ambiguous(events.refused(records, attached)).select(*events.ROW, F.lit("event_ambiguous").alias("rule_id"))
+    return alone.unionByName(unplaced)
+
+
+def _flags(spark, sf) -> DataFrame:
+    rule = F.col("rule_id")
+    return _flag_frame(spark, sf).select(F.col("doc_ord").alias("doc_id"), F.when(rule == "new_client_proposed", "unlabelled").otherwise(rule).alias("rule_id"))
 
 
 @query(f"WITH {_FLAGS} SELECT doc_id, rule_id FROM g")
@@ -287,8 +331,8 @@ def q24_flags_union(spark, sf):
 
 @query("SELECT doc_id, CASE WHEN n > 1 THEN name || ' (' || n || ')' ELSE name END || '.txt' AS file_name FROM (SELECT doc_id, lang || '-' || source AS name, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS n FROM documents)")
 def q25_plan_dedup(spark, sf):
-    docs = rank.numbered(table(spark, sf, "documents").select("doc_id", F.concat_ws("-", "lang", "source").alias("name")), ["name"], "doc_id")
-    return docs.select("doc_id", F.concat("name", F.when(F.col("n") > 1, F.concat(F.lit(" ("), F.col("n").cast("string"), F.lit(")"))).otherwise(""), F.lit(".txt")).alias("file_name"))
+    docs = rank.numbered(table(spark, sf, "documents").select("doc_id", F.concat(F.concat_ws("-", "lang", "source"), F.lit(".txt")).alias("name")), ["name"], "doc_id")
+    return docs.select("doc_id", plan.suffixed(F.col("name"), F.col("n")).alias("file_name"))
 
 
 _KINDS = f"""{_FLAGS},
@@ -298,9 +342,10 @@ k AS (SELECT d.doc_id, CASE WHEN count(*) FILTER (rule_id IN ('unknown_type', 'l
 def _kinds(spark, sf):
     raised = _flags(spark, sf).groupBy("doc_id").agg(F.collect_set("rule_id").alias("r"))
     r = F.coalesce("r", F.array().cast("array<string>"))
-    has = lambda *names: F.arrays_overlap(r, F.array(*map(F.lit, names)))
-    kind = F.when(has("unknown_type", "low_confidence", "event_ambiguous"), "review").when(has("unlabelled"), "client_level").when(has("no_date"), "licensee").otherwise("event")
-    return table(spark, sf, "documents").select("doc_id").join(raised, "doc_id", "left").select("doc_id", kind.alias("kind"))
+    has = lambda *rules: F.arrays_overlap(r, F.array(*map(F.lit, rules)))
+    outside, licensee = has("unlabelled") | has("no_date"), has("no_date") & ~has("unlabelled")
+    kind = plan.placement_kind(F.when(has("unknown_type", "low_confidence", "event_ambiguous"), "held"), F.when(~outside, 1), ~licensee, F.lit(None), F.lit("x"))
+    return table(spark, sf, "documents").select("doc_id").join(raised, "doc_id", "left").select("doc_id", F.regexp_extract(kind, "^(review|event|client_level|licensee)", 1).alias("kind"))
 
 
 @query(f"WITH {_KINDS} SELECT doc_id, kind FROM k")
@@ -311,28 +356,34 @@ def q26_placement_ladder(spark, sf):
 @query("""SELECT page_id, 'too long' AS issue FROM pages WHERE length(url) > 45 UNION ALL SELECT page_id, 'illegal character' FROM pages WHERE regexp_matches(url, '[?#&%]')
 UNION ALL SELECT page_id, 'collision' FROM pages WHERE lower(url) IN (SELECT lower(url) FROM pages GROUP BY 1 HAVING count(*) > 1)""")
 def q27_preflight(spark, sf):
-    pages = rank.copies(table(spark, sf, "pages").select("page_id", "url", F.lower("url").alias("k")), ["k"])
-    issues = F.array(F.when(F.length("url") > 45, F.lit("too long")), F.when(F.col("url").rlike("[?#&%]"), F.lit("illegal character")), F.when(F.col("k").isNotNull() & (F.col("copies") > 1), F.lit("collision")))
-    return pages.select("page_id", F.explode(F.filter(issues, lambda x: x.isNotNull())).alias("issue"))
+    none = F.array().cast("array<string>")
+    proposed = table(spark, sf, "pages").select(F.lit("b").alias("batch_id"), F.col("page_id").alias("doc_ord"), none.alias("folder"), F.col("url").alias("filename"))
+    return plan.preflight(proposed, Profile({"illegal_chars": "?#&%", "max_path_chars": 45})).select(F.col("doc_ord").alias("page_id"), "issue")
 
 
 @query(f"""WITH p AS (SELECT page_id, {_PATH} AS path FROM pages), q AS (SELECT *, split_part(path, '/', 2) AS seg FROM p), r AS (SELECT *, CASE WHEN seg = 'en' THEN '/en/' || page_id ELSE '/other/' || seg || '/' || page_id END AS target FROM q)
 SELECT page_id, CASE WHEN seg = '' THEN 'leave' WHEN target = path THEN 'keep' ELSE 'move' END AS action, seg <> '' AND split_part(target, '/', 2) <> seg AS crosses FROM r""")
 def q28_reorganise(spark, sf):
-    seg = lambda c: F.split_part(c, F.lit("/"), F.lit(2))
-    x = table(spark, sf, "pages").select("page_id", _path().alias("path")).withColumn("seg", seg(F.col("path")))
-    x = x.withColumn("target", F.when(F.col("seg") == "en", F.concat(F.lit("/en/"), F.col("page_id").cast("string"))).otherwise(F.concat_ws("/", F.lit("/other"), "seg", F.col("page_id").cast("string"))))
-    return x.select("page_id", F.when(F.col("seg") == "", "leave").when(F.col("target") == F.col("path"), "keep").otherwise("move").alias("action"), ((F.col("seg") != "") & (seg(F.col("target")) != F.col("seg"))).alias("crosses"))
+    seg, own = F.split_part("path", F.lit("/"), F.lit(1)), F.col("page_id").cast("string")
+    x = table(spark, sf, "pages").select("page_id", F.substring(_path(), 2, 1 << 20).alias("path")).withColumn("seg", seg)
+    folder = F.when(F.col("seg") == "en", F.array(F.lit("en"))).otherwise(F.array(F.lit("other"), F.col("seg")))
+    proposed = x.select(F.lit("b").alias("batch_id"), F.col("page_id").alias("doc_ord"), own.alias("doc_id"), (F.col("seg") == "").alias("needs_review"), folder.alias("folder"), own.alias("filename"))
+    moves = plan.reorganise(proposed, x.select(F.lit("b").alias("batch_id"), F.col("page_id").alias("doc_ord"), "path"))
+    return moves.select(F.col("doc_ord").alias("page_id"), "action", F.col("crosses_client").alias("crosses"))
 
 
 @query("""WITH d AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS first FROM documents)
 SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'skipped' WHEN toxic = 1 THEN 'rejected' WHEN quality = 0 THEN 'failed' WHEN first < d.doc_id THEN 'already-filed' ELSE 'filed' END AS action FROM d LEFT JOIN labels l USING (doc_id)""")
 def q29_approvals_apply(spark, sf):
+    none = F.lit(None).cast("string")
     docs = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    labels = table(spark, sf, "labels")
     first = docs.groupBy("h").agg(F.min("doc_id").alias("first"))
-    labels = table(spark, sf, "labels").withColumn("known", F.lit(True))
-    action = F.when(F.col("known").isNull(), "skipped").when(F.col("toxic") == 1, "rejected").when(F.col("quality") == 0, "failed").when(F.col("first") < F.col("doc_id"), "already-filed").otherwise("filed")
-    return docs.join(first, "h").join(labels, "doc_id", "left").select("doc_id", action.alias("action"))
+    copied = docs.join(first, "h").filter("first < doc_id").select("doc_id")
+    there = docs.select("doc_id").join(labels.filter("quality = 0"), "doc_id", "left_anti")
+    proposed = docs.select(F.lit("b").alias("batch_id"), F.col("doc_id").alias("doc_ord"), "doc_id", F.lit("x.txt").alias("name"), F.array().cast("array<string>").alias("folder"), F.lit("x.txt").alias("filename"))
+    said = labels.select("doc_id", F.when(F.col("toxic") == 1, "reject").otherwise("approve").alias("decision"), none.alias("folder"), none.alias("filename"))
+    return plan.decisions(proposed, said, filed=copied, sources=there).select("doc_id", "action")
 
 
 def _labelled(spark, sf):
@@ -367,11 +418,16 @@ def q32_recommend(spark, sf):
 e AS (SELECT doc_id, list_filter([CASE WHEN toxic = 1 THEN 'low_confidence' END, CASE WHEN quality = 0 THEN 'event_ambiguous' END, CASE WHEN quality = 0 THEN 'unknown_type' END], lambda x: x IS NOT NULL) AS want FROM labels)
 SELECT d.doc_id, array_to_string(list_sort(list_filter(want, lambda x: NOT list_contains(coalesce(r, []), x))), ',') AS missed FROM documents d JOIN e USING (doc_id) LEFT JOIN h USING (doc_id) WHERE len(list_filter(want, lambda x: NOT list_contains(coalesce(r, []), x))) > 0""")
 def q33_failure_rows(spark, sf):
-    raised = _flags(spark, sf).groupBy("doc_id").agg(F.collect_set("rule_id").alias("r"))
+    """What a run over the documents missed of what their labels ask for."""
+    labels = table(spark, sf, "labels")
+    none = lambda kind: F.lit(None).cast(kind)
+    records = shaped(table(spark, sf, "documents"), doc_ord="doc_id", name=F.col("doc_id").cast("string"))
     want = F.filter(F.array(F.when(F.col("toxic") == 1, F.lit("low_confidence")), F.when(F.col("quality") == 0, F.lit("event_ambiguous")), F.when(F.col("quality") == 0, F.lit("unknown_type"))), lambda x: x.isNotNull())
-    rows = table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels"), "doc_id").join(raised, "doc_id", "left")
-    missed = F.array_except(want, F.coalesce("r", F.array().cast("array<string>")))
-    return rows.select("doc_id", F.array_join(F.array_sort(missed), ",").alias("missed")).filter("missed <> ''")
+    truth = labels.select(F.col("doc_id").cast("string").alias("name"), none("string").alias("type"), none("string").alias("client"), none("string").alias("event"), F.lit(False).alias("needs_review"), want.alias("expect_flags"))
+    proposed = records.select(*events.ROW, "name", none("long").alias("event"), F.lit(False).alias("needs_review"))
+    result = batch.Result(records, events.anchors(records, KB), proposed, _flag_frame(spark, sf), proposed, proposed, kb=KB)
+    missed = evaluation.compare(result, truth).filter(F.size("missed") > 0)
+    return missed.select(F.col("doc_ord").alias("doc_id"), F.array_join("missed", ",").alias("missed"))
 
 
 @query("SELECT c_custkey, 'client-' || substr(sha256('salt|' || c_name), 1, 10) AS pseudonym FROM customer")
@@ -379,9 +435,14 @@ def q34_pseudonym(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", redact.pseudonym(F.col("c_name"), "salt").alias("pseudonym"))
 
 
-@query()
+KEPT = ("the", "der", "die", "das", "le", "la", "los")
+_NAME = r"\p{L}[\p{L}\p{M}\p{N}_'-]*".replace("'", "''")
+
+
+@query(f"""WITH w AS (SELECT conv_id, turn, regexp_extract_all(text, '{_NAME}') AS w, regexp_split_to_array(text, '{_NAME}') AS g FROM conversations)
+SELECT conv_id, turn, array_to_string(list_transform(range(1, len(g) + 1), lambda i: g[i] || CASE WHEN w[i] IS NULL THEN '' WHEN w[i][1] = upper(w[i][1]) AND w[i][1] <> lower(w[i][1]) AND NOT list_contains([{", ".join(f"'{k}'" for k in KEPT)}], lower(w[i])) THEN '[name]' ELSE w[i] END), '') AS text FROM w""")
 def q35_redact_text(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", redact.prose(F.col("text"), ["the", "der", "die", "das", "le", "la", "los"]).alias("text"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", redact.prose(F.col("text"), list(KEPT)).alias("text"))
 
 
 KNOWN_RULES = ("unknown_type", "low_confidence", "multi_doc_bundle", "no_date", "event_ambiguous", "risk_mismatch")
@@ -389,33 +450,206 @@ KNOWN_RULES = ("unknown_type", "low_confidence", "multi_doc_bundle", "no_date",
 
 @query(f"WITH {_FLAGS}, k AS (SELECT unnest([" + ", ".join(f"'{r}'" for r in KNOWN_RULES) + "]) AS rule_id), i AS (SELECT DISTINCT rule_id FROM g) SELECT coalesce(k.rule_id, i.rule_id) AS rule_id, CASE WHEN i.rule_id IS NULL THEN 'missing' WHEN k.rule_id IS NULL THEN 'orphaned' ELSE 'implemented' END AS state FROM k FULL JOIN i ON k.rule_id = i.rule_id")
 def q36_coverage(spark, sf):
-    known = spark.createDataFrame([(r,) for r in KNOWN_RULES], "known string")
-    raised = _flags(spark, sf).select("rule_id").distinct()
-    both = known.join(raised, F.col("known") == F.col("rule_id"), "full")
-    return both.select(F.coalesce("known", "rule_id").alias("rule_id"), F.when(F.col("rule_id").isNull(), "missing").when(F.col("known").isNull(), "orphaned").otherwise("implemented").alias("state"))
+    known = spark.createDataFrame([(r,) for r in KNOWN_RULES], "rule_id string")
+    return flags.states(known, _flags(spark, sf))
 
 
-def _events(spark, sf):
-    """Urgent orders as events with the other orders that attach to them."""
-    orders = table(spark, sf, "orders")
-    attached = _asof(spark, sf, "backward").filter("status = 'ok'").select("o_orderkey", "event_key")
-    anchors = orders.filter(F.col("o_orderpriority") == URGENT).select(F.col("o_orderkey").alias("event_key"), "o_custkey", F.to_date("o_orderdate").alias("date"))
-    members = attached.groupBy("event_key").agg(F.array_sort(F.collect_list("o_orderkey")).alias("members"))
-    return anchors.join(members, "event_key", "left")
+def _event_rows(spark, sf) -> DataFrame:
+    """Urgent orders as advice, the others as authorities that attach to it: the events, as the manifest has them."""
+    urgent = F.col("o_orderpriority") == URGENT
+    kind = lambda a, b: F.when(urgent, a).otherwise(b)
+    records = shaped(table(spark, sf, "orders"), doc_ord="o_orderkey", family_key=F.col("o_custkey").cast("string"), own_date=F.to_date("o_orderdate"), doc_type=kind("soa", "authority_to_proceed"), category=kind("advice", "implementation"), advice_record=urgent)
+    found, attached = events.group(records, KB)
+    return sinks.event_rows(found, attached.filter(F.col("event") != F.col("doc_ord")).select("batch_id", "event", F.col("doc_ord").alias("doc_id")))
 
 
-@query()
+_MEMBERS = "(SELECT event_key, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS members, count(*) AS n FROM (" + _asof_sql("backward") + ") WHERE status = 'ok' GROUP BY 1)"
+
+
+@query(f"SELECT 'evt-' || substr(sha1(concat_ws('|', 'b', o_custkey, o_orderdate::DATE, 'general', o_orderkey)), 1, 10) AS event_id, o_custkey::VARCHAR AS client, (o_orderdate::DATE)::VARCHAR AS date, 'Advice' AS subject, coalesce(m.members, '') AS members FROM orders LEFT JOIN {_MEMBERS} m ON m.event_key = o_orderkey WHERE o_orderpriority = '{URGENT}'")
 def q37_manifest(spark, sf):
-    e = _events(spark, sf)
-    return e.select(F.concat(F.lit("evt-"), F.substring(F.sha1(F.concat_ws("|", "o_custkey", "date", "event_key").cast("binary")), 1, 10)).alias("event_id"), F.to_json(F.struct("o_custkey", F.col("date").cast("string").alias("date"), "members")).alias("event"))
+    return _event_rows(spark, sf).select("event_id", "client", "date", "subject", F.array_join(F.transform("member_doc_ids", lambda x: x.cast("string")), ",").alias("members"))
 
 
-@query("SELECT e.o_orderkey AS event_key, count(a.event_key)::BIGINT AS n_members FROM (SELECT o_orderkey FROM orders WHERE o_orderpriority = '" + URGENT + "') e LEFT JOIN (" + _asof_sql("backward") + ") a ON a.event_key = e.o_orderkey AND a.status = 'ok' GROUP BY 1")
+@query(f"SELECT 'evt-' || substr(sha1(concat_ws('|', 'b', o_custkey, o_orderdate::DATE, 'general', o_orderkey)), 1, 10) AS event_id, coalesce(m.n, 0)::BIGINT AS n_members FROM orders LEFT JOIN {_MEMBERS} m ON m.event_key = o_orderkey WHERE o_orderpriority = '{URGENT}'")
 def q37_manifest_members(spark, sf):
-    return _events(spark, sf).select("event_key", F.coalesce(F.size("members"), F.lit(0)).cast("long").alias("n_members")).withColumn("n_members", F.greatest("n_members", F.lit(0).cast("long")))
+    return _event_rows(spark, sf).select("event_id", F.size("member_doc_ids").cast("long").alias("n_members"))
 
 
 @query(f"WITH {_KINDS} SELECT count(*)::BIGINT AS n_documents, count(*) FILTER (kind = 'event')::BIGINT AS n_filed, count(*) FILTER (kind = 'review')::BIGINT AS n_review, count(DISTINCT kind)::BIGINT AS n_kinds FROM k")
 def q38_summary(spark, sf):
-    is_ = lambda k: F.sum((F.col("kind") == k).cast("long"))
-    return _kinds(spark, sf).agg(F.count("*").alias("n_documents"), F.coalesce(is_("event"), F.lit(0)).alias("n_filed"), F.coalesce(is_("review"), F.lit(0)).alias("n_review"), F.countDistinct("kind").alias("n_kinds"))
+    return report.summary(_kinds(spark, sf))
+
+
+# --- the engine's own steps over texts and records shaped from the tables
+
+#: A knowledge base of the corpus: types with titles, citations, signals, cues and counter-signals.
+CORPUS = KnowledgeBase({
+    "meta": {"version": "corpus"},
+    "scoring": {"weights": {"title_in_title_position": 6.0, "title_mentioned_in_body": 0.5, "structural_signal": 2.0, "key_field": 1.0, "negative_signal": -3.0}, "title_position": {"head_chars": 300}, "short_pattern_rule": {"max_length": 4}, "confidence": {"threshold": 0.6, "evidence_floor": 4.0}},
+    "documents": [
+        {"id": "license", "classifier_hints": {"title_patterns": ["licensed under", "MIT"], "reference_patterns": ["licensed under the gnu"], "structural_signals": ["version 2.0", "version 3"], "key_fields": ["license / terms"]}},
+        {"id": "contact", "classifier_hints": {"title_patterns": ["mail1."], "structural_signals": [".example.", "+1 ("], "key_fields": ["token (secret)", "555-"]}},
+        {"id": "english", "classifier_hints": {"title_patterns": ["the and"], "structural_signals": [" the ", " and "], "key_fields": [" with "], "negative_signals": [" und ", " les ", " los "]}},
+        {"id": "german", "classifier_hints": {"title_patterns": ["und die"], "structural_signals": [" und ", " der "], "key_fields": [" nicht "], "negative_signals": [" the "]}},
+        {"id": "french", "classifier_hints": {"title_patterns": ["de les"], "structural_signals": [" les ", " des "], "key_fields": [" pour "], "negative_signals": [" the "]}},
+    ],
+    "edge_case_flags": {"rules": []},
+})
+
+
+def _type_score_sql() -> str:
+    """The score of each type: where titles stand from the lengths of the pieces between them, title position by head, capitals or line."""
+    out, w = [], CORPUS.weights
+    short = lambda p: len(p) <= 4 and p.isalpha()
+    # an abbreviation is a whole word in capitals; anything else is found anywhere, whatever its case
+    has = lambda p: f"regexp_matches(t, '\\b{p.upper()}\\b')" if short(p) else f"contains(lower(t), '{p.lower()}')"
+    for t in CORPUS.types:
+        h = t["hints"]
+        n = lambda ps: " + ".join(f"CASE WHEN {has(p)} THEN 1 ELSE 0 END" for p in ps) or "0"
+        cues = [spans.head(f) for f in h.get("key_fields", [])]
+        worn, met = [], []
+        for p in h["title_patterns"]:
+            base, q, k = ("t", p.upper(), len(p)) if short(p) else ("lower(t)", p.lower(), len(p))
+            pieces = f"string_split({base}, '{q}')"
+            starts = f"list_transform(range(1, len({pieces})), lambda i: list_sum(list_transform({pieces}[1:i], lambda x: length(x))) + (i - 1) * {k})"
+            edge = lambda x: f"NOT regexp_matches({x}, '[A-Za-z0-9_]')"
+            free = " AND ".join([edge("substr(t, s::BIGINT, 1)"), edge(f"substr(t, (s + {k + 1})::BIGINT, 1)")]) if short(p) else "true"
+            for c in h.get("reference_patterns", []):
+                free += f" AND NOT (lower(substr(t, (s + 1)::BIGINT, {len(c)})) = '{c.lower()}')"
+            own, line = f"substr(t, (s + 1)::BIGINT, {k})", f"length(trim(string_split(substr(t, 1, s::BIGINT), chr(10))[-1] || substr(t, (s + 1)::BIGINT, {k}) || string_split(substr(t, (s + {k + 1})::BIGINT), chr(10))[1]))"
+            test = f"(s < 300 OR ({own} = upper({own}) AND {own} <> lower({own}) AND {k} > 4) OR ({line} <= 80 AND {k} >= 0.6 * greatest(1, {line})))"
+            worn.append(f"len(list_filter({starts}, lambda s: {free} AND {test})) > 0")
+            met.append(has(p))
+        title = f"CASE WHEN {' OR '.join(worn)} THEN {w['title_in_title_position']} WHEN {' OR '.join(met)} THEN {w['title_mentioned_in_body']} ELSE 0 END"
+        out.append(f"SELECT doc_id, '{t['id']}' AS type, {t['ord']} AS ord, greatest(0.0::DOUBLE, ({title} + {w['structural_signal']} * ({n(h.get('structural_signals', []))}) + {w['key_field']} * ({n(cues)}) + {w['negative_signal']} * ({n(h.get('negative_signals', []))}))::DOUBLE) AS score, ({' OR '.join(worn)}) AS worn FROM d")
+    return "d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),\ns AS (" + "\nUNION ALL ".join(out) + ")"
+
+
+_TYPED = _type_score_sql()
+
+
+def _typed(spark, sf) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", classify.type_scores(F.coalesce("text", F.lit("")), CORPUS).alias("scores"))
+
+
+@query(f"WITH {_TYPED} SELECT doc_id, type, score, worn FROM s")
+def q39_type_scores(spark, sf):
+    return _typed(spark, sf).select("doc_id", F.explode("scores").alias("s")).select("doc_id", "s.type", "s.score", "s.worn")
+
+
+@query(f"""WITH {_TYPED}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ord) AS n FROM s), m AS (SELECT doc_id, count(*) FILTER (worn AND score >= 4)::BIGINT AS n_titles FROM s GROUP BY 1)
+SELECT a.doc_id, CASE WHEN a.score >= 1 THEN a.type END AS doc_type, CASE WHEN a.score > 0 THEN b.type END AS runner_up, n_titles,
+  CASE WHEN a.score < 1 THEN 0.0::DOUBLE ELSE (a.score - b.score) / a.score * least(1.0::DOUBLE, a.score / 4.0::DOUBLE) END AS confidence FROM r a JOIN r b USING (doc_id) JOIN m USING (doc_id) WHERE a.n = 1 AND b.n = 2""")
+def q40_decided(spark, sf):
+    x = _typed(spark, sf).withColumn("d", classify.decided(F.col("scores"), F.lit(1.0), CORPUS))
+    return x.select("doc_id", "d.doc_type", "d.runner_up", F.size("d.title_types").cast("long").alias("n_titles"), "d.confidence")
+
+
+@query("""WITH r AS (SELECT o_orderkey, nullif(o_orderpriority, '4-NOT SPECIFIED') AS f, CASE WHEN o_orderstatus <> 'P' THEN o_orderdate::DATE END AS d, o_orderstatus AS t, o_totalprice < 60000 AS held FROM orders)
+SELECT o_orderkey FROM (SELECT o_orderkey, count(*) OVER (PARTITION BY f, d, t) AS n FROM r WHERE NOT held) WHERE n > 1""")
+def q41_superseding_flag(spark, sf):
+    """Orders as documents: some without a client, some undated, the cheap ones held back."""
+    kind, day = F.col("o_orderstatus"), F.to_date("o_orderdate")
+    records = shaped(table(spark, sf, "orders"), doc_ord="o_orderkey", family_key=F.nullif("o_orderpriority", F.lit("4-NOT SPECIFIED")), own_date=F.when(kind != "P", day), doc_type=kind, cheap=F.col("o_totalprice") < 60000)
+    held = records.filter("cheap").select(*events.ROW, F.lit("placement").alias("class"))
+    nobody = records.filter("false")
+    return flags.superseding(records, nobody.select(*events.ROW, F.lit(None).cast("long").alias("event")), events.anchors(nobody, KB), held, KB).select(F.col("doc_ord").alias("o_orderkey"))
+
+
+_STEPS = 20
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, o_custkey, o_orderdate::DATE AS d, o_orderpriority = '{URGENT}' AS anchor, least(1.0::DOUBLE, o_totalprice / 500000.0::DOUBLE) AS conf, o_orderstatus FROM orders),
+t AS (SELECT unnest(range(0, {_STEPS}))::INTEGER AS step), e AS (SELECT step, o_orderkey AS k, o_custkey, d FROM o, t WHERE anchor AND conf >= step::DOUBLE / {_STEPS}.0::DOUBLE),
+l AS (SELECT step, o_orderkey, o_custkey, d FROM o, t WHERE NOT anchor AND conf >= step::DOUBLE / {_STEPS}.0::DOUBLE),
+j AS (SELECT l.*, e.k, e.d AS ed, CASE WHEN e.d > l.d THEN 1 ELSE 0 END AS wrong, abs(date_diff('day', l.d, e.d)) AS gap FROM l LEFT JOIN e USING (step, o_custkey)),
+p AS (SELECT *, row_number() OVER w AS n, lead(wrong) OVER w AS wrong2, lead(ed) OVER w AS ed2 FROM j WINDOW w AS (PARTITION BY step, o_orderkey ORDER BY wrong, gap, k)),
+a AS (SELECT step, o_orderkey, CASE WHEN k IS NOT NULL AND NOT coalesce(wrong2 = wrong AND ed2 = ed, false) AND gap <= 730 THEN k END AS k FROM p WHERE n = 1),
+x AS (SELECT step, o.o_orderkey, o.anchor, o.conf >= step::DOUBLE / {_STEPS}.0::DOUBLE AS sure, a.k, o_orderstatus FROM o CROSS JOIN t LEFT JOIN a USING (step, o_orderkey))
+SELECT step, count(*)::BIGINT AS n, count(*) FILTER (sure AND (anchor OR k IS NOT NULL))::BIGINT AS n_filed, count(*) FILTER (NOT (sure AND (anchor OR k IS NOT NULL)))::BIGINT AS n_review, count(*) FILTER (sure AND o_orderstatus = 'P')::BIGINT AS n_wrong FROM x GROUP BY step""")
+def q42_calibrate(spark, sf):
+    """Orders as documents at twenty thresholds: what passes is filed if it is an anchor, or finds one that passes too; a pending order's type is held to be wrong."""
+    urgent = F.col("o_orderpriority") == URGENT
+    kind = lambda a, b: F.when(urgent, a).otherwise(b)
+    none = lambda t: F.lit(None).cast(t)
+    orders, own = table(spark, sf, "orders"), F.col("o_orderkey").cast("string")
+    records = shaped(orders, doc_ord="o_orderkey", name=own, doc_id=own, family_key=F.col("o_custkey").cast("string"), own_date=F.to_date("o_orderdate"), doc_type=kind("soa", "authority_to_proceed"), category=kind("advice", "implementation"), advice_record=urgent, confidence=F.least(F.lit(1.0), F.col("o_totalprice") / F.lit(500000.0)))
+    # two orders of a day are no reason to hold both back here
+    kb = _kb(edge_case_flags={"rules": [{**r, "class": "compliance"} if r["id"] == "superseding_ambiguity" else r for r in KB.data["edge_case_flags"]["rules"]]})
+    truth = orders.select(own.alias("name"), F.when(F.col("o_orderstatus") == "P", "other").otherwise(kind("soa", "authority_to_proceed")).alias("type"), none("string").alias("client"), none("string").alias("event"), F.lit(False).alias("needs_review"), F.array().cast("array<string>").alias("expect_flags"))
+    return evaluation.calibrate(records, truth, kb, steps=_STEPS, materialise=written).select("step", "n", "n_filed", "n_review", "n_wrong")
+
+
+@query("""WITH k AS (SELECT o_custkey, string_agg(DISTINCT left(o_orderpriority, 1) || o_orderstatus, '-' ORDER BY left(o_orderpriority, 1) || o_orderstatus) AS key FROM orders GROUP BY 1),
+u AS (SELECT DISTINCT key, string_split(key, '-') AS p FROM k), m AS (SELECT a.key, max(b.key) AS wide FROM u a JOIN u b ON len(b.p) > len(a.p) AND list_has_all(b.p, a.p) GROUP BY 1 HAVING count(*) = 1)
+SELECT o_custkey, coalesce(wide, key) AS family_key FROM k LEFT JOIN m USING (key)""")
+def q43_resolved(spark, sf):
+    """Customers whose family key is the set of kinds of their orders, each with the one wider key that holds theirs."""
+    part = F.concat(F.substring("o_orderpriority", 1, 1), F.col("o_orderstatus"))
+    sets = table(spark, sf, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set(part)), "-").alias("key"))
+    return batch.resolve(sets.select(F.lit("b").alias("batch_id"), F.col("key").alias("family_key"), "o_custkey")).select("o_custkey", "family_key")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE (o_orderdate::DATE)::VARCHAR END AS own_date, CASE o_orderpriority WHEN '1-URGENT' THEN 'labelled ' || chr(39) || 'date signed' || chr(39) WHEN '2-HIGH' THEN 'labelled ' || chr(39) || 'dated' || chr(39) WHEN '3-MEDIUM' THEN 'labelled ' || chr(39) || 'date of advice' || chr(39) WHEN '5-LOW' THEN '2 unlabelled dates, none identifiable as the document' || chr(39) || 's own' ELSE 'only date in document (unlabelled)' END AS provenance FROM orders")
+def q44_own_date(spark, sf):
+    """Order dates as they are written: 3 October 1998, October 3, 1998, 1998-10-03, 3/10/1998, labelled or not."""
+    p, d = F.col("o_orderpriority"), F.to_date("o_orderdate")
+    text = (
+        F.when(p == "1-URGENT", F.concat(F.lit("issued 1 May 2090. Date signed: "), F.date_format(d, "d MMMM yyyy")))
+        .when(p == "2-HIGH", F.concat(F.lit("It is dated "), F.date_format(d, "MMMM d, yyyy"), F.lit(", or so")))
+        .when(p == "3-MEDIUM", F.concat(F.lit("date of advice - "), F.date_format(d, "yyyy-MM-dd"), F.lit("; paid 2001-02-03")))
+        .when(p == "5-LOW", F.concat(F.lit("from "), F.date_format(d, "d/M/yyyy"), F.lit(" to 31/12/2091")))
+        .otherwise(F.concat(F.lit("on the "), F.date_format(d, "d"), F.lit("th "), F.date_format(d, "MMM yyyy")))
+    )
+    return table(spark, sf, "orders").select("o_orderkey", dates.own_date(text, ["date signed"]).alias("x")).select("o_orderkey", F.col("x.value").cast("string").alias("own_date"), "x.provenance")
+
+
+@query("""WITH p AS (SELECT DISTINCT upper(left(split_part(p_name, ' ', 1), 1)) || substr(split_part(p_name, ' ', 1), 2) AS a, upper(left(split_part(p_name, ' ', 2), 1)) || substr(split_part(p_name, ' ', 2), 2) AS b, p_name FROM part)
+SELECT p_name, 'Mr ' || a || ' & Ada ' || b AS raw, b AS key, a || ',Ada' AS given FROM p""")
+def q45_clients(spark, sf):
+    """Part names as couples: "Client: Mr Small & Ada Ring." is two people called Ring."""
+    word = lambda k: F.initcap(F.split_part("p_name", F.lit(" "), F.lit(k)))
+    text = F.concat(F.lit("CLIENT DATA FORM. Client: Mr "), word(1), F.lit(" & Ada "), word(2), F.lit(". Adviser: Some Body."))
+    return table(spark, sf, "part").select("p_name").distinct().select("p_name", names.client(text).alias("x")).select("p_name", "x.raw", "x.key", F.array_join("x.given", ",").alias("given"))
+
+
+@query("SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'growth' WHEN 'MACHINERY' THEN 'high growth' WHEN 'FURNITURE' THEN 'balanced' END AS category, CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 'insurance' WHEN c_mktsegment = 'AUTOMOBILE' THEN 'super' ELSE 'general' END AS subject FROM customer")
+def q46_risk_and_subject(spark, sf):
+    seg = F.col("c_mktsegment")
+    text = F.when(seg == "BUILDING", "Not balanced any more. Risk category: Growth").when(seg == "MACHINERY", "resulting RISK CATEGORY - High Growth").when(seg == "FURNITURE", "we hold a Balanced view").when(seg == "HOUSEHOLD", "about Income Protection").otherwise(F.when(seg == "AUTOMOBILE", "in your Retirement, and insurance").otherwise("nothing"))
+    return table(spark, sf, "customer").select("c_custkey", classify.risk_category(text, ["resulting risk category", "risk category"], KB.risk_categories).alias("category"), classify.subject(text, KB)["id"].alias("subject"))
+
+
+@query(f"""WITH r AS (SELECT o_orderkey, o_custkey, o_orderdate::DATE AS d, CASE WHEN o_totalprice < 100000 THEN 'review_with_client' WHEN o_orderpriority = '{URGENT}' THEN 'event_document' ELSE 'client_level_document' END AS kind FROM orders),
+x AS (SELECT *, strftime(d, '%Y-%m-%d') || ' SOA - C' || o_custkey AS stem, CASE kind WHEN 'event_document' THEN 'C' || o_custkey || '/' || strftime(d, '%Y-%m') || ' — Advice [SOA]' WHEN 'review_with_client' THEN 'C' || o_custkey || '/_Review' ELSE 'C' || o_custkey END AS folder FROM r)
+SELECT o_orderkey, kind, folder, stem || CASE WHEN n > 1 THEN ' (' || n || ')' ELSE '' END || '.txt' AS filename FROM (SELECT *, row_number() OVER (PARTITION BY lower(folder), lower(stem) ORDER BY o_orderkey) AS n FROM x)""")
+def q47_placements(spark, sf):
+    """Orders as documents, laid out by the nested profile: folders, names, and numbers for names that meet."""
+    urgent, client = F.col("o_orderpriority") == URGENT, F.concat(F.lit("C"), F.col("o_custkey").cast("string"))
+    records = shaped(table(spark, sf, "orders"), doc_ord="o_orderkey", name=F.lit("scan.TXT"), family_key=client, own_date=F.to_date("o_orderdate"), doc_type=F.lit("soa"), category=F.lit("advice"), abbrev=F.lit("SOA"), advice_record=urgent, cheap=F.col("o_totalprice") < 100000)
+    found = events.anchors(records, KB)
+    attached = found.select("batch_id", F.col("event").alias("doc_ord"), "event", F.lit("anchors this event").alias("reason"), F.lit(1.0).alias("attach_confidence"))
+    held = records.filter("cheap").select(*events.ROW, F.lit("placement").alias("class"), F.lit("cheap").alias("message"))
+    profile = Profile({**Profile.load().data, "type_labels": {"soa": "SOA"}})
+    out = plan.placements(records, found, attached, held, batch.batch_client(records, KB), KB, profile)
+    return out.select(F.col("doc_ord").alias("o_orderkey"), "kind", F.array_join("folder", "/").alias("folder"), "filename")
+
+
+@query("SELECT doc_id, CASE WHEN toxic = 1 AND quality = 0 THEN 'bad' WHEN quality = 0 THEN 'warn' ELSE 'ok' END AS state, CASE WHEN toxic = 1 AND quality = 0 THEN 'needs review' WHEN quality = 0 THEN '1 finding' ELSE '' END AS line FROM labels")
+def q48_states(spark, sf):
+    found = F.when(F.col("quality") == 0, F.array(F.lit("poor"))).otherwise(F.array().cast("array<string>"))
+    rows = table(spark, sf, "labels").select("doc_id", found.alias("flags"), ((F.col("quality") == 0) & (F.col("toxic") == 1)).alias("needs_review"), F.lit(None).cast("date").alias("own_date"))
+    return report.states(rows).select("doc_id", "state", "line")
+
+
+@query("SELECT c_mktsegment AS action, count(*)::BIGINT AS n FROM customer GROUP BY 1")
+def q49_counts_by_action(spark, sf):
+    return plan.counted(table(spark, sf, "customer").select(F.col("c_mktsegment").alias("action")))
+
+
+@query("""SELECT l.doc_id, CASE WHEN length(text) >= 1000 THEN 'safe-x-2024.pdf' ELSE 'safe-soa-2024.pdf' END AS name, 'client-' || substr(sha256('salt|' || l.doc_id::VARCHAR), 1, 10) AS client, '[path]' AS source FROM labels l JOIN documents d USING (doc_id)""")
+def q50_redacted_rows(spark, sf):
+    docs = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id"), "doc_id")
+    rows = docs.select("doc_id", F.when(F.length("text") >= 1000, "safe Nguyen_2024.PDF").otherwise("safe SOA 2024.pdf").alias("name"), F.col("doc_id").cast("string").alias("client"), F.lit("/home/x").alias("source"))
+    return sinks.redacted(rows, "salt", ["safe", "soa"]).select("doc_id", F.lower("name").alias("name"), "client", "source")

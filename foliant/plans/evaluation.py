@@ -2,47 +2,84 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, functions as F
 
-from ..kb import KnowledgeBase
-from ..operators import evaluate
+from ..kb import KnowledgeBase, Profile
+from ..operators import evaluate, events
 from ..operators.events import ROW
+from . import batch
 from .batch import Result
 
+#: What parts a batch's id from the step of a sweep.
+_STEP = "\x1f"
+
 
-def compare(result: Result, truth: DataFrame) -> DataFrame:
+def compare(result: Result, truth: DataFrame, kb: KnowledgeBase | None = None) -> DataFrame:
     """A row per labelled document: what was right, flags missed and unexpected, confident and wrong, and why.
 
     An event is right if the labels of the document and of its event's anchor are the same (both none counts)."""
-    t = truth.select("name", F.col("type").alias("t_type"), F.col("client").alias("t_client"), F.col("event").alias("t_event"), F.col("needs_review").alias("t_review"), "expect_flags")
-    raised = result.flags.groupBy(*ROW).agg(F.collect_set("rule_id").alias("raised"))
+    kb = kb or result.kb or KnowledgeBase.load()
+    t = truth.select("name", F.col("type").alias("t_type"), F.col("client").alias("t_client"), F.col("event").alias("t_event"), F.coalesce("needs_review", F.lit(False)).alias("t_review"), "expect_flags")
+    raised = result.flags.groupBy(*ROW).agg(F.array_sort(F.collect_set("rule_id")).alias("raised"))
     anchor = result.records.select("batch_id", F.col("doc_ord").alias("event"), F.col("name").alias("a_name")).join(t.select(F.col("name").alias("a_name"), F.col("t_event").alias("got_event")), "a_name").drop("a_name")
-    rec = result.records.select(*ROW, "doc_type", "confidence", F.col("family_key").alias("read_client"), "client_specific")
+    rec = result.records.select(*ROW, "doc_type", "confidence", events.confident(result.records, kb).alias("confident"), F.col("family_key").alias("read_client"), "client_specific")
     x = result.plan.select(*ROW, "name", "event", "needs_review").join(rec, ROW).join(t, "name").join(raised, ROW, "left").join(anchor, ["batch_id", "event"], "left")
     none = F.array().cast("array<string>")
+    missed, unexpected = evaluate.differences(F.coalesce("expect_flags", none), F.coalesce("raised", none))
     x = x.withColumns({
         "type_ok": F.col("doc_type").eqNullSafe(F.col("t_type")),
         "client_ok": F.when(F.col("client_specific"), F.col("read_client").eqNullSafe(F.col("t_client"))).otherwise(F.col("t_client").isNull()),
         "event_ok": F.col("got_event").eqNullSafe(F.col("t_event")),
         "review_ok": F.col("needs_review") == F.col("t_review"),
-        "missed": F.array_except(F.coalesce("expect_flags", none), F.coalesce("raised", none)),
-        "unexpected": F.array_except(F.coalesce("raised", none), F.coalesce("expect_flags", none)),
+        "missed": missed, "unexpected": unexpected,
     })
-    wrong = ~F.col("type_ok") | ~F.col("client_ok") | ~F.col("event_ok")
-    x = x.withColumn("confident_and_wrong", ~F.col("needs_review") & wrong)
-    why = F.concat_ws(" | ", *[F.when(~F.col(c), F.lit(c.removesuffix("_ok"))) for c in ("type_ok", "client_ok", "event_ok", "review_ok")], F.when(F.size("missed") > 0, F.concat(F.lit("missed "), F.array_join("missed", ", "))), F.when(F.size("unexpected") > 0, F.concat(F.lit("unexpected "), F.array_join("unexpected", ", "))))
+    x = x.withColumn("confident_and_wrong", F.col("doc_type").isNotNull() & F.col("confident") & ~F.col("type_ok"))
+    said = lambda what, got, want: F.concat(F.lit(f"{what}: said "), F.coalesce(got, F.lit("none")), F.lit(", is "), F.coalesce(want, F.lit("none")))
+    queue = lambda c: F.when(c, "queued").otherwise("filed")
+    why = F.concat_ws(" | ",
+        F.when(~F.col("type_ok"), said("type", F.col("doc_type"), F.col("t_type"))), F.when(~F.col("client_ok"), said("client", F.col("read_client"), F.col("t_client"))),
+        F.when(~F.col("event_ok"), said("event", F.col("got_event"), F.col("t_event"))), F.when(~F.col("review_ok"), F.concat(F.lit("review: "), queue(F.col("needs_review")), F.lit(", should be "), queue(F.col("t_review")))),
+        F.when(F.size("missed") > 0, F.concat(F.lit("missed "), F.array_join("missed", ", "))))
     return x.withColumn("why", why).withColumn("ok", F.col("why") == "")
 
 
-def failures(compared: DataFrame, run_id: str, kb: KnowledgeBase) -> DataFrame:
+def failures(compared: DataFrame, run_id: str, kb: KnowledgeBase, classifier: str = "keyword") -> DataFrame:
     """Rows of the append-only failure log: only what was not right."""
-    return compared.filter("NOT ok").select(F.lit(run_id).alias("run_id"), F.lit(kb.data["meta"]["version"]).alias("kb_version"), F.col("name").alias("input"), F.col("doc_type").alias("tool_type"), F.col("t_type").alias("correct_type"), "confidence", F.col("read_client").alias("tool_client"), F.col("t_client").alias("correct_client"), F.col("needs_review").alias("queued_for_review"), F.col("t_review").alias("should_be_queued"), F.col("raised").alias("flags_raised"), F.col("missed").alias("flags_missed"), "confident_and_wrong", "why")
+    return compared.filter("NOT ok").select(F.lit(run_id).alias("run_id"), F.lit(kb.data["meta"]["version"]).alias("kb_version"), F.lit(classifier).alias("classifier"), F.col("name").alias("input"), F.col("doc_type").alias("tool_type"), F.col("t_type").alias("correct_type"), "confidence", F.col("read_client").alias("tool_client"), F.col("t_client").alias("correct_client"), F.col("got_event").alias("tool_event"), F.col("t_event").alias("correct_event"), F.col("needs_review").alias("queued_for_review"), F.col("t_review").alias("should_be_queued"), F.col("raised").alias("flags_raised"), F.col("missed").alias("flags_missed"), "confident_and_wrong", "why")
+
+
+def run_id(now: datetime | None = None) -> str:
+    return (now or datetime.now()).strftime("%Y%m%dT%H%M%S")
 
 
 def score(compared: DataFrame) -> DataFrame:
-    return evaluate.scorecard(compared, ~F.col("needs_review"), ~F.col("confident_and_wrong"))
+    """One row: filing's scorecard (filed and right in type and event), and how many are right in each respect."""
+    n = lambda c: F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0)).alias(f"n_{c}")
+    right = [n(c) for c in ("type_ok", "client_ok", "event_ok", "review_ok", "ok", "confident_and_wrong")]
+    return evaluate.scorecard(compared, ~F.col("needs_review"), F.col("type_ok") & F.col("event_ok"), *right)
+
+
+def sweep(records: DataFrame, steps: int = evaluate.STEPS) -> DataFrame:
+    """The records once for each threshold step / steps, which becomes part of their batch's id: every later operator keeps batches apart, so one job does all steps."""
+    step = F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step")
+    rows = records.select(*[c for c in records.columns if c != "batch_id"], "batch_id", step)
+    return rows.withColumn("batch_id", F.concat(F.col("batch_id"), F.lit(_STEP), F.col("step").cast("string"))).withColumn("threshold", F.col("step") / F.lit(float(steps)))
+
 
+def calibrate(records: DataFrame, truth: DataFrame, kb: KnowledgeBase, profile: Profile | None = None, steps: int = evaluate.STEPS, materialise=lambda frame, name: frame) -> DataFrame:
+    """A row per threshold: step, threshold, n, accuracies, n_filed, precision, n_review, n_wrong (confident and wrong), n_ok.
 
-def calibrate(compared: DataFrame) -> DataFrame:
-    """Filed and wrong at twenty thresholds, in one job: a document's type does not depend on the threshold."""
-    return evaluate.sweep(compared, F.col("confidence"), F.col("type_ok"))
+    Everything that reads the threshold is done again at each: an advice record below it anchors no event, and what would
+    have attached to that event moves with it.  Types do not depend on it and are not worked out again."""
+    result = batch.place(materialise(sweep(records, steps), "sweep"), kb, profile or Profile.load(), materialise)
+    x = compare(result, truth, kb).withColumn("step", F.element_at(F.split("batch_id", _STEP), -1).cast("int"))
+    share = lambda c: F.avg(F.col(c).cast("double"))
+    n = lambda c: F.sum(c.cast("long"))
+    filed = ~F.col("needs_review")
+    out = x.groupBy("step").agg(
+        F.count("*").alias("n"), share("type_ok").alias("type_accuracy"), share("client_ok").alias("client_accuracy"), share("event_ok").alias("event_accuracy"),
+        n(filed).alias("n_filed"), F.try_divide(n(filed & F.col("type_ok") & F.col("event_ok")).cast("double"), n(filed).cast("double")).alias("precision"),
+        n(~filed).alias("n_review"), n(F.col("confident_and_wrong")).alias("n_wrong"), n(F.col("ok")).alias("n_ok"))
+    return out.select("step", (F.col("step") / F.lit(float(steps))).alias("threshold"), *[c for c in out.columns if c != "step"])

@@ -7,9 +7,13 @@ import zipfile
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from importlib.util import find_spec
 
-from ..functions import text as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import names, text as T
+from ..operators.rank import ranged
+from ..shared import written
 
 TEXT = (".txt", ".text", ".md")
 SUPPORTED = (*TEXT, ".docx", ".pdf")
@@ -24,51 +28,94 @@ def _docx(content: bytes) -> str:
     return "\n".join(x for x in lines if x.strip())
 
 
-def _pdf(content: bytes) -> tuple[str, int]:
-    import pypdf  # optional
+#: Characters of a PDF's text below which the second reader is tried.
+FEW = T.MIN_CHARS
+BACKENDS = ("pypdf", "pdfplumber")
+
+
+def backends() -> dict[str, bool]:
+    """Which of the optional PDF readers there are."""
+    return {name: find_spec(name) is not None for name in BACKENDS}
+
+
+def _pypdf(content: bytes) -> list[str]:
+    import pypdf
+
+    return [p.extract_text() or "" for p in pypdf.PdfReader(io.BytesIO(content)).pages]
+
+
+def _pdfplumber(content: bytes) -> list[str]:
+    import pdfplumber
+
+    with pdfplumber.open(io.BytesIO(content)) as pdf:
+        return [p.extract_text() or "" for p in pdf.pages]
 
-    reader = pypdf.PdfReader(io.BytesIO(content))
-    return "\n".join(p.extract_text() or "" for p in reader.pages), len(reader.pages)
+
+def _pdf(content: bytes) -> tuple[str, int, str]:
+    """Text, pages and reader: the first reader's, or the second's where the first finds next to nothing and the second more."""
+    best, errors = None, []
+    for name, read in (("pypdf", _pypdf), ("pdfplumber", _pdfplumber)):
+        if best and len(best[0].strip()) >= FEW:
+            break
+        try:
+            pages = read(content)
+        except Exception as error:  # of one reader; the other may do
+            errors.append(f"{name}: {error}")
+            continue
+        text = "\n\n".join(pages)
+        if best is None or len(text.strip()) > len(best[0].strip()):
+            best = text, len(pages), name
+    if best is None:
+        raise ValueError("; ".join(errors))
+    return best
 
 
 def _extracted(batches):
     for frame in batches:
         rows = []
-        for path, suffix, content in zip(frame["path"], frame["suffix"], frame["content"]):
+        for row in frame.itertuples(index=False):
+            text = pages = backend = error = None
             try:
-                if suffix in TEXT:
-                    rows.append((path, bytes(content).decode("utf-8", "replace"), None, None))
-                elif suffix == ".docx":
-                    rows.append((path, _docx(bytes(content)), None, None))
+                if row.suffix in TEXT:
+                    text, backend = bytes(row.content).decode("utf-8", "replace"), "plaintext"
+                elif row.suffix == ".docx":
+                    text, backend = _docx(bytes(row.content)), "docx"
+                elif row.suffix == ".pdf":
+                    text, pages, backend = _pdf(bytes(row.content))
                 else:
-                    text, n = _pdf(bytes(content))
-                    rows.append((path, text, n, None))
-            except Exception as error:  # an unreadable file becomes a failure row, never a lost one
-                rows.append((path, None, None, f"{type(error).__name__}: {error}"))
-        yield pd.DataFrame(rows, columns=["path", "text", "pages", "error"])
+                    error = f"unsupported file type {row.suffix}"
+            except Exception as failed:  # an unreadable file becomes a failure row, never a lost one
+                error = f"{type(failed).__name__}: {failed}"
+            rows.append((row.path, row.rel, text, pages, backend, error))
+        yield pd.DataFrame(rows, columns=["path", "rel", "text", "pages", "backend", "error"])
 
 
-def read_directory(spark: SparkSession, folder: str, recursive: bool = False, batch_id: str = "batch") -> tuple[DataFrame, DataFrame]:
-    """(documents, failures) of a folder.  Files and folders whose names begin with a dot, and the engine's own state, are left out; unsupported files are failures."""
+def candidates(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
+    """(path, rel, suffix, content) of a folder's files.  Files and folders whose names begin with a dot, and the engine's own state, are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
-    files = files.withColumn("rel", F.expr(f"substring_index(path, '{folder.rstrip('/')}/', -1)")).filter(~F.col("rel").rlike(r"(^|/)\.|(^|/)_foliant/")).withColumn("suffix", F.lower(T.suffix(F.col("rel"))))
-    good = files.filter(F.col("suffix").isin(*SUPPORTED)).select("path", "suffix", "content").mapInPandas(_extracted, "path string, text string, pages int, error string")
-    got = files.drop("content").join(good, "path", "left")
-    failures = got.filter("text IS NULL").select(F.col("rel").alias("name"), F.coalesce("error", F.concat(F.lit("unsupported file type "), F.col("suffix"))).alias("error"))
-    clean = T.normalise(F.col("text"))
-    docs = got.filter("text IS NOT NULL").select(F.lit(batch_id).alias("batch_id"), F.col("rel").alias("path"), F.regexp_extract("rel", "([^/]*)$", 1).alias("name"), clean.alias("text"), "pages")
-    return numbered(docs.select("batch_id", "path", "name", "text", F.coalesce("pages", T.pages(F.col("text"))).alias("page_count"))), failures
+    rel = F.substring_index("path", f"{folder.rstrip('/')}/", -1)
+    return files.withColumn("rel", rel).filter(~F.col("rel").rlike(r"(^|/)\.|(^|/)_foliant/")).select("path", "rel", F.lower(T.suffix(F.col("rel"))).alias("suffix"), F.when(F.lower(T.suffix(F.col("rel"))).isin(*SUPPORTED), F.col("content")).alias("content"))
+
+
+def read_directory(spark: SparkSession, folder: str, recursive: bool = False, batch_id: str = "batch") -> tuple[DataFrame, DataFrame]:
+    """(documents, failures) of a folder; unsupported and unreadable files are failures.  Each file is read once, where it is."""
+    kinds = "path string, rel string, text string, pages int, backend string, error string"
+    got = written(candidates(spark, folder, recursive).mapInPandas(_extracted, kinds), "extracted")
+    failures = got.filter("error IS NOT NULL").select(F.col("rel").alias("name"), "error")
+    docs = got.filter("error IS NULL").select(F.lit(batch_id).alias("batch_id"), F.col("rel").alias("path"), F.col("rel").alias("name"), F.col("path").alias("source"), "backend", T.normalise(F.col("text")).alias("text"), "pages")
+    return numbered(docs.withColumn("page_count", F.coalesce("pages", T.pages(F.col("text")))).drop("pages")), failures
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """doc_ord in path order within a batch."""
-    return docs.withColumn("doc_ord", F.row_number().over(Window.partitionBy("batch_id").orderBy("path")).cast("long"))
+    """doc_ord in path order within a batch.  Only batch and path are sorted, in ranges; the texts stay where they are."""
+    order = ranged(docs.select("batch_id", "path"), ["batch_id"], ["path"], "doc_ord")
+    return docs.join(order, ["batch_id", "path"])
 
 
 def read_samples(spark: SparkSession, path: str, batch_id: str = "samples") -> DataFrame:
     """documents[] of file, text and optional pages, in one JSON file."""
     rows = spark.read.schema("documents array<struct<file:string,text:string,pages:int>>").json(path, multiLine=True).select(F.explode("documents").alias("d"))
-    docs = rows.select(F.lit(batch_id).alias("batch_id"), F.col("d.file").alias("path"), F.col("d.file").alias("name"), T.normalise(F.col("d.text")).alias("text"), F.coalesce("d.pages", F.lit(1)).alias("page_count"))
+    docs = rows.select(F.lit(batch_id).alias("batch_id"), F.col("d.file").alias("path"), F.col("d.file").alias("name"), F.lit(None).cast("string").alias("source"), F.lit("sample").alias("backend"), T.normalise(F.col("d.text")).alias("text"), F.coalesce("d.pages", F.lit(1)).alias("page_count"))
     return numbered(docs)
 
 
@@ -81,16 +128,19 @@ def read_approvals(spark: SparkSession, path: str) -> DataFrame:
     frame = spark.read.schema("schema string, items array<struct<doc_id:string,source_name:string,decision:string,folder:string,filename:string>>").json(path, multiLine=True)
     if frame.filter("schema = 'foliant.approvals@1'").limit(1).count() == 0:
         raise ValueError(f"{path} is no approvals file")
-    return frame.select(F.explode("items").alias("i")).select("i.*")
+    # of several items for one id the last counts
+    return frame.select(F.posexplode("items").alias("ord", "i")).select("ord", "i.*")
 
 
 def folder_parts(folder):
-    """Surnames and given names of a client folder's name: surname first before a comma, else last; a lone hyphenated name is several surnames."""
+    """Surnames and given names of a client folder's name, with capitals: surname first before a comma, else last; a lone hyphenated name is several surnames."""
     comma = F.contains(folder, F.lit(","))
-    words = F.filter(F.split(F.regexp_replace(folder, r"\s*(?:&|\band\b)\s*", " "), r"[\s,]+"), lambda w: w != "")
-    last = F.when(comma, F.split(F.split_part(folder, F.lit(","), F.lit(1)), "-")).when(F.size(words) == 1, F.split(words[0], "-")).otherwise(F.array(F.element_at(words, -1)))
-    given = F.when(comma, F.filter(F.split(F.regexp_replace(F.split_part(folder, F.lit(","), F.lit(2)), r"\s*(?:&|\band\b)\s*", " "), r"\s+"), lambda w: w != "")).when(F.size(words) == 1, F.array().cast("array<string>")).otherwise(F.slice(words, 1, F.size(words) - 1))
-    return F.transform(last, lambda s: F.trim(s)), given
+    words = names.plain_words(folder)
+    before, after = names.plain_words(F.split_part(folder, F.lit(","), F.lit(1))), names.plain_words(F.substring(folder, F.length(F.split_part(folder, F.lit(","), F.lit(1))) + 2, F.length(folder)))
+    lone = (F.size(words) == 1) & F.contains(words[0], F.lit("-"))
+    last = F.when(comma, before).when(lone, F.split(words[0], "-")).when(F.size(words) > 0, F.array(F.element_at(words, -1))).otherwise(F.array().cast("array<string>"))
+    given = F.when(comma, after).when(F.size(words) > 1, F.slice(words, 1, F.size(words) - 1)).otherwise(F.array().cast("array<string>"))
+    return names.title(last), names.title(given)
 
 
 def register_from_names(frame: DataFrame, column: str = "folder_name") -> DataFrame:
@@ -98,6 +148,22 @@ def register_from_names(frame: DataFrame, column: str = "folder_name") -> DataFr
     return frame.select(F.col(column).alias("folder_name"), surnames.alias("surnames"), given.alias("given"))
 
 
+def register_from_directory(spark: SparkSession, folder: str) -> DataFrame:
+    """The folders directly below a root as the register; names that begin with a dot or an underscore are no clients."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    entries = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    found = sorted(e.getPath().getName() for e in entries if e.isDirectory() and e.getPath().getName()[0] not in "._")
+    return register_from_names(spark.createDataFrame([(n,) for n in found], "folder_name string"))
+
+
+def read_register(spark: SparkSession, path: str) -> DataFrame:
+    """A register from a CSV file, a JSON file, or a folder of client folders."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if there.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(there).isDirectory():
+        return register_from_directory(spark, path)
+    return (register_from_csv if path.lower().endswith(".csv") else register_from_json)(spark, path)
+
+
 def register_from_csv(spark: SparkSession, path: str) -> DataFrame:
     """Loose headers; several values in a field are parted by ; & or a comma; rows without a folder are skipped."""
     raw = spark.read.csv(path, header=True)

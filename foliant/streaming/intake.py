@@ -22,7 +22,7 @@ def intake(spark: SparkSession, folder: str, sink: Callable[[batch.Result, int],
 
     def each(frame: DataFrame, n: int) -> None:
         text = T.normalise(F.decode("content", "UTF-8"))
-        docs = frame.select(F.lit(f"batch-{n:06d}").alias("batch_id"), "path", F.regexp_extract("path", "([^/]*)$", 1).alias("name"), text.alias("text")).withColumn("page_count", T.pages(F.col("text")))
+        docs = frame.select(F.lit(f"batch-{n:06d}").alias("batch_id"), "path", F.col("path").alias("source"), F.lit("plaintext").alias("backend"), F.regexp_extract("path", "([^/]*)$", 1).alias("name"), text.alias("text")).withColumn("page_count", T.pages(F.col("text")))
         sink(batch.run(numbered(docs), kb, profile), n)
 
     return files.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,12 +1,14 @@
 import json
+import subprocess
 
 import pytest
 from pyspark.sql import functions as F
 
 from foliant import cli, sinks
 from foliant.kb import KnowledgeBase, Profile
-from foliant.operators import flags, plan
+from foliant.operators import classify, flags, plan
 from foliant.plans import batch, evaluation
+from foliant.shared import written
 from foliant.sources import documents as S
 
 
@@ -24,9 +26,20 @@ def test_every_sample_matches_its_label(spark, result, fixtures):
     compared = evaluation.compare(result, S.read_truth(spark, str(fixtures / "truth.json")))
     assert [(r.name, r.why) for r in compared.filter("NOT ok").collect()] == []
     got = evaluation.score(compared).first()
-    assert (got.n, got.n_wrong, got.n_filed) == (10, 0, 8)
-    assert evaluation.failures(compared, "run", KnowledgeBase.load()).count() == 0
-    assert evaluation.calibrate(compared).count() == 20
+    assert (got.n, got.n_wrong, got.n_filed, got.n_ok, got.n_confident_and_wrong) == (10, 0, 8, 10, 0)
+    assert evaluation.failures(compared, evaluation.run_id(), KnowledgeBase.load()).count() == 0
+
+
+def test_a_step_of_the_calibration_is_a_run_at_that_threshold(spark, samples, result, fixtures):
+    truth, kb = S.read_truth(spark, str(fixtures / "truth.json")), KnowledgeBase.load()
+    swept = {r.step: r for r in evaluation.calibrate(result.records, truth, kb, materialise=written).collect()}
+    assert sorted(swept) == list(range(20)) and swept[0].n == 10
+    for step in (12, 18):
+        k = kb.with_threshold(step / 20)
+        alone = evaluation.score(evaluation.compare(batch.run(samples, k), truth, k)).first()
+        got = swept[step]
+        assert (got.n, got.n_filed, got.n_wrong, got.n_ok) == (alone.n, alone.n_filed, alone.n_confident_and_wrong, alone.n_ok)
+    assert swept[19].n_filed < swept[12].n_filed  # anchors below the threshold take their events with them
 
 
 def test_event_folders(result):
@@ -92,12 +105,24 @@ def test_a_new_advice_type_needs_no_code(spark):
 def test_exports(spark, result, tmp_path):
     m = sinks.manifest(result).first()
     assert m.schema == sinks.MANIFEST and len(m.documents) == 10 and len(m.events) == 2
-    assert sinks.flat(result).columns == list(sinks.COLUMNS)
+    assert m.batch.documents == 10 and m.batch.auto_filed == 8 and m.batch.needs_review == 2 and m.filing_profile == "nested"
+    assert {len(e.member_doc_ids) for e in m.events} == {6, 2} and all(d.classification_evidence for d in m.documents)
+    assert sinks.flat(result).columns == list(sinks.COLUMNS) and len(sinks.COLUMNS) == 14
+    sinks.write_csv(sinks.flat(result), str(tmp_path / "x" / "flat.csv"))
+    assert len((tmp_path / "x" / "flat.csv").read_text().splitlines()) == 11
     assert {r.decision for r in sinks.approvals(result).collect()} == {"pending", "reject"}
-    lines = [r.line for r in sinks.script(result.plan, "/out").collect()]
-    assert sum(x.startswith("mv") for x in lines) == 8 and sum(x.startswith("#") for x in lines) == 2
-    safe = sinks.redacted(sinks.documents(result), "salt", ["Retirement", "Super", "Consolidation", "SOA", "ROA", "Insurance"])
-    assert not any("Nguyen" in str(r.asDict(recursive=True)) or "Patel" in str(r.asDict(recursive=True)) for r in safe.drop("event").collect())
+    for shell, copy in (("bash", "cp -n"), ("powershell", "Copy-Item")):
+        lines = [r.line for r in sinks.script(result.plan, "/it's", shell).collect()]
+        assert sum(x.startswith(copy) for x in lines) == 8 and sum(x.startswith("# left out, needs review") for x in lines) == 2
+    sinks.write_script(sinks.script(result.plan, str(tmp_path / "it's")), str(tmp_path / "go.sh"))
+    assert subprocess.run(["bash", "-n", str(tmp_path / "go.sh")]).returncode == 0
+    words = ["Retirement", "Super", "Consolidation", "SOA", "ROA", "Insurance"]
+    for safe in (sinks.redacted(sinks.documents(result).drop("event"), "salt", words), sinks.redacted(sinks.manifest(result), "salt", words)):
+        assert not any("Nguyen" in str(r.asDict(recursive=True)) or "Patel" in str(r.asDict(recursive=True)) for r in safe.collect())
+    assert sinks.append_log(result.plan.select("name"), str(tmp_path / "log.jsonl")) == 10 == sinks.append_log(result.plan.select("name"), str(tmp_path / "log.jsonl"))
+    assert len((tmp_path / "log.jsonl").read_text().splitlines()) == 20
+    assert [r.type for r in result.missing_references.collect()] == [] and result.unanchored.count() == 1
+    assert result.needing_review.count() == 2 and result.flagged.count() == 3
 
 
 def test_filing_is_dry_and_idempotent_and_never_overwrites(tmp_path):
@@ -157,22 +182,116 @@ def test_cli(fixtures, capsys):
     assert cli.main(["--samples", "x", "--profile", "none"]) == 2
 
 
-def test_no_network_in_the_engine():
+def test_nothing_leaves_this_machine():
+    """No module can send; one listens, on the loopback address."""
     import pathlib
     import re
 
     root = pathlib.Path(__file__).parent.parent / "foliant"
-    bad = re.compile(r"^\s*(?:import|from)\s+(?:socket|urllib|http|requests|ftplib|smtplib)\b", re.M)
-    assert [p for p in root.rglob("*.py") if bad.search(p.read_text())] == []
+    sends = re.compile(r"^\s*(?:import|from)\s+(?:socket|urllib|http\.client|http\s|requests|httpx|aiohttp|ftplib|smtplib|telnetlib|xmlrpc|websockets?|boto3)\b", re.M)
+    listens = re.compile(r"^\s*(?:import|from)\s+(?:http\.server|socketserver|wsgiref)\b", re.M)
+    assert [p.name for p in root.rglob("*.py") if sends.search(p.read_text())] == []
+    assert [p.name for p in root.rglob("*.py") if listens.search(p.read_text())] == ["review.py"]
+    assert "127.0.0.1" in (root / "review.py").read_text() and "0.0.0.0" not in (root / "review.py").read_text()
+
+
+def test_review_page(spark, fixtures, tmp_path):
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from foliant import review
+
+    server = review.serve(review.State(spark, samples=str(fixtures / "samples.json")), 0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_address[1]}"
+    ask = lambda path, body: json.loads(urllib.request.urlopen(urllib.request.Request(at + path, json.dumps(body).encode())).read())
+    assert b"<h1>Review" in urllib.request.urlopen(at + "/").read()
+    assert "nested" in json.loads(urllib.request.urlopen(at + "/api/config").read())["profiles"]
+    m = ask("/api/run", {})
+    assert len(m["documents"]) == 10
+    got = ask("/api/apply", {"dest": str(tmp_path), "decisions": {m["documents"][0]["doc_id"]: "approve"}})
+    assert len(got["detail"]) == 1 and "no source file" in got["detail"][0]
+    for path, code in (("/api/apply", 400), ("/none", 404)):
+        with pytest.raises(urllib.error.HTTPError) as failed:
+            ask(path, {})
+        assert failed.value.code == code
+    server.shutdown()
+
+
+def test_cli_reads_files_exports_files_and_reorganises(spark, fixtures, tmp_path, capsys):
+    docs = json.loads((fixtures / "samples.json").read_text())["documents"]
+    (tmp_path / "in").mkdir()
+    for d in docs:
+        (tmp_path / "in" / d["file"].replace("pdf", "txt")).write_text(d["text"])
+    out = lambda name: str(tmp_path / "out" / name)
+    base = ["--input", str(tmp_path / "in")]
+    assert cli.main([*base, "--manifest", out("m.json"), "--csv", out("x.csv"), "--script", out("x.sh"), "--approvals-out", out("a.json"), "--redact"]) == 0
+    assert "Nguyen" not in (tmp_path / "out/m.json").read_text() and (tmp_path / "out/m.json").stat().st_mode & 0o777 == 0o600
+    sheet = json.loads((tmp_path / "out/a.json").read_text())
+    assert cli.main([*base, "--into", out("filed")]) == 1  # no approvals
+    for item in sheet["items"]:
+        item["decision"] = "approve" if item["decision"] == "pending" else "reject"
+    sheet["items"].append({**sheet["items"][0], "decision": "reject"})  # the last of several counts
+    (tmp_path / "out/a.json").write_text(json.dumps(sheet))
+    files = lambda: sorted(p.name for p in (tmp_path / "out/filed").rglob("*.txt"))
+    filing = [*base, "--into", out("filed"), "--approvals", out("a.json")]
+    assert cli.main(filing) == 0 and files() == []
+    assert cli.main([*filing, "--commit", "--backup", out("backup"), "--backup-region", "au"]) == 0
+    first = files()
+    assert len(first) == 7 and sorted(p.name for p in (tmp_path / "out/backup").rglob("*.txt")) == first
+    assert cli.main([*filing, "--commit", "--backup", out("backup"), "--backup-region", "mars"]) == 1 and files() == first
+    # a filed tree, disturbed, goes back to its order; and the other way again
+    moved = next((tmp_path / "out/filed").rglob(first[0]))
+    moved.rename(moved.with_name("scan.txt"))
+    tree = ["--reorganise", out("filed")]
+    assert cli.main([*tree, "--approvals-out", out("r.json")]) == 0
+    sheet = json.loads((tmp_path / "out/r.json").read_text())
+    for item in sheet["items"]:
+        item["decision"] = "approve"
+    (tmp_path / "out/r.json").write_text(json.dumps(sheet))
+    assert cli.main([*tree, "--approvals", out("r.json"), "--commit"]) == 0
+    back = next((tmp_path / "out/filed/_foliant").glob("rollback-*.json"))
+    assert "scan.txt" not in files()
+    assert cli.main(["--undo", str(back), "--commit"]) == 0 and "scan.txt" in files()
+
+
+def test_register_from_folders_and_growth(spark, tmp_path):
+    for name in ("Nguyen, Linh & David", "Smith-Jones", "_Review", ".x"):
+        (tmp_path / "reg" / name).mkdir(parents=True)
+    got = {r.folder_name: (r.surnames, r.given) for r in S.read_register(spark, str(tmp_path / "reg")).collect()}
+    assert got == {"Nguyen, Linh & David": (["Nguyen"], ["Linh", "David"]), "Smith-Jones": (["Smith", "Jones"], [])}
+    new = {"clients": [{"family_key": "Patel", "surnames": ["Patel"], "given": ["Anish"], "confirm": True}, {"family_key": "Wu", "surnames": ["Wu"], "given": [], "confirm": False}]}
+    (tmp_path / "new.json").write_text(json.dumps(new))
+    assert cli.main(["--accept-new-clients", str(tmp_path / "new.json"), "--register", str(tmp_path / "reg"), "--register-out", str(tmp_path / "out.json")]) == 0
+    assert sorted(r.folder_name for r in S.read_register(spark, str(tmp_path / "out.json")).collect()) == ["Nguyen, Linh & David", "Patel", "Smith-Jones"]
+
+
+def test_destinations_and_classifiers_are_interfaces(samples):
+    with pytest.raises(NotImplementedError):
+        sinks.ProposalOnly().apply([], {})
+    with pytest.raises(TypeError):
+        sinks.Destination()
+
+    class Blind(classify.Classifier):
+        def apply(self, documents):
+            return classify.Keywords(KnowledgeBase.load()).apply(documents.withColumn("text", F.lit("")))
+
+    assert {r.doc_type for r in batch.run(samples, classifier=Blind()).records.collect()} == {None}
+    assert set(S.backends()) == {"pypdf", "pdfplumber"}
 
 
 def test_reports(spark, result):
     from foliant import report
 
     assert [r.rule_id for r in report.findings(result).collect()] == ["atp_without_advice_record", "unknown_type", "risk_mismatch"]
-    assert {tuple(r.missing) for r in report.completeness(result).collect()} == {(), ("soa", "fact_find")}
+    assert {tuple(r.missing) for r in report.completeness(result).collect()} == {(), ("fact_find", "risk_profile")}
     assert report.tree(result).collect()[-1].folder.startswith("_")
     assert "Super" in report.vocabulary(KnowledgeBase.load())
+    lines = list(report.text(result, new_to_industry=True))
+    assert "all implemented" in lines and sum(x.startswith("[review]") for x in lines) == 2
+    assert {r.state for r in report.states(sinks.documents(result)).collect()} == {"ok", "warn", "bad"}
+    assert report.summary(result.plan).first().n_documents == 10
 
 
 def test_reorganise(spark, result):

@@ -44,7 +44,13 @@ def test_clients(spark, text, surnames):
 
 
 def test_plain_names():
-    assert names.plain("Sørensen-O'Brién") == "sorensen o brien"
+    assert names.plain("Sørensen-O'Brién") == "sorensen-o'brien"
+    assert names.words("Nguyen, Linh & David and Co.") == ["nguyen", "linh", "david", "co"]
+
+
+def test_titles_of_names(spark):
+    assert one(spark, names.title(F.array(F.col("t"))), t="smith-jones")[0] == "Smith-Jones"
+    assert one(spark, names.title(F.array(F.col("t"))), t="o'brien")[0] == "O'Brien"
 
 
 def test_phrases(spark):

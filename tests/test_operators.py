@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from foliant.kb import Profile
 from foliant.operators import asof, evaluate, keys, plan, rank, register
 
 D = lambda n: dt.date(2024, 1, 1) + dt.timedelta(days=n)
@@ -89,6 +90,40 @@ def test_recommendation(spark, rows, step, reason):
     assert got.step == step and got.reason.startswith(reason)
 
 
+def test_preflight_names_what_is_wrong(spark):
+    rows = [("b", 1, ["A"], "x.txt"), ("b", 2, ["a"], "X.txt"), ("b", 3, [".."], "y?.txt"), ("b", 4, ["A"], "z" * 300)]
+    p = spark.createDataFrame(rows, "batch_id string, doc_ord long, folder array<string>, filename string")
+    there = spark.createDataFrame([("A/" + "z" * 300,)], "path string")
+    sources = spark.createDataFrame([("b", 1, "s"), ("b", 2, "s"), ("b", 3, "s")], "batch_id string, doc_ord long, source string")
+    got = {(x.doc_ord, x.issue, x.level) for x in plan.preflight(p, Profile({}), there, sources).collect()}
+    assert got == {(1, "collision", "error"), (2, "collision", "error"), (3, "illegal character", "error"), (3, "escapes the root", "error"), (4, "too long", "error"), (4, "no source", "warning"), (4, "exists", "warning")}
+
+
+def test_scope_and_last_decision(spark):
+    rows = [("b", k, f"d{k}", f"{k}.pdf", ["A"], f"{k}.pdf") for k in range(3)]
+    p = spark.createDataFrame(rows, "batch_id string, doc_ord long, doc_id string, name string, folder array<string>, filename string")
+    a = spark.createDataFrame([(0, "d0", "approve"), (1, "d0", "reject"), (0, "d1", "reject"), (5, "d1", "approve"), (0, "d2", "approve")], "ord int, doc_id string, decision string").selectExpr("*", "cast(null as string) folder", "cast(null as string) filename")
+    only = spark.createDataFrame([("d0",), ("d1",)], "doc_id string")
+    assert [x.action for x in plan.decisions(p, a, only=only).orderBy("doc_ord").collect()] == ["rejected", "filed", "skipped"]
+    assert [x.action for x in plan.decisions(p, a, sources=only).orderBy("doc_ord").collect()] == ["rejected", "filed", "failed"]
+
+
+def test_ranged_numbers_any_order(spark):
+    r = random.Random(4)
+    rows = [(r.choice("xy"), f"{r.randrange(10**6):06d}") for _ in range(400)]
+    want = {}
+    for key in "xy":
+        want |= {(key, p): k + 1 for k, p in enumerate(sorted({p for q, p in rows if q == key}))}
+    got = rank.ranged(spark.createDataFrame(sorted(set(rows)), "g string, p string").repartition(4), ["g"], ["p"])
+    assert {(x.g, x.p): x.n for x in got.collect()} == want
+
+
+def test_runners(spark):
+    reg = spark.createDataFrame(REGISTER, "folder_name string, surnames array<string>, given array<string>")
+    got = register.match(spark.createDataFrame([(1, ["nguyen"], ["linh"])], "k int, surnames array<string>, given array<string>"), reg, "k").first()
+    assert [(x.folder_name, x.score) for x in got.runners] == [("Nguyen, Bao", 0.55)] and got.verdict == "matched"
+
+
 def test_decisions(spark):
     rows = [("b", k, f"d{k}", f"{k}.pdf", ["A"], f"{k}.pdf") for k in range(5)]
     p = spark.createDataFrame(rows, "batch_id string, doc_ord long, doc_id string, name string, folder array<string>, filename string")
