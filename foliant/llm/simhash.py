@@ -174,15 +174,15 @@ def _child(rings: F.Column, blocks: int) -> F.Column:
     return number
 
 
-def _cut(visits: DataFrame, nodes: DataFrame, blocks: int, radius: int) -> DataFrame:
-    """Visits (fp, node, own) to the children of ``nodes`` (node, vantage) that the radius overlaps.
+def _cut(visits: DataFrame, blocks: int, radius: int) -> DataFrame:
+    """From visits (fp, node, own, vantage) to nodes those (fp, node, own) to their children that the radius overlaps.
 
     own: the fingerprint lives there.  Of two children of one node that see each other's fingerprints, only the one that is
     lesser asks; what comes from outside the node asks all that it overlaps."""
     zero = (0,) * blocks
     steps = [to for to in itertools.product(range(-radius, radius + 1), repeat=blocks) if sum(map(abs, to)) <= radius]
     some = lambda chosen: F.array(*[F.array(*map(F.lit, to)) for to in chosen])
-    at = visits.join(nodes, "node").select("fp", "node", "own", _rings(F.col("vantage"), blocks).alias("rings"))
+    at = visits.select("fp", "node", "own", _rings(F.col("vantage"), blocks).alias("rings"))
     at = at.withColumn("to", F.explode(F.when(F.col("own"), some([to for to in steps if to >= zero])).otherwise(some(steps))))
     there = F.zip_with("rings", "to", lambda a, b: a + b)
     at = at.select("fp", "node", (F.col("own") & (F.col("to") == F.array(*map(F.lit, zero)))).alias("own"), there.alias("rings"))
@@ -191,12 +191,10 @@ def _cut(visits: DataFrame, nodes: DataFrame, blocks: int, radius: int) -> DataF
 
 def shards(distinct: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
     """(visits, sizes): fp, node, own; and of each shard with fingerprints of its own their number and that of its visits."""
-    spark = distinct.sparkSession
     sample = np.array([r.fp for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
-    nodes = spark.createDataFrame([(0, _signed(_vantage(sample)))], "node long, vantage long")
-    crowded, done = distinct.select("fp", F.lit(0).cast("long").alias("node"), F.lit(True).alias("own")), []
+    crowded, done = distinct.select("fp", F.lit(0).cast("long").alias("node"), F.lit(True).alias("own"), F.lit(_signed(_vantage(sample))).cast("long").alias("vantage")), []
     for level, blocks in enumerate(BLOCKS):
-        visits = _cut(crowded, F.broadcast(nodes) if not level else nodes, blocks, radius)
+        visits = _cut(crowded, blocks, radius)
         if level:
             visits = visits.withColumn("node", -F.col("node") - 1)  # apart from the numbers of the level before
         sizes = written(visits.groupBy("node").agg(F.sum(F.col("own").cast("long")).alias("homes"), F.count("*").alias("asked")).filter("homes > 0"), "shards")
@@ -207,7 +205,8 @@ def shards(distinct: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, DataFr
         done.append((visits.join(big, "node", "left_anti"), sizes.filter(F.col("homes") <= NODE)))
         crowded = written(visits.join(big, "node", "left_semi"), "crowded-shards")
         # a node's vantage point is the one of its own fingerprints whose hash is least
-        nodes = written(crowded.filter("own").groupBy("node").agg(F.min_by("fp", F.xxhash64("fp")).alias("vantage")), "vantage-points")
+        points = written(crowded.filter("own").groupBy("node").agg(F.min_by("fp", F.xxhash64("fp")).alias("vantage")), "vantage-points")
+        crowded = crowded.join(points, "node")
     visits, sizes = done[0]
     for more, rest in done[1:]:
         visits, sizes = visits.unionByName(more), sizes.unionByName(rest)
