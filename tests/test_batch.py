@@ -106,7 +106,7 @@ def test_exports(spark, result, tmp_path):
     m = sinks.manifest(result).first()
     assert m.schema == sinks.MANIFEST and len(m.documents) == 10 and len(m.events) == 2
     assert m.batch.documents == 10 and m.batch.auto_filed == 8 and m.batch.needs_review == 2 and m.filing_profile == "nested"
-    assert {len(e.member_doc_ids) for e in m.events} == {6, 2} and all(d.classification_evidence for d in m.documents)
+    assert {len(e.member_doc_ids) for e in m.events} == {5, 2} and all(d.classification_evidence for d in m.documents)
     assert sinks.flat(result).columns == list(sinks.COLUMNS) and len(sinks.COLUMNS) == 14
     sinks.write_csv(sinks.flat(result), str(tmp_path / "x" / "flat.csv"))
     assert len((tmp_path / "x" / "flat.csv").read_text().splitlines()) == 11
