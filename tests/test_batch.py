@@ -219,7 +219,7 @@ def test_review_page(spark, fixtures, tmp_path):
     server.shutdown()
 
 
-def test_cli_reads_files_exports_files_and_reorganises(spark, fixtures, tmp_path, capsys):
+def test_cli_reads_exports_and_files(spark, fixtures, tmp_path, capsys):
     docs = json.loads((fixtures / "samples.json").read_text())["documents"]
     (tmp_path / "in").mkdir()
     for d in docs:
@@ -239,19 +239,6 @@ def test_cli_reads_files_exports_files_and_reorganises(spark, fixtures, tmp_path
     assert cli.main([*filing, "--commit", "--backup", out("backup"), "--backup-region", "au"]) == 0
     first = files()
     assert len(first) == 7 and sorted(p.name for p in (tmp_path / "out/backup").rglob("*.txt")) == first
-    # a filed tree, disturbed, goes back to its order; and the other way again
-    moved = next((tmp_path / "out/filed").rglob(first[0]))
-    moved.rename(moved.with_name("scan.txt"))
-    tree = ["--reorganise", out("filed")]
-    assert cli.main([*tree, "--approvals-out", out("r.json")]) == 0
-    sheet = json.loads((tmp_path / "out/r.json").read_text())
-    for item in sheet["items"]:
-        item["decision"] = "approve"
-    (tmp_path / "out/r.json").write_text(json.dumps(sheet))
-    assert cli.main([*tree, "--approvals", out("r.json"), "--commit"]) == 0
-    back = next((tmp_path / "out/filed/_foliant").glob("rollback-*.json"))
-    assert "scan.txt" not in files()
-    assert cli.main(["--undo", str(back), "--commit"]) == 0 and "scan.txt" in files()
 
 
 def test_register_from_folders_and_growth(spark, tmp_path):
