@@ -43,3 +43,8 @@ def documents(spark, rows):
 @pytest.fixture(scope="session")
 def nothing(spark):
     return spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+@pytest.fixture(scope="session")
+def sf():
+    return "/root/testdata/sf0.001"
