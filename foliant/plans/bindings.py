@@ -10,7 +10,8 @@ from .. import report, sinks
 from ..functions import dates, names, redact, spans, text as T
 from ..kb import KnowledgeBase, Profile
 from ..operators import asof, classify, evaluate, events, flags, keys, plan, rank, register
-from ..shared import written
+from ..shared import Scratch, fresh, written
+from ..sources import documents
 from . import batch, evaluation
 
 #: Hints of a corpus knowledge base: type, phrase, weight.
@@ -653,3 +654,20 @@ def q50_redacted_rows(spark, sf):
     docs = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id"), "doc_id")
     rows = docs.select("doc_id", F.when(F.length("text") >= 1000, "safe Nguyen_2024.PDF").otherwise("safe SOA 2024.pdf").alias("name"), F.col("doc_id").cast("string").alias("client"), F.lit("/home/x").alias("source"))
     return sinks.redacted(rows, "salt", ["safe", "soa"]).select("doc_id", F.lower("name").alias("name"), "client", "source")
+
+
+_TREE = """CASE substr(sha256(text), 1, 1) WHEN '0' THEN '_Review/' || lang || '/_' || doc_id || '.txt' WHEN '1' THEN '.hidden/' || doc_id || '.txt' WHEN '2' THEN lang || '/.' || doc_id || '.txt' WHEN '3' THEN lang || '/' || source || '/' || doc_id || '.XYZ'
+  WHEN '4' THEN lang || '/_foliant/' || doc_id || '.txt' WHEN '5' THEN lang || '/_a b#%41&é/' || doc_id || '.md' ELSE lang || '/' || source || '/' || doc_id || '.txt' END"""
+
+
+@query(f"""WITH t AS (SELECT {_TREE} AS rel, coalesce(text, '') AS text FROM documents)
+SELECT rel, CASE WHEN rel NOT LIKE '%.XYZ' THEN sha256(text) END AS digest, CASE WHEN rel NOT LIKE '%.XYZ' THEN length(text)::BIGINT END AS n_chars, CASE WHEN rel LIKE '%.XYZ' THEN 'unsupported file type .xyz' END AS error
+FROM t WHERE rel NOT LIKE '.%' AND rel NOT LIKE '%/.%' AND rel NOT LIKE '%/\\_foliant/%' ESCAPE '\\'""")
+def q51_intake_tree(spark, sf):
+    """Every document as a file of a tree with underscored, hidden, odd and unsupported names; then the tree read back, with a row for whatever is not read."""
+    tree = table(spark, sf, "documents").select(F.expr(_TREE.replace("sha256(text)", "sha2(text, 256)")).alias("rel"), "text")
+    with Scratch(spark) as scratch:
+        root = fresh(spark, "tree")
+        sinks.write_files(tree, root)
+        got = documents.contents(spark, root, recursive=True).select("rel", F.sha2("text", 256).alias("digest"), F.length("text").cast("long").alias("n_chars"), "error")
+        return scratch.keep(written(got, "tree-read"))

@@ -8,20 +8,24 @@ import json
 import os
 import shutil
 import time
+import uuid
 from abc import ABC, abstractmethod
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .functions import redact
 from .operators.events import ROW
 from .plans.batch import Result
+from .sources.files import Place
 
 MANIFEST, APPROVALS, ROLLBACK = "foliant.manifest@1", "foliant.approvals@1", "foliant.rollback@1"
 COLUMNS = ("doc_id", "source_name", "source_path", "type", "type_label", "confidence", "client", "date", "event_id", "destination_folder", "destination_filename", "needs_review", "flags", "rationale")
 #: Regions in which a backup may lie unless another is allowed by name.
 REGIONS = ("ap-southeast-2", "ap-southeast-4", "australiaeast", "australiasoutheast", "australia-southeast1", "australia-southeast2", "au", "australia")
 INSTRUCTIONS = "Set decision to approve for each document to be filed; folder and filename may be corrected. Fields that begin with an underscore are for reading. Nothing is written for what stays pending or rejected."
+_LOST = "array<struct<name:string,error:string>>"
 _FLAGS = "array<struct<rule_id:string,severity:string,class:string,message:string,blocks_filing:boolean>>"
 
 
@@ -67,16 +71,23 @@ def event_rows(events: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def manifest(result: Result, generated: str | None = None, classifier: str = "keyword", unreadable: DataFrame | None = None) -> DataFrame:
-    """One row a batch: what it is about, nested events and documents under a schema tag; an intake batch is what one person looks through."""
+    """One row a batch: what it is about, nested events, documents and failures under a schema tag; an intake batch is what one person looks through.
+
+    ``unreadable``: batch_id, name, error of all that could not be read."""
     docs = documents(result)
     batch = F.struct(F.max("batch_client").alias("client"), F.count("*").alias("documents"), F.sum((~F.col("needs_review")).cast("long")).alias("auto_filed"), F.sum(F.col("needs_review").cast("long")).alias("needs_review"))
     d = docs.join(result.batch_clients, "batch_id", "left").groupBy("batch_id").agg(batch.alias("batch"), F.array_sort(F.collect_list(document_structs(docs))).alias("documents"))
     rows = event_rows(result.events, docs.select("batch_id", "event", "doc_id"))
     e = rows.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct(*[c for c in rows.columns if c != "batch_id"]))).alias("events"))
     kb, profile = result.kb, result.profile
-    failed = [] if unreadable is None else [r.asDict() for r in unreadable.limit(10_000).collect()]
-    lost = F.from_json(F.lit(json.dumps(failed)), "array<struct<name:string,error:string>>")
-    return d.join(e, "batch_id", "left").select(
+    lost = F.array().cast(_LOST)
+    d = d.join(e, "batch_id", "left")
+    if unreadable is not None:  # each batch has its own; a batch of nothing else has a row, too
+        d = d.join(unreadable.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("name", "error"))).alias("_lost")), "batch_id", "full")
+        lost = F.coalesce("_lost", lost)
+        nobody = F.struct(F.lit(None).cast("string").alias("client"), *[F.lit(0).cast("long").alias(k) for k in ("documents", "auto_filed", "needs_review")])
+        d = d.withColumns({"batch": F.coalesce("batch", nobody), "documents": F.coalesce("documents", F.array().cast(d.schema["documents"].dataType))})
+    return d.select(
         F.lit(MANIFEST).alias("schema"), F.lit(generated).cast("string").alias("generated"), F.lit(kb.data["meta"]["version"] if kb else None).cast("string").alias("knowledge_base_version"), F.lit(classifier).alias("classifier"),
         F.lit(profile.id if profile else None).cast("string").alias("filing_profile"), F.lit(kb.threshold if kb else None).cast("double").alias("confidence_threshold"),
         "batch_id", F.col("batch").withField("unreadable", lost).alias("batch"), F.coalesce("events", F.array().cast(e.schema["events"].dataType)).alias("events"), "documents")
@@ -116,6 +127,29 @@ def _hidden(name: str, value: Column, kind, salt: str, vocabulary: list[str]) ->
     return redact.prose(value, vocabulary) if name in _PROSE else None
 
 
+def write_files(frame: DataFrame, root: str, rel: str = "rel", text: str = "text") -> int:
+    """A file below a local, shared root for each row; tasks write them under other names and move them, so a repeated task leaves no half file."""
+
+    def put(batches):
+        n = 0
+        for part in batches:
+            for at, content in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                path = os.path.normpath(os.path.join(base, at))
+                if not path.startswith(f"{base}/"):
+                    raise ValueError(f"{at} leaves the root")
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                half = f"{path}.{uuid.uuid4().hex}.part"
+                with open(half, "wb") as f:
+                    f.write((content or "").encode())
+                os.replace(half, path)
+                n += 1
+        yield pa.record_batch([pa.array([n])], names=["n"])
+
+    base = Place(root).root
+    os.makedirs(base, exist_ok=True)
+    return frame.select(rel, text).mapInArrow(put, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def flat(result: Result) -> DataFrame:
     """The fourteen columns of the flat export, all strings."""
     d = documents(result)

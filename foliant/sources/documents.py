@@ -6,14 +6,13 @@ import io
 import zipfile
 from xml.etree import ElementTree
 
-import pandas as pd
 from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import names, text as T
 from ..operators.rank import ranged
-from ..shared import written
+from . import files
 
 TEXT = (".txt", ".text", ".md")
 SUPPORTED = (*TEXT, ".docx", ".pdf")
@@ -70,38 +69,24 @@ def _pdf(content: bytes) -> tuple[str, int, str]:
     return best
 
 
-def _extracted(batches):
-    for frame in batches:
-        rows = []
-        for row in frame.itertuples(index=False):
-            text = pages = backend = error = None
-            try:
-                if row.suffix in TEXT:
-                    text, backend = bytes(row.content).decode("utf-8", "replace"), "plaintext"
-                elif row.suffix == ".docx":
-                    text, backend = _docx(bytes(row.content)), "docx"
-                elif row.suffix == ".pdf":
-                    text, pages, backend = _pdf(bytes(row.content))
-                else:
-                    error = f"unsupported file type {row.suffix}"
-            except Exception as failed:  # an unreadable file becomes a failure row, never a lost one
-                error = f"{type(failed).__name__}: {failed}"
-            rows.append((row.path, row.rel, text, pages, backend, error))
-        yield pd.DataFrame(rows, columns=["path", "rel", "text", "pages", "backend", "error"])
-
-
-def candidates(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
-    """(path, rel, suffix, content) of a folder's files.  Files and folders whose names begin with a dot, and the engine's own state, are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
-    rel = F.substring_index("path", f"{folder.rstrip('/')}/", -1)
-    return files.withColumn("rel", rel).filter(~F.col("rel").rlike(r"(^|/)\.|(^|/)_foliant/")).select("path", "rel", F.lower(T.suffix(F.col("rel"))).alias("suffix"), F.when(F.lower(T.suffix(F.col("rel"))).isin(*SUPPORTED), F.col("content")).alias("content"))
-
-
-def read_directory(spark: SparkSession, folder: str, recursive: bool = False, batch_id: str = "batch") -> tuple[DataFrame, DataFrame]:
-    """(documents, failures) of a folder; unsupported and unreadable files are failures.  Each file is read once, where it is."""
-    kinds = "path string, rel string, text string, pages int, backend string, error string"
-    got = written(candidates(spark, folder, recursive).mapInPandas(_extracted, kinds), "extracted")
-    failures = got.filter("error IS NOT NULL").select(F.col("rel").alias("name"), "error")
+def extracted(suffix: str, content: bytes) -> tuple[str, int | None, str]:
+    """Text, pages where the format tells them, and what read it."""
+    if suffix in TEXT:
+        return content.decode("utf-8", "replace"), None, "plaintext"
+    if suffix == ".docx":
+        return _docx(content), None, "docx"
+    return _pdf(content)
+
+
+def contents(spark: SparkSession, folder: str, recursive: bool = False, most: int = files.MOST_BYTES) -> DataFrame:
+    """(rel, path, size, text, pages, backend, error) of a folder's files, each read once, where it is; no file is without a row."""
+    return files.opened(spark, folder, extracted, "text string, pages int, backend string", SUPPORTED, recursive, most)
+
+
+def read_directory(spark: SparkSession, folder: str, recursive: bool = False, batch_id: str = "batch", most: int = files.MOST_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(documents, failures) of a folder; what is unsupported, unreadable or larger than ``most`` bytes is a failure (batch_id, name, error)."""
+    got = contents(spark, folder, recursive, most)
+    failures = got.filter("error IS NOT NULL").select(F.lit(batch_id).alias("batch_id"), F.col("rel").alias("name"), "error")
     docs = got.filter("error IS NULL").select(F.lit(batch_id).alias("batch_id"), F.col("rel").alias("path"), F.col("rel").alias("name"), F.col("path").alias("source"), "backend", T.normalise(F.col("text")).alias("text"), "pages")
     return numbered(docs.withColumn("page_count", F.coalesce("pages", T.pages(F.col("text")))).drop("pages")), failures
 
