@@ -2,7 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from ..shared import written
+
+
+def _so_far(value: str, *order) -> Column:
+    """The last value that is not null up to and with each row of its piece."""
+    return F.last(value, ignorenulls=True).over(Window.partitionBy("_part", "_k").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+
+
+def nearest(days: DataFrame, by: list[str], day: str, event: str) -> DataFrame:
+    """``days`` (one row for each ``by`` and day; ``event`` null where there is none) with ``back`` and ``ahead``: the last event up to each day and the first from it on.
+
+    Keys and days are dealt by range into pieces, so that a key of many days lies in several, and each piece is swept once in
+    either direction.  What a piece cannot know comes from its neighbours: of each key that lies in several pieces its
+    first and last event in each, which are two rows a piece at most, swept over the pieces and carried in."""
+    frame = days.withColumn("_k", F.struct(*by))
+    dealt = written(frame.repartitionByRange("_k", day).withColumn("_part", F.spark_partition_id()), "asof-pieces")
+    # the keys at a piece's two ends are all that can go on in another
+    ends = dealt.groupBy("_part").agg(F.min("_k").alias("_lo"), F.max("_k").alias("_hi"))
+    edge = dealt.join(F.broadcast(ends), "_part").filter((F.col("_k") == F.col("_lo")) | (F.col("_k") == F.col("_hi"))).filter(F.col(event).isNotNull())
+    found = edge.groupBy("_k", "_part").agg(F.min_by(event, day).alias("_first"), F.max_by(event, day).alias("_last"))
+    asked = ends.select("_part", F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("_k"))
+    over = Window.partitionBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    carried = asked.join(found, ["_k", "_part"], "left").select(
+        "_k", "_part", F.last("_last", ignorenulls=True).over(over.orderBy("_part")).alias("_before"), F.last("_first", ignorenulls=True).over(over.orderBy(F.desc("_part"))).alias("_after")
+    ).filter("_before IS NOT NULL OR _after IS NOT NULL")
+    swept = dealt.withColumns({"back": _so_far(event, day), "ahead": _so_far(event, F.desc(day))}).join(carried, ["_k", "_part"], "left")
+    return swept.select(*days.columns, F.coalesce("back", "_before").alias("back"), F.coalesce("ahead", "_after").alias("ahead"))
 
 
 def attach(left: DataFrame, right: DataFrame, by: list[str], left_date: str, right_date: str, right_key: str, direction: str = "backward", max_gap_days: int = 730) -> DataFrame:
@@ -11,18 +39,16 @@ def attach(left: DataFrame, right: DataFrame, by: list[str], left_date: str, rig
     status: ok; tie (two right rows on the nearest date); far (nearest beyond the limit); none (no right row, no date or no key).
     The nearest is picked first and then held against the limit.
 
-    Both sides are brought down to one row per key and day before anything is sorted, so a window holds no more rows than
-    a key has days, however many rows share the key; the answer goes back to the left rows by an equi-join."""
+    Both sides are brought down to one row per key and day before anything is sorted, so a key counts by its days, not its
+    rows, and a key of many days is several tasks (``nearest``); the answer goes back to the left rows by an equi-join."""
     if direction not in ("forward", "backward"):
         raise ValueError(direction)
-    events = right.filter(F.col(right_date).isNotNull()).groupBy(*by, F.to_date(right_date).alias("_d")).agg(F.struct(F.to_date(F.first(right_date)).alias("d"), F.count("*").alias("n"), F.min(right_key).alias("key")).alias("_e"))
-    asked = left.filter(F.col(left_date).isNotNull()).select(*by, F.to_date(left_date).alias("_d")).distinct()
+    keyed = lambda frame: frame.dropna(subset=by)  # noqa: E731  no key is no other's
+    events = keyed(right.filter(F.col(right_date).isNotNull())).groupBy(*by, F.to_date(right_date).alias("_d")).agg(F.struct(F.to_date(F.first(right_date)).alias("d"), F.count("*").alias("n"), F.min(right_key).alias("key")).alias("_e"))
+    asked = keyed(left.filter(F.col(left_date).isNotNull())).select(*by, F.to_date(left_date).alias("_d")).distinct()
     days = events.unionByName(asked, allowMissingColumns=True).groupBy(*by, "_d").agg(F.max("_e").alias("_e"))
-    order = Window.partitionBy(*by).orderBy("_d")
-    back = F.last("_e", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("_e", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    first, other = (ahead, back) if direction == "forward" else (back, ahead)
-    picked = days.select(*by, "_d", F.coalesce(first, other).alias("_x"), first.isNull().alias("_r")).filter(F.col("_x").isNotNull())
+    first, other = ("ahead", "back") if direction == "forward" else ("back", "ahead")
+    picked = nearest(days, by, "_d", "_e").select(*by, "_d", F.coalesce(first, other).alias("_x"), F.col(first).isNull().alias("_r")).filter(F.col("_x").isNotNull())
     out = left.withColumn("_d", F.to_date(left_date)).join(picked, [*by, "_d"], "left")
     gap = F.abs(F.datediff(F.col("_x.d"), F.col("_d")))
     status = F.when(F.col("_x").isNull(), "none").when(F.col("_x.n") > 1, "tie").when(gap > max_gap_days, "far").otherwise("ok")

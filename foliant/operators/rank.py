@@ -43,18 +43,9 @@ def _best(ranked: Column, floor: float) -> Column:
     return F.struct(F.when(~weak & (top > 0), ranked[0].type).alias("type"), top.alias("top"), F.when(top > 0, F.get(ranked, F.lit(1)).type).alias("runner_up"), margin.alias("margin"), F.when(weak, 0.0).otherwise(margin * F.least(F.lit(1.0), top / F.lit(floor))).alias("confidence"))
 
 
-def numbered(frame: DataFrame, keys: list[str], order: str, name: str = "n", buckets: int = 64) -> DataFrame:
-    """row_number over ``keys`` by a whole-number ``order`` (ties in no stated order), with hot keys in up to ``buckets`` sorted pieces.
-
-    The order column's range is cut evenly; pieces are numbered on their own and shifted by the counts of those before."""
-    lo, hi = frame.agg(F.min(order), F.max(order)).first()
-    width = max(1, ((hi or 0) - (lo or 0)) // buckets + 1)
-    cut = frame.withColumn("_b", F.floor((F.coalesce(F.col(order), F.lit(lo or 0)) - F.lit(lo or 0)) / F.lit(width)))
-    inner = cut.withColumn("_i", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(order)))
-    before = cut.groupBy(*keys, "_b").agg(F.count("*").alias("_c")).withColumn("_s", F.coalesce(F.sum("_c").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
-    renamed = before.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_bb"), "_s")
-    on = [inner[k].eqNullSafe(renamed[f"_k{i}"]) for i, k in enumerate(keys)] + [inner["_b"] == renamed["_bb"]]
-    return inner.join(renamed, on).select(*[inner[c] for c in frame.columns], (F.col("_i") + F.col("_s")).cast("long").alias(name))
+def numbered(frame: DataFrame, keys: list[str], order: str, name: str = "n") -> DataFrame:
+    """row_number over ``keys`` by one column (ties in no stated order); a hot key, or an outlier in the order, is no single task (``ranged``)."""
+    return ranged(frame, keys, [order], name)
 
 
 def ranged(frame: DataFrame, keys: list[str], order: list[str], name: str = "n") -> DataFrame:

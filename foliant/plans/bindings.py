@@ -241,7 +241,8 @@ def q17_register_fuzzy(spark, sf):
     none = F.array().cast("array<string>")
     people = part.select("p_name", F.array(F.replace("p_name", F.lit(" "), F.lit(""))).alias("surnames"), none.alias("given"))
     folders = part.select(F.col("p_name").alias("folder_name"), F.array(F.concat(F.substring(F.replace("p_name", F.lit(" "), F.lit("")), 1, 4), F.expr("substring(replace(p_name, ' ', ''), 6)"))).alias("surnames"), none.alias("given"))
-    return register.match(people, folders, "p_name").select("p_name", "verdict", "folder_name", "score", "second")
+    runners = F.array_join(F.transform("runners", lambda x: F.concat(x.folder_name, F.lit(" "), F.format_string("%.4f", x.score))), "; ")
+    return register.match(people, folders, "p_name").select("p_name", "verdict", "folder_name", "score", "second", runners.alias("runners"))
 
 
 @query(f"SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '{URGENT}')")
