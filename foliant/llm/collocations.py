@@ -27,7 +27,6 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..shared import Scratch, written
@@ -47,16 +46,29 @@ WORD = tb.table(outside=b" \t.,;:!?\n\x0b\x0c\r")
 COUNTS = "lang string, phrase string, f long"
 
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
 def _run_hashes(lang: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
     out = lang
     with np.errstate(over="ignore"):
         for w in words:
-            out = tb.mix(out * np.uint64(0x9E3779B97F4A7C15) + w)
+            out = tb.mix(out * _ODD + w)
     return out
 
 
-def _hashes(strings: list) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, strings), np.uint64, len(strings))
+def _hashes(strings: pa.Array) -> np.ndarray:
+    """A number of each string: its bytes times powers of an odd number, by place, summed and mixed.  Two strings may share one; that lets too much pass, never too little."""
+    data, off = tb.raw(strings)
+    size = np.diff(off)
+    place = np.arange(len(data)) - np.repeat(off[:-1], size)
+    out = np.zeros(len(size), np.uint64)
+    with np.errstate(over="ignore"):
+        powers = np.cumprod(np.full(int(size.max(initial=0)) + 1, _ODD))
+        full = np.flatnonzero(size)
+        if len(full):
+            out[full] = np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * powers[place], off[full])
+    return tb.mix(out)
 
 
 class Runs:
@@ -82,9 +94,9 @@ class Runs:
             for part in batches:
                 if part.num_rows:
                     coded = pc.list_flatten(pc.split_pattern(part.column(1), " ")).dictionary_encode()
-                    words = _hashes(coded.dictionary.to_pylist())[coded.indices.to_numpy()].reshape(-1, k)
+                    words = _hashes(coded.dictionary)[coded.indices.to_numpy()].reshape(-1, k)
                     lang = part.column(0).dictionary_encode()
-                    h = _run_hashes(_hashes(lang.dictionary.to_pylist())[lang.indices.to_numpy()], list(words.T))
+                    h = _run_hashes(_hashes(lang.dictionary)[lang.indices.to_numpy()], list(words.T))
                     yield pa.record_batch([pa.array(h.view(np.int64))], names=["h"])
 
         hashes = level.select("lang", "phrase").mapInArrow(hashed, "h long")
@@ -115,8 +127,8 @@ class Words:
         self.langs, self.lang = lang.dictionary, lang.indices.to_numpy().astype(np.int64)[row]
 
     def hashed(self) -> None:
-        self.word_hash = _hashes(self.words.to_pylist())[self.codes]
-        self.lang_hash = _hashes(self.langs.to_pylist())[self.lang]
+        self.word_hash = _hashes(self.words)[self.codes]
+        self.lang_hash = _hashes(self.langs)[self.lang]
 
     def together(self, k: int) -> np.ndarray:
         """At which words a run of k begins that stays in its piece."""
@@ -179,19 +191,21 @@ def scored(tables: list[DataFrame], share: int = SHARE) -> DataFrame:
     above = tables[0].select("lang", "phrase", F.array("f").alias("firsts"), F.array("f").alias("lasts"))
     out = []
     for k, level in enumerate(tables[1:], 2):
-        level = level.withColumns({"head": F.substring_index("phrase", " ", k - 1), "tail": F.substring_index("phrase", " ", 1 - k)})
+        parts = level.withColumns({"head": F.substring_index("phrase", " ", k - 1), "tail": F.substring_index("phrase", " ", 1 - k)})
         heads = above.select("lang", F.col("phrase").alias("head"), "firsts")
         tails = above.select("lang", F.col("phrase").alias("tail"), "lasts")
-        level = level.join(heads, ["lang", "head"]).join(tails, ["lang", "tail"])
-        above = level.select("lang", "phrase", "f", F.concat("firsts", F.array("f")).alias("firsts"), F.concat("lasts", F.array("f")).alias("lasts"))
+        known = parts.join(heads, ["lang", "head"]).join(tails, ["lang", "tail"])
+        above = known.select("lang", "phrase", "f", F.concat("firsts", F.array("f")).alias("firsts"), F.concat("lasts", F.array("f")).alias("lasts"))
+        if k < len(tables):  # the next level asks for it twice
+            above = written(above, f"collocations-ladder-{k}")
         cuts = []
         for j in range(1, k):
             left, right = F.get("firsts", F.lit(j - 1)), F.get("lasts", F.lit(k - j - 1))
             cuts.append(F.struct(_score(F.col("f"), left, right).alias("score"), F.lit(j).alias("k"), left.alias("l"), right.alias("r")))
-        scores = level.select("lang", "phrase", F.col("f").alias("a"), (F.least(*cuts) if len(cuts) > 1 else cuts[0]).alias("cut"))
+        scores = above.select("lang", "phrase", F.col("f").alias("a"), (F.least(*cuts) if len(cuts) > 1 else cuts[0]).alias("cut"))
         out.append(scores.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score"))
         if k > 2:
-            held = reduce(DataFrame.unionByName, [level.select("lang", F.col(c).alias("phrase"), "f") for c in ("head", "tail")]).groupBy("lang", "phrase").agg(F.max("f").alias("longer"))
+            held = reduce(DataFrame.unionByName, [parts.select("lang", F.col(c).alias("phrase"), "f") for c in ("head", "tail")]).groupBy("lang", "phrase").agg(F.max("f").alias("longer"))
             out[-2] = out[-2].join(held, ["lang", "phrase"], "left").filter(F.coalesce(100 * F.col("longer") < share * F.col("a"), F.lit(True))).drop("longer")
     return reduce(DataFrame.unionByName, out)
 
