@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 from abc import ABC, abstractmethod
+from decimal import ROUND_HALF_UP, Decimal
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import dates, names, spans, text as T
+from ..functions import automaton, dates, names, spans, text as T
 from ..kb import KnowledgeBase
 from .rank import let
 
@@ -75,6 +77,55 @@ def type_scores(text: Column, kb: KnowledgeBase) -> Column:
     return let(F.struct(text.alias("text"), F.lower(text).alias("low")), lambda x: F.transform(_types(kb), lambda t: scored(x, t)))
 
 
+#: Phrases of a knowledge base from which on they are looked for in one walk.
+WALK_FROM = 300
+
+
+def walked_scores(text: Column, kb: KnowledgeBase) -> Column:
+    """``type_scores`` by an automaton over all phrases of all types, in one Arrow function: a text costs its length and its matches, however many phrases there are."""
+    uses, number = [], {}
+
+    def numbered(phrases: list[str]) -> list[int]:
+        return [number.setdefault((p, len(p) <= kb.short_max and p.isalpha()), len(number)) for p in phrases]
+
+    for t in kb.types:
+        h = t["hints"]
+        uses.append((t["id"], t["ord"], numbered(h.get("title_patterns", [])), numbered(h.get("reference_patterns", [])), [numbered(x) for x in (h.get("structural_signals", []), _cues(h), h.get("negative_signals", []))]))
+    phrases, w, head_chars, short_max = tuple(number), dict(kb.weights), kb.head_chars, kb.short_max
+
+    @F.pandas_udf("array<struct<type:string,ord:int,score:double,worn:boolean,why:string>>")
+    def walked(texts: pd.Series) -> pd.Series:
+        found = automaton.automaton(phrases)
+        return texts.map(lambda x: None if x is None else _weighed(x, found, uses, phrases, w, head_chars, short_max))
+
+    return walked(text)
+
+
+def _weighed(text: str, found: automaton.Phrases, uses: list, phrases: tuple, w: dict, head_chars: int, short_max: int) -> list[dict]:
+    at, lines, out = found.found(text), automaton.Lines(text), []
+    for kind, place, titles, cited, others in uses:
+        titles = [k for k in titles if k in at]
+        worn, why, score = False, [], 0.0
+        if titles:
+            quoted = automaton.Covered([m for k in cited for m in at.get(k, ())])
+            worn = any(not quoted.holds(a) and automaton.in_title_position(text, lines, a, b, head_chars, short_max) for k in titles for a, b in at[k])
+            score = w["title_in_title_position"] if worn else w["title_mentioned_in_body"]
+            why.append(f"title {phrases[titles[0]][0]}" + (" in title position" if worn else " only mentioned in body"))
+        for (name, weight, most), wanted in zip(_KINDS, others):
+            there = [phrases[k][0] for k in wanted if k in at]
+            score = score + len(there) * w[weight]
+            if there:
+                why.append(f"{name}: " + ", ".join(there[:most]))
+        out.append({"type": kind, "ord": place, "score": float(Decimal(repr(max(0.0, float(score)))).quantize(Decimal("0.01"), ROUND_HALF_UP)), "worn": worn, "why": "; ".join(why)})
+    return out
+
+
+def scores(text: Column, kb: KnowledgeBase) -> Column:
+    """``type_scores`` in the plan, or by one walk where phrases are many."""
+    n = sum(len(h.get(k, [])) for t in kb.types for h in (t["hints"],) for k in ("title_patterns", "reference_patterns", "structural_signals", "negative_signals", "key_fields"))
+    return walked_scores(text, kb) if n >= WALK_FROM else type_scores(text, kb)
+
+
 def decided(scores: Column, quality: Column, kb: KnowledgeBase) -> Column:
     """Struct of doc_type, confidence (unrounded), runner_up, title_types and capped, of a text's scores and its quality score.
 
@@ -102,7 +153,7 @@ def evidence(scores: Column, doc_type: Column) -> Column:
 
 def classify(documents: DataFrame, kb: KnowledgeBase) -> DataFrame:
     """Adds quality, scores, doc_type, confidence, runner_up, title_types, capped and evidence."""
-    q = documents.withColumn("quality", T.quality(F.col("text"), F.col("page_count"))).withColumn("scores", type_scores(F.col("text"), kb))
+    q = documents.withColumn("quality", T.quality(F.col("text"), F.col("page_count"))).withColumn("scores", scores(F.col("text"), kb))
     q = q.withColumn("_d", decided(F.col("scores"), F.col("quality.score"), kb))
     return q.select(*documents.columns, "quality", "scores", "_d.*", evidence(F.col("scores"), F.col("_d.doc_type")).alias("evidence"))
 

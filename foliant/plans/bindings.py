@@ -672,3 +672,10 @@ def q51_intake_tree(spark, sf):
         sinks.write_files(tree, root)
         got = documents.contents(spark, root, recursive=True).select("rel", F.sha2("text", 256).alias("digest"), F.length("text").cast("long").alias("n_chars"), "error")
         return scratch.keep(written(got, "tree-read"))
+
+
+@query(ORACLE_SQL["q39_type_scores"])
+def q52_scores_in_one_walk(spark, sf):
+    """The scores of q39 by one automaton over all phrases of all types."""
+    scored = table(spark, sf, "documents").select("doc_id", F.explode(classify.walked_scores(F.coalesce("text", F.lit("")), CORPUS)).alias("s"))
+    return scored.select("doc_id", "s.type", "s.score", "s.worn")
