@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import report, sinks
 from .kb import KnowledgeBase, Profile
-from .operators import evaluate, plan as P
+from .operators import evaluate, moves as M, plan as P
 from .plans import batch, evaluation
 from .sources import documents as S
 
@@ -146,13 +146,20 @@ def _reorganise(o, result) -> int:
     moves.filter("action <> 'keep' AND NOT crosses_client").show(report.SHOWN, truncate=False)
     if not o.approvals:
         return OK
-    entries = P.approved_moves(moves, S.read_approvals(moves.sparkSession, o.approvals)).orderBy("batch_id", "doc_ord")
+    approved = P.approved_moves(moves, S.read_approvals(moves.sparkSession, o.approvals))
+    stays = moves.join(approved.select("batch_id", "doc_ord"), ["batch_id", "doc_ord"], "left_anti").select("batch_id", "path")
+    # each file goes when its place is free; a cycle's first file steps aside
+    steps = [r.asDict() for r in M.ordered(approved, stays).orderBy("turn", "batch_id", "doc_ord").toLocalIterator()]
     root = Path(o.reorganise).resolve()
+    place = sinks.LocalFolder(str(root), "move")
     if o.commit:
         at = root / "_foliant" / f"rollback-{evaluation.run_id()}.json"
-        sinks.LocalFolder(str(root), "move").rollback([{"doc_id": r.doc_id, "from": str(root / r["from"]), "to": str(root / r.to)} for r in entries.toLocalIterator()], str(at))
+        place.rollback([{"doc_id": s["doc_id"], "from": str(root / s["from"]), "to": str(root / s["to"])} for s in steps if not s["blocked"]], str(at))
         print(f"undo with --undo {at} --commit")
-    return _file(o, result, str(root), "move", entries.select("doc_id"))
+    _show(place.carry_out(steps, dry_run=not o.commit))
+    if not o.commit:
+        print("a dry run: nothing was written; --commit moves")
+    return OK
 
 
 def main(argv: list[str] | None = None) -> int:

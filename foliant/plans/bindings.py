@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import report, sinks
 from ..functions import dates, names, redact, spans, text as T
 from ..kb import KnowledgeBase, Profile
-from ..operators import asof, classify, evaluate, events, flags, keys, plan, rank, register
+from ..operators import asof, classify, evaluate, events, flags, keys, moves, plan, rank, register
 from ..shared import Scratch, fresh, written
 from ..sources import documents
 from . import batch, evaluation
@@ -370,8 +370,8 @@ def q28_reorganise(spark, sf):
     x = table(spark, sf, "pages").select("page_id", F.substring(_path(), 2, 1 << 20).alias("path")).withColumn("seg", seg)
     folder = F.when(F.col("seg") == "en", F.array(F.lit("en"))).otherwise(F.array(F.lit("other"), F.col("seg")))
     proposed = x.select(F.lit("b").alias("batch_id"), F.col("page_id").alias("doc_ord"), own.alias("doc_id"), (F.col("seg") == "").alias("needs_review"), folder.alias("folder"), own.alias("filename"))
-    moves = plan.reorganise(proposed, x.select(F.lit("b").alias("batch_id"), F.col("page_id").alias("doc_ord"), "path"))
-    return moves.select(F.col("doc_ord").alias("page_id"), "action", F.col("crosses_client").alias("crosses"))
+    going = plan.reorganise(proposed, x.select(F.lit("b").alias("batch_id"), F.col("page_id").alias("doc_ord"), "path"))
+    return going.select(F.col("doc_ord").alias("page_id"), "action", F.col("crosses_client").alias("crosses"))
 
 
 @query("""WITH d AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS first FROM documents)
@@ -679,3 +679,30 @@ def q52_scores_in_one_walk(spark, sf):
     """The scores of q39 by one automaton over all phrases of all types."""
     scored = table(spark, sf, "documents").select("doc_id", F.explode(classify.walked_scores(F.coalesce("text", F.lit("")), CORPUS)).alias("s"))
     return scored.select("doc_id", "s.type", "s.score", "s.worn")
+
+
+@query("""WITH f AS (SELECT lang, source, CASE WHEN n_chars >= 2000 THEN '_Review' ELSE 'Filed' END AS place, n_chars >= 2000 AS review, CASE WHEN contains(text, 'password=') THEN 1 ELSE 0 END + CASE WHEN contains(text, 'licensed under') THEN 1 ELSE 0 END AS found FROM documents)
+SELECT concat_ws('/', lang, source, place) AS folder, 3 - grouping(lang) - grouping(source) - grouping(place) AS depth, count(*)::BIGINT AS n_files, (count(*) FILTER (review))::BIGINT AS n_review, sum(found)::BIGINT AS n_findings FROM f GROUP BY ROLLUP(lang, source, place)""")
+def q53_tree_totals(spark, sf):
+    """Documents filed by language, source and size: files, reviews and findings of every folder and its ancestors."""
+    found = F.col("text").contains("password=").cast("int") + F.col("text").contains("licensed under").cast("int")
+    place = F.when(F.col("n_chars") >= 2000, "_Review").otherwise("Filed")
+    files = table(spark, sf, "documents").select(F.lit("b").alias("batch_id"), F.array("lang", "source", place).alias("folder"), (F.col("n_chars") >= 2000).alias("needs_review"), found.alias("n_findings"))
+    return report.totals(files).select(F.concat_ws("/", "at").alias("folder"), F.col("depth").cast("long").alias("depth"), "n_files", "n_review", "n_findings")
+
+
+@query("""WITH d AS (SELECT doc_id, lang || '/' || source || '/' || doc_id AS path, lang || '/' || source AS g FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id) AS i, count(*) OVER (PARTITION BY g) AS n, min(lower(path)) OVER (PARTITION BY g) AS least FROM d),
+b AS (SELECT g, i AS ib FROM p WHERE lower(path) = least),
+x AS (SELECT p.*, b.ib, CASE WHEN starts_with(g, 'en') THEN ((ib - i) % n + n) % n ELSE n - i END AS d, starts_with(g, 'en') AS cyclic FROM p JOIN b USING (g))
+SELECT doc_id, d::BIGINT AS turn, NOT cyclic OR i <> ib AS whole FROM x WHERE NOT cyclic OR i <> ib UNION ALL SELECT doc_id, 0::BIGINT, false FROM x WHERE cyclic AND i = ib UNION ALL SELECT doc_id, n::BIGINT, false FROM x WHERE cyclic AND i = ib""")
+def q54_move_order(spark, sf):
+    """Every document's file takes the place of the next of its folder: the last of an English folder that of the first, a cycle, of any other a new place, a chain."""
+    docs = rank.numbered(table(spark, sf, "documents").select("doc_id", F.concat_ws("/", "lang", "source").alias("g")), ["g"], "doc_id", "i")
+    path = lambda c: F.concat("g", F.lit("/"), c.cast("string"))
+    ends = docs.groupBy("g").agg(F.min_by("doc_id", "i").alias("first"))
+    after = docs.select("g", (F.col("i") - 1).alias("i"), F.col("doc_id").alias("next"))
+    to = F.coalesce(path(F.col("next")), F.when(F.col("g").startswith("en"), path(F.col("first"))).otherwise(F.concat("g", F.lit("/new"))))
+    going = docs.join(after, ["g", "i"], "left").join(ends, "g").select(F.lit("b").alias("batch_id"), "doc_id", path(F.col("doc_id")).alias("from"), to.alias("to"))
+    aside = F.col("from").startswith(moves.ASIDE) | F.col("to").startswith(moves.ASIDE)
+    return moves.ordered(going).select("doc_id", "turn", (~aside).alias("whole"))

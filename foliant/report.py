@@ -23,6 +23,25 @@ def tree(result: Result) -> DataFrame:
     return result.plan.groupBy("batch_id", folder.alias("folder")).agg(F.array_sort(F.collect_list("filename")).alias("files")).orderBy("batch_id", F.col("folder").rlike("(^|/)_"), "folder")
 
 
+def totals(files: DataFrame) -> DataFrame:
+    """(batch_id, at, depth, n_files, n_review, n_findings) of every folder and all its ancestors; the root's ``at`` is empty.
+
+    ``files``: batch_id, folder (array), needs_review, n_findings.  Folders are summed first, and their sums then once for
+    each folder that they lie in, so that the root counts folders, not files."""
+    n = lambda c: F.sum(c).cast("long")
+    own = files.groupBy("batch_id", "folder").agg(F.count("*").alias("n_files"), n(F.col("needs_review").cast("long")).alias("n_review"), n("n_findings").alias("n_findings"))
+    above = F.transform(F.sequence(F.lit(0), F.size("folder")), lambda k: F.slice("folder", F.lit(1), k))
+    return own.select("batch_id", F.explode(above).alias("at"), "n_files", "n_review", "n_findings").groupBy("batch_id", "at").agg(F.size("at").alias("depth"), *[n(c).alias(c) for c in ("n_files", "n_review", "n_findings")])
+
+
+def tree_totals(result: Result) -> DataFrame:
+    """``totals`` of the proposed tree, in the order of a nested listing: special folders last among their like."""
+    raised = result.flags.groupBy(*ROW).agg(F.count("*").alias("n_findings"))
+    files = result.plan.join(raised, ROW, "left").select("batch_id", "folder", "needs_review", F.coalesce("n_findings", F.lit(0)).alias("n_findings"))
+    place = F.transform("at", lambda x: F.struct(x.startswith("_").alias("special"), x.alias("name")))
+    return totals(files).orderBy("batch_id", place)
+
+
 def findings(result: Result) -> DataFrame:
     """Flags with the documents' names, the gravest first, placement before compliance."""
     return flags.ranked(result.flags.join(result.plan.select(*ROW, "name"), ROW))
@@ -93,9 +112,12 @@ def text(result: Result, new_to_industry: bool = False) -> Iterator[str]:
     for r in completeness(result).orderBy("batch_id", "family_key", "event_date").toLocalIterator():
         yield f"{r.family_key}, {r.event_date}" + (f"; missing: {', '.join(r.missing)}" if r.missing else "")
     yield "\nPROPOSED TREE (nothing has been moved)"
-    for r in tree(result).toLocalIterator():
-        yield f"[{r.folder}]"
-        yield from (f"    {name}" for name in r.files)
+    named = result.plan.groupBy("batch_id", F.col("folder").alias("at")).agg(F.array_sort(F.collect_list("filename")).alias("files"))
+    place = F.transform("at", lambda x: F.struct(x.startswith("_").alias("special"), x.alias("name")))
+    for r in tree_totals(result).join(named, ["batch_id", "at"], "left").orderBy("batch_id", place).toLocalIterator():
+        more = "".join(f", {n} {what}" for n, what in ((r.n_review, "for review"), (r.n_findings, "findings")) if n)
+        yield "    " * r.depth + f"{r['at'][-1] if r['at'] else r.batch_id}/ ({r.n_files} files{more})"
+        yield from ("    " * (r.depth + 1) + name for name in r.files or [])
     yield "\nFLAGS"
     for r in findings(result).toLocalIterator():
         yield f"{r.severity:<6} {r.rule_id} {r.name}, {'blocks filing' if r['class'] == 'placement' else 'files anyway'}: {r.message}"

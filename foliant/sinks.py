@@ -10,6 +10,7 @@ import shutil
 import time
 import uuid
 from abc import ABC, abstractmethod
+from collections.abc import Iterable
 from pathlib import Path
 
 import pyarrow as pa
@@ -377,6 +378,33 @@ class LocalFolder(Destination):
             out.append({**d, "destination": str(to), "action": "mirrored" if ok else "failed", "note": "verified" if ok else "the copy differs"})
         return out
 
+    def carry_out(self, steps: Iterable[dict], dry_run: bool = True) -> list[dict]:
+        """Moves within the root, in the order given (operators.moves.ordered: from, to, doc_id, blocked).  Nothing is overwritten; a step whose file is there already is done."""
+        filed, out = self._filed(), []
+        for s in steps:
+            source, target = ((self.root / s[k]).resolve() for k in ("from", "to"))
+            action, note = "filed", "dry run"
+            if s.get("blocked"):
+                action, note = "failed", "its place is taken by a file that stays"
+            elif not (source.is_relative_to(self.root) and target.is_relative_to(self.root)):
+                action, note = "failed", "leaves the root"
+            elif dry_run:
+                pass
+            elif not source.exists():
+                action, note = ("already-filed", "") if target.exists() else ("failed", "no source file")
+            elif target.exists():
+                action, note = "failed", "another file is there"
+            else:
+                action, note = self._file(s, str(source), target)
+                if action == "filed":
+                    filed[s["doc_id"]] = str(target)
+            out.append({"doc_id": s["doc_id"], "name": s["from"], "destination": str(target), "action": action, "note": note})
+        if not dry_run:
+            self.state.mkdir(parents=True, exist_ok=True)
+            (self.state / "filed.json").write_text(json.dumps(filed, indent=1, sort_keys=True))
+            _owned(_owned(self.state) / "filed.json")
+        return out
+
     def rollback(self, moves: list[dict], path: str) -> None:
         """Written before anything moves."""
         _parent(path).write_text(json.dumps({"schema": ROLLBACK, "root": str(self.root), "moves": moves}, indent=1))
