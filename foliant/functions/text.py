@@ -50,13 +50,14 @@ def quality(text: Column, page_count: Column | int = 1) -> Column:
     """Struct of readable, score (unrounded), chars, tokens, common word hits and reasons: a product of penalties."""
     n_pages = F.greatest(F.lit(1), page_count if isinstance(page_count, Column) else F.lit(page_count))
     # every count is worked out once, however often the score names it
-    counted = _let(F.regexp_replace(text, r"^\s+|\s+$", ""), lambda s: _let(F.regexp_extract_all(F.lower(s), F.lit("[A-Za-z']+"), F.lit(0)), lambda tokens: F.struct(
+    counted = let(F.regexp_replace(text, r"^\s+|\s+$", ""), lambda s: let(F.regexp_extract_all(F.lower(s), F.lit("[A-Za-z']+"), F.lit(0)), lambda tokens: F.struct(
         F.length(s).alias("total"), F.length(F.regexp_replace(s, r"[^\p{L}]", "")).alias("letters"), F.size(tokens).alias("n"),
         F.size(F.filter(tokens, lambda t: F.length(t) == 1)).alias("single"), F.size(F.filter(tokens, lambda t: t.isin(COMMON_WORDS))).alias("hits"))))
-    return _let(counted, lambda c: _scored(c, n_pages))
+    return let(counted, lambda c: _scored(c, n_pages))
 
 
-def _let(value: Column, body) -> Column:
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out, and standing in the plan, once, however often the body names it."""
     return F.transform(F.array(value), body)[0]
 
 

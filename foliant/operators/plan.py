@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
 from ..kb import KnowledgeBase, Profile
+from ..shared import written
 from .events import ROW
 from .rank import copies, numbered
 
@@ -83,8 +84,12 @@ def placements(records: DataFrame, events: DataFrame, attached: DataFrame, flags
     why = F.when(F.col("held").isNotNull(), F.col("held")).when(F.col("kind") == "event_document", F.col("reason")).when(F.col("inherited"), "not client-specific; assigned to the only client in this intake batch").when(F.col("kind") == "licensee_document", "licensee-wide document").when(F.col("kind") == "client_level_document", "tied to the client but not to any single advice event").otherwise("no client and no advice event")
     conf = F.when(F.col("kind") == "event_document", F.coalesce("attach_confidence", "confidence")).when(F.col("inherited"), 0.5).otherwise(F.col("confidence"))
     y = y.select(*ROW, "doc_id", "name", "kind", "folder", "filename", why.alias("rationale"), conf.alias("plan_confidence"), F.col("held").isNotNull().alias("needs_review"), "family_key", "event", F.lower(F.concat_ws("/", F.col("folder"), F.col("filename"))).alias("_p"))
-    z = numbered(y, ["batch_id", "_p"], "doc_ord", "_n").drop("_p")
-    return z.withColumn("filename", suffixed(F.col("filename"), F.col("_n"))).drop("_n")
+    y = written(y, "plan")
+    # only names that come more than once are numbered
+    again = y.groupBy("batch_id", "_p").agg(F.count("*").alias("_c")).filter("_c > 1")
+    order = numbered(y.select(*ROW, "_p").join(again, ["batch_id", "_p"], "left_semi"), ["batch_id", "_p"], "doc_ord", "_n")
+    z = y.join(order.select(*ROW, "_n"), ROW, "left")
+    return z.withColumn("filename", suffixed(F.col("filename"), F.coalesce("_n", F.lit(1)))).drop("_n", "_p")
 
 
 def suffixed(filename: Column, n: Column) -> Column:

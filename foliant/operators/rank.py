@@ -4,14 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.text import let
 from ..shared import written
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value worked out once, however often the body names it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def hint_scores(text: Column, hints: list[tuple[str, str, float]]) -> Column:
     """array<struct<type, ord, score>>: a type's weights of the phrases that the lower-cased text contains.  One projection, no join."""
     types = list(dict.fromkeys(t for t, _, _ in hints))

@@ -119,13 +119,18 @@ def read_approvals(spark: SparkSession, path: str) -> DataFrame:
 
 def folder_parts(folder):
     """Surnames and given names of a client folder's name, with capitals: surname first before a comma, else last; a lone hyphenated name is several surnames."""
-    comma = F.contains(folder, F.lit(","))
-    words = names.plain_words(folder)
-    before, after = names.plain_words(F.split_part(folder, F.lit(","), F.lit(1))), names.plain_words(F.substring(folder, F.length(F.split_part(folder, F.lit(","), F.lit(1))) + 2, F.length(folder)))
-    lone = (F.size(words) == 1) & F.contains(words[0], F.lit("-"))
-    last = F.when(comma, before).when(lone, F.split(words[0], "-")).when(F.size(words) > 0, F.array(F.element_at(words, -1))).otherwise(F.array().cast("array<string>"))
-    given = F.when(comma, after).when(F.size(words) > 1, F.slice(words, 1, F.size(words) - 1)).otherwise(F.array().cast("array<string>"))
-    return names.title(last), names.title(given)
+    none = F.array().cast("array<string>")
+    head = F.split_part(folder, F.lit(","), F.lit(1))
+    words = F.struct(F.contains(folder, F.lit(",")).alias("comma"), names.plain_words(folder).alias("all"), names.plain_words(head).alias("before"), names.plain_words(F.substring(folder, F.length(head) + 2, F.length(folder))).alias("after"))
+
+    def parted(x):
+        lone = (F.size(x.all) == 1) & F.contains(F.get(x.all, F.lit(0)), F.lit("-"))
+        last = F.when(x.comma, x.before).when(lone, F.split(F.get(x.all, F.lit(0)), "-")).when(F.size(x.all) > 0, F.array(F.element_at(x.all, -1))).otherwise(none)
+        given = F.when(x.comma, x.after).when(F.size(x.all) > 1, F.slice(x.all, 1, F.size(x.all) - 1)).otherwise(none)
+        return F.struct(last.alias("last"), given.alias("given"))
+
+    parts = T.let(words, parted)
+    return names.title(parts["last"]), names.title(parts["given"])
 
 
 def register_from_names(frame: DataFrame, column: str = "folder_name") -> DataFrame:

@@ -43,9 +43,9 @@ def test_clients(spark, text, surnames):
     assert (got.surnames if got else None) == surnames
 
 
-def test_plain_names():
-    assert names.plain("Sørensen-O'Brién") == "sorensen-o'brien"
-    assert names.words("Nguyen, Linh & David and Co.") == ["nguyen", "linh", "david", "co"]
+def test_plain_names(spark):
+    assert one(spark, names.plain_name(F.col("t")), t="Sørensen-O'Brién") == "sorensen-o'brien"
+    assert one(spark, names.plain_words(F.col("t")), t="Nguyen, Linh & David and Co.") == ["nguyen", "linh", "david", "co"]
 
 
 def test_titles_of_names(spark):
