@@ -3,8 +3,10 @@
 The base patterns find what is written by the book, in time linear in the text.  The
 random field reads the regions around what remains: it scores whole candidate segments
 (their digit groups, check sums, frame and context) against every type at once, and
-dynamic programming over segments of at most ``MOST_CHARS`` characters chooses boundaries
-and types together, over a region of any length.  Base spans stay: segments that touch one are no candidates, so that
+dynamic programming over segments of at most ``MOST_WIDTH`` chooses boundaries and types
+together, over a region of any length.  A segment's width counts at most ``TOKEN_WIDTH`` of each
+token, so that a key or a signed token of any length is one step; what is beyond
+``MOST_WIDTH`` are phrases of many words.  Base spans stay: segments that touch one are no candidates, so that
 none of them stands in the way of another.  Beside personal data the field marks secrets (keys, tokens, passwords).
 
 The field is trained here by stochastic gradient on its own log-likelihood, over
@@ -31,13 +33,17 @@ from . import textbatch as tb
 
 KINDS = ("email", "ip", "card", "phone", "ssn", "iban", "secret")
 BASE = KINDS[:4]
-MOST_CHARS = 48
-#: Tokens that a segment may have: as many as its characters allow.
-MOST_TOKENS = MOST_CHARS
+#: Width of a segment, of which a token counts its length or so much at most; and tokens that a segment may have: as many as its width allows.
+MOST_WIDTH, TOKEN_WIDTH = 48, 12
+MOST_TOKENS = MOST_WIDTH
+#: Characters around a trigger that are looked at.
+REACH = 48
+#: Letters, digits and marks of keys in a row that are one token, from so many on; segments longer than that are described without their digit groups.
+KEY_RUN = 49
 #: Tokens at which the segments that are scored together begin.
 BLOCK = 512
 AROUND = 6
-EXAMPLES = 1100
+EXAMPLES, LONG_EXAMPLES = 1100, 250
 EPOCHS = 6
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -47,7 +53,9 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TRIGGER = re.compile(r"[0-9@]+|\b[dD][oO][tT]\b|(?<=[\[({])[aA][tT](?=[\])}])")
-_TOKEN = re.compile(r"[^\W_]+|\s+|.", re.S)
+_TOKEN = re.compile(r"[A-Za-z0-9+/_=]{%d,}|[^\W_]+|\s+|." % KEY_RUN, re.S)
+_KEY_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=")
+_SIGNED = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+")
 
 
 def luhn(digits: str) -> bool:
@@ -96,9 +104,31 @@ def _class(c: str) -> str:
     return "edge" if not c else "space" if c.isspace() else "word" if c.isalnum() else c if c in "+.-/:$@(" else "mark"
 
 
-@lru_cache(1 << 14)
 def _form(s: str) -> tuple[str, ...]:
     """Features of a segment's own text."""
+    return _described(s) if len(s) < KEY_RUN else _long(s)
+
+
+def _long(s: str) -> tuple[str, ...]:
+    """The same of a segment longer than any phrase: a key, or a run of words."""
+    digits, alone = sum(c.isdigit() for c in s), all(c in _KEY_CHARS for c in s)
+    out = ["any", f"first {_class(s[0])}", f"last {_class(s[-1])}", "long", f"long {min(4, len(s) // KEY_RUN)}"]
+    if _HEX.fullmatch(s):
+        out.append("long hex")
+    if alone:
+        turns = len(re.findall("[a-z](?=[A-Z])|[A-Z](?=[a-z])", s))
+        out.append("long run, mixed" if min(digits, len(s) - digits) * 20 >= len(s) or turns * 6 >= len(s) else "long run, words")
+    elif _SIGNED.fullmatch(s):
+        out.append("signed token")
+    else:
+        out.append("long text" if " " in s else "long marks")
+    if _EMAIL.fullmatch(s):
+        out.append("address")
+    return tuple(out)
+
+
+@lru_cache(1 << 14)
+def _described(s: str) -> tuple[str, ...]:
     digits = re.sub("[^0-9]", "", s)
     plain = re.sub("[^0-9A-Za-z]", "", s)
     groups = re.sub(r"[^\W\d_]+", "a", re.sub("[0-9]+", lambda m: str(min(9, len(m[0]))), s))
@@ -156,6 +186,7 @@ class Region:
         hot = [m.start() for m in _TRIGGER.finditer(text, lo, hi)]
         triggers = [bisect_left(hot, a) < bisect_left(hot, b) for a, b in self.tokens]
         segments, features = [], []
+        width = list(itertools.accumulate((min(TOKEN_WIDTH, len(w)) for w in words), initial=0))
         cue_at, last = [], -1
         for i, w in enumerate(words):
             cue_at.append(last)
@@ -169,7 +200,7 @@ class Region:
                 continue
             seen = False
             for j in range(i, min(n, i + MOST_TOKENS)):
-                if "\n" in words[j] or self.tokens[j][1] - self.tokens[i][0] > MOST_CHARS:
+                if "\n" in words[j] or width[j + 1] - width[i] > MOST_WIDTH:
                     break
                 seen = seen or triggers[j]
                 if not seen or not closes[j]:
@@ -179,6 +210,8 @@ class Region:
                 feats = [*_form(text[a:b]), f"before {_class(before)}", f"after {_class(after)}" + (" digit" if after in (".", "-", ",") and text[b + 1 : b + 2].isdigit() else "")]
                 if before in (".", "-", ",", "/", ":") and text[a - 2 : a - 1].isdigit():
                     feats.append("before digit")
+                if b - a >= KEY_RUN:
+                    feats += [f"long, goes on {side}" for side, c in (("before", before), ("after", after)) if c and (c in _KEY_CHARS or c == "-")]
                 if cue_at[i] >= 0 and (cue := words[cue_at[i]].lower()) in _CUES:
                     feats.append(f"cue {cue}")
                 segments.append((i, j + 1))
@@ -268,7 +301,7 @@ def _entity(r: random.Random, kind: str) -> str:
     if kind == "secret":
         hexed = "".join(r.choice("0123456789abcdef") for _ in range(r.choice((24, 32, 40, 40, 64)))) + "7"
         word = "".join(r.choice("abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(r.randint(12, 30)))
-        return r.choice((hexed[:40], hexed[:32], hexed[:40].upper(), f"AKIA{_digits(r, 3)}QX{_digits(r, 2)}Z{_digits(r, 2)}JK{_digits(r, 2)}", word[:6] + _digits(r, 2) + word[6:] + _digits(r, 1)))[:MOST_CHARS]
+        return r.choice((hexed[:40], hexed[:32], hexed[:40].upper(), f"AKIA{_digits(r, 3)}QX{_digits(r, 2)}Z{_digits(r, 2)}JK{_digits(r, 2)}", word[:6] + _digits(r, 2) + word[6:] + _digits(r, 1)))
     body = _digits(r, r.choice((14, 16, 18)))
     land = r.choice(("DE", "FR", "ES", "GB", "NL"))
     number = land + f"{98 - int(''.join(str(int(c, 36)) for c in body + land + '00')) % 97:02d}" + body
@@ -307,10 +340,32 @@ def examples(n: int = EXAMPLES, seed: int = 7) -> list[tuple[str, list[tuple[int
     return out
 
 
+def long_examples(n: int = LONG_EXAMPLES, seed: int = 8) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """Generated sentences with keys and signed tokens longer than any phrase, and with runs of words that are none."""
+    r, out, kind = random.Random(seed), [], KINDS.index("secret")
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    run = lambda n, more="": "".join(r.choice(letters + more) for _ in range(n))
+    for _ in range(n):
+        text = _words(r, r.randint(0, 4))
+        text += " " if text else ""
+        if r.random() < 0.7:
+            text += r.choice(("token", "password", "secret", "key", "TOKEN", "session")) + r.choice((" = ", "=", ": ", " ")) + (quote := r.choice(('"', "'", "", "")))
+        else:
+            quote = ""
+        if r.random() < 0.75:
+            entity = r.choice(("".join(r.choice("0123456789abcdef") for _ in range(r.choice((64, 64, 96, 128)))), run(r.randint(KEY_RUN, 200)), run(r.randint(KEY_RUN, 200), "+/"), f"eyJ{run(r.randint(16, 40))}.eyJ{run(r.randint(20, 120), '_-')}.{run(r.randint(20, 80), '_-')}x", f"eyJ{run(r.randint(16, 40))}.eyJ{run(r.randint(20, 120), '_-')}.{run(r.randint(20, 80), '_-')}x"))
+            out.append((f"{text}{entity}{quote}{r.choice((' ', '. ', ', ', ''))}{_words(r, r.randint(0, 3))}", [(kind, len(text), len(text) + len(entity))]))
+        else:
+            sep = r.choice(("/", "_", "", "="))
+            entity = sep.join("".join(r.choice("abcdefghilmnoprstu") for _ in range(r.randint(2, 9))) for _ in range(r.randint(10, 20))) + r.choice(("", "", sep + _digits(r, 2)))
+            out.append((f"{text}{entity}{quote} {_words(r, r.randint(0, 3))} {_digits(r, 2)}", []))
+    return out
+
+
 @lru_cache(2)
 def train(n: int = EXAMPLES, epochs: int = EPOCHS, rate: float = 0.25, decay: float = 1e-4, seed: int = 7) -> Field:
     """Weights by AdaGrad on the field's log-likelihood; deterministic, a few seconds on the driver."""
-    rows = [(Region(text, 0, len(text)), spans) for text, spans in examples(n, seed)]
+    rows = [(Region(text, 0, len(text)), spans) for text, spans in examples(n, seed) + long_examples(seed=seed + 1)]
     often: dict[str, int] = {}
     for region, _ in rows:
         for feats in region.features:
@@ -371,6 +426,12 @@ def _marginals(region: Region, score: np.ndarray) -> np.ndarray:
     return np.exp(np.minimum(0, score + outer[:, None]))
 
 
+def _goes_on(text: str, at: int) -> bool:
+    """Whether a token may reach over a place."""
+    a, b = text[at - 1], text[at]
+    return a.isalnum() and b.isalnum() or a in _KEY_CHARS and b in _KEY_CHARS
+
+
 def added_spans(text: str, base: list[tuple[int, int, int]], field: Field) -> list[tuple[int, int, int]]:
     """What the field finds around triggers outside the base spans, touching none of them."""
     taken = sorted((a, b) for _, a, b in base)
@@ -383,19 +444,27 @@ def added_spans(text: str, base: list[tuple[int, int, int]], field: Field) -> li
             k += 1
         if k < len(taken) and taken[k][0] < m.end():
             continue
-        a, b = max(0, m.start() - MOST_CHARS), min(len(text), m.end() + MOST_CHARS)
+        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
         if regions and a <= regions[-1][1]:
-            regions[-1][1] = b
+            regions[-1][1] = max(b, regions[-1][1])
         else:
             regions.append([a, b])
-    out = []
+    # what a token reaches into is taken whole; regions that meet in one become one, so no token is gone through twice
+    whole: list[list[int]] = []
     for a, b in regions:
-        # a word at the edge is taken whole, or so far that it is too long for a segment
-        low, high = a - MOST_CHARS - 1, b + MOST_CHARS + 1
-        while max(0, low) < a and text[a - 1].isalnum() and text[a : a + 1].isalnum():
+        floor = whole[-1][1] if whole else 0
+        a = max(a, floor)
+        while a > floor and _goes_on(text, a):
             a -= 1
-        while b < min(len(text), high) and text[b].isalnum() and text[b - 1].isalnum():
+        b = max(a, b)
+        while b < len(text) and _goes_on(text, b):
             b += 1
+        if whole and a <= floor:
+            whole[-1][1] = b
+        else:
+            whole.append([a, b])
+    out = []
+    for a, b in whole:
         out += field.best_in(text, a, b, touched if taken else None)
     return sorted(set(out))
 
