@@ -98,8 +98,14 @@ def run(documents: DataFrame, kb: KnowledgeBase | None = None, profile: Profile
 
     ``materialise`` (frame, name) cuts the lineage of what later steps read again: a written table, which also keeps their
     plans small.  The texts end here: records carry what later steps ask of them."""
+    kb = kb or KnowledgeBase.load()
+    return settle(classify.enrich(documents, kb, classifier).drop("text"), kb, profile, entries, materialise)
+
+
+def settle(enriched: DataFrame, kb: KnowledgeBase | None = None, profile: Profile | None = None, entries: DataFrame | None = None, materialise=written) -> Result:
+    """The run from enriched records (classify.enrich, without texts) on: all that a batch's documents decide together."""
     kb, profile = kb or KnowledgeBase.load(), profile or Profile.load()
-    records = materialise(resolve(classify.enrich(documents, kb, classifier).drop("text")), "records")
+    records = materialise(resolve(enriched), "records")
     if entries is not None:
         records = materialise(match_register(records, entries, kb), "matched-records")
     return place(records, kb, profile, materialise)
