@@ -13,8 +13,6 @@ name is a cycle of one.  A chain that ends at a file which stays is blocked, wit
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..shared import written
@@ -28,20 +26,24 @@ def _key(batch: Column, path: Column) -> Column:
 
 
 def _ranked(links: DataFrame) -> DataFrame:
-    """``links``: f, nx (null at an end).  (f, ptr, d, least, last): steps to the end and the end itself; in a cycle ptr is not null and ``least`` is its least f."""
-    state = links.select("f", F.col("nx").alias("ptr"), F.when(F.col("nx").isNull(), 0).otherwise(1).cast("long").alias("d"), F.least("f", F.coalesce("nx", "f")).alias("least"), F.coalesce("nx", "f").alias("last"))
-    state = written(state, "moves")
-    left, sums = None, None
-    for _ in range(2 + math.ceil(math.log2(max(2, state.count())))):
+    """``links``: f, nx (null at an end).  (f, ptr, d, least, dl, last): steps to the end and the end itself; in a cycle ptr is not null, ``least`` is its least f and ``dl`` the steps to that.
+
+    After k rounds a row has seen the 2^k moves from its own on."""
+    end = F.col("nx").isNull()
+    state = written(links.select("f", F.col("nx").alias("ptr"), F.when(end, 0).otherwise(1).cast("long").alias("d"), F.col("f").alias("least"), F.lit(0).cast("long").alias("dl"), F.coalesce("nx", "f").alias("last"), F.lit(True).alias("less")), "moves")
+    left = None
+    while True:
         active = state.filter("ptr IS NOT NULL")
-        seen = active.agg(F.count("*").alias("n"), F.sum(F.hash("f", "least").cast("long")).alias("h")).first()
-        if not seen.n or (left, sums) == (seen.n, seen.h):  # chains lose some in every round; cycles are done when nothing is less any more
-            break
-        left, sums = seen.n, seen.h
-        there = state.select(F.col("f").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("d").alias("d2"), F.col("least").alias("least2"), F.col("last").alias("last2"))
-        further = active.join(there, "ptr").select("f", F.col("ptr2").alias("ptr"), (F.col("d") + F.col("d2")).alias("d"), F.least("least", "least2").alias("least"), F.col("last2").alias("last"))
+        seen = active.agg(F.count("*").alias("n"), F.bool_or("less").alias("less")).first()
+        # chains lose some in every round; a cycle has been seen whole when nothing less turns up in it
+        if not seen.n or seen.n == left and not seen.less:
+            return state
+        left = seen.n
+        there = state.select(F.col("f").alias("ptr"), *[F.col(c).alias(f"{c}2") for c in ("ptr", "d", "least", "dl", "last")])
+        lower = F.col("least2") < F.col("least")
+        further = active.join(there, "ptr").select(
+            "f", F.col("ptr2").alias("ptr"), (F.col("d") + F.col("d2")).alias("d"), F.least("least", "least2").alias("least"), F.when(lower, F.col("d") + F.col("dl2")).otherwise(F.col("dl")).alias("dl"), F.col("last2").alias("last"), lower.alias("less"))
         state = written(further.unionByName(state.filter("ptr IS NULL")), "moves")
-    return state
 
 
 def ordered(moves: DataFrame, stays: DataFrame | None = None) -> DataFrame:
@@ -56,10 +58,9 @@ def ordered(moves: DataFrame, stays: DataFrame | None = None) -> DataFrame:
     chained = links.filter("nx IS NOT NULL").select("f", "nx").unionByName(links.filter("nx IS NULL").select("f", "nx").join(waited, "f", "left_semi"))
     state = _ranked(chained)
     chains = state.filter("ptr IS NULL").select("f", F.col("d").alias("turn"), "last")
-    cycles = state.filter("ptr IS NOT NULL").select("f", "least")
+    cycles = state.filter("ptr IS NOT NULL")
     size = cycles.groupBy("least").agg(F.count("*").alias("size"))
-    opened = cycles.join(links.select("f", "nx"), "f").select("f", F.when(F.col("f") != F.col("least"), F.col("nx")).alias("nx"))
-    inside = _ranked(opened).select("f", F.col("d").alias("turn")).join(cycles, "f").join(size, "least").select("f", "turn", F.when(F.col("f") == F.col("least"), F.col("size")).alias("size"))
+    inside = cycles.join(size, "least").select("f", F.col("dl").alias("turn"), F.when(F.col("f") == F.col("least"), F.col("size")).alias("size"))
     if stays is not None:
         there = stays.select(_key(F.col("batch_id"), F.col("path")).alias("_t"), F.lit(True).alias("taken")).distinct()
         ends = keyed.select("f", "_t").join(there, "_t").select(F.col("f").alias("last"), "taken")
