@@ -4,7 +4,7 @@
 a sample each rule's cost and what it rejects of the texts that the rules before it
 left, and puts the rule with the most rejections for its cost next; ``cascade`` then
 asks each rule about what is left only.  Each task takes its sample from its own first
-rows, so nothing is read twice and nothing travels.  The order changes the cost alone:
+slice, so nothing is read twice and nothing travels.  The order changes the cost alone:
 the verdict is the conjunction of all rules.
 
 The rules are the usual published ones (length of words, symbols, copied lines, words
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from . import textbatch as tb
 
-#: What a task looks at to order the rules: its first texts, up to so many bytes of them (one text at least).
+#: What a task looks at to order the rules: texts from all over its first slice, so many bytes of them (one text at least).
 SAMPLE_BYTES = 1 << 18
 MIN_WORDS = 50
 #: The rows that are left are cut out of a slice when they are fewer than this share of it.
@@ -207,14 +207,26 @@ RULES: dict[str, Callable[[Texts], np.ndarray]] = {
 }
 
 
-def order_rules(column: pa.Array, rules=RULES, sample_bytes: int = SAMPLE_BYTES) -> list[str]:
-    """Rule names, by rejections for their cost among what the rules before them leave of the column's first ``sample_bytes`` bytes.
+#: Counts that every row gets before the cascade: no rule pays for them.
+PAID = ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
-    What an earlier rule has counted costs a later one nothing, as in the cascade itself."""
+
+def order_rules(column: pa.Array, rules=RULES, sample_bytes: int = SAMPLE_BYTES, paid: tuple[str, ...] = PAID) -> list[str]:
+    """Rule names, by rejections for their cost among what the rules before them leave of a sample of ``sample_bytes`` bytes, spread evenly over the column's rows.
+
+    A rule's cost is what it takes with the counts there that the cascade begins with, and with those of no other rule."""
     off = tb.raw(column)[1]
-    texts = Texts(column.slice(0, max(1, int(np.searchsorted(off, off[0] + sample_bytes, "right")) - 1)))
+    rows = len(column)
+    step = max(1, -(-int(off[-1]) // max(1, sample_bytes)))
+    some = column.take(pa.array(np.arange(0, rows, step)))
+    within = np.searchsorted(tb.raw(some)[1], sample_bytes, "right") - 1
+    texts = Texts(some.slice(0, max(1, int(within))))
+    for name in paid:
+        getattr(texts, name)()
+    counted = dict(texts.known)
     bad, cost = {}, {}
     for name, rule in rules.items():
+        texts.known = dict(counted)
         began = time.perf_counter()
         bad[name] = rule(texts)
         cost[name] = time.perf_counter() - began + 1e-9
