@@ -61,25 +61,44 @@ def score(compared: DataFrame) -> DataFrame:
     return evaluate.scorecard(compared, ~F.col("needs_review"), F.col("type_ok") & F.col("event_ok"), *right)
 
 
-def sweep(records: DataFrame, steps: int = evaluate.STEPS) -> DataFrame:
-    """The records once for each threshold step / steps, which becomes part of their batch's id: every later operator keeps batches apart, so one job does all steps."""
-    step = F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step")
-    rows = records.select(*[c for c in records.columns if c != "batch_id"], "batch_id", step)
+def sweep(records: DataFrame, kb: KnowledgeBase, steps: int = evaluate.STEPS) -> DataFrame:
+    """The records once for each state that a threshold can leave them in, with the steps ``_from`` to ``step`` at which it holds; the state becomes part of their batch's id, and every later operator keeps batches apart.
+
+    What a client's documents come to changes only at a step where one of them drops out, so they are there as often as
+    they have different confidences (to the step), and once more; not once for every step.  Documents that look beyond
+    their client (linked by product, of no client, or not specific to one) tie the clients of their batch together."""
+    passes = F.size(F.filter(F.sequence(F.lit(0), F.lit(steps - 1)), lambda k: F.col("confidence") >= k / F.lit(float(steps)))) - 1
+    linked = [t["category"] for t in kb.types if kb.direction(t["category"]) == "product_link"]
+    apart = F.col("family_key").isNotNull() & F.coalesce("client_specific", F.lit(False)) & ~F.coalesce(F.col("category").isin(linked or [""]), F.lit(False))
+    known = records.withColumn("_last", passes)
+    alone = known.groupBy("batch_id").agg(F.bool_and(apart).alias("_apart"))
+    known = known.join(alone, "batch_id").withColumn("_unit", F.when(F.col("_apart"), F.col("family_key"))).drop("_apart")
+    ends = F.array_sort(F.array_union(F.collect_set(F.when(F.col("_last").between(0, steps - 2), F.col("_last"))), F.array(F.lit(steps - 1))))
+    spans = F.transform("_ends", lambda e, k: F.struct(F.when(k == 0, 0).otherwise(F.get("_ends", k - 1) + 1).alias("_from"), e.alias("step")))
+    states = known.groupBy("batch_id", "_unit").agg(ends.alias("_ends")).select(F.col("batch_id").alias("_b"), F.col("_unit").alias("_u"), spans.alias("_spans"))
+    rows = known.join(states, (F.col("batch_id") == F.col("_b")) & F.col("_unit").eqNullSafe(F.col("_u"))).withColumn("_s", F.explode("_spans"))
+    rows = rows.select(*[c for c in records.columns if c != "batch_id"], "batch_id", "_s.*")
     return rows.withColumn("batch_id", F.concat(F.col("batch_id"), F.lit(_STEP), F.col("step").cast("string"))).withColumn("threshold", F.col("step") / F.lit(float(steps)))
 
 
 def calibrate(records: DataFrame, truth: DataFrame, kb: KnowledgeBase, profile: Profile | None = None, steps: int = evaluate.STEPS, materialise=lambda frame, name: frame) -> DataFrame:
     """A row per threshold: step, threshold, n, accuracies, n_filed, precision, n_review, n_wrong (confident and wrong), n_ok.
 
-    Everything that reads the threshold is done again at each: an advice record below it anchors no event, and what would
-    have attached to that event moves with it.  Types do not depend on it and are not worked out again."""
-    result = batch.place(materialise(sweep(records, steps), "sweep"), kb, profile or Profile.load(), materialise)
-    x = compare(result, truth, kb).withColumn("step", F.element_at(F.split("batch_id", _STEP), -1).cast("int"))
-    share = lambda c: F.avg(F.col(c).cast("double"))
-    n = lambda c: F.sum(c.cast("long"))
+    Everything that reads the threshold is done again in each state that it leads to (``sweep``): an advice record below it
+    anchors no event, and what would have attached to that event moves with it.  A state counts at all steps at which it holds."""
+    swept = materialise(sweep(records, kb, steps), "sweep")
+    result = batch.place(swept.drop("_from", "step"), kb, profile or Profile.load(), materialise)
+    x = compare(result, truth, kb).join(swept.select(*ROW, "_from", "step"), ROW)
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
     filed = ~F.col("needs_review")
-    out = x.groupBy("step").agg(
-        F.count("*").alias("n"), share("type_ok").alias("type_accuracy"), share("client_ok").alias("client_accuracy"), share("event_ok").alias("event_accuracy"),
-        n(filed).alias("n_filed"), F.try_divide(n(filed & F.col("type_ok") & F.col("event_ok")).cast("double"), n(filed).cast("double")).alias("precision"),
-        n(~filed).alias("n_review"), n(F.col("confident_and_wrong")).alias("n_wrong"), n(F.col("ok")).alias("n_ok"))
-    return out.select("step", (F.col("step") / F.lit(float(steps))).alias("threshold"), *[c for c in out.columns if c != "step"])
+    counts = {
+        "n": F.lit(1), "type": F.col("type_ok"), "client": F.col("client_ok"), "event": F.col("event_ok"), "n_filed": filed, "right": filed & F.col("type_ok") & F.col("event_ok"),
+        "n_review": ~filed, "n_wrong": F.col("confident_and_wrong"), "n_ok": F.col("ok"),
+    }
+    # no more rows than there are spans of steps, each counted at its steps
+    by_span = x.groupBy("_from", "step").agg(*[n(c).alias(k) for k, c in counts.items()]).withColumn("step", F.explode(F.sequence("_from", "step")))
+    total = by_span.groupBy("step").agg(*[F.sum(k).alias(k) for k in counts])
+    share = lambda k, of="n": F.try_divide(F.col(k).cast("double"), F.col(of).cast("double"))
+    return total.select(
+        F.col("step").cast("int").alias("step"), (F.col("step") / F.lit(float(steps))).alias("threshold"), "n", share("type").alias("type_accuracy"), share("client").alias("client_accuracy"), share("event").alias("event_accuracy"),
+        "n_filed", share("right", "n_filed").alias("precision"), "n_review", "n_wrong", "n_ok")
