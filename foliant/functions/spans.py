@@ -17,10 +17,13 @@ def head(field: str) -> str:
     return field.lower().split(" / ")[0].split(" (")[0].strip()
 
 
-def phrase_regex(phrase: str, short_max: int = 4) -> str:
-    """Short alphabetic phrases are whole words in upper case; others are found anywhere, whatever their case."""
+def phrase_regex(phrase: str, short_max: int = 4, ascii_edges: bool = False) -> str:
+    """Short alphabetic phrases are whole words in upper case; others are found anywhere, whatever their case.
+
+    What ends a word is written out: the meaning of a bare word boundary depends on the Java version."""
     if len(phrase) <= short_max and phrase.isalpha():
-        return rf"\b{phrase.upper()}\b"
+        part = "[A-Za-z0-9_]" if ascii_edges else r"[\p{L}\p{N}_]"
+        return f"(?<!{part}){phrase.upper()}(?!{part})"
     return "(?iu)" + escaped(phrase)
 
 
@@ -52,9 +55,9 @@ def tokens(text: Column, pattern: str) -> Column:
 PHRASES = "array<struct<p:string,low:string,re:string,whole:boolean>>"
 
 
-def rows(phrases: list[str], short_max: int = 4) -> list[dict]:
+def rows(phrases: list[str], short_max: int = 4, ascii_edges: bool = False) -> list[dict]:
     """Phrases as values of PHRASES, for a constant table."""
-    return [{"p": p, "low": p.lower(), "re": phrase_regex(p, short_max), "whole": len(p) <= short_max and p.isalpha()} for p in phrases]
+    return [{"p": p, "low": p.lower(), "re": phrase_regex(p, short_max, ascii_edges), "whole": len(p) <= short_max and p.isalpha()} for p in phrases]
 
 
 def hits(text: Column, low: Column, phrases: Column) -> Column:

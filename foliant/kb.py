@@ -47,6 +47,11 @@ class KnowledgeBase:
     def short_max(self) -> int:
         return self.data["scoring"].get("short_pattern_rule", {}).get("max_length", 4)
 
+    @property
+    def ascii_edges(self) -> bool:
+        """Whether a short phrase ends at any character that is no ASCII letter, digit or underscore; else at one that is none of any script."""
+        return self.data["scoring"].get("short_pattern_rule", {}).get("edges") == "ascii"
+
     @property
     def threshold(self) -> float:
         return self.data["scoring"]["confidence"]["threshold"]

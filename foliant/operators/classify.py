@@ -45,7 +45,7 @@ _KINDS = (("structural", "structural_signal", 4), ("fields", "key_field", 3), ("
 
 def _types(kb: KnowledgeBase) -> Column:
     """The knowledge base's types with their phrases, as one constant."""
-    of = lambda ps: spans.rows(ps, kb.short_max)
+    of = lambda ps: spans.rows(ps, kb.short_max, kb.ascii_edges)
     table = [{"type": t["id"], "ord": t["ord"], "titles": of(h.get("title_patterns", [])), "cited": of(h.get("reference_patterns", [])), "structural": of(h.get("structural_signals", [])), "fields": of(_cues(h)), "against": of(h.get("negative_signals", []))} for t in kb.types for h in (t["hints"],)]
     return F.from_json(F.lit(json.dumps(table)), f"array<struct<type:string,ord:int,titles:{spans.PHRASES},cited:{spans.PHRASES},structural:{spans.PHRASES},fields:{spans.PHRASES},against:{spans.PHRASES}>>")
 
@@ -91,11 +91,11 @@ def walked_scores(text: Column, kb: KnowledgeBase) -> Column:
     for t in kb.types:
         h = t["hints"]
         uses.append((t["id"], t["ord"], numbered(h.get("title_patterns", [])), numbered(h.get("reference_patterns", [])), [numbered(x) for x in (h.get("structural_signals", []), _cues(h), h.get("negative_signals", []))]))
-    phrases, w, head_chars, short_max = tuple(number), dict(kb.weights), kb.head_chars, kb.short_max
+    phrases, w, head_chars, short_max, ascii_edges = tuple(number), dict(kb.weights), kb.head_chars, kb.short_max, kb.ascii_edges
 
     @F.pandas_udf("array<struct<type:string,ord:int,score:double,worn:boolean,why:string>>")
     def walked(texts: pd.Series) -> pd.Series:
-        found = automaton.automaton(phrases)
+        found = automaton.automaton(phrases, ascii_edges)
         return texts.map(lambda x: None if x is None else _weighed(x, found, uses, phrases, w, head_chars, short_max))
 
     return walked(text)

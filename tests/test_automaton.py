@@ -89,3 +89,24 @@ def test_time_is_flat_in_phrases_and_linear_in_the_text():
         got = classify._weighed("x " * 200 + mark.join(["as you see the annual report says"] * 20_000), found, uses, phrases, w, 300, 4)
         assert time.perf_counter() - began < 5 and not got[0]["worn"] and got[0]["score"] == w["title_mentioned_in_body"]
     assert json.dumps(got)
+
+
+def test_edges_of_short_phrases_are_those_of_the_sql(spark, tmp_path):
+    """Beside a letter that is not ASCII a short phrase is a whole word in the corpus's knowledge base, as in SQL, and is none by default; both forms say the same."""
+    import duckdb
+
+    from foliant.plans import bindings
+
+    bodies = ["x POURÈANOIÉ", "ÉMIT", "MIT", "MITÉ MIT", "MIT_", "9MIT", "ßMITß", "POUR", "POURs", "字MIT字", "pad " * 100 + "ÀMIT\nlicenſed under", "MİT"]
+    frame = spark.createDataFrame(list(enumerate(bodies)), "doc_id long, text string")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    for name in ("q39_type_scores", "q52_scores_in_one_walk"):
+        got = [tuple(r) for r in bindings.QUERIES[name](spark, str(tmp_path)).collect()]
+        assert sorted(got) == sorted(con.execute(bindings.ORACLE_SQL[name]).fetchall())
+    data = bindings.CORPUS.data
+    plain = KnowledgeBase({**data, "scoring": {**data["scoring"], "short_pattern_rule": {"max_length": 4}}})
+    x = frame.select("text", classify.type_scores(F.col("text"), plain).alias("a"), classify.walked_scores(F.col("text"), plain).alias("b")).collect()
+    assert all(r.a == r.b for r in x)
+    assert [r.text for r in x if r.a[0].score > 0] == ["MIT", "MITÉ MIT"]
