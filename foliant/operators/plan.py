@@ -23,14 +23,15 @@ def _class(chars: str) -> str:
 
 
 def clean(value: Column, profile: Profile, limit: int | None = None) -> Column:
-    """A safe path fragment."""
-    x = value
+    """A safe path fragment.  Most are safe as they are, which one look tells; only the others are put through the replacements."""
+    x, most = value, limit or profile.max_name_chars
     if profile.charset == "ascii":
         x = F.regexp_replace(F.translate(x, "—–·’áàâäãåéèêëíìîïóòôöõøúùûüñçÁÀÂÄÉÈÊËÍÓÖØÚÜÑÇ", "--.'aaaaaaeeeeiiiioooooouuuuncAAAAEEEEIOOOUUNC"), r"[^\x20-\x7E]", "")
-    x = F.regexp_replace(x, rf"[{_class(profile.illegal)}\x00-\x1F]", " ")
-    x = F.regexp_replace(F.regexp_replace(x, r"\s+", " "), r"^[ .]+|[ .]+$", "")
-    x = F.regexp_replace(F.substring(x, 1, limit or profile.max_name_chars), r"[ .]+$", "")
-    return F.coalesce(F.nullif(x, F.lit("")), F.lit("unnamed"))
+    fine = (F.length(x) > 0) & (F.length(x) <= most) & ~F.rlike(x, F.lit(rf"[{_class(profile.illegal)}\x00-\x1F]|  |^[ .]|[ .]$"))
+    y = F.regexp_replace(x, rf"[{_class(profile.illegal)}\x00-\x1F]", " ")
+    y = F.regexp_replace(F.regexp_replace(y, r"\s+", " "), r"^[ .]+|[ .]+$", "")
+    y = F.regexp_replace(F.substring(y, 1, most), r"[ .]+$", "")
+    return F.when(fine, x).otherwise(F.coalesce(F.nullif(y, F.lit("")), F.lit("unnamed")))
 
 
 def render(template: str, profile: Profile) -> Column:
@@ -62,7 +63,9 @@ def placements(records: DataFrame, events: DataFrame, attached: DataFrame, flags
     held = flags.filter("class = 'placement'").groupBy(*ROW).agg(F.array_join(F.array_sort(F.collect_list("message")), "; ").alias("held"))
     where = attached.filter("event IS NOT NULL").select(*ROW, "event", F.col("reason"), "attach_confidence")
     ev = events.select("batch_id", "event", "event_date", F.col("subject.label").alias("subject_label"), "sub_kind_label", "record_label", F.col("family_key").alias("event_family"))
-    x = records.join(held, ROW, "left").join(where, ROW, "left").join(ev, ["batch_id", "event"], "left").join(batch_clients, "batch_id", "left")
+    # events are met before the records, so that documents without one are not all dealt to the task of the null event
+    where = where.join(ev, ["batch_id", "event"], "left")
+    x = records.join(held, ROW, "left").join(where, ROW, "left").join(batch_clients, "batch_id", "left")
     kind = placement_kind(F.col("held"), F.col("event"), F.col("client_specific"), F.col("batch_client"), F.col("family_key"))
     x = x.withColumn("kind", kind).withColumn("inherited", (F.col("kind") == "client_level_document") & ~F.col("client_specific"))
     x = x.withColumn("family_key", F.when(F.col("inherited"), F.coalesce("family_key", "batch_client")).when(F.col("kind") == "event_document", F.coalesce("family_key", "event_family")).otherwise(F.col("family_key")))
