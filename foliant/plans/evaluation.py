@@ -96,7 +96,7 @@ def calibrate(records: DataFrame, truth: DataFrame, kb: KnowledgeBase, profile:
         "n_review": ~filed, "n_wrong": F.col("confident_and_wrong"), "n_ok": F.col("ok"),
     }
     # no more rows than there are spans of steps, each counted at its steps
-    by_span = x.groupBy("_from", "step").agg(*[n(c).alias(k) for k, c in counts.items()]).withColumn("step", F.explode(F.sequence("_from", "step")))
+    by_span = materialise(x.groupBy("_from", "step").agg(*[n(c).alias(k) for k, c in counts.items()]), "spans").withColumn("step", F.explode(F.sequence("_from", "step")))
     total = by_span.groupBy("step").agg(*[F.sum(k).alias(k) for k in counts])
     share = lambda k, of="n": F.try_divide(F.col(k).cast("double"), F.col(of).cast("double"))
     return total.select(

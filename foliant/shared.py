@@ -38,19 +38,31 @@ def fresh(spark: SparkSession, what: str) -> str:
 ARROW_ROWS = 1000
 ARROW_BYTES = 8 << 20
 _ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes up to which a file's size alone has a side of a join broadcast while a temporary table is written.  Columns that are much
+#: the same all over take next to nothing in a file and fifty times that on the driver; what is larger is broadcast only if, once shuffled, it is seen to be small.
+BY_FILE = 256 << 10
+_STATIC, _SEEN = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+
+
+def _bytes(spark: SparkSession, size: str) -> int:
+    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(size)
 
 
 def written(frame: DataFrame, what: str) -> DataFrame:
     """The frame as a Parquet table in the shared folder: cuts the lineage and outlives executors."""
     spark, path = frame.sparkSession, fresh(frame.sparkSession, what)
-    rows, size = spark.conf.get(_ROWS), spark.conf.get(_BYTES, None)
-    spark.conf.set(_ROWS, str(min(ARROW_ROWS, int(rows)) if int(rows) > 0 else ARROW_ROWS))
-    spark.conf.set(_BYTES, str(ARROW_BYTES))
+    before = {k: spark.conf.get(k, None) for k in (_ROWS, _BYTES, _STATIC, _SEEN)}
+    rows, static = int(spark.conf.get(_ROWS)), spark.conf.get(_STATIC)
+    changed = {_ROWS: str(min(ARROW_ROWS, rows) if rows > 0 else ARROW_ROWS), _BYTES: str(ARROW_BYTES)}
+    if _bytes(spark, static) > BY_FILE:
+        changed |= {_STATIC: str(BY_FILE), _SEEN: before[_SEEN] or static}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
     try:
         frame.write.parquet(path)
     finally:
-        spark.conf.set(_ROWS, rows)
-        spark.conf.unset(_BYTES) if size is None else spark.conf.set(_BYTES, size)
+        for k in changed:
+            spark.conf.unset(k) if before[k] is None else spark.conf.set(k, before[k])
     table = spark.read.schema(frame.schema).parquet(path)
     table._foliant_path = path
     return table
