@@ -13,7 +13,7 @@ def test_documents_without_an_event_are_dealt_by_their_row(spark, monkeypatch):
     """The join with the events is that of the attachments; no exchange of all documents by the event, which most have none of."""
     from foliant.plans import bindings
 
-    plans, written = [], shared.written
+    plans, written = [], plan.written
     monkeypatch.setattr(plan, "written", lambda frame, what: plans.append(frame._jdf.queryExecution().optimizedPlan().toString()) or written(frame, what))
     bindings.QUERIES["q47_placements"](spark, "/root/testdata/sf0.001")
     tree = plans[0].splitlines()
