@@ -1,25 +1,29 @@
 """Near duplicates by word shingles: a similarity of ``SIMILAR`` or more, with an exact check.
 
-The pipeline's form of the SimHash stage.  Fingerprints of 64 bits cannot give it: two
-texts at the similarity of 0.8 differ in ten bits on average and in up to twenty, and at
-that radius a vantage-point tree leaves nothing out (figures in the README).  So this
-stage finds its candidates by min-hashes and keeps everything else of that operator:
-equal sets are one node, groups are components, one document of a group stays.
-
-A text is the set of its shingles of ``SHINGLE`` words (ASCII lower case, by 64-bit
-hash); two texts are near copies if the Jaccard similarity of their sets is at least
-``SIMILAR``, and groups are the components of near copies.  Texts of fewer words than a
-shingle take all of them as one; null, empty and blank texts have the empty set and are
-copies of one another.  Ties of ids are settled by the text's hash; null ids stay only
-where no other id of the group is there; repeated rows are one document.
-
-Texts with one set are one node.  Nodes meet in a bucket if ``ROWS`` of their min-hashes
-agree in one of ``BANDS`` bands: a pair at the threshold is missed with a probability
-of (1 - SIMILAR^ROWS)^BANDS, under one in ten million, and a closer one with less.  In a bucket
-every pair is settled on the sets themselves (48 bits a shingle): those that a node reaches are set aside, so
-a bucket of near copies costs its size, not its square, and nothing is capped or sampled.
-Buckets of the same nodes are searched once; buckets beyond ``PART`` nodes are cut into
-parts, and each pair of parts is searched.  A task streams its buckets one after another.
+The pipeline's form of the SimHash stage.  A text is the set of its shingles of
+``SHINGLE`` words (ASCII lower case, by 64-bit hash); two texts are near copies if the
+Jaccard similarity of their sets is at least ``SIMILAR``, and groups are the components
+of near copies; one document of a group stays.  Texts of fewer words than a shingle take
+all of them as one; null, empty and blank texts have the empty set and are copies of one
+another.  Ties of ids are settled by the text's hash; null ids stay only where no other
+id of the group is there; repeated rows are one document.
+
+Texts with one set are one node.  A node has a SimHash fingerprint of ``WORDS`` times 64
+bits: at the threshold two sets differ in 15 % of the bits (in 18.75 % at most, where one
+has four shingles and the other one more), so they are beyond ``RADIUS`` with a
+probability of one in a billion at most.  Fingerprints are searched around vantage points
+as in simhash.py, shard by shard.  What differs is how shards are made: at this radius
+rings around a vantage point leave out nothing (figures in the README), so a shard is a
+bucket of nodes of which ``ROWS`` min-hashes agree in one of ``BANDS`` bands: a pair at
+the threshold is missed with a probability of (1 - SIMILAR^ROWS)^BANDS, under one in ten
+million, and a closer one with less.
+
+A shard passes on the components of what is within the radius, and only these sets
+travel, once for each distinct component.  There every pair is settled on the sets
+themselves (48 bits a shingle): those that a node reaches are set aside, so a component
+of near copies costs its size, not its square, and nothing is capped or sampled.
+Shards of the same nodes are searched once; shards beyond ``PART`` nodes are cut into
+parts, and each pair of parts is searched.  A task streams its shards one after another.
 """
 
 from __future__ import annotations
@@ -31,14 +35,16 @@ from pyspark.sql import DataFrame, functions as F
 from . import textbatch as tb
 from .graph import components
 from .shared import written
-from .simhash import representatives
+from .simhash import Forest, folded, meet, representatives
 
 SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 32, 4
+#: Words of 64 bits of a fingerprint, and the bits in which those of near copies differ at most.
+WORDS, RADIUS = 4, 88
 PART = 10_000
-#: Member rows of buckets that a search task has, about; a single bucket or pair of parts may have more.
-TASK_ROWS = 2_000
+#: Rows of sets that a task compares, and of fingerprints that a task searches, about; a single shard or pair of parts may have more.
+TASK_ROWS, SEARCH_ROWS = 2_000, 20_000
 #: Bytes of a shingle's hash that travel and are compared: two shingles of two texts of 20,000 words have one in common by chance once in a million pairs of texts.
 BYTES = 6
 #: Values compared at once.
@@ -98,7 +104,7 @@ def _node(values: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def sign(documents: DataFrame, key) -> DataFrame:
-    """(doc_id, h, node, bands) of every document; h is ``key``, bands are 64-bit numbers."""
+    """(doc_id, h, node, bands, fp) of every document; h is ``key``, bands are 64-bit numbers, fp is the fingerprint's bytes."""
 
     def run(part):
         values, off = shingles(part.column(2))
@@ -108,9 +114,10 @@ def sign(documents: DataFrame, key) -> DataFrame:
         width = np.where(np.diff(off) > 0, BANDS, 0)
         list_off = np.concatenate([[0], np.cumsum(width)])
         lists = pa.ListArray.from_arrays(pa.array(list_off, pa.int32()), pa.array(keys[some].ravel().view(np.int64)))
-        return pa.record_batch([part.column(0), part.column(1), pa.array(node.view(np.int64)), lists], names=["doc_id", "h", "node", "bands"])
+        fp = tb.as_strings(folded(values, off, WORDS).view(np.uint8).ravel(), np.arange(len(off)) * 8 * WORDS, binary=True).cast(pa.binary())
+        return pa.record_batch([part.column(0), part.column(1), pa.array(node.view(np.int64)), lists, fp], names=["doc_id", "h", "node", "bands", "fp"])
 
-    return tb.mapped(documents.select("doc_id", key.alias("h"), "text"), run, "doc_id long, h long, node long, bands array<long>", ("doc_id", "h", "text"))
+    return tb.mapped(documents.select("doc_id", key.alias("h"), "text"), run, "doc_id long, h long, node long, bands array<long>, fp binary", ("doc_id", "h", "text"))
 
 
 def sets_of(documents: DataFrame, reps: DataFrame, key) -> DataFrame:
@@ -177,46 +184,85 @@ def search(nodes: np.ndarray, values: np.ndarray, off: np.ndarray, similar: floa
 
 
 def _cells(batches):
-    """(cell, nodes, values, offsets) of sorted rows, a cell at a time however the batches cut them."""
+    """The rows (cell, node, bytes) of each cell of sorted rows, a cell at a time however the batches cut them."""
     held: list[tuple[int, int, bytes]] = []
-
-    def out():
-        sets = [unpacked(x) for _, _, x in held]
-        return np.array([n for _, n, _ in held], np.int64), np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])])
-
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
             if held and row[0] != held[0][0]:
-                yield out()
+                yield held
                 held = []
             held.append(row)
     if held:
-        yield out()
+        yield held
 
 
-def links(signed: DataFrame, documents: DataFrame, key) -> DataFrame:
-    """(a, b): edges whose components are those of all near copies."""
+def alike(prints: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """The place that names each fingerprint's component, over all pairs within the radius; found around vantage points."""
+    forest = Forest(len(prints))
+
+    def found(i: np.ndarray, j: np.ndarray) -> None:
+        once = i < j
+        forest.link(i[once], j[once])
+
+    meet(prints, prints, radius, found)
+    return forest.root
+
+
+def _once(groups: DataFrame, *by: str) -> DataFrame:
+    """(``by``, n) of the groups of two nodes or more, those of the same nodes once."""
+    mark = F.xxhash64("node")
+    sized = groups.groupBy(*by).agg(F.count("*").alias("n"), F.min("node").alias("least"), F.bit_xor(mark).alias("mark")).filter("n > 1")
+    return sized.groupBy("n", "least", "mark").agg(F.min(F.struct(*by)).alias("by")).select("by.*", "n")
+
+
+def shards(signed: DataFrame) -> DataFrame:
+    """(cell, node): the nodes that meet in a bucket, by bucket or pair of parts of it."""
     held = signed.groupBy("node").agg(F.first("bands").alias("bands"))
     keyed = written(held.select("node", F.explode("bands").alias("key")), "bands")
-    mark = F.xxhash64("node")
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.bit_xor(mark).alias("mark")).filter("n > 1")
-    buckets = written(buckets.groupBy("n", "least", "mark").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "buckets")
+    buckets = written(_once(keyed, "key").select("key", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "buckets")
     part, other = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int"), F.col("other")
     members = keyed.join(buckets, "key").select("key", "node", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    members = written(members.select("node", F.xxhash64("key", F.least("part", other), F.greatest("part", other)).alias("cell")), "bucket-members")
-    asked = signed.select("node", "doc_id", "h").join(members.select("node").distinct(), "node", "left_semi")
-    reps = written(asked.groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("x")).select("node", F.col("x.doc_id").alias("id"), "x.h"), "bucket-nodes")
-    tasks = max(1, members.count() // TASK_ROWS)
+    return members.select(F.xxhash64("key", F.least("part", other), F.greatest("part", other)).alias("cell"), "node")
+
+
+def candidates(members: DataFrame, prints: DataFrame) -> DataFrame:
+    """(cell, node): the components, each a cell of its own, of fingerprints within the radius of one another in the cells of ``members``.
+
+    ``prints`` has node and fp.  Cells of one node are left out, and cells of the same nodes are there once."""
+
+    def run(batches):
+        for rows in _cells(batches):
+            root = alike(np.frombuffer(b"".join(x for _, _, x in rows), "<u8").reshape(len(rows), WORDS))
+            kept = np.flatnonzero(np.bincount(root, minlength=len(rows))[root] > 1)
+            if len(kept):
+                node = np.array([n for _, n, _ in rows], np.int64)
+                yield pa.record_batch([pa.array(np.full(len(kept), rows[0][0])), pa.array(node[kept]), pa.array(node[root[kept]])], names=["cell", "node", "root"])
+
+    tasks = max(1, members.count() // SEARCH_ROWS)
+    met = members.join(prints, "node").select("cell", "node", "fp")
+    near = written(met.repartition(tasks, "cell").sortWithinPartitions("cell").mapInArrow(run, "cell long, node long, root long"), "near-cells")
+    return near.join(written(_once(near, "cell", "root"), "near-shards"), ["cell", "root"]).select(F.xxhash64("cell", "root").alias("cell"), "node")
+
+
+def links(signed: DataFrame, documents: DataFrame, key) -> DataFrame:
+    """(a, b): edges whose components are those of all near copies."""
+    members = written(shards(signed), "bucket-members")
+    met = signed.select("node", "doc_id", "h", "fp").join(members.select("node").distinct(), "node", "left_semi")
+    reps = written(met.groupBy("node").agg(F.min(F.struct("doc_id", "h", "fp")).alias("x")).select("node", F.col("x.doc_id").alias("id"), "x.h", "x.fp"), "bucket-nodes")
+    near = written(candidates(members, reps.select("node", "fp")), "candidates")
+    reps = written(reps.join(near.select("node").distinct(), "node", "left_semi").select("node", "id", "h"), "candidate-nodes")
+    tasks = max(1, near.count() // TASK_ROWS)
 
     def run(batches):
-        for nodes, values, off in _cells(batches):
-            a, b = search(nodes, values, off)
+        for rows in _cells(batches):
+            sets = [unpacked(x) for _, _, x in rows]
+            a, b = search(np.array([n for _, n, _ in rows], np.int64), np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])]))
             if a:
                 yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
         tb.release()
 
     # sorted by cell and streamed: a task holds one cell's sets at a time
-    met = members.join(sets_of(documents, reps, key), "node").select("cell", "node", "shingles")
+    met = near.join(sets_of(documents, reps, key), "node").select("cell", "node", "shingles")
     return met.repartition(tasks, "cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
 
 

@@ -47,6 +47,8 @@ NODE = 100_000
 LEAF_PAIRS = 1 << 20
 SAMPLE = 1024
 _CHUNK = 1 << 16
+_WORDS = np.random.default_rng(6).integers(0, 1 << 64, 16, np.uint64)
+_BYTES = np.uint64(0x0101010101010101)
 
 
 def _fold(hashes: np.ndarray) -> np.ndarray:
@@ -93,13 +95,40 @@ def sign_keyed(documents: DataFrame, key, shingle: int = SHINGLE) -> DataFrame:
     return tb.mapped(rows, lambda part: pa.record_batch([part.column(0), part.column(1), pa.array(fingerprints(part.column(2), shingle).view(np.int64))], names=["doc_id", "h", "fp"]), "doc_id long, h long, fp long", ("doc_id", "h", "text"))
 
 
-def _vantage(sample: np.ndarray) -> int:
-    """Of a few sampled fingerprints, that from which the sample's distances over the bytes spread most."""
+def folded(values: np.ndarray, off: np.ndarray, words: int) -> np.ndarray:
+    """Fingerprints of ``words`` times 64 bits (sets by words) of sets of hashes; zero for an empty set.
+
+    Each word is folded from a mix of its own; a bit is 1 if set in over half of them."""
+    size = np.diff(off)
+    some = np.flatnonzero(size)
+    out = np.zeros((len(size), words), np.uint64)
+    if not len(some):
+        return out
+    # a byte of a sum counts one bit, over pieces of 255 hashes at most
+    pieces = -(-size[some] // 255)
+    first = np.cumsum(pieces) - pieces
+    starts = np.repeat(off[some], pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(first, pieces))
+    for word in range(words):
+        mixed = tb.mix(values ^ _WORDS[word])
+        for bit in range(8):
+            sums = np.add.reduceat((mixed >> np.uint64(bit)) & _BYTES, starts)
+            ones = np.add.reduceat(sums.view(np.uint8).reshape(-1, 8), first, axis=0, dtype=np.int64)
+            out[some, word] |= ((2 * ones > size[some][:, None]).astype(np.uint64) << (8 * np.arange(8, dtype=np.uint64) + np.uint64(bit))).sum(axis=1, dtype=np.uint64)
+    return out
+
+
+def _bytewise(rows: np.ndarray) -> np.ndarray:
+    """Bits set in each byte of fingerprints (rows by words)."""
+    return np.bitwise_count(np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), -1)).astype(np.int8)
+
+
+def _vantage(sample: np.ndarray) -> np.ndarray:
+    """Of a few sampled fingerprints (rows by words), that from which the sample's distances over the bytes spread most."""
     if not len(sample):
-        return 0
+        return np.zeros(sample.shape[1], np.uint64)
     some = sample[:: max(1, len(sample) // 16)]
-    spread = [np.bitwise_count((sample ^ v).view(np.uint8).reshape(-1, 8)).var(axis=0).sum() for v in some]
-    return int(some[int(np.argmax(spread))])
+    spread = [_bytewise(sample ^ v).var(axis=0).sum() for v in some]
+    return some[int(np.argmax(spread))]
 
 
 class Forest:
@@ -120,28 +149,25 @@ class Forest:
                 self.root = up
 
 
-def search(home: np.ndarray, query: np.ndarray, own: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Links a star each: members and centres of the components that pairs within the radius make.
-
-    Pairs are of a query and a home fingerprint; where the query is of the same shard (``own``), the lesser is the query."""
-    nodes, where = np.unique(np.concatenate([home, query]), return_inverse=True)
-    node_h, node_q = where[: len(home)], where[len(home) :]
-    forest, vantage = Forest(len(nodes)), _vantage(home[:SAMPLE])
-    d_h, d_q = (np.bitwise_count((x ^ np.uint64(vantage)).view(np.uint8).reshape(-1, 8)).astype(np.int8) for x in (home, query))
+def meet(home: np.ndarray, query: np.ndarray, radius: int, found) -> None:
+    """``found(q, h)`` is given the places of all pairs of a query and a home fingerprint (rows by words) within the radius, some at a time."""
+    vantage = _vantage(home[:SAMPLE])
+    d_h, d_q = _bytewise(home ^ vantage), _bytewise(query ^ vantage)
 
     def leaf(q: np.ndarray, h: np.ndarray) -> None:
         step = max(1, LEAF_PAIRS // len(h))
         for at in range(0, len(q), step):
             part = q[at : at + step]
-            i, j = np.nonzero(np.bitwise_count(query[part][:, None] ^ home[h][None, :]) <= radius)
-            i, j = part[i], h[j]
-            once = ~own[i] | (query[i] < home[j])
-            forest.link(node_q[i[once]], node_h[j[once]])
+            apart = np.bitwise_count(query[part, 0][:, None] ^ home[h, 0][None, :])
+            for word in range(1, home.shape[1]):
+                apart = np.add(apart, np.bitwise_count(query[part, word][:, None] ^ home[h, word][None, :]), dtype=np.int16)
+            i, j = np.nonzero(apart <= radius)
+            found(part[i], h[j])
 
     def node(level: int, q: np.ndarray, h: np.ndarray, spent: np.ndarray) -> None:
         if not len(q) or not len(h):
             return
-        if level == 8 or len(q) * len(h) <= LEAF_PAIRS:
+        if level == d_h.shape[1] or len(q) * len(h) <= LEAF_PAIRS:
             leaf(q, h)
             return
         ring = d_h[h, level]
@@ -150,7 +176,22 @@ def search(home: np.ndarray, query: np.ndarray, own: np.ndarray, radius: int = R
             near = cost <= radius
             node(level + 1, q[near], h[ring == r], cost[near])
 
-    node(0, np.arange(len(query)), np.arange(len(home)), np.zeros(len(query), np.int8))
+    node(0, np.arange(len(query)), np.arange(len(home)), np.zeros(len(query), np.int16))
+
+
+def search(home: np.ndarray, query: np.ndarray, own: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Links a star each: members and centres of the components that pairs within the radius make.
+
+    Pairs are of a query and a home fingerprint; where the query is of the same shard (``own``), the lesser is the query."""
+    nodes, where = np.unique(np.concatenate([home, query]), return_inverse=True)
+    node_h, node_q = where[: len(home)], where[len(home) :]
+    forest = Forest(len(nodes))
+
+    def found(i: np.ndarray, j: np.ndarray) -> None:
+        once = ~own[i] | (query[i] < home[j])
+        forest.link(node_q[i[once]], node_h[j[once]])
+
+    meet(home[:, None], query[:, None], radius, found)
     member = np.flatnonzero(forest.root != np.arange(len(nodes)))
     return nodes[member], nodes[forest.root[member]]
 
@@ -192,7 +233,7 @@ def _cut(visits: DataFrame, blocks: int, radius: int) -> DataFrame:
 def shards(distinct: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
     """(visits, sizes): fp, node, own; and of each shard with fingerprints of its own their number and that of its visits."""
     sample = np.array([r.fp for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
-    crowded, done = distinct.select("fp", F.lit(0).cast("long").alias("node"), F.lit(True).alias("own"), F.lit(_signed(_vantage(sample))).cast("long").alias("vantage")), []
+    crowded, done = distinct.select("fp", F.lit(0).cast("long").alias("node"), F.lit(True).alias("own"), F.lit(_signed(int(_vantage(sample[:, None])[0]))).cast("long").alias("vantage")), []
     for level, blocks in enumerate(BLOCKS):
         visits = _cut(crowded, blocks, radius)
         if level:
