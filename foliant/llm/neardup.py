@@ -45,6 +45,8 @@ WORDS, RADIUS = 4, 88
 PART = 10_000
 #: Rows of sets that a task compares, and of fingerprints that a task searches, about; a single shard or pair of parts may have more.
 TASK_ROWS, SEARCH_ROWS = 2_000, 20_000
+#: Bits for each text whose set is asked for, and bits in all at most (32 MB), of the map by which the texts are picked; it never leaves out one of them.
+ASK_BITS, MOST_BITS = 32, 1 << 28
 #: Bytes of a shingle's hash that travel and are compared: two shingles of two texts of 20,000 words have one in common by chance once in a million pairs of texts.
 BYTES = 6
 #: Values compared at once.
@@ -120,16 +122,33 @@ def sign(documents: DataFrame, key) -> DataFrame:
     return tb.mapped(documents.select("doc_id", key.alias("h"), "text"), run, "doc_id long, h long, node long, bands array<long>, fp binary", ("doc_id", "h", "text"))
 
 
+def _asked(reps: DataFrame) -> np.ndarray:
+    """A map of bits (in 64-bit words, a power of two of them) by the hash of (id, h) of ``reps``; the driver gets the words that are not zero."""
+    bits = min(MOST_BITS, 1 << max(6, (ASK_BITS * reps.count()).bit_length()))
+    place = F.xxhash64("id", "h").bitwiseAND(F.lit(bits - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    full = reps.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(bits >> 6, np.uint64)
+    out[full["word"].to_numpy()] = full["bits"].to_numpy().view(np.uint64)
+    return out
+
+
 def sets_of(documents: DataFrame, reps: DataFrame, key) -> DataFrame:
-    """(node, shingles): the sets of the nodes of ``reps`` (node, id, h), from the text that each names; ``packed``."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("h"), "text")
-    met = rows.join(reps, [rows.doc_id.eqNullSafe(reps.id), rows.h == reps.h]).select("node", "text")
+    """(node, shingles): the sets of the nodes of ``reps`` (node, id, h), from the text that each names, and of few others; ``packed``.
+
+    Texts are picked where they are by a map of bits and are not shuffled; a set names its node itself."""
+    asked = documents.sparkSession.sparkContext.broadcast(_asked(reps))
+    rows = documents.select(F.xxhash64(F.col("doc_id").cast("long"), key).alias("mark"), "text")
 
     def run(part):
+        place = part.column(0).to_numpy().view(np.uint64) & np.uint64(64 * len(asked.value) - 1)
+        part = part.filter(pa.array((asked.value[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)))
+        if not part.num_rows:
+            return None
         values, off = shingles(part.column(1))
-        return pa.record_batch([part.column(0), tb.as_strings(*packed(values, off), binary=True).cast(pa.binary())], names=["node", "shingles"])
+        return pa.record_batch([pa.array(_node(values, off).view(np.int64)), tb.as_strings(*packed(values, off), binary=True).cast(pa.binary())], names=["node", "shingles"])
 
-    return tb.mapped(met, run, "node long, shingles binary", ("node", "text")).dropDuplicates(["node"])
+    return tb.mapped(rows, run, "node long, shingles binary", ("mark", "text")).dropDuplicates(["node"]).join(reps.select("node"), "node", "left_semi")
 
 
 def packed(values: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

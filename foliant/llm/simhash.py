@@ -296,11 +296,13 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS, shingle: int = S
 
 def representatives(documents: DataFrame, groups: DataFrame, key) -> DataFrame:
     """Of ``groups`` (doc_id, h, root), h being ``key`` of the text: the document of the least id of each root (null ids last, then by text), with all its columns."""
-    stay = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("x")).select(F.col("x.doc_id").alias("__stay_id"), F.col("x.h").alias("__stay_h"))
-    stay = written(stay, "representatives")
-    names = documents.columns
-    met = documents.join(stay.hint("shuffle_hash"), [F.col("doc_id").cast("long").eqNullSafe(F.col("__stay_id")), key == F.col("__stay_h")]).select(*[documents[c] for c in names], "__stay_id", "__stay_h")
-    return met.dropDuplicates(["__stay_id", "__stay_h"]).select(*names)
+    stay = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("x"))
+    # met and made unique by the same three columns, so that the texts are shuffled once
+    by = ["__stay_none", "__stay_id", "__stay_h"]
+    stay = written(stay.select(F.col("x.none").alias(by[0]), F.coalesce("x.doc_id", F.lit(0)).alias(by[1]), F.col("x.h").alias(by[2])), "representatives")
+    names, own = documents.columns, F.col("doc_id").cast("long")
+    rows = documents.select("*", own.isNull().alias(by[0]), F.coalesce(own, F.lit(0)).alias(by[1]), key.alias(by[2]))
+    return rows.join(stay.hint("shuffle_hash"), by).dropDuplicates(by).select(*names)
 
 
 def keep_one(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:

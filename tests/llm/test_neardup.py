@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from foliant.llm import neardup, simhash, textbatch as tb
@@ -133,3 +134,27 @@ def test_only_what_fingerprints_bring_together_is_compared(spark, monkeypatch, p
     for r in neardup.candidates(neardup.shards(signed), signed.select("node", "fp")).collect():
         cells.setdefault(r.cell, set()).add(r.node)
     assert sorted(map(sorted, cells.values())) == [[100, 103], [104, 107]]
+
+
+def test_texts_are_picked_in_place_and_shuffled_once(spark, copies):
+    """The texts of sets are not shuffled, and those that stay are met and made unique by one shuffle."""
+    docs = spark.createDataFrame(copies, "doc_id long, text string").withColumn("source", F.lit("s"))
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    signed = neardup.sign(docs, key)
+    reps = signed.filter("doc_id % 9 = 0 AND doc_id < 900").selectExpr("node", "doc_id AS id", "h")
+    groups = signed.selectExpr("doc_id", "h", "node AS root")
+    plan = lambda frame: frame._jdf.queryExecution().optimizedPlan().toString() + frame._jdf.queryExecution().executedPlan().toString()
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(before, ("false", "1b")):
+            spark.conf.set(k, v)
+        sets, stay = neardup.sets_of(docs, reps, key), simhash.representatives(docs, groups, key)
+        shuffled = lambda frame: [x for x in plan(frame).splitlines() if "Exchange hashpartitioning" in x]
+        # the sets and the nodes asked for; the documents and what stays
+        assert len(shuffled(sets)) == 2 and len(shuffled(stay)) == 2
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    wanted = {r.node for r in reps.collect()}
+    assert {r.node for r in sets.collect()} == wanted and len(wanted) > 20
+    assert {len(neardup.unpacked(bytes(r.shingles))) for r in sets.collect()} <= {len(shingled(t)) for _, t in copies}
