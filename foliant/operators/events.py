@@ -10,6 +10,8 @@ from ..kb import KnowledgeBase
 from . import asof, keys
 
 ROW = ["batch_id", "doc_ord"]
+#: Days with events of a client up to which its documents meet all of them at once; a busier client's are sorted.
+FEW = 64
 
 
 def confident(records: DataFrame, kb: KnowledgeBase) -> Column:
@@ -63,7 +65,7 @@ def _by_citation(records: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def _by_date(records: DataFrame, events: DataFrame, direction: str, kb: KnowledgeBase) -> DataFrame:
-    got = asof.attach(records.select(*ROW, "family_key", "own_date"), events.select("batch_id", "family_key", "event", "event_date"), ["batch_id", "family_key"], "own_date", "event_date", "event", direction, kb.max_gap_days)
+    got = asof.attach(records.select(*ROW, "family_key", "own_date"), events.select("batch_id", "family_key", "event", "event_date"), ["batch_id", "family_key"], "own_date", "event_date", "event", direction, kb.max_gap_days, few=FEW)
     days = F.concat(F.col("gap_days").cast("string"), F.lit(" days"))
     why = (
         F.when(F.col("status") == "ok", F.concat(F.lit("nearest advice event, "), days, F.lit(" away"), F.when(F.col("reversed"), F.lit("; this reverses the expected order")).otherwise("")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
@@ -83,12 +84,17 @@ def batch_client(records: DataFrame, kb: KnowledgeBase) -> DataFrame:
     return sure.groupBy("batch_id").agg(F.when(F.min("family_key") == F.max("family_key"), F.min("family_key")).alias("batch_client"))
 
 
+def decide(records: DataFrame, kb: KnowledgeBase, materialise=lambda frame, name: frame, clients: DataFrame | None = None, rules: Sequence[str] = flags.RULES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(events, attachments, flags) of enriched records; of the flags those that are asked for."""
+    found, attached = events.group(records, kb)
+    found, attached = materialise(found, "events"), materialise(attached, "attachments")
+    return found, attached, materialise(flags.raise_all(records, found, attached, kb, materialise, clients, rules), "flags")
+
+
 def place(records: DataFrame, kb: KnowledgeBase, profile: Profile, materialise=lambda frame, name: frame) -> Result:
     """From enriched records to the plan."""
     clients = batch_client(records, kb)
-    found, attached = events.group(records, kb)
-    found, attached = materialise(found, "events"), materialise(attached, "attachments")
-    raised = materialise(flags.raise_all(records, found, attached, kb, materialise, clients), "flags")
+    found, attached, raised = decide(records, kb, materialise, clients)
     new = new_clients(records) if "match_verdict" in records.columns else None
     return Result(records, found, attached, raised, plan.placements(records, found, attached, raised, clients, kb, profile), clients, new, kb, profile)
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..kb import KnowledgeBase, Profile
-from ..operators import evaluate, events
+from ..operators import evaluate, events, flags
 from ..operators.events import ROW
+from ..operators.rank import copies
 from . import batch
 from .batch import Result
 
@@ -21,11 +22,25 @@ def compare(result: Result, truth: DataFrame, kb: KnowledgeBase | None = None) -
 
     An event is right if the labels of the document and of its event's anchor are the same (both none counts)."""
     kb = kb or result.kb or KnowledgeBase.load()
+    rows = result.plan.select(*ROW, "name", "event", "needs_review").join(_read(result.records, kb), ROW).join(_got(result.records, result.attachments, truth, kb).drop("event"), ROW, "left")
+    return _judged(rows, result.flags, truth)
+
+
+def _read(records: DataFrame, kb: KnowledgeBase, *more: str) -> DataFrame:
+    """What was read of each record, as far as answers are known."""
+    return records.select(*ROW, *more, "doc_type", "confidence", events.confident(records, kb).alias("confident"), F.col("family_key").alias("read_client"), "client_specific")
+
+
+def _got(records: DataFrame, attached: DataFrame, truth: DataFrame, kb: KnowledgeBase) -> DataFrame:
+    """The documents in an event (ROW, event) with the label of its anchor, ``got_event``.  Those in none are left out: they would all meet in the task of the null event."""
+    anchor = records.filter(F.col("advice_record") & events.confident(records, kb)).select("batch_id", F.col("doc_ord").alias("event"), "name").join(truth.select("name", F.col("event").alias("got_event")), "name").drop("name")
+    return attached.filter("event IS NOT NULL").select(*ROW, "event").join(anchor, ["batch_id", "event"], "left")
+
+
+def _judged(rows: DataFrame, raised: DataFrame, truth: DataFrame) -> DataFrame:
     t = truth.select("name", F.col("type").alias("t_type"), F.col("client").alias("t_client"), F.col("event").alias("t_event"), F.coalesce("needs_review", F.lit(False)).alias("t_review"), "expect_flags")
-    raised = result.flags.groupBy(*ROW).agg(F.array_sort(F.collect_set("rule_id")).alias("raised"))
-    anchor = result.records.select("batch_id", F.col("doc_ord").alias("event"), F.col("name").alias("a_name")).join(t.select(F.col("name").alias("a_name"), F.col("t_event").alias("got_event")), "a_name").drop("a_name")
-    rec = result.records.select(*ROW, "doc_type", "confidence", events.confident(result.records, kb).alias("confident"), F.col("family_key").alias("read_client"), "client_specific")
-    x = result.plan.select(*ROW, "name", "event", "needs_review").join(rec, ROW).join(t, "name").join(raised, ROW, "left").join(anchor, ["batch_id", "event"], "left")
+    raised = raised.groupBy(*ROW).agg(F.array_sort(F.collect_set("rule_id")).alias("raised"))
+    x = rows.join(raised, ROW, "left").join(t, "name")
     none = F.array().cast("array<string>")
     missed, unexpected = evaluate.differences(F.coalesce("expect_flags", none), F.coalesce("raised", none))
     x = x.withColumns({
@@ -61,34 +76,73 @@ def score(compared: DataFrame) -> DataFrame:
     return evaluate.scorecard(compared, ~F.col("needs_review"), F.col("type_ok") & F.col("event_ok"), *right)
 
 
-def sweep(records: DataFrame, kb: KnowledgeBase, steps: int = evaluate.STEPS) -> DataFrame:
+def sweep(records: DataFrame, kb: KnowledgeBase, steps: int = evaluate.STEPS, moves: Column | None = None) -> DataFrame:
     """The records once for each state that a threshold can leave them in, with the steps ``_from`` to ``step`` at which it holds; the state becomes part of their batch's id, and every later operator keeps batches apart.
 
     What a client's documents come to changes only at a step where one of them drops out, so they are there as often as
     they have different confidences (to the step), and once more; not once for every step.  Documents that look beyond
-    their client (linked by product, of no client, or not specific to one) tie the clients of their batch together."""
-    passes = F.size(F.filter(F.sequence(F.lit(0), F.lit(steps - 1)), lambda k: F.col("confidence") >= k / F.lit(float(steps)))) - 1
+    their client (linked by product, of no client, or not specific to one) tie the clients of their batch together.
+
+    ``moves``: the documents whose dropping out changes what others come to, where that is known.  A client's states then change where
+    these drop out; each document is there in those up to its own confidence, and once more, apart from the others, for all steps above it."""
+    passed = sum(((F.col("confidence") >= F.lit(k / steps)).cast("int") for k in range(steps)), F.lit(0))
     linked = [t["category"] for t in kb.types if kb.direction(t["category"]) == "product_link"]
     apart = F.col("family_key").isNotNull() & F.coalesce("client_specific", F.lit(False)) & ~F.coalesce(F.col("category").isin(linked or [""]), F.lit(False))
-    known = records.withColumn("_last", passes)
+    known = records.withColumn("_last", F.coalesce(passed, F.lit(0)) - 1)
     alone = known.groupBy("batch_id").agg(F.bool_and(apart).alias("_apart"))
-    known = known.join(alone, "batch_id").withColumn("_unit", F.when(F.col("_apart"), F.col("family_key"))).drop("_apart")
-    ends = F.array_sort(F.array_union(F.collect_set(F.when(F.col("_last").between(0, steps - 2), F.col("_last"))), F.array(F.lit(steps - 1))))
-    spans = F.transform("_ends", lambda e, k: F.struct(F.when(k == 0, 0).otherwise(F.get("_ends", k - 1) + 1).alias("_from"), e.alias("step")))
-    states = known.groupBy("batch_id", "_unit").agg(ends.alias("_ends")).select(F.col("batch_id").alias("_b"), F.col("_unit").alias("_u"), spans.alias("_spans"))
-    rows = known.join(states, (F.col("batch_id") == F.col("_b")) & F.col("_unit").eqNullSafe(F.col("_u"))).withColumn("_s", F.explode("_spans"))
-    rows = rows.select(*[c for c in records.columns if c != "batch_id"], "batch_id", "_s.*")
-    return rows.withColumn("batch_id", F.concat(F.col("batch_id"), F.lit(_STEP), F.col("step").cast("string"))).withColumn("threshold", F.col("step") / F.lit(float(steps)))
+    known = known.join(alone, "batch_id").withColumn("_unit", F.when(F.col("_apart"), F.col("family_key")))
+    telling = F.lit(True) if moves is None else ~F.col("_apart") | F.coalesce(moves, F.lit(False))
+    at = known.filter(F.col("_last").between(0, steps - 2) & telling).groupBy("batch_id", "_unit").agg(F.collect_set("_last").alias("_e"))
+    span = lambda begin, end: F.struct(begin.cast("int").alias("_from"), end.cast("int").alias("step"))
+    ends = F.array_sort(F.array_union("_e", F.array(F.lit(steps - 1))))
+    spans = F.transform("_ends", lambda e, k: span(F.when(k == 0, 0).otherwise(F.get("_ends", k - 1) + 1), e))
+    # a row for each unit, so the records need not be sorted; the last span of all, at no step, is for what is above a document's own confidence
+    none, only = F.array(span(F.lit(steps), F.lit(-1))), F.array(span(F.lit(0), F.lit(steps - 1)))
+    states = at.withColumn("_ends", ends).select(F.col("batch_id").alias("_b"), F.col("_unit").alias("_u"), F.concat(spans, none).alias("_spans")).hint("shuffle_hash")
+    rows = known.join(states, (F.col("batch_id") == F.col("_b")) & F.col("_unit").eqNullSafe(F.col("_u")), "left").withColumn("_s", F.explode(F.coalesce("_spans", F.concat(only, none))))
+    own = F.lit(False) if moves is None else F.col("_apart") & F.col("confidence").isNotNull()
+    above, state = F.col("_s.step") < 0, F.col("_s.step")
+    rows = rows.filter(F.when(above, own & (F.col("_last") < steps - 1)).otherwise(~own | (F.col("_s._from") <= F.col("_last"))))
+    begin = F.when(above, F.col("_last") + 1).otherwise(F.col("_s._from")).cast("int")
+    end = F.when(above, F.lit(steps - 1)).when(own, F.least(state, "_last")).otherwise(state).cast("int")
+    rows = rows.select(*[c for c in records.columns if c != "batch_id"], "batch_id", begin.alias("_from"), end.alias("step"), state.cast("string").alias("_state"))
+    return rows.withColumn("batch_id", F.concat(F.col("batch_id"), F.lit(_STEP), F.col("_state"))).drop("_state").withColumn("threshold", F.col("_from") / F.lit(float(steps)))
+
+
+def _states(records: DataFrame, kb: KnowledgeBase, steps: int, rules: list[str]) -> DataFrame:
+    """``sweep``, with the documents that others depend on as far as ``rules`` ask: anchors, and several of one client, type and day."""
+    moves = F.col("advice_record") & F.col("own_date").isNotNull()
+    if "superseding_ambiguity" not in rules:
+        return sweep(records, kb, steps, moves)
+    if kb.rule("low_confidence")["class"] != "placement":  # what is below the threshold is then held against the others all the same
+        return sweep(records, kb, steps)
+    return sweep(copies(records, ["batch_id", "family_key", "doc_type", "own_date"], "_copies"), kb, steps, moves | (F.col("_copies") > 1)).drop("_copies")
+
+
+#: What a calibration reads of the records, and what only the rules named do; of the rest, which messages and names are made of, no copies are written.
+_READS = ("name", *ROW, "doc_type", "confidence", "runner_up", "scores", "title_types", "family_key", "own_date", "cited", "products", "advice_record", "client_specific", "requires_date", "category", "match_verdict")
+_RULE_READS = {"superseding_ambiguity": ("subject",), "roa_without_soa": ("sub_kind",), "risk_mismatch": ("risk_category", "risks_named"), "fds_era_mismatch": ("era_pre", "era_post")}
+#: Columns of temporary tables that say why; a calibration counts and does not say.
+_SAID = {"message": "", "reason": "", "attach_confidence": 0.0}
 
 
 def calibrate(records: DataFrame, truth: DataFrame, kb: KnowledgeBase, profile: Profile | None = None, steps: int = evaluate.STEPS, materialise=lambda frame, name: frame) -> DataFrame:
     """A row per threshold: step, threshold, n, accuracies, n_filed, precision, n_review, n_wrong (confident and wrong), n_ok.
 
     Everything that reads the threshold is done again in each state that it leads to (``sweep``): an advice record below it
-    anchors no event, and what would have attached to that event moves with it.  A state counts at all steps at which it holds."""
-    swept = materialise(sweep(records, kb, steps), "sweep")
-    result = batch.place(swept.drop("_from", "step"), kb, profile or Profile.load(), materialise)
-    x = compare(result, truth, kb).join(swept.select(*ROW, "_from", "step"), ROW)
+    anchors no event, and what would have attached to that event moves with it.  A state counts at all steps at which it holds.
+
+    Places and names are not worked out, and of the rules only those that hold documents back or that some answer expects: nothing else counts."""
+    expected = [r[0] for r in truth.select(F.explode("expect_flags").alias("r")).filter(F.col("r").isin(*flags.RULES)).distinct().collect()]
+    rules = [r for r in flags.RULES if r in kb.rules and (r in expected or kb.rule(r)["class"] == "placement")]
+    reads = {*_READS, *(c for r in rules for c in _RULE_READS.get(r, ()))}
+    swept = materialise(_states(records.select(*[c for c in records.columns if c in reads]), kb, steps, rules), "sweep")
+    swept = swept.withColumns({f.name: F.lit(None).cast(f.dataType) for f in records.schema if f.name not in reads})
+    lean = lambda frame, name: materialise(frame.withColumns({c: F.lit(v) for c, v in _SAID.items() if c in frame.columns}), name)
+    _, attached, raised = batch.decide(swept.drop("_from", "step"), kb, lean, rules=rules)
+    held = raised.filter("class = 'placement'").select(*ROW, F.lit(True).alias("_held")).distinct()
+    x = _read(swept, kb, "name", "_from", "step").join(_got(swept, attached, truth, kb), ROW, "left").join(held, ROW, "left").withColumn("needs_review", F.col("_held").isNotNull())
+    x = _judged(x, raised.filter(F.col("rule_id").isin(*expected) if expected else F.lit(False)), truth)
     n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
     filed = ~F.col("needs_review")
     counts = {
